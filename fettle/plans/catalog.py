@@ -12,7 +12,7 @@ from fettle.plans.workload import Workload
 
 Plan = Callable[[Workload], DataFrame]
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_bodies: dict[str, tuple[str, str]] = {}
 _shared: dict[tuple[str, str], Workload] = {}
 
 
@@ -60,7 +60,11 @@ def query(name: str, spec: str | None = None, sql: str | None = None) -> Callabl
 
         PLANS[name] = run
         if sql is not None:
-            ORACLES[name] = _shape_sql(sql, spec)
+            _bodies[name] = (sql, spec)
         return plan
 
     return register
+
+
+def oracles() -> dict[str, str]:
+    return {name: _shape_sql(body, spec) for name, (body, spec) in _bodies.items()}
