@@ -121,7 +121,8 @@ def consensus(ratings: DataFrame) -> DataFrame:
 
 def model_agreement(ratings: DataFrame, scores: DataFrame) -> DataFrame:
     """Rank correlation of the consensus with the scores on matched profiles."""
-    matched = consensus(ratings).join(scores.select("profile_id", "model_score"), "profile_id")
+    agreed = consensus(ratings).withColumn("consensus", F.round("consensus", 6))  # equal means must tie
+    matched = agreed.join(scores.select("profile_id", "model_score"), "profile_id")
     return spearman(matched, "model_score", "consensus")
 
 

@@ -43,11 +43,11 @@ def _shape_sql(body: str, spec: str) -> str:
     for item in spec.split():
         name = item.rstrip("*#")
         if item.endswith("*"):
-            out.append(f"round(CAST({name} AS DOUBLE), 6) + 0e0 AS {name}")
+            out.append(f'round(CAST("{name}" AS DOUBLE), 6) + 0e0 AS "{name}"')
         elif item.endswith("#"):
-            out.append(f"CAST({name} AS BIGINT) AS {name}")
+            out.append(f'CAST("{name}" AS BIGINT) AS "{name}"')
         else:
-            out.append(name)
+            out.append(f'"{name}"')
     return compose(f"SELECT {', '.join(out)} FROM ({body})")
 
 
