@@ -26,7 +26,11 @@ def person_key(user_id: Column) -> Column:
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    raw = read_table(spark, folder, "events")
+    return shape_events(read_table(spark, folder, "events"))
+
+
+def shape_events(raw: DataFrame) -> DataFrame:
+    """Event columns plus the number in ``props``, the day and the stretched date (batch or stream)."""
     day = F.dayofmonth("ts")
     back = F.floor((F.lit(31) - day) * F.lit(P.DAYS_PER_MONTH) - F.col("event_id") % 30).cast("int")
     return raw.select(
@@ -179,8 +183,11 @@ def deployment_history(ev: DataFrame) -> DataFrame:
 
 
 def acoustic_samples(spark: SparkSession, folder: str) -> DataFrame:
+    return shape_samples(read_table(spark, folder, "embeddings"))
+
+
+def shape_samples(emb: DataFrame) -> DataFrame:
     """One check-in per embedding row: label = person, first seven elements = features."""
-    emb = read_table(spark, folder, "embeddings")
     age = ((F.col("vec_id") * 7) % 170).cast("int")
     features = [
         F.try_element_at("embedding", F.lit(i + 1)).cast("double").alias(name)
