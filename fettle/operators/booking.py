@@ -42,28 +42,34 @@ def request_problem() -> Column:
         .when(F.length(note) > P.MAX_SHARED_CONTEXT, "context too long"))
 
 
+def winning_ids(requests: DataFrame) -> DataFrame:
+    """The first valid request per slot; free text never enters the shuffle."""
+    valid = requests.filter(request_problem().isNull())
+    return valid.groupBy("slot_id").agg(F.min(F.struct("requested_at", "request_id")).alias("s")).select(
+        "slot_id", F.col("s.request_id").alias("request_id"))
+
+
 def winners(requests: DataFrame, slots: DataFrame) -> DataFrame:
     """One appointment per known slot; an unshared note is blanked."""
-    valid = requests.filter(request_problem().isNull())
-    best = valid.groupBy("slot_id").agg(F.min(F.struct(
-        "requested_at", "request_id", "personnel_id", "reason", "shared_context", "context_note")).alias("s"))
-    shared = F.coalesce(F.col("s.shared_context"), F.lit(False))
-    return best.join(slots.select("slot_id", "doctor_id", "starts_at"), "slot_id").select(
-        F.concat(F.lit("APT-"), "slot_id").alias("appointment_id"), F.col("s.request_id").alias("request_id"),
-        F.col("s.personnel_id").alias("personnel_id"), "doctor_id", "slot_id", "starts_at",
-        F.trim(F.coalesce("s.reason", F.lit(""))).alias("reason"), shared.alias("shared_context"),
-        F.when(shared, F.trim(F.coalesce("s.context_note", F.lit("")))).otherwise(F.lit("")).alias("context_note"),
-        F.col("s.requested_at").alias("created_at"))
+    best = winning_ids(requests).join(slots.select("slot_id", "doctor_id", "starts_at"), "slot_id")
+    shared = F.coalesce("shared_context", F.lit(False))
+    return requests.join(best, ["slot_id", "request_id"]).select(
+        F.concat(F.lit("APT-"), "slot_id").alias("appointment_id"), "request_id", "personnel_id", "doctor_id",
+        "slot_id", "starts_at", F.trim(F.coalesce("reason", F.lit(""))).alias("reason"),
+        shared.alias("shared_context"),
+        F.when(shared, F.trim(F.coalesce("context_note", F.lit("")))).otherwise(F.lit("")).alias("context_note"),
+        F.col("requested_at").alias("created_at"))
 
 
 def claim_outcomes(requests: DataFrame, slots: DataFrame) -> DataFrame:
     """Every request with its outcome: booked, taken, unknown slot, or refused."""
-    won = winners(requests, slots).select("slot_id", F.col("request_id").alias("_winner"))
+    won = winning_ids(requests).select("slot_id", F.col("request_id").alias("_winner"))
     known = slots.select("slot_id", F.lit(True).alias("_known"))
+    judged = requests.select("request_id", "slot_id", "personnel_id", request_problem().alias("_problem"))
     outcome = (
-        F.when(request_problem().isNotNull(), "refused").when(F.col("_known").isNull(), "unknown slot")
+        F.when(F.col("_problem").isNotNull(), "refused").when(F.col("_known").isNull(), "unknown slot")
         .when(F.col("request_id") == F.col("_winner"), "booked").otherwise("taken"))
-    return requests.join(known, "slot_id", "left").join(won, "slot_id", "left").withColumn(
+    return judged.join(known, "slot_id", "left").join(won, "slot_id", "left").withColumn(
         "outcome", outcome).select("request_id", "slot_id", "personnel_id", "outcome")
 
 

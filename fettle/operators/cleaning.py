@@ -78,11 +78,14 @@ def on_roster(child: DataFrame, roster: DataFrame, key: str = "personnel_id") ->
     return child.join(roster.select(key), key, "left_semi")
 
 
-def clean_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def clean_all(tables: dict[str, DataFrame], roster: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Clean every table; ``roster`` may be an already cleaned (and written) roster."""
     special = {"personnel": clean_roster, "duty_logs": clean_duty, "leave_records": clean_leave}
     out = {}
     for name, df in tables.items():
-        if name in special:
+        if name == "personnel" and roster is not None:
+            out[name] = roster
+        elif name in special:
             out[name] = special[name](df)
         elif name in GENERIC_KEYS:
             out[name] = clean_keys(df, GENERIC_KEYS[name])

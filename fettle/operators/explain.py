@@ -50,6 +50,14 @@ def _as_array(frame: DataFrame, inputs: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in inputs])
 
 
+def _widely(cases: DataFrame, key: str) -> DataFrame:
+    """Cases over every core before they expand: few small rows carry all the work here.
+
+    The explicit number keeps adaptive execution from merging the partitions back.
+    """
+    return cases.repartition(4 * cases.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def shapley(cases: DataFrame, reference: DataFrame, inputs: Sequence[str] = P.SIGNALS,
             scorer: ColumnScorer = signal_index, key: str = "pseudonym_id") -> DataFrame:
     """Exact Shapley values of every case against the reference rows.
@@ -64,7 +72,7 @@ def shapley(cases: DataFrame, reference: DataFrame, inputs: Sequence[str] = P.SI
         raise ValueError(f"{n} inputs: exact enumeration stops at {P.MAX_EXACT_INPUTS}")
     ref = reference.agg(F.collect_list(_as_array(reference, inputs)).alias("_refs"))  # bounded sample
     expanded = (
-        cases.select(key, _as_array(cases, inputs).alias("_x"))
+        _widely(cases.select(key, _as_array(cases, inputs).alias("_x")), key)
         .crossJoin(F.broadcast(ref))
         .withColumn("_mask", F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1))))
         .withColumn("_b", F.explode("_refs"))
@@ -102,7 +110,7 @@ def shapley_by_model(cases: DataFrame, reference: DataFrame, transform: Callable
     ref = reference.agg(F.collect_list(_as_array(reference, varying)).alias("_refs"))
     fixed = [c for c in inputs if c not in varying]
     expanded = (
-        cases.select(key, *fixed, _as_array(cases, varying).alias("_x"))
+        _widely(cases.select(key, *fixed, _as_array(cases, varying).alias("_x")), key)
         .crossJoin(F.broadcast(ref))
         .withColumn("_mask", F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1))))
         .withColumn("_b", F.explode("_refs"))

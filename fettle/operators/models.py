@@ -124,31 +124,43 @@ def _solve(m: np.ndarray, penalty: float, l1: bool) -> tuple[float, np.ndarray]:
     return mean[-1] - mean[:-1] @ w, w
 
 
-def choose_penalty(rows: DataFrame, l1: bool, grid: Sequence[float], inputs: Sequence[str] = P.MODEL_INPUTS,
-                   ) -> tuple[float, list[tuple[float, float]]]:
-    """Penalty with the least person-grouped cross-validated error, and the error per value.
+def _cross_validated(folds: list[np.ndarray], penalty: float, l1: bool) -> float:
+    """Mean squared error over held-out folds; leaving one out is a subtraction."""
+    whole, squared = sum(folds), 0.0
+    for held in folds:
+        kept = whole - held
+        # the L2 grid is stated per sum of squares, the L1 grid per mean
+        intercept, w = _solve(kept, penalty if l1 else penalty / kept[0, 0], l1)
+        v = np.concatenate([[-intercept], -w, [1.0]])
+        squared += v @ held @ v
+    return float(squared / whole[0, 0])
+
+
+def lasso_grid(whole: np.ndarray, points: int = 100, ratio: float = 1e-3) -> list[float]:
+    """From the smallest penalty that zeroes every weight down to a thousandth of it."""
+    n, mean = whole[0, 0], whole[0, 1:] / whole[0, 0]
+    cov = whole[1:, 1:] / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 0.0))
+    top = np.abs(np.where(sd > 1e-12, cov[:-1, -1] / np.where(sd > 1e-12, sd, 1.0), 0.0)).max()
+    return list(np.geomspace(top, top * ratio, points))
+
+
+def choose_penalty(rows: DataFrame, l1: bool, inputs: Sequence[str] = P.MODEL_INPUTS) -> tuple[float, list]:
+    """MLlib ``regParam`` with the least person-grouped error, and the error per grid value.
 
-    One pass over the data whatever the grid: folds are 13x13 moment matrices,
-    and leaving a fold out is a subtraction.
+    One pass over the data whatever the grid: a fold is one small moment matrix.
     """
     size = len(inputs) + 2
     folds = [_moment_matrix(r, size) for r in fold_moments(with_fold(rows), inputs).collect()]  # one row per fold
     whole = sum(folds)
-    errors = []
-    for penalty in grid:
-        squared = 0.0
-        for held in folds:
-            intercept, w = _solve(whole - held, penalty, l1)
-            v = np.concatenate([[-intercept], -w, [1.0]])
-            squared += v @ held @ v
-        errors.append(float(squared / whole[0, 0]))
-    best = min(range(len(errors)), key=errors.__getitem__)
-    return float(grid[best]), list(zip(grid, errors))
-
-
-# fixed values: 25 points from 1e-3 to 1e3 for ridge, 20 from 1e-3 to 1 for lasso
+    grid = lasso_grid(whole) if l1 else list(RIDGE_GRID)
+    errors = [_cross_validated(folds, penalty, l1) for penalty in grid]
+    best = float(grid[min(range(len(errors)), key=errors.__getitem__)])
+    return (best if l1 else best / float(whole[0, 0])), list(zip(grid, errors))
+
+
+# fixed values: 25 points from 1e-3 to 1e3
 RIDGE_GRID = tuple(10 ** (-3 + 6 * i / 24) for i in range(25))
-LASSO_GRID = tuple(10 ** (-3 + 3 * i / 19) for i in range(20))
 
 
 def fit(rows: DataFrame, candidate: Candidate) -> tuple[PipelineModel, float]:

@@ -9,13 +9,12 @@ and carry only per-slice totals between slices.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
@@ -37,20 +36,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise once in the shared folder, so later reads survive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def small_enough(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
-    """Whether the optimizer's size estimate of ``df`` is below ``limit``."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString()) <= limit
+    """Write once to the shared folder and read the table back.
 
-
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Broadcast hint when the estimate allows it; otherwise Spark shuffles (AQE splits skew)."""
-    return F.broadcast(df) if small_enough(df, limit) else df
+    Later reads survive lost executors, prune columns, and know the real size,
+    so the optimizer can choose broadcast joins by itself. (``checkpoint`` would
+    compute the plan twice and hide the size.)
+    """
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],

@@ -17,6 +17,7 @@ from fettle.plans.oracle_views import REF, VIEWS, hmac
 from fettle.plans.workload import Workload
 from fettle.sources import adapter, ingest, schemas, sinks
 from fettle.sources.schemas import Column, Table
+from fettle.sources.tables import over_all_cores
 
 
 def scratch(w: Workload, name: str) -> str:
@@ -33,7 +34,7 @@ LINES = Table("lines", (
 
 
 def line_texts(w: Workload) -> DataFrame:
-    li, o = w.table("lineitem"), w.table("orders")
+    li, o = over_all_cores(w.table("lineitem"), "l_orderkey", "l_linenumber"), w.table("orders")
     c = F.col
     return li.join(o, c("o_orderkey") == c("l_orderkey")).select(
         F.when(c("l_suppkey") % 50 != 0, c("l_orderkey").cast("string")).alias("order_id"),

@@ -34,14 +34,14 @@ _one("least_squares_m05", models.linear)
 @query("ridge_penalty_chosen_m06", ROW)
 def m06(w):
     data = rows(w)
-    best, _ = models.choose_penalty(data.filter(_train), False, models.RIDGE_GRID)
+    best, _ = models.choose_penalty(data.filter(_train), l1=False)
     return models.compare(data, [models.ridge(alpha=best)])
 
 
 @query("lasso_penalty_chosen_m07", ROW)
 def m07(w):
     data = rows(w)
-    best, _ = models.choose_penalty(data.filter(_train), True, models.LASSO_GRID)
+    best, _ = models.choose_penalty(data.filter(_train), l1=True)
     return models.compare(data, [models.lasso(alpha=best)])
 
 

@@ -12,6 +12,7 @@ from fettle.operators import alerts, booking, logs, ratings as rate, recommend,
 from fettle.plans.catalog import query
 from fettle.plans.oracle_views import SIG, VIEWS, values
 from fettle.plans.queries_data import ratings
+from fettle.sources.tables import over_all_cores
 
 UNIT = "unit_id snapshot_date personnel_count# mean_demand* mean_recovery_deficit* staffing_ratio* "
 
@@ -358,7 +359,7 @@ def b_offers(w) -> DataFrame:
 
 def b_requests(w) -> DataFrame:
     c = F.col
-    return w.table("lineitem").select(
+    return over_all_cores(w.table("lineitem"), "l_partkey", "l_orderkey").select(
         F.concat_ws("-", c("l_shipdate").cast("date"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
         .alias("request_id"),
         F.when(c("l_partkey") % 37 == 0, "SLX").otherwise(F.format_string("SL%d", c("l_partkey"))).alias("slot_id"),

@@ -49,7 +49,7 @@ class Workload:
 
     @cached_property
     def clean(self) -> dict[str, DataFrame]:
-        return cleaning.clean_all(self.raw)
+        return cleaning.clean_all(self.raw, self._keep(cleaning.clean_roster(self.raw["personnel"])))
 
     @cached_property
     def private(self) -> dict[str, DataFrame]:

@@ -11,8 +11,14 @@ from pyspark.sql import types as T
 from fettle import policy as P
 from fettle.sources.schemas import TABLES, Table
 
-# fixed values: accepted date layouts, tried in this order
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "MMM d, yyyy", "yyyyMMdd")
+# fixed values: accepted date layouts, each with the shape of the text it reads
+DATE_FORMATS = (
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+)
 TRUE_WORDS = ("true", "1", "yes")
 BOOLEAN_WORDS = ("true", "false", "1", "0", "yes", "no")
 
@@ -23,9 +29,12 @@ def read_text_csv(spark: SparkSession, path: str | Sequence[str], columns: Seque
     return spark.read.csv(path, schema=schema, header=True, nullValue="", enforceSchema=False)
 
 
-def parse_date(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    trimmed = F.trim(text)
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(trimmed, F.lit(f))) for f in formats])
+def parse_date(text: Column, formats: Sequence[tuple[str, str]] = DATE_FORMATS) -> Column:
+    """First layout whose shape fits. The shape is tested first: a failed parse throws inside the JVM."""
+    trimmed, parsed = F.trim(text), F.lit(None).cast("date")
+    for layout, shape in reversed(formats):
+        parsed = F.when(trimmed.rlike(shape), F.to_date(F.try_to_timestamp(trimmed, F.lit(layout)))).otherwise(parsed)
+    return parsed
 
 
 def parse_boolean(text: Column) -> Column:
