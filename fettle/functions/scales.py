@@ -99,3 +99,11 @@ def hash_bucket(key: Column, seed: int, buckets: int = 100) -> Column:
     """Stable bucket of a key: the first 8 hex digits of md5(key:seed), modulo."""
     digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+
+
+def code(prefix: str, number: Column, width: int = 0) -> Column:
+    """``prefix`` + zero-padded number, NULL for NULL; stays in codegen (no formatter per row)."""
+    digits = number.cast("string")
+    if width:
+        digits = F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))
+    return F.concat(F.lit(prefix), digits)

@@ -20,7 +20,11 @@ LOG = "table_name string, action string, detail string, affected long"
 
 
 def drop_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.dropna(subset=[k for k in keys if k in df.columns])
+    """Plain predicates, so that they reach the scan."""
+    for key in keys:
+        if key in df.columns:
+            df = df.filter(F.col(key).isNotNull())
+    return df
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -99,14 +103,45 @@ def clean_all(tables: dict[str, DataFrame], roster: DataFrame | None = None) ->
     return out
 
 
-def _entry(df: DataFrame, table: str, action: str, detail: str, expr: Column) -> DataFrame:
-    return df.agg(F.coalesce(expr.cast("long"), F.lit(0).cast("long")).alias("affected")).select(
-        F.lit(table).alias("table_name"), F.lit(action).alias("action"), F.lit(detail).alias("detail"), "affected")
+def _entries(df: DataFrame, table: str, entries: list[tuple[str, str, Column]]) -> DataFrame:
+    """Several counts of one table from one pass."""
+    one = df.agg(*[F.coalesce(e.cast("long"), F.lit(0).cast("long")).alias(f"c{i}") for i, (_, _, e) in enumerate(entries)])
+    rows = F.array(*[
+        F.struct(F.lit(table).alias("table_name"), F.lit(a).alias("action"), F.lit(d).alias("detail"),
+                 F.col(f"c{i}").alias("affected")) for i, (a, d, _) in enumerate(entries)])
+    return one.select(F.inline(rows))
 
 
 def _duplicates(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return _entry(groups, table, "drop", f"duplicate on {','.join(keys)}", F.sum(F.col("n") - 1))
+    return _entries(groups, table, [("drop", f"duplicate on {','.join(keys)}", F.sum(F.col("n") - 1))])
+
+
+def _duty_changes() -> list[tuple[str, str, Column]]:
+    hours = F.least(F.col("mean_daily_duty_hours"), F.lit(P.MAX_DAILY_DUTY_HOURS))
+    days = F.least(F.col("days_on_duty"), F.lit(P.MAX_DUTY_DAYS))
+    return [
+        ("cap", "mean_daily_duty_hours", F.count_if(F.col("mean_daily_duty_hours") > P.MAX_DAILY_DUTY_HOURS)),
+        ("cap", "days_on_duty", F.count_if(F.col("days_on_duty") > P.MAX_DUTY_DAYS)),
+        ("recompute", "total_duty_hours", F.count_if(F.abs(hours * days - F.col("total_duty_hours")) > 1.0)),
+        ("clamp", "weekly_offs_availed", F.count_if(F.col("weekly_offs_availed") > F.col("weekly_offs_entitled"))),
+    ]
+
+
+def _leave_changes() -> list[tuple[str, str, Column]]:
+    inverted = F.coalesce(F.col("end_date") < F.col("start_date"), F.lit(False))
+    derived = F.datediff("end_date", "start_date").cast("double")
+    off = F.abs(derived - F.col("days_availed")) > 1.0
+    return [
+        ("drop", "end before start", F.count_if(inverted)),
+        ("recompute", "days_availed", F.count_if(~inverted & off)),
+        ("cap", "days_availed", F.count_if(~inverted & (rederived_leave_days() > P.MAX_LEAVE_SPELL_DAYS))),
+    ]
+
+
+def _roster_changes() -> list[tuple[str, str, Column]]:
+    early = F.col("current_posting_start_date") < F.col("date_of_joining")
+    return [("drop", "posting before joining", F.count_if(early))]
 
 
 def cleaning_log(tables: dict[str, DataFrame]) -> DataFrame:
@@ -119,36 +154,12 @@ def cleaning_log(tables: dict[str, DataFrame]) -> DataFrame:
             continue
         must = ["leave_id", "personnel_id", "start_date"] if name == "leave_records" else keys[name]
         any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in must])
-        parts.append(_entry(df, name, "drop", "null key", F.count_if(any_null)))
+        parts.append(_entries(df, name, [("drop", "null key", F.count_if(any_null))]))
         kept = drop_null_keys(df, must)
         parts.append(_duplicates(kept, name, keys[name]))
-        one = keep_first(kept, keys[name])
-        if name == "duty_logs":
-            hours = F.least(F.col("mean_daily_duty_hours"), F.lit(P.MAX_DAILY_DUTY_HOURS))
-            days = F.least(F.col("days_on_duty"), F.lit(P.MAX_DUTY_DAYS))
-            over = F.count_if(F.col("mean_daily_duty_hours") > P.MAX_DAILY_DUTY_HOURS)
-            parts += [
-                _entry(one, name, "cap", "mean_daily_duty_hours", over),
-                _entry(one, name, "cap", "days_on_duty", F.count_if(F.col("days_on_duty") > P.MAX_DUTY_DAYS)),
-                _entry(one, name, "recompute", "total_duty_hours",
-                       F.count_if(F.abs(hours * days - F.col("total_duty_hours")) > 1.0)),
-                _entry(one, name, "clamp", "weekly_offs_availed",
-                       F.count_if(F.col("weekly_offs_availed") > F.col("weekly_offs_entitled"))),
-            ]
-        if name == "leave_records":
-            straight = drop_inverted(one)
-            derived = F.datediff("end_date", "start_date").cast("double")
-            parts += [
-                _entry(one, name, "drop", "end before start", F.count_if(F.col("end_date") < F.col("start_date"))),
-                _entry(straight, name, "recompute", "days_availed",
-                       F.count_if(F.abs(derived - F.col("days_availed")) > 1.0)),
-                _entry(straight, name, "cap", "days_availed", F.count_if(
-                    F.when(F.abs(derived - F.col("days_availed")) > 1.0, derived).otherwise(F.col("days_availed"))
-                    > P.MAX_LEAVE_SPELL_DAYS)),
-            ]
-        if name == "personnel":
-            parts.append(_entry(one, name, "drop", "posting before joining", F.count_if(
-                F.col("current_posting_start_date") < F.col("date_of_joining"))))
+        changes = {"duty_logs": _duty_changes, "leave_records": _leave_changes, "personnel": _roster_changes}
+        if name in changes:
+            parts.append(_entries(keep_first(kept, keys[name]), name, changes[name]()))
     if "personnel" in tables:
         roster = clean_roster(tables["personnel"]).select("personnel_id")
         for name, df in tables.items():
@@ -159,5 +170,5 @@ def cleaning_log(tables: dict[str, DataFrame]) -> DataFrame:
             # count per person first: a person missing from the roster may own many rows
             per_person = cleaned.groupBy("personnel_id").agg(F.count(F.lit(1)).alias("n"))
             lost = per_person.join(roster, "personnel_id", "left_anti")
-            parts.append(_entry(lost, name, "drop", "person not on roster", F.sum("n")))
+            parts.append(_entries(lost, name, [("drop", "person not on roster", F.sum("n"))]))
     return reduce(DataFrame.unionByName, parts)

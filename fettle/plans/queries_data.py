@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fettle import policy as P
 from fettle.functions import scales as N
+from fettle.functions.scales import code
 from fettle.functions.keyed_hash import pseudonym
 from fettle.operators import cleaning, privacy, quality, spread
 from fettle.operators import features as feat
@@ -544,7 +545,7 @@ def requests(w: Workload) -> DataFrame:
         pseudonym(adapter.person_key(F.col("user_id")), w.key))
     return w.events.filter(F.col("event_type") == "error").select(
         F.col("event_id").alias("id"), who.alias("pseudonym_id"),
-        F.format_string("S%03d", F.col("k")).alias("requester_id"), role.alias("requester_role"),
+        code("S", F.col("k"), 3).alias("requester_id"), role.alias("requester_role"),
         F.when(F.col("k") % 5 == 0, "  ").otherwise("welfare follow-up").alias("purpose"),
         F.col("ts").alias("requested_at"))
 

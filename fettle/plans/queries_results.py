@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fettle import policy as P
+from fettle.functions.scales import code
 from fettle.operators import alerts, booking, logs, ratings as rate, recommend, results, units
 from fettle.plans.catalog import query
 from fettle.plans.oracle_views import SIG, VIEWS, values
@@ -160,10 +161,13 @@ def q03(w):
 
 @query("unit_overview_q04", "unit_id is_suppressed suppression_reason personnel_count# mean_risk* median_risk* "
        "elevated_share* high_share* is_systemically_strained is_near_miss thresholds_crossed#", """
-SELECT unit_id, is_suppressed, NULL AS suppression_reason, v_units.personnel_count, mean_risk, median_risk, elevated_share,
-       high_share, is_systemically_strained, f.unit_id IS NOT NULL AS is_near_miss, thresholds_crossed
-FROM v_units LEFT JOIN v_press USING (unit_id) LEFT JOIN (SELECT unit_id FROM v_find) f USING (unit_id)
-WHERE NOT is_suppressed""")
+SELECT u.unit_id, is_suppressed, CASE WHEN is_suppressed THEN 'Unit has fewer than 10 personnel; aggregates are withheld '
+         || 'so individuals cannot be identified from them.' END AS suppression_reason,
+       CASE WHEN NOT is_suppressed THEN u.personnel_count END AS personnel_count, mean_risk, median_risk, elevated_share,
+       high_share, CASE WHEN NOT is_suppressed THEN is_systemically_strained END AS is_systemically_strained,
+       CASE WHEN NOT is_suppressed THEN f.unit_id IS NOT NULL END AS is_near_miss,
+       CASE WHEN NOT is_suppressed THEN thresholds_crossed END AS thresholds_crossed
+FROM v_units u LEFT JOIN v_press p ON p.unit_id = u.unit_id LEFT JOIN v_find f ON f.unit_id = u.unit_id""")
 def q04(w):
     return results.unit_overview(results.unit_payload(w.unit_stats, w.pressure, w.findings))
 
@@ -340,19 +344,19 @@ def b_changes(w) -> DataFrame:
     s = w.table("supplier").withColumn("i", F.explode(F.array(F.lit(0), F.lit(1)))).filter(
         (F.col("i") == 0) | (F.col("s_acctbal") < 2000))
     return s.select(
-        F.format_string("DOC%05d", F.col("s_suppkey")).alias("doctor_id"),
+        code("DOC", F.col("s_suppkey"), 5).alias("doctor_id"),
         F.when(F.col("i") == 0, F.col("s_name")).otherwise(F.concat("s_name", F.lit(" MD"))).alias("name"),
-        F.format_string("specialty_%d", F.col("s_nationkey") % 3 + F.col("i")).alias("specialty"),
-        F.format_string("U%03d", F.col("s_nationkey") % 5).alias("unit_id"),
-        F.format_string("doc-%d", F.col("s_suppkey")).alias("subject"), F.col("i").alias("changed_at"),
+        code("specialty_", F.col("s_nationkey") % 3 + F.col("i")).alias("specialty"),
+        code("U", F.col("s_nationkey") % 5, 3).alias("unit_id"),
+        code("doc-", F.col("s_suppkey")).alias("subject"), F.col("i").alias("changed_at"),
         F.col("i").alias("change_id"))
 
 
 def b_offers(w) -> DataFrame:
     key = F.col("p_partkey")
     return w.table("part").select(
-        F.format_string("SL%d", key).alias("slot_id"),
-        F.format_string("DOC%05d", F.col("p_size")).alias("doctor_id"),
+        code("SL", key).alias("slot_id"),
+        code("DOC", F.col("p_size"), 5).alias("doctor_id"),
         F.expr("timestamp'2026-09-01' + make_interval(0, 0, 0, 0, cast(p_partkey % 40 as int))").alias("starts_at"),
         F.lit(15).alias("minutes"), key.alias("offered_at"))
 
@@ -362,8 +366,8 @@ def b_requests(w) -> DataFrame:
     return over_all_cores(w.table("lineitem"), "l_partkey", "l_orderkey").select(
         F.concat_ws("-", c("l_shipdate").cast("date"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
         .alias("request_id"),
-        F.when(c("l_partkey") % 37 == 0, "SLX").otherwise(F.format_string("SL%d", c("l_partkey"))).alias("slot_id"),
-        F.format_string("P%05d", c("l_orderkey") % 1000).alias("personnel_id"), c("l_shipdate").alias("requested_at"),
+        F.when(c("l_partkey") % 37 == 0, "SLX").otherwise(code("SL", c("l_partkey"))).alias("slot_id"),
+        code("P", c("l_orderkey") % 1000, 5).alias("personnel_id"), c("l_shipdate").alias("requested_at"),
         F.repeat(F.lit("r"), (c("l_quantity") * 12).cast("int")).alias("reason"),
         (c("l_tax") > 0.04).alias("shared_context"), F.concat(F.lit("note "), c("l_returnflag")).alias("context_note"),
         "l_discount", "l_returnflag", "l_tax")
@@ -519,7 +523,7 @@ def b10(w):
 @query("systematic_sample_e01", "profile_id pseudonym_id welfare_risk_score*", """
 SELECT printf('R%03d', i + 1) AS profile_id, pseudonym_id, welfare_risk_score
 FROM (SELECT *, row_number() OVER (ORDER BY welfare_risk_score, pseudonym_id) - 1 AS place, count(*) OVER () AS n FROM v_cases)
-JOIN range(50) t(i) ON place = CAST(floor(i * (n / 50e0)) AS BIGINT)""")
+JOIN range(50) t(i) ON place = CASE WHEN n <= 50 THEN i ELSE CAST(floor(i * (n / 50e0)) AS BIGINT) END""")
 def e01(w):
     return rate.systematic_sample(w.cases, 50)
 
@@ -558,7 +562,7 @@ SELECT rater_a, rater_b, count(*) AS n, corr(rx, ry) AS rho FROM (
          rank() OVER (PARTITION BY a.rater_id, b.rater_id ORDER BY b.rating)
            + (count(*) OVER (PARTITION BY a.rater_id, b.rater_id, b.rating) - 1) / 2e0 AS ry
   FROM v_ratings a JOIN v_ratings b ON a.profile_id = b.profile_id AND a.rater_id < b.rater_id)
-GROUP BY rater_a, rater_b HAVING count(*) >= 3""")
+GROUP BY rater_a, rater_b HAVING count(*) >= 3 AND corr(rx, ry) IS NOT NULL""")
 def e04(w):
     return rate.inter_rater(ratings(w))
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fettle.functions.scales import code
 from fettle.plans.catalog import query
 from fettle.plans.queries_data import scratch
 from fettle.plans.workload import Workload
@@ -73,7 +74,7 @@ def t03(w):
 @query("first_claims_stream_t04", "slot_id requested_at")
 def t04(w):
     lines = jobs.stream_of(w.spark, w.folder, "lineitem.parquet", w.table("lineitem"))
-    claims = lines.select(F.format_string("SL%d", "l_partkey").alias("slot_id"),
+    claims = lines.select(code("SL", F.col("l_partkey")).alias("slot_id"),
                           F.col("l_shipdate").cast("timestamp").alias("requested_at"))
     return _streamed(w, jobs.first_claims(claims), "claims")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fettle import policy as P
 from fettle.functions.keyed_hash import pseudonym
+from fettle.functions.scales import code
 from fettle.operators import (
     acoustic, alerts, analytics, cleaning, explain, features, privacy, recommend, results, scoring, signals, spread,
     units,
@@ -206,7 +207,7 @@ class Workload:
         key = pseudonym(adapter.person_key(F.col("user_id")), self.key)
         return self.events.select(
             F.col("event_id").alias("id"), F.col("ts").alias("at"), role.alias("actor_role"),
-            F.format_string("S%03d", F.col("k")).alias("actor_subject"), F.col("event_type").alias("action"),
+            code("S", F.col("k"), 3).alias("actor_subject"), F.col("event_type").alias("action"),
             key.alias("pseudonym_id"), F.when(F.col("k") < 80, "granted").otherwise("refused").alias("outcome"))
 
     @cached_property

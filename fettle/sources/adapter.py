@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fettle import policy as P
-from fettle.functions.scales import lookup
+from fettle.functions.scales import code, lookup
 from fettle.sources.tables import read_table
 
 
@@ -22,7 +22,7 @@ def _reference() -> Column:
 
 
 def person_key(user_id: Column) -> Column:
-    return F.format_string("P%05d", user_id)
+    return code("P", user_id, 5)
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,11 +60,11 @@ def personnel(spark: SparkSession, folder: str, unit_from: str = "n_regionkey")
         .withColumn("_start", posting_start)
         .select(
             person_key(uid).alias("personnel_id"),
-            F.format_string("SN%07d", uid).alias("service_number"),
+            code("SN", uid, 7).alias("service_number"),
             F.col("c_name").alias("name"),
             rank.alias("rank"),
             (uid % 8 < 3).alias("is_jawan_rank"),
-            F.format_string("U%03d", F.col(unit_from)).alias("unit_id"),
+            code("U", F.col(unit_from), 3).alias("unit_id"),
             F.lower("r_name").alias("region_type"),
             lookup(
                 F.col("c_mktsegment"),
@@ -122,7 +122,7 @@ def leave_records(ev: DataFrame) -> DataFrame:
     """Raw leave spells, some inverted, some with a stated length that is off."""
     span = (F.col("k") % 15 + 1).cast("int")
     return ev.filter(F.col("event_type") == "purchase").select(
-        F.format_string("L%d", F.col("event_id")).alias("leave_id"),
+        code("L", F.col("event_id")).alias("leave_id"),
         person_key(F.col("user_id")).alias("personnel_id"),
         F.element_at(F.array(F.lit("earned"), F.lit("casual"), F.lit("medical")), (F.col("k") % 3 + 1).cast("int"))
         .alias("leave_type"),
@@ -134,9 +134,9 @@ def leave_records(ev: DataFrame) -> DataFrame:
 
 def training_records(ev: DataFrame) -> DataFrame:
     return ev.filter(F.col("event_type") == "click").select(
-        F.format_string("T%d", F.col("event_id")).alias("training_id"),
+        code("T", F.col("event_id")).alias("training_id"),
         person_key(F.col("user_id")).alias("personnel_id"),
-        F.format_string("course_%d", F.col("k") % 7).alias("course_name"),
+        code("course_", F.col("k") % 7).alias("course_name"),
         F.col("ed").alias("start_date"),
         F.date_add("ed", F.ceil(F.col("value") / F.lit(40.0)).cast("int")).alias("end_date"),
         (F.col("value") / F.lit(5.0)).alias("training_hours"),
@@ -145,10 +145,10 @@ def training_records(ev: DataFrame) -> DataFrame:
 
 def transfer_records(ev: DataFrame) -> DataFrame:
     return ev.filter((F.col("event_type") == "signup") & (F.col("k") % 5 == 0)).select(
-        F.format_string("X%d", F.col("event_id")).alias("transfer_id"),
+        code("X", F.col("event_id")).alias("transfer_id"),
         person_key(F.col("user_id")).alias("personnel_id"),
-        F.format_string("U%03d", F.col("k") % 4).alias("from_unit_id"),
-        F.format_string("U%03d", (F.col("k") + 1) % 4).alias("to_unit_id"),
+        code("U", F.col("k") % 4, 3).alias("from_unit_id"),
+        code("U", (F.col("k") + 1) % 4, 3).alias("to_unit_id"),
         F.col("ed").alias("transfer_date"),
         F.lit("administrative").alias("transfer_type"),
     )
@@ -171,9 +171,9 @@ def deployment_history(ev: DataFrame) -> DataFrame:
     end = F.when(is_last, F.date_sub("next_day", 1)).otherwise(F.date_sub("ed", 1))
     location = F.element_at(F.array(*[F.lit(p) for p in P.POSTING_TYPES]), (F.col("k") % 3 + 1).cast("int"))
     return spells.join(days, ["user_id", "ed"]).select(
-        F.format_string("D%d", F.col("event_id")).alias("deployment_id"),
+        code("D", F.col("event_id")).alias("deployment_id"),
         person_key(F.col("user_id")).alias("personnel_id"),
-        F.format_string("U%03d", F.col("k") % 5).alias("unit_id"),
+        code("U", F.col("k") % 5, 3).alias("unit_id"),
         location.alias("location_type"),
         F.lit("operational").alias("deployment_type"),
         F.col("ed").alias("start_date"),
@@ -194,7 +194,7 @@ def shape_samples(emb: DataFrame) -> DataFrame:
         for i, name in enumerate(P.ACOUSTIC_FEATURES)
     ]
     return emb.select(
-        F.format_string("V%d", F.col("vec_id")).alias("sample_id"),
+        code("V", F.col("vec_id")).alias("sample_id"),
         F.col("vec_id"),
         person_key(F.col("label").cast("long")).alias("personnel_id"),
         F.date_sub(_reference(), age).alias("sample_date"),
