@@ -8,36 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fettle import policy as P
+from fettle import texts
 from fettle.operators.analytics import officer_visible
 
-# fixed values: alert wording
-BORDERLINE_NOTE = (
-    "The calibrated range for this score crosses a band boundary, so the band shown is provisional: the same duty "
-    "and leave pattern could reasonably sit in the neighbouring band."
-)
-PERSONAL_TITLE = "Your wellbeing indicators have been noted"
-PERSONAL_BODY = (
-    "Your welfare monitoring indicators show signs that you may benefit from support. Please check your wellbeing "
-    "summary in the app. This notification is private to you."
-)
-HIGH_TITLE = "High welfare risk case"
-HIGH_BODY = (
-    "A case in your assigned scope has reached the High risk band (score %.0f). This is a welfare indicator, not a "
-    "disciplinary matter. Please review the case detail."
-)
-PERSISTENT_TITLE = "Persistent Moderate welfare concern"
-PERSISTENT_BODY = (
-    "A case has been at Moderate or above for %d consecutive snapshots%s. Persistent patterns may benefit from a "
-    "welfare check-in."
-)
-RISING_TITLE = "Rising High welfare risk — early intervention recommended"
-RISING_BODY = (
-    "A High-risk case is showing a Rising trend (score %.0f and climbing). Early intervention is most effective "
-    "before a situation worsens further."
-)
-UNIT_BODY = (
-    "%s This is a unit-level finding based on aggregate indicators. No individual is identified in this alert."
-)
 COLUMNS = ["alert_id", "rule_id", "recipient_role", "priority", "title", "body", "pseudonym_id", "unit_id",
            "snapshot_date"]
 
@@ -58,14 +31,14 @@ def personal_notifications(cases: DataFrame) -> DataFrame:
     """To the person, whatever the confidence."""
     rows = cases.filter(F.col("risk_level").isin("Moderate", "High"))
     priority = F.when(F.col("risk_level") == "Moderate", "medium").otherwise("high")
-    return _case_alert(rows, "personal_notification", P.ROLE_PERSONNEL, priority, PERSONAL_TITLE, F.lit(PERSONAL_BODY))
+    return _case_alert(rows, "personal_notification", P.ROLE_PERSONNEL, priority, texts.PERSONAL_TITLE, F.lit(texts.PERSONAL_BODY))
 
 
 def high_alerts(cases: DataFrame) -> DataFrame:
     rows = cases.filter((F.col("risk_level") == "High") & confident_enough())
-    note = F.when(F.col("band_certainty") == "borderline", F.lit(" " + BORDERLINE_NOTE)).otherwise(F.lit(""))
-    body = F.concat(F.format_string(HIGH_BODY, F.col("welfare_risk_score")), note)
-    return _case_alert(rows, "officer_alert_high", P.ROLE_OFFICER, F.lit("high"), HIGH_TITLE, body)
+    note = F.when(F.col("band_certainty") == "borderline", F.lit(" " + texts.BORDERLINE_NOTE)).otherwise(F.lit(""))
+    body = F.concat(F.format_string(texts.HIGH_BODY, F.col("welfare_risk_score")), note)
+    return _case_alert(rows, "officer_alert_high", P.ROLE_OFFICER, F.lit("high"), texts.HIGH_TITLE, body)
 
 
 def persistent_alerts(cases: DataFrame) -> DataFrame:
@@ -73,23 +46,23 @@ def persistent_alerts(cases: DataFrame) -> DataFrame:
     visible = officer_visible(F.col("risk_level"), F.col("is_persistent"), F.col("trend_direction"))
     rows = cases.filter((F.col("risk_level") != "High") & visible & confident_enough())
     rising = F.when(F.col("trend_direction") == "Rising", F.lit(" and is rising")).otherwise(F.lit(""))
-    body = F.format_string(PERSISTENT_BODY, F.col("persistence_snapshots"), rising)
-    return _case_alert(rows, "officer_alert_persistent", P.ROLE_OFFICER, F.lit("medium"), PERSISTENT_TITLE, body)
+    body = F.format_string(texts.PERSISTENT_BODY, F.col("persistence_snapshots"), rising)
+    return _case_alert(rows, "officer_alert_persistent", P.ROLE_OFFICER, F.lit("medium"), texts.PERSISTENT_TITLE, body)
 
 
 def rising_high_alerts(cases: DataFrame) -> DataFrame:
     rows = cases.filter(
         (F.col("risk_level") == "High") & (F.col("trend_direction") == "Rising") & confident_enough())
-    body = F.format_string(RISING_BODY, F.col("welfare_risk_score"))
-    return _case_alert(rows, "officer_alert_rising_high", P.ROLE_OFFICER, F.lit("urgent"), RISING_TITLE, body)
+    body = F.format_string(texts.RISING_BODY, F.col("welfare_risk_score"))
+    return _case_alert(rows, "officer_alert_rising_high", P.ROLE_OFFICER, F.lit("urgent"), texts.RISING_TITLE, body)
 
 
 def unit_alerts(findings: DataFrame) -> DataFrame:
     return findings.select(
         F.concat(F.lit("commander_near_miss__"), "unit_id").alias("alert_id"),
         F.lit("commander_near_miss").alias("rule_id"), F.lit(P.ROLE_COMMANDER).alias("recipient_role"),
-        F.lit("high").alias("priority"), F.concat(F.lit("Unit welfare near-miss: "), "unit_id").alias("title"),
-        F.format_string(UNIT_BODY, F.col("summary")).alias("body"), F.lit(None).cast("string").alias("pseudonym_id"),
+        F.lit("high").alias("priority"), F.concat(F.lit(texts.UNIT_TITLE), "unit_id").alias("title"),
+        F.format_string(texts.UNIT_BODY, F.col("summary")).alias("body"), F.lit(None).cast("string").alias("pseudonym_id"),
         "unit_id", F.col("last_detected").alias("snapshot_date"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fettle import policy as P
+from fettle import texts
 from fettle.functions.scales import lookup
 from fettle.operators import spread
 from fettle.operators.scoring import SCORE, band
@@ -40,11 +41,8 @@ def with_proximity(df: DataFrame, score: str = SCORE) -> DataFrame:
     to_below = F.when(level == "High", s - F.lit(P.HIGH_MIN)).when(level == "Moderate", s - F.lit(P.MODERATE_MIN))
     over = F.coalesce(to_below <= P.BAND_MARGIN, F.lit(False))
     under = F.coalesce(to_next <= P.BAND_MARGIN, F.lit(False))
-    note = F.when(over, F.format_string(
-        "This score is %.1f points above the cutoff that puts it in %s. It is at the bottom of the band, "
-        "not in the middle of it.", to_below, level,
-    )).when(under, F.format_string(
-        "This score is %.1f points below the next band up. It is at the top of %s.", to_next, level))
+    note = F.when(over, F.format_string(texts.BARELY_OVER, to_below, level)).when(
+        under, F.format_string(texts.BARELY_UNDER, to_next, level))
     return (
         df.withColumn("distance_to_next_band", to_next).withColumn("distance_to_band_below", to_below)
         .withColumn("barely_over_cutoff", over).withColumn("barely_under_next_band", under)
@@ -171,22 +169,11 @@ def with_attribution(scored: DataFrame, units: DataFrame, score: str = SCORE) ->
         .when(above, "Individual").otherwise("Systemic")
     )
     why = (
-        F.when(mean.isNull(), F.lit(
-            "No comparable unit aggregate is available (the unit is below the minimum size for reporting), so this "
-            "case cannot be compared against its unit and is treated individually."))
-        .when(strained & above, F.format_string(
-            "The unit as a whole is strained (mean %.0f), and this person sits %.0f points above even that. Both a "
-            "unit-level workload review and individual support are indicated.", mean, gap))
-        .when(strained, F.format_string(
-            "This person is close to their unit's mean (%.0f), and that mean is itself high. The driver is the "
-            "unit's conditions rather than anything specific to this person -- the appropriate response is a "
-            "workload or roster review, not individual intervention.", mean))
-        .when(above, F.format_string(
-            "This person sits %.0f points above their unit's mean (%.0f), which is not itself elevated. The "
-            "indicators are specific to this person's own duty and leave pattern.", gap, mean))
-        .otherwise(F.format_string(
-            "This person is close to their unit's mean (%.0f). Whatever is showing here is showing across the unit.",
-            mean))
+        F.when(mean.isNull(), F.lit(texts.NO_UNIT))
+        .when(strained & above, F.format_string(texts.MIXED, mean, gap))
+        .when(strained, F.format_string(texts.STRAINED_UNIT, mean))
+        .when(above, F.format_string(texts.ABOVE_UNIT, gap, mean))
+        .otherwise(F.format_string(texts.LIKE_UNIT, mean))
     )
     return (
         scored.join(unit, "unit_id", "left").withColumn("points_above_unit", gap)
@@ -200,6 +187,11 @@ def officer_visible(level: Column, persistent: Column, trend: Column) -> Column:
     return F.coalesce(level == "High", F.lit(False)) | (F.coalesce(level == "Moderate", F.lit(False)) & rising)
 
 
+def visibility_rule() -> str:
+    """The escalation rule in force, as one sentence."""
+    return texts.VISIBILITY_RULE % P.PERSISTENCE_SNAPSHOTS
+
+
 def answer_strain(value: Column, reverse: Column) -> Column:
     bounded = F.when(value.isNotNull(), F.least(F.greatest(value.cast("double"), F.lit(0.0)), F.lit(float(P.ANSWER_MAX))))
     share = bounded / F.lit(float(P.ANSWER_MAX))
@@ -244,6 +236,26 @@ def divergences(compared: DataFrame) -> DataFrame:
     return compared.filter(F.col("classification") != "aligned").withColumn("position", position)
 
 
+def self_report_notes(compared: DataFrame) -> DataFrame:
+    """One sentence for the person and one for the officer (which names up to three signals, no numbers)."""
+    worst = divergences(compared)
+    lowered = F.lower("label")
+    first = worst.filter(F.col("position") == 1).select(
+        "pseudonym_id", F.col("classification").alias("_way"),
+        F.concat(F.lower(F.substring("label", 1, 1)), F.expr("substring(label, 2)")).alias("_subject"))
+    named = worst.filter(F.col("position") <= 3).withColumn("_l", lowered).groupBy("pseudonym_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "_l"))), lambda x: x["_l"]), ", ")
+        .alias("_names"))
+    everyone = compared.groupBy("pseudonym_id").agg(F.count(F.lit(1)).alias("answered_signal_count"))
+    personal = (
+        F.when(F.col("_way").isNull(), F.lit(texts.ANSWERS_ALIGNED))
+        .when(F.col("_way") == "self_report_below_record", F.format_string(texts.ANSWERS_BELOW, F.col("_subject")))
+        .otherwise(F.format_string(texts.ANSWERS_ABOVE, F.col("_subject"))))
+    officer = F.when(F.col("_names").isNotNull(), F.format_string(texts.OFFICER_DIVERGENCE, F.col("_names")))
+    return everyone.join(first, "pseudonym_id", "left").join(named, "pseudonym_id", "left").select(
+        "pseudonym_id", "answered_signal_count", personal.alias("personal_note"), officer.alias("officer_note"))
+
+
 def personal_view(compared: DataFrame) -> DataFrame:
     return compared.select("pseudonym_id", "signal_name", "label", "self_reported_strain", "recorded_value",
                            "difference", "classification", "question_ids")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fettle import policy as P
+from fettle import texts
 from fettle.operators import spread
 from fettle.operators.scoring import SCORE, band, signal_index
 
@@ -212,14 +213,23 @@ def sweep(cases: DataFrame, medians: DataFrame, scorer: ColumnScorer = signal_in
 
 
 def sweep_summary(cases: DataFrame, entries: DataFrame, score: str = SCORE, key: str = "pseudonym_id") -> DataFrame:
-    """Per case: entries kept, decisive entries, largest lever."""
+    """Per case: entries kept, decisive ones, the largest lever and the sentence about it."""
     per = entries.groupBy(key).agg(
         F.count(F.lit(1)).alias("entries"), F.count_if("would_leave_high_band").alias("decisive_count"),
-        F.min_by("signal_name", "position").alias("largest_lever"))
+        F.min_by("signal_name", "position").alias("largest_lever"), F.min_by("label", "position").alias("_label"),
+        F.min_by("projected_score", "position").alias("_projected"),
+        F.array_sort(F.collect_list(F.when(  # at most one entry per signal
+            F.col("would_leave_high_band"), F.struct("position", F.lower("label").alias("l"))))).alias("_decisive"))
+    names = F.array_join(F.transform(F.slice("_decisive", 1, 2), lambda x: x["l"]), ", ")
+    current = F.col("current_score")
+    summary = (
+        F.when(F.coalesce(F.col("entries"), F.lit(0)) == 0, F.lit(texts.NO_LEVER))
+        .when(F.col("decisive_count") > 0, F.format_string(texts.DECISIVE_LEVER, names))
+        .otherwise(F.format_string(texts.LARGEST_LEVER, F.lower("_label"), F.col("_projected"), current)))
     return cases.select(key, F.col(score).alias("current_score"), band(F.col(score)).alias("current_level")) \
         .join(per, key, "left").select(
             key, "current_score", "current_level", F.coalesce("entries", F.lit(0)).alias("entries"),
-            F.coalesce("decisive_count", F.lit(0)).alias("decisive_count"), "largest_lever")
+            F.coalesce("decisive_count", F.lit(0)).alias("decisive_count"), "largest_lever", summary.alias("summary"))
 
 
 def adjustment_problem(name: str = "signal_name", value: str = "new_value") -> Column:

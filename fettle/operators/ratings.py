@@ -5,20 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fettle import texts
 from fettle.operators import spread
 
-# fixed values: how a signal is put into words
-PHRASES = {
-    "workload_deviation_signal": "Duty load is %s the usual standard.",
-    "recovery_pattern_signal": "Recovery time since the last leave is %s.",
-    "deployment_stability_signal": "Length of continuous deployment is %s.",
-    "schedule_irregularity_signal": "Duty schedule predictability is %s strained.",
-    "posting_hardship_signal": "Hardship of the current posting is %s.",
-    "transfer_churn_signal": "Frequency of recent transfers is %s.",
-    "training_load_signal": "Training commitments alongside duty are %s.",
-    "leave_deficit_signal": "Unused leave entitlement is %s.",
-    "family_separation_signal": "Separation from family is %s a factor.",
-}
+PHRASES = texts.SIGNAL_PHRASES
 PHRASED = 4
 
 

@@ -6,16 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fettle import policy as P
+from fettle import texts
 from fettle.functions.scales import lookup
 from fettle.operators import analytics
 from fettle.operators.privacy import assert_unit_level
 
-SMALL_UNIT = (
-    f"Unit has fewer than {P.MIN_UNIT_SIZE} personnel; aggregates are withheld so individuals cannot be identified "
-    "from them."
-)
-
-
 def assemble_cases(latest: DataFrame, trends: DataFrame, findings: DataFrame) -> DataFrame:
     """Flat case rows of the newest snapshot: scored columns, trend, near-miss and visibility."""
     near = findings.select("unit_id", F.lit(True).alias("_near"))
@@ -36,8 +31,11 @@ def nested_cases(cases: DataFrame, factors: DataFrame | None = None, actions: Da
         "pseudonym_id", "unit_id", "posting_type", "snapshot_date",
         F.struct(
             r1("welfare_risk_score").alias("score"), F.col("risk_level").alias("level"),
+            lookup(F.col("risk_level"), texts.LEVEL_DESCRIPTIONS).alias("description"),
             r1("interval_low").alias("interval_low"), r1("interval_high").alias("interval_high"),
-            "bands_plausible", "band_certainty", "barely_over_cutoff", "barely_under_next_band", "proximity_note",
+            "bands_plausible", "band_certainty",
+            F.when(F.col("band_certainty") == "borderline", F.lit(texts.BORDERLINE_NOTE)).alias("borderline_note"),
+            "barely_over_cutoff", "barely_under_next_band", "proximity_note",
         ).alias("risk"),
         F.struct(
             F.col("risk_attribution").alias("classification"), r1("unit_mean").alias("unit_mean"),
@@ -149,7 +147,7 @@ def unit_overview(payload: DataFrame) -> DataFrame:
             "is_near_miss", "thresholds_crossed"]
     shown = ~F.col("is_suppressed")
     return assert_unit_level(payload.select(
-        "unit_id", "is_suppressed", F.when(F.col("is_suppressed"), F.lit(SMALL_UNIT)).alias("suppression_reason"),
+        "unit_id", "is_suppressed", F.when(F.col("is_suppressed"), F.lit(texts.SMALL_UNIT % P.MIN_UNIT_SIZE)).alias("suppression_reason"),
         *[F.when(shown, F.col(c)).alias(c) for c in keep],
     ).orderBy(F.coalesce("mean_risk", F.lit(-1.0)).desc(), "unit_id"))
 
@@ -224,7 +222,7 @@ def run_metadata(scored: DataFrame, cases: DataFrame, medians: DataFrame) -> Dat
         *[F.col(c).alias(f"median_{c}") for c in P.SIGNALS])
     return base.crossJoin(F.broadcast(span)).crossJoin(F.broadcast(med)).withColumn(
         "risk_moderate_min", F.lit(P.MODERATE_MIN)).withColumn("risk_high_min", F.lit(P.HIGH_MIN)).withColumn(
-        "min_unit_size", F.lit(P.MIN_UNIT_SIZE))
+        "min_unit_size", F.lit(P.MIN_UNIT_SIZE)).withColumn("escalation_rule", F.lit(analytics.visibility_rule()))
 
 
 def sample_per_band(cases: DataFrame, per_band: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fettle import policy as P
+from fettle import texts
 
 DEMAND, RECOVERY = "workload_deviation_signal", "recovery_pattern_signal"
 
@@ -27,11 +28,7 @@ def evaluate_conditions(signals: DataFrame, capacity: DataFrame) -> DataFrame:
 
 def summary_text() -> Column:
     return F.format_string(
-        "Unit %s has held high duty demand (mean workload signal %.0f), limited recovery (mean recovery signal %.0f) "
-        "and staffing at %.0f%% of sanctioned strength for %d consecutive snapshots. No individual is named in this "
-        "finding: it describes the unit's operating conditions and points to a roster, tasking or establishment "
-        "review.",
-        F.col("unit_id"), F.col("mean_demand"), F.col("mean_recovery_deficit"),
+        texts.NEAR_MISS, F.col("unit_id"), F.col("mean_demand"), F.col("mean_recovery_deficit"),
         F.col("staffing_ratio") * F.lit(100.0), F.col("consecutive_snapshots"))
 
 

@@ -9,7 +9,6 @@ from fettle.plans.catalog import query
 from fettle.plans.queries_data import scratch
 
 ROW = "model_name is_tree r2* mae* rmse*"
-_train = F.col("split") != "test"
 
 
 def rows(w):
@@ -24,7 +23,7 @@ def _one(name: str, build) -> None:
 
 @query("grouped_cross_validation_m04", "model_name cv_r2* cv_r2_sd*")
 def m04(w):
-    mean, sd = models.grouped_cv_r2(rows(w).filter(_train), models.linear())
+    mean, sd = models.grouped_cv_r2(rows(w).filter("split <> 'test'"), models.linear())
     return w.spark.createDataFrame([("linear_regression", mean, sd)], "model_name string, cv_r2 double, cv_r2_sd double")
 
 
@@ -34,14 +33,14 @@ _one("least_squares_m05", models.linear)
 @query("ridge_penalty_chosen_m06", ROW)
 def m06(w):
     data = rows(w)
-    best, _ = models.choose_penalty(data.filter(_train), l1=False)
+    best, _ = models.choose_penalty(data.filter("split <> 'test'"), l1=False)
     return models.compare(data, [models.ridge(alpha=best)])
 
 
 @query("lasso_penalty_chosen_m07", ROW)
 def m07(w):
     data = rows(w)
-    best, _ = models.choose_penalty(data.filter(_train), l1=True)
+    best, _ = models.choose_penalty(data.filter("split <> 'test'"), l1=True)
     return models.compare(data, [models.lasso(alpha=best)])
 
 

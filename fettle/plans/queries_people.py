@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fettle import policy as P
+from fettle import texts
 from fettle.operators import acoustic, analytics, explain, scoring, signals
 from fettle.operators import features as feat
 from fettle.plans.catalog import query
-from fettle.plans.oracle_views import FEATURE_INDEX, REF, SIG, VIEWS, bucket, hmac, signal_index
+from fettle.plans.oracle_views import FEATURE_INDEX, REF, SIG, VIEWS, bucket, hmac, signal_index, values
 from fettle.sources import library
 
 K = "pseudonym_id snapshot_date "
@@ -429,6 +430,18 @@ def m27(w):
     return explain.sweep(_published(w), w.medians)
 
 
+@query("counterfactual_summary_m27", "pseudonym_id current_score* current_level entries# decisive_count# largest_lever", """
+SELECT c.pseudonym_id, round_even(welfare_risk_score, 1) AS current_score,
+       CASE WHEN round_even(welfare_risk_score, 1) >= 65 THEN 'High' WHEN round_even(welfare_risk_score, 1) >= 40
+            THEN 'Moderate' ELSE 'Normal' END AS current_level,
+       count(s.signal_name) AS entries, count(*) FILTER (cur >= 65 AND projected_score < 65) AS decisive_count,
+       arg_min(s.signal_name, (-(cur - projected_score), s.signal_name)) AS largest_lever
+FROM v_latest c LEFT JOIN v_sweep s ON s.pseudonym_id = c.pseudonym_id AND abs(cur - projected_score) >= 0.5
+GROUP BY c.pseudonym_id, welfare_risk_score""")
+def m27b(w):
+    return explain.sweep_summary(_published(w), m27(w))
+
+
 @query("what_if_m28", "pseudonym_id current_score* projected_score* change*", f"""
 SELECT *, projected_score - current_score AS change FROM (
   SELECT pseudonym_id, {signal_index({n: n for n in SIG})} AS current_score,
@@ -552,6 +565,21 @@ def r15(w):
     return analytics.officer_view(analytics.divergences(w.compared))
 
 
+@query("self_report_notes_r15", "pseudonym_id answered_signal_count# personal_note officer_note", f"""
+WITH labelled AS (SELECT c.*, l.label, row_number() OVER (PARTITION BY pseudonym_id ORDER BY
+    CASE WHEN classification = 'aligned' THEN 1 ELSE 0 END, abs(difference) DESC, signal_name) AS p
+  FROM v_compared c JOIN ({values(list(P.SIGNAL_LABELS.items()), "signal_name, label")}) l USING (signal_name))
+SELECT pseudonym_id, count(*) AS answered_signal_count,
+  CASE max(classification) FILTER (p = 1) WHEN 'aligned' THEN '{texts.ANSWERS_ALIGNED}'
+    WHEN 'self_report_below_record' THEN replace('{texts.ANSWERS_BELOW}', '%s', max(lower(label[1]) || label[2:]) FILTER (p = 1))
+    ELSE replace('{texts.ANSWERS_ABOVE}', '%s', max(lower(label[1]) || label[2:]) FILTER (p = 1)) END AS personal_note,
+  replace('{texts.OFFICER_DIVERGENCE}', '%s', string_agg(lower(label), ', ' ORDER BY p)
+    FILTER (p <= 3 AND classification <> 'aligned')) AS officer_note
+FROM labelled GROUP BY pseudonym_id""")
+def r15b(w):
+    return analytics.self_report_notes(w.compared)
+
+
 @query("checkin_validation_r16", "submission_id# question_id answer_problem submission_problem", """
 SELECT submission_id, question_id, answer_problem, CASE WHEN bool_or(answer_problem IS NOT NULL)
   OVER (PARTITION BY submission_id) THEN 'bad answer' END AS submission_problem

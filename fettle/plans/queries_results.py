@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fettle import policy as P
+from fettle import texts
 from fettle.functions.scales import code
 from fettle.operators import alerts, booking, logs, ratings as rate, recommend, results, units
 from fettle.plans.catalog import query
@@ -96,9 +97,9 @@ SELECT *, {alerts_title(rule)} AS title FROM v_alerts WHERE rule_id = '{rule}'""
 
 
 def alerts_title(rule: str) -> str:
-    title = {"personal_notification": alerts.PERSONAL_TITLE, "officer_alert_high": alerts.HIGH_TITLE,
-             "officer_alert_persistent": alerts.PERSISTENT_TITLE,
-             "officer_alert_rising_high": alerts.RISING_TITLE}.get(rule)
+    title = {"personal_notification": texts.PERSONAL_TITLE, "officer_alert_high": texts.HIGH_TITLE,
+             "officer_alert_persistent": texts.PERSISTENT_TITLE,
+             "officer_alert_rising_high": texts.RISING_TITLE}.get(rule)
     return f"'{title}'" if title else "'Unit welfare near-miss: ' || unit_id"
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fettle import policy as P
 from fettle.functions.scales import code
 from fettle.plans.catalog import query
 from fettle.plans.queries_data import scratch
@@ -65,7 +66,7 @@ def t02(w):
 def t03(w):
     from fettle.sources import adapter
     parts = []
-    for days in (7, 30):
+    for days in P.WINDOW_DAYS:
         events = adapter.shape_events(Streamed(w, "events").stream("events"))
         parts.append(_streamed(w, jobs.sliding_sums(value_stream(w, events), days), f"sliding_{days}"))
     return reduce(DataFrame.unionByName, parts)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fettle import policy as P
+from fettle import texts
 from fettle.operators import alerts, analytics, booking, cleaning, explain, logs, privacy, quality, recommend, results, units
 from fettle.sources import ingest, library, schemas, sinks
 
@@ -156,7 +157,7 @@ def test_alert_rules(spark):
     for r in alerts.case_alerts(df).collect():
         got.setdefault(r.pseudonym_id, set()).add(r.rule_id)
         if r.rule_id == "officer_alert_high":
-            assert alerts.BORDERLINE_NOTE in r.body
+            assert texts.BORDERLINE_NOTE in r.body
     assert got == {
         "a": {"personal_notification", "officer_alert_high", "officer_alert_rising_high"}, "b": {"personal_notification"},
         "c": {"personal_notification", "officer_alert_persistent"}, "d": {"personal_notification"}, "f": {"personal_notification"}}
