@@ -131,9 +131,8 @@ def with_confidence(signals: DataFrame, ages: DataFrame | None = None) -> DataFr
 
 
 def latest_rows(scored: DataFrame) -> DataFrame:
-    """Rows of the newest snapshot (a one-row aggregate, compared by broadcast)."""
-    newest = scored.agg(F.max("snapshot_date").alias("snapshot_date"))
-    return scored.join(F.broadcast(newest), "snapshot_date", "left_semi")
+    """Rows of the newest snapshot, by a scalar subquery."""
+    return scored.filter(F.col("snapshot_date") == scored.agg(F.max("snapshot_date")).scalar())
 
 
 def unit_aggregates(scored: DataFrame, score: str = SCORE) -> DataFrame:

@@ -33,7 +33,7 @@ def systematic_sample(cases: DataFrame, count: int, score: str = "welfare_risk_s
                       tie: str = "pseudonym_id") -> DataFrame:
     """Evenly spaced picks through the score order: positions int(i·N/count)."""
     ordered = spread.numbered(cases, [], [score, tie], "_position")
-    size = ordered.agg(F.max("_position").alias("_n"))
+    size = ordered.agg(F.max("_position")).scalar()
     at = F.col("_position") - 1
     step = F.col("_n") / F.lit(float(count))
     nearest = F.ceil(at / step)
@@ -42,7 +42,7 @@ def systematic_sample(cases: DataFrame, count: int, score: str = "welfare_risk_s
         F.when((i >= 0) & (i < count) & (F.floor(i * step) == at), i)
         for i in (nearest - 1, nearest, nearest + 1)])
     index = F.when(F.col("_n") <= count, at).otherwise(pick)
-    return ordered.crossJoin(F.broadcast(size)).withColumn("sample_index", index).filter(
+    return ordered.withColumn("_n", size).withColumn("sample_index", index).filter(
         F.col("sample_index").isNotNull()).withColumn(
         "profile_id", F.format_string("R%03d", F.col("sample_index") + 1)).drop("_position", "_n", "sample_index")
 

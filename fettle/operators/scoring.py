@@ -148,19 +148,18 @@ def calibrate(df: DataFrame, truth: str, predicted: str, person: str, coverage:
 
 
 def with_interval(df: DataFrame, half_width: DataFrame, score: str = SCORE) -> DataFrame:
-    """Score ± half-width (a one-row frame), clipped to the scale."""
-    s, q = F.col(score), F.col("half_width")
+    """Score ± half-width (a one-row frame, used as a scalar), clipped to the scale."""
+    s, q = F.col(score), half_width.select("half_width").scalar()
     return (
-        df.crossJoin(F.broadcast(half_width.select("half_width")))
-        .withColumn("interval_low", F.when(s.isNotNull(), F.greatest(F.lit(0.0), s - q)))
+        df.withColumn("interval_low", F.when(s.isNotNull(), F.greatest(F.lit(0.0), s - q)))
         .withColumn("interval_high", F.when(s.isNotNull(), F.least(F.lit(100.0), s + q)))
     )
 
 
 def empirical_coverage(df: DataFrame, truth: str, predicted: str, half_width: DataFrame) -> DataFrame:
-    inside = F.abs(F.col(truth) - F.col(predicted)) <= F.col("half_width")
-    return df.crossJoin(F.broadcast(half_width.select("half_width"))).agg(
-        F.avg(inside.cast("double")).alias("coverage"), F.count(F.lit(1)).alias("n"))
+    inside = F.abs(F.col(truth) - F.col(predicted)) <= half_width.select("half_width").scalar()
+    return df.withColumn("_inside", inside).agg(
+        F.avg(F.col("_inside").cast("double")).alias("coverage"), F.count(F.lit(1)).alias("n"))
 
 
 def select_model(measured: DataFrame, margin: float = P.NON_TREE_MARGIN) -> DataFrame:

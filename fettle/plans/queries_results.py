@@ -358,7 +358,7 @@ def b_offers(w) -> DataFrame:
     return w.table("part").select(
         code("SL", key).alias("slot_id"),
         code("DOC", F.col("p_size"), 5).alias("doctor_id"),
-        F.expr("timestamp'2026-09-01' + make_interval(0, 0, 0, 0, cast(p_partkey % 40 as int))").alias("starts_at"),
+        F.expr("timestamp_ntz'2026-09-01' + make_interval(0, 0, 0, 0, cast(p_partkey % 40 as int))").alias("starts_at"),
         F.lit(15).alias("minutes"), key.alias("offered_at"))
 
 

@@ -32,3 +32,16 @@ def test_smoke_query(spark):
     df = entry.entry(spark)
     assert df.columns == ["pseudonym_id", "unit_id", "snapshot_date", "demand", "recovery_deficit"]
     assert df.count() > 0
+
+
+def test_same_scores_under_other_partitionings(spark):
+    from fettle.plans.workload import Workload
+
+    got = []
+    for n in ("2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        w = Workload(spark, "/root/testdata/sf0.001")
+        rows = w.scored.select("pseudonym_id", "snapshot_date", "welfare_risk_score", "risk_level").collect()
+        got.append(sorted((r[0], r[1], round(r[2], 9), r[3]) for r in rows))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1] and len(got[0]) > 0
