@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from fettle import policy as P
 from fettle import texts
-from fettle.operators import spread
 from fettle.operators.scoring import SCORE, band, signal_index
 
 ColumnScorer = Callable[[Mapping[str, Column]], Column]
