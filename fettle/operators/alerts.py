@@ -37,7 +37,7 @@ def personal_notifications(cases: DataFrame) -> DataFrame:
 def high_alerts(cases: DataFrame) -> DataFrame:
     rows = cases.filter((F.col("risk_level") == "High") & confident_enough())
     note = F.when(F.col("band_certainty") == "borderline", F.lit(" " + texts.BORDERLINE_NOTE)).otherwise(F.lit(""))
-    body = F.concat(F.format_string(texts.HIGH_BODY, F.col("welfare_risk_score")), note)
+    body = F.concat(F.format_string(texts.HIGH_BODY, F.bround("welfare_risk_score")), note)
     return _case_alert(rows, "officer_alert_high", P.ROLE_OFFICER, F.lit("high"), texts.HIGH_TITLE, body)
 
 
@@ -53,7 +53,7 @@ def persistent_alerts(cases: DataFrame) -> DataFrame:
 def rising_high_alerts(cases: DataFrame) -> DataFrame:
     rows = cases.filter(
         (F.col("risk_level") == "High") & (F.col("trend_direction") == "Rising") & confident_enough())
-    body = F.format_string(texts.RISING_BODY, F.col("welfare_risk_score"))
+    body = F.format_string(texts.RISING_BODY, F.bround("welfare_risk_score"))
     return _case_alert(rows, "officer_alert_rising_high", P.ROLE_OFFICER, F.lit("urgent"), texts.RISING_TITLE, body)
 
 

@@ -41,8 +41,8 @@ def with_proximity(df: DataFrame, score: str = SCORE) -> DataFrame:
     to_below = F.when(level == "High", s - F.lit(P.HIGH_MIN)).when(level == "Moderate", s - F.lit(P.MODERATE_MIN))
     over = F.coalesce(to_below <= P.BAND_MARGIN, F.lit(False))
     under = F.coalesce(to_next <= P.BAND_MARGIN, F.lit(False))
-    note = F.when(over, F.format_string(texts.BARELY_OVER, to_below, level)).when(
-        under, F.format_string(texts.BARELY_UNDER, to_next, level))
+    note = F.when(over, F.format_string(texts.BARELY_OVER, F.bround(to_below, 1), level)).when(
+        under, F.format_string(texts.BARELY_UNDER, F.bround(to_next, 1), level))
     return (
         df.withColumn("distance_to_next_band", to_next).withColumn("distance_to_band_below", to_below)
         .withColumn("barely_over_cutoff", over).withColumn("barely_under_next_band", under)
@@ -169,10 +169,10 @@ def with_attribution(scored: DataFrame, units: DataFrame, score: str = SCORE) ->
     )
     why = (
         F.when(mean.isNull(), F.lit(texts.NO_UNIT))
-        .when(strained & above, F.format_string(texts.MIXED, mean, gap))
-        .when(strained, F.format_string(texts.STRAINED_UNIT, mean))
-        .when(above, F.format_string(texts.ABOVE_UNIT, gap, mean))
-        .otherwise(F.format_string(texts.LIKE_UNIT, mean))
+        .when(strained & above, F.format_string(texts.MIXED, F.bround(mean), F.bround(gap)))
+        .when(strained, F.format_string(texts.STRAINED_UNIT, F.bround(mean)))
+        .when(above, F.format_string(texts.ABOVE_UNIT, F.bround(gap), F.bround(mean)))
+        .otherwise(F.format_string(texts.LIKE_UNIT, F.bround(mean)))
     )
     return (
         scored.join(unit, "unit_id", "left").withColumn("points_above_unit", gap)
@@ -265,11 +265,12 @@ def officer_view(diverging: DataFrame) -> DataFrame:
     return diverging.select("pseudonym_id", "position", "signal_name", "label", "classification")
 
 
-def answer_problem(kind: Column) -> Column:
+def answer_problem(kind: Column, question_id: Column | None = None, value: Column | None = None,
+                   text: Column | None = None) -> Column:
     """Reject reason of one raw answer (question_id, value text, free text), NULL when acceptable."""
-    qid = F.trim(F.coalesce("question_id", F.lit("")))
-    text = F.trim(F.coalesce("text", F.lit("")))
-    raw = F.col("value")
+    qid = F.trim(F.coalesce(F.col("question_id") if question_id is None else question_id, F.lit("")))
+    text = F.trim(F.coalesce(F.col("text") if text is None else text, F.lit("")))
+    raw = F.col("value") if value is None else value
     whole = F.trim(raw).rlike(r"^[+-]?[0-9]+$")
     number = F.when(whole, F.trim(raw).try_cast("int"))
     return (

@@ -7,7 +7,7 @@ to a score Column, or (``*_by_model``) any DataFrame -> DataFrame transform.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from math import factorial
+from math import ceil, factorial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,12 +50,15 @@ def _as_array(frame: DataFrame, inputs: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in inputs])
 
 
-def _widely(cases: DataFrame, key: str) -> DataFrame:
-    """Cases over every core before they expand: few small rows carry all the work here.
+CASES_PER_TASK = 32
 
-    The explicit number keeps adaptive execution from merging the partitions back.
+
+def _by_work(cases: DataFrame, key: str) -> DataFrame:
+    """Cases dealt out before they expand: few small rows carry all the work, so sizes in bytes mislead.
+
+    The number of partitions follows the number of cases.
     """
-    return cases.repartition(4 * cases.sparkSession.sparkContext.defaultParallelism, key)
+    return cases.repartition(max(1, ceil(cases.count() / CASES_PER_TASK)), key)
 
 
 def shapley(cases: DataFrame, reference: DataFrame, inputs: Sequence[str] = P.SIGNALS,
@@ -72,7 +75,7 @@ def shapley(cases: DataFrame, reference: DataFrame, inputs: Sequence[str] = P.SI
         raise ValueError(f"{n} inputs: exact enumeration stops at {P.MAX_EXACT_INPUTS}")
     ref = reference.agg(F.collect_list(_as_array(reference, inputs)).alias("_refs"))  # bounded sample
     expanded = (
-        _widely(cases.select(key, _as_array(cases, inputs).alias("_x")), key)
+        _by_work(cases.select(key, _as_array(cases, inputs).alias("_x")), key)
         .crossJoin(F.broadcast(ref))
         .withColumn("_mask", F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1))))
         .withColumn("_b", F.explode("_refs"))
@@ -110,7 +113,7 @@ def shapley_by_model(cases: DataFrame, reference: DataFrame, transform: Callable
     ref = reference.agg(F.collect_list(_as_array(reference, varying)).alias("_refs"))
     fixed = [c for c in inputs if c not in varying]
     expanded = (
-        _widely(cases.select(key, *fixed, _as_array(cases, varying).alias("_x")), key)
+        _by_work(cases.select(key, *fixed, _as_array(cases, varying).alias("_x")), key)
         .crossJoin(F.broadcast(ref))
         .withColumn("_mask", F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1))))
         .withColumn("_b", F.explode("_refs"))
@@ -224,7 +227,7 @@ def sweep_summary(cases: DataFrame, entries: DataFrame, score: str = SCORE, key:
     summary = (
         F.when(F.coalesce(F.col("entries"), F.lit(0)) == 0, F.lit(texts.NO_LEVER))
         .when(F.col("decisive_count") > 0, F.format_string(texts.DECISIVE_LEVER, names))
-        .otherwise(F.format_string(texts.LARGEST_LEVER, F.lower("_label"), F.col("_projected"), current)))
+        .otherwise(F.format_string(texts.LARGEST_LEVER, F.lower("_label"), F.bround("_projected"), F.bround(current))))
     return cases.select(key, F.col(score).alias("current_score"), band(F.col(score)).alias("current_level")) \
         .join(per, key, "left").select(
             key, "current_score", "current_level", F.coalesce("entries", F.lit(0)).alias("entries"),

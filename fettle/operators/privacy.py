@@ -13,7 +13,7 @@ from fettle.functions.keyed_hash import pseudonym
 
 # fixed values: the two identifier namespaces
 PSEUDONYM_PATTERN = r"^PSN[0-9a-f]{16}$"
-SERVICE_PATTERN = r"^P\d{5}$"
+SERVICE_PATTERN = r"^P\d{5,}$"
 
 
 class IndividualDataLeak(ValueError):

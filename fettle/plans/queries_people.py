@@ -475,8 +475,15 @@ def r02(w):
     return w.classified.withColumn("bands", F.concat_ws(",", "bands_plausible"))
 
 
+def said(text: str, *values: str) -> str:
+    return f"""printf('{text.replace("'", "''")}', {', '.join(values)})"""
+
+
 @query("cutoff_proximity_r03", K + "distance_to_next_band* distance_to_band_below* barely_over_cutoff "
-       "barely_under_next_band", "SELECT * FROM v_classified")
+       "barely_under_next_band proximity_note", f"""
+SELECT *, CASE WHEN barely_over_cutoff THEN {said(texts.BARELY_OVER, 'distance_to_band_below', 'risk_level')}
+               WHEN barely_under_next_band THEN {said(texts.BARELY_UNDER, 'distance_to_next_band', 'risk_level')} END
+  AS proximity_note FROM v_classified""")
 def r03(w):
     return w.classified
 
@@ -531,7 +538,13 @@ def r10(w):
     return w.unit_stats
 
 
-@query("attribution_r11", K + "unit_mean* points_above_unit* risk_attribution", "SELECT * FROM v_classified")
+@query("attribution_r11", K + "unit_mean* points_above_unit* risk_attribution attribution_explanation", f"""
+SELECT c.*, CASE WHEN c.unit_mean IS NULL THEN '{texts.NO_UNIT.replace("'", "''")}'
+  WHEN u.is_systemically_strained AND points_above_unit > 8 THEN {said(texts.MIXED, 'c.unit_mean', 'points_above_unit')}
+  WHEN u.is_systemically_strained THEN {said(texts.STRAINED_UNIT, 'c.unit_mean')}
+  WHEN points_above_unit > 8 THEN {said(texts.ABOVE_UNIT, 'points_above_unit', 'c.unit_mean')}
+  ELSE {said(texts.LIKE_UNIT, 'c.unit_mean')} END AS attribution_explanation
+FROM v_classified c LEFT JOIN v_units u USING (unit_id)""")
 def r11(w):
     return w.classified
 

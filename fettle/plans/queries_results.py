@@ -14,7 +14,6 @@ from fettle.operators import alerts, booking, logs, ratings as rate, recommend,
 from fettle.plans.catalog import query
 from fettle.plans.oracle_views import SIG, VIEWS, values
 from fettle.plans.queries_data import ratings
-from fettle.sources.tables import over_all_cores
 
 UNIT = "unit_id snapshot_date personnel_count# mean_demand* mean_recovery_deficit* staffing_ratio* "
 
@@ -89,9 +88,26 @@ def k03(w):
 ALERT = "alert_id rule_id recipient_role priority pseudonym_id snapshot_date"
 
 
+def text_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+BODIES = {
+    "personal_notification": text_sql(texts.PERSONAL_BODY),
+    "officer_alert_high": f"""printf({text_sql(texts.HIGH_BODY)}, c.welfare_risk_score)
+        || CASE WHEN c.band_certainty = 'borderline' THEN {text_sql(' ' + texts.BORDERLINE_NOTE)} ELSE '' END""",
+    "officer_alert_persistent": f"""printf({text_sql(texts.PERSISTENT_BODY)}, c.persistence_snapshots,
+        CASE WHEN c.trend_direction = 'Rising' THEN ' and is rising' ELSE '' END)""",
+    "officer_alert_rising_high": f"printf({text_sql(texts.RISING_BODY)}, c.welfare_risk_score)",
+    "commander_near_miss": f"replace({text_sql(texts.UNIT_BODY)}, '%s', f.summary)",
+}
+
+
 def _rule(key: str, rule: str, build) -> None:
-    @query(key, ALERT + " title", f"""
-SELECT *, {alerts_title(rule)} AS title FROM v_alerts WHERE rule_id = '{rule}'""")
+    @query(key, ALERT + " title body", f"""
+SELECT a.*, {alerts_title(rule)} AS title, {BODIES[rule]} AS body FROM v_alerts a
+LEFT JOIN v_cases c ON c.pseudonym_id = a.pseudonym_id LEFT JOIN v_find_text f ON f.unit_id = a.unit_id
+WHERE rule_id = '{rule}'""")
     def plan(w):
         return build(w)
 
@@ -100,7 +116,7 @@ def alerts_title(rule: str) -> str:
     title = {"personal_notification": texts.PERSONAL_TITLE, "officer_alert_high": texts.HIGH_TITLE,
              "officer_alert_persistent": texts.PERSISTENT_TITLE,
              "officer_alert_rising_high": texts.RISING_TITLE}.get(rule)
-    return f"'{title}'" if title else "'Unit welfare near-miss: ' || unit_id"
+    return f"'{title}'" if title else "'Unit welfare near-miss: ' || a.unit_id"
 
 
 _rule("personal_notification_k04", "personal_notification", lambda w: alerts.personal_notifications(w.cases))
@@ -110,10 +126,17 @@ _rule("officer_alert_rising_k07", "officer_alert_rising_high", lambda w: alerts.
 _rule("unit_alert_k08", "commander_near_miss", lambda w: alerts.unit_alerts(w.findings))
 
 
-@query("alert_batch_k09", "recipient_role rule_id feed n#", """
+@query("alert_batch_k09", "feed recipient_role rule_id alert_id pseudonym_id unit_id", """
+SELECT *, CASE recipient_role WHEN 'personnel' THEN 'by_person' WHEN 'welfare_officer' THEN 'officer_by_person'
+  ELSE 'by_role_only' END AS feed FROM v_alerts""")
+def k09(w):
+    return alerts.feeds(w.alerts)
+
+
+@query("alert_totals_k09", "recipient_role rule_id feed n#", """
 SELECT recipient_role, rule_id, CASE recipient_role WHEN 'personnel' THEN 'by_person' WHEN 'welfare_officer'
   THEN 'officer_by_person' ELSE 'by_role_only' END AS feed, count(*) AS n FROM v_alerts GROUP BY ALL""")
-def k09(w):
+def k09_totals(w):
     return alerts.totals(w.alerts)
 
 
@@ -130,13 +153,16 @@ def q01(w):
     return results.queue(w.cases)
 
 
-@query("capped_queue_q02", "total_eligible# population# visible_count# borderline_count# held_back_count#", """
-SELECT (SELECT count(*) FROM v_queue) AS total_eligible, (SELECT count(*) FROM v_cases) AS population,
-       count(*) AS visible_count, count(*) FILTER (band_certainty = 'borderline') AS borderline_count,
-       (SELECT count(*) FROM v_queue) - count(*) AS held_back_count
-FROM (SELECT * FROM v_queue ORDER BY priority DESC, welfare_risk_score DESC, pseudonym_id LIMIT 10)""")
+SHOWN = "(SELECT * FROM v_queue ORDER BY priority DESC, welfare_risk_score DESC, pseudonym_id LIMIT 60)"
+
+
+@query("capped_queue_q02", "pseudonym_id priority* total_eligible# population# visible_count# borderline_count# held_back_count#", f"""
+SELECT pseudonym_id, priority, (SELECT count(*) FROM v_queue) AS total_eligible, (SELECT count(*) FROM v_cases) AS population,
+       count(*) OVER () AS visible_count, count(*) FILTER (band_certainty = 'borderline') OVER () AS borderline_count,
+       (SELECT count(*) FROM v_queue) - count(*) OVER () AS held_back_count FROM {SHOWN}""")
 def q02(w):
-    return results.queue_counts(w.cases, capacity=10)
+    """The shown list beside its totals."""
+    return results.capped_queue(w.cases).select("pseudonym_id", "priority").crossJoin(F.broadcast(results.queue_counts(w.cases)))
 
 
 @query("case_detail_q03", "pseudonym_id unit_id welfare_risk_score* risk_level trend_direction factor_names "
@@ -230,7 +256,8 @@ SELECT count(*) AS population, max(snapshot_date) AS latest_snapshot,
        count(*) FILTER (risk_level = 'Normal') AS band_normal, count(*) FILTER (risk_level = 'Moderate') AS band_moderate,
        count(*) FILTER (risk_level = 'High') AS band_high, count(*) FILTER (band_certainty = 'certain') AS certain,
        count(*) FILTER (band_certainty = 'borderline') AS borderline,
-       count(*) FILTER (is_officer_visible) AS officer_visible_count, 6 AS snapshot_count, 0e0 AS voice_coverage,
+       count(*) FILTER (is_officer_visible) AS officer_visible_count, (SELECT count(DISTINCT snapshot_date) FROM v_scored) AS snapshot_count,
+       (SELECT avg(voice_signal_present) FROM v_scored) AS voice_coverage,
        40e0 AS risk_moderate_min, 65e0 AS risk_high_min, 10 AS min_unit_size, """ + ", ".join(
     f"(SELECT median FROM v_medians WHERE signal_name = '{s}') AS median_{s}" for s in SIG) + " FROM v_cases")
 def q10(w):
@@ -277,6 +304,7 @@ def q13(w):
 
 # --- L ------------------------------------------------------------------------
 NOW = datetime(2024, 1, 31)
+LATER = datetime(2025, 1, 21)
 
 
 @query("access_decisions_appended_l01", "day n#")
@@ -303,11 +331,18 @@ def l02(w):
         "commander_reads", reads(P.ROLE_COMMANDER))
 
 
-@query("retention_purge_l03", "purged# kept#", """
-SELECT count(*) FILTER ("at" < TIMESTAMP '2024-01-11') AS purged, count(*) FILTER ("at" >= TIMESTAMP '2024-01-11') AS kept
-FROM v_access""")
+@query("retention_purge_l03", "id# at outcome", """
+SELECT id, "at", outcome FROM v_access WHERE "at" >= TIMESTAMP '2025-01-21' - INTERVAL 365 DAY""")
 def l03(w):
-    return logs.purge_counts(w.access_log, NOW, days=20)
+    """What the purge of a later day leaves, at the policy's age."""
+    return logs.retained(w.access_log, LATER)
+
+
+@query("retention_counts_l03", "purged# kept#", """
+SELECT count(*) FILTER ("at" < TIMESTAMP '2025-01-21' - INTERVAL 365 DAY) AS purged,
+       count(*) FILTER ("at" >= TIMESTAMP '2025-01-21' - INTERVAL 365 DAY) AS kept FROM v_access""")
+def l03_counts(w):
+    return logs.purge_counts(w.access_log, LATER)
 
 
 @query("log_row_counts_l04", "log n#", """
@@ -364,7 +399,7 @@ def b_offers(w) -> DataFrame:
 
 def b_requests(w) -> DataFrame:
     c = F.col
-    return over_all_cores(w.table("lineitem"), "l_partkey", "l_orderkey").select(
+    return w.table("lineitem").select(
         F.concat_ws("-", c("l_shipdate").cast("date"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
         .alias("request_id"),
         F.when(c("l_partkey") % 37 == 0, "SLX").otherwise(code("SL", c("l_partkey"))).alias("slot_id"),

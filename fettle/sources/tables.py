@@ -11,12 +11,3 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table; day arithmetic assumes a UTC session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
-
-
-def over_all_cores(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan of fewer splits than cores before row-heavy work.
-
-    A table of many files already has more splits than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
