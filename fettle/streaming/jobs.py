@@ -1,5 +1,10 @@
 """Structured Streaming jobs over the append-only logs, each with a batch twin.
 
+Counts, sums, minima and sessions can be merged, so a micro-batch is reduced to partial
+rows and written under its batch number (``merging``); reading merges them. Late and
+repeated batches cost nothing, no row is ever dropped as too late, no state grows, and the
+result is that of the whole log at any time. What depends on order (T05) keeps keyed state.
+
 Sinks are parquet folders with a checkpoint beside them in a shared place, so a
 restarted job continues where it stopped.
 """
@@ -10,24 +15,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fettle import policy as P
-from fettle.operators import analytics
 from fettle.operators.acoustic import FEATURES, ema_step
+from fettle.operators.analytics import answer_problem
 from fettle.sources.ingest import CHECKIN_SCHEMA
 
-LATE = "1 day"
 
+def stream_of(spark: SparkSession, folder: str, name: str, like: DataFrame, batch_bytes: int = 256 << 20) -> DataFrame:
+    """A parquet table, one file or a folder of files, as a stream with a known schema.
 
-def stream_of(spark: SparkSession, folder: str, file: str, like: DataFrame, per_trigger: int = 1000) -> DataFrame:
-    """New parquet files of a folder as a stream with a known schema."""
+    ``batch_bytes`` bounds what one micro-batch reads (one file at least).
+    """
+    # a pattern that matches this name alone: as a plain path a stream would insist on a folder
     return (
-        spark.readStream.schema(like.schema).option("pathGlobFilter", file)
-        .option("maxFilesPerTrigger", per_trigger).parquet(folder))
+        spark.readStream.schema(like.schema).option("maxBytesPerTrigger", str(batch_bytes))
+        .parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet"))
 
 
 def append(stream: DataFrame, out: str, name: str) -> StreamingQuery:
@@ -37,10 +44,18 @@ def append(stream: DataFrame, out: str, name: str) -> StreamingQuery:
         .option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start())
 
 
-def run_to_end(query: StreamingQuery, timeout_seconds: int = 600) -> None:
-    if not query.awaitTermination(timeout_seconds):
-        query.stop()
-        raise TimeoutError(f"{query.name} did not finish")
+def merging(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], out: str, name: str) -> StreamingQuery:
+    """Partial rows of every micro-batch under its number; a replayed batch overwrites itself."""
+    def write(batch: DataFrame, number: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{out}/data/batch={number}")
+
+    return (stream.writeStream.queryName(name).foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True).start())
+
+
+def run_to_end(query: StreamingQuery) -> None:
+    """Wait until the input is used up, however long that takes."""
+    query.awaitTermination()
 
 
 # --- T01: check-ins validated as they arrive ------------------------------------
@@ -50,74 +65,71 @@ def checkin_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def judge_checkins(checkins: DataFrame, questions: DataFrame) -> DataFrame:
-    """Every submission with its verdict (batch form, also run on each micro-batch)."""
-    keyed = checkins.withColumn("submission_id", F.xxhash64("pseudonym_id", "submitted_at", F.to_json("answers")))
-    flat = keyed.select("submission_id", F.inline("answers")).withColumn("value", F.col("value").cast("string"))
-    verdict = analytics.validate_answers(flat, questions).groupBy("submission_id").agg(
-        F.first("submission_problem").alias("submission_problem"))
-    return keyed.join(verdict, "submission_id", "left").withColumn(
-        "problem", F.when(F.coalesce(F.size("answers"), F.lit(0)) <= 0, "no answers").otherwise(
-            F.col("submission_problem"))).drop("submission_problem")
-
-
-def checkin_sink(questions: DataFrame, out: str) -> Callable[[DataFrame, int], None]:
-    """Accepted and rejected submissions to separate folders; a replayed batch overwrites itself."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        judged = judge_checkins(batch, questions).persist()
-        for kind, rows in (("accepted", judged.filter(F.col("problem").isNull())),
-                           ("rejected", judged.filter(F.col("problem").isNotNull()))):
-            rows.write.mode("overwrite").parquet(f"{out}/{kind}/batch={batch_id}")
-        judged.unpersist()
-
-    return write
+    """Every submission once, with its verdict, judged inside its row.
+
+    A submission delivered twice (same person, time and answers) counts once.
+    """
+    bank = questions.agg(F.map_from_entries(F.collect_list(F.struct("question_id", "kind"))).alias("_kinds"))
+    rows = checkins.dropDuplicates(["pseudonym_id", "submitted_at", "answers"]).crossJoin(F.broadcast(bank))
+    answers = F.transform("answers", lambda a: F.struct(
+        F.trim(F.coalesce(a["question_id"], F.lit(""))).alias("question_id"), a["value"].cast("string").alias("value"), a["text"].alias("text")))
+    rows = rows.withColumn("_answers", F.coalesce(answers, F.array().cast(
+        "array<struct<question_id:string,value:string,text:string>>")))
+    bad = F.exists("_answers", lambda a: answer_problem(
+        F.col("_kinds")[a["question_id"]], a["question_id"], a["value"], a["text"]).isNotNull())
+    names = F.transform("_answers", lambda a: a["question_id"])
+    problem = (
+        F.when(F.size("_answers") == 0, "no answers").when(F.size("_answers") > P.MAX_ANSWERS, "too many answers")
+        .when(bad, "bad answer").when(F.size(F.array_distinct(names)) < F.size(names), "answered twice"))
+    return rows.withColumn("problem", problem).drop("_kinds", "_answers")
 
 
 def ingest_checkins(stream: DataFrame, questions: DataFrame, out: str) -> StreamingQuery:
-    return (
-        stream.writeStream.queryName("checkins").foreachBatch(checkin_sink(questions, out))
-        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    return merging(stream, lambda batch: judge_checkins(batch, questions), out, "checkins")
 
 
-def timed(rows: DataFrame, at: str) -> DataFrame:
-    """Event time as an instant (logs may carry it without a zone; the session is UTC)."""
-    return rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, LATE)
+def judged(parts: DataFrame) -> DataFrame:
+    """A submission that came in several batches counts once."""
+    return parts.drop("batch").dropDuplicates(["pseudonym_id", "submitted_at", "answers"])
 
 
 # --- T02: access counts per person, role and day --------------------------------
 
 def daily_access(log: DataFrame) -> DataFrame:
-    return (
-        timed(log, "at")
-        .groupBy(F.window("at", "1 day"), "pseudonym_id", "actor_role")
-        .agg(F.count_if(F.col("outcome") == "granted").alias("granted"),
-             F.count_if(F.col("outcome") == "refused").alias("refused"))
-        .select(F.col("window.start").alias("day_start"), F.col("window.end").alias("day_end"), "pseudonym_id",
-                "actor_role", "granted", "refused"))
+    """Batch form, and the partial rows of a micro-batch."""
+    return log.groupBy(F.to_date("at").alias("day"), "pseudonym_id", "actor_role").agg(
+        F.count_if(F.col("outcome") == "granted").alias("granted"),
+        F.count_if(F.col("outcome") == "refused").alias("refused"))
 
 
-def closed(twin: DataFrame, log: DataFrame, end: str, at: str = "at") -> DataFrame:
-    """The batch twin's rows whose window the watermark has passed."""
-    newest = log.agg((F.max(F.col(at).cast("timestamp")) - F.expr(f"interval {LATE}")).alias("_mark"))
-    return twin.join(F.broadcast(newest), F.col(end) <= F.col("_mark")).drop("_mark")
+def merged_access(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("day", "pseudonym_id", "actor_role").agg(
+        F.sum("granted").alias("granted"), F.sum("refused").alias("refused"))
 
 
-# --- T03: trailing sums as sliding windows --------------------------------------
+# --- T03: trailing sums -----------------------------------------------------------
+
+def day_sums(values: DataFrame) -> DataFrame:
+    """Sum and count per person and day: the partial rows of a micro-batch."""
+    return values.groupBy("pseudonym_id", F.to_date("at").alias("day")).agg(
+        F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
 
-def sliding_sums(values: DataFrame, days: int) -> DataFrame:
-    """Sum of ``value`` per person in every trailing window of ``days``, one per day."""
-    return (
-        timed(values, "at")
-        .groupBy(F.window("at", f"{days} days", "1 day"), "pseudonym_id")
-        .agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
-        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "pseudonym_id",
-                F.lit(days).alias("days"), "total", "n"))
+
+def trailing_sums(parts: DataFrame, days: int) -> DataFrame:
+    """Sum of the ``days`` days up to each day with an event, from day rows (one per person and day at most)."""
+    daily = parts.groupBy("pseudonym_id", "day").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    number = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    back = Window.partitionBy("pseudonym_id").orderBy(number).rangeBetween(1 - days, 0)
+    return daily.select("pseudonym_id", "day", F.lit(days).alias("days"), F.sum("total").over(back).alias("total"),
+                        F.sum("n").over(back).alias("n"))
 
 
 # --- T04: first claim per slot --------------------------------------------------
 
-def first_claims(requests: DataFrame, within: str = "30 days") -> DataFrame:
-    """First request seen per slot; later ones inside the watermark are dropped."""
-    return requests.withWatermark("requested_at", within).dropDuplicatesWithinWatermark(["slot_id"])
+def first_claims(requests: DataFrame) -> DataFrame:
+    """Earliest request per slot, ties to the smallest id: batch form, partial rows and merge alike."""
+    first = F.min(F.struct("requested_at", "request_id")).alias("first")
+    return requests.groupBy("slot_id").agg(first).select("slot_id", "first.requested_at", "first.request_id")
 
 
 # --- T05: acoustic baselines as keyed state -------------------------------------
@@ -188,9 +200,20 @@ def keyed_baselines(samples: DataFrame) -> DataFrame:
 # --- T06: sessions of one actor -------------------------------------------------
 
 def actor_sessions(log: DataFrame, gap: str = "6 hours") -> DataFrame:
+    """Sessions of a batch; of the whole log in the batch form, partial ones of a micro-batch."""
     return (
-        timed(log, "at")
-        .groupBy(F.session_window("at", gap), "actor_subject")
+        log.groupBy(F.session_window("at", gap), "actor_subject")
         .agg(F.count(F.lit(1)).alias("accesses"), F.count_if(F.col("outcome") == "refused").alias("refused"))
         .select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"),
                 "actor_subject", "accesses", "refused"))
+
+
+def merged_sessions(parts: DataFrame) -> DataFrame:
+    """Partial sessions that overlap or touch are one (their ends already hold the gap)."""
+    order = Window.partitionBy("actor_subject").orderBy("session_start", "session_end")
+    before = F.max("session_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = parts.withColumn("_new", F.coalesce((F.col("session_start") > before).cast("int"), F.lit(1)))
+    number = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return opened.withColumn("_s", number).groupBy("actor_subject", "_s").agg(
+        F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"),
+        F.sum("accesses").alias("accesses"), F.sum("refused").alias("refused")).drop("_s")
