@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fettle import policy as P
 from fettle.functions.scales import clip, hash_bucket
-from fettle.operators import scoring
+from fettle.operators import scoring, spread
 
 FEATURES, SCALED, PREDICTION = "_features", "_scaled", "prediction"
 
@@ -174,7 +174,9 @@ def grouped_cv_r2(rows: DataFrame, candidate: Candidate, folds: int = P.CV_FOLDS
     cv = CrossValidator(
         estimator=Pipeline(stages=list(candidate.stages)), estimatorParamMaps=[{}], numFolds=folds, foldCol="fold",
         evaluator=RegressionEvaluator(labelCol="label", metricName="r2"), parallelism=2)
-    fitted = cv.fit(with_fold(rows).cache())
+    data = with_fold(rows).persist()
+    fitted = cv.fit(data)
+    data.unpersist()
     return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
 
 
@@ -191,7 +193,7 @@ def predict(model: PipelineModel, rows: DataFrame, inputs: Sequence[str] = P.MOD
 
 def compare(rows: DataFrame, options: Sequence[Candidate], with_cv: bool = False) -> DataFrame:
     """Fit every candidate on one person-disjoint split; one row of test metrics each."""
-    train, test = rows.filter(F.col("split") != "test").cache(), rows.filter(F.col("split") == "test").cache()
+    train, test = rows.filter(F.col("split") != "test").persist(), rows.filter(F.col("split") == "test").persist()
     out = []
     for option in options:
         model, seconds = fit(train, option)
@@ -201,6 +203,8 @@ def compare(rows: DataFrame, options: Sequence[Candidate], with_cv: bool = False
         cv = grouped_cv_r2(train, option) if with_cv else (None, None)
         out.append((option.name, option.is_tree, float(m["r2"]), float(m["mae"]), float(m["rmse"]),
                     m["band_accuracy"], m["high_recall"], m["high_precision"], m["escalation_recall"], seconds, *cv))
+    train.unpersist()
+    test.unpersist()
     return rows.sparkSession.createDataFrame(out, (
         "model_name string, is_tree boolean, r2 double, mae double, rmse double, band_accuracy double, "
         "high_recall double, high_precision double, escalation_recall double, seconds double, cv_r2 double, "
@@ -214,6 +218,39 @@ def deploy(rows: DataFrame, candidate: Candidate) -> tuple[PipelineModel, DataFr
     return model, scoring.calibrate(held, "label", "predicted", "pseudonym_id")
 
 
+@dataclass(frozen=True)
+class Training:
+    """One training run: what every candidate measured, the selected one fitted and calibrated."""
+
+    measured: DataFrame
+    selected: str
+    model: PipelineModel
+    calibration: DataFrame
+
+
+def tuned_candidates(rows: DataFrame) -> list[Candidate]:
+    """All six at full size, the penalties chosen on the rows outside the test split."""
+    train = rows.filter(F.col("split") != "test")
+    chosen = {"ridge_regression": ridge(alpha=choose_penalty(train, l1=False)[0]),
+              "lasso_regression": lasso(alpha=choose_penalty(train, l1=True)[0])}
+    return [chosen.get(c.name, c) for c in candidates()]
+
+
+def train(rows: DataFrame, options: Sequence[Candidate] | None = None) -> Training:
+    """Fit every candidate, select by the measured rows, fit the selected one for deployment and calibrate it."""
+    rows = spread.settle(rows)
+    options = tuned_candidates(rows) if options is None else options
+    measured = compare(rows, options)
+    selected = scoring.select_model(measured).first()["selected"]
+    model, calibration = deploy(rows, next(c for c in options if c.name == selected))
+    return Training(measured, selected, model, spread.settle(calibration))
+
+
+def scorer(model: PipelineModel) -> Callable[[DataFrame], DataFrame]:
+    """A fitted model as the scorer of a workload."""
+    return lambda rows: predict(model, rows).withColumnRenamed("predicted", scoring.SCORE)
+
+
 def refit_on_all(rows: DataFrame, candidate: Candidate) -> PipelineModel:
     return fit(rows, candidate)[0]
 
@@ -234,10 +271,19 @@ def save(model: PipelineModel, folder: str, meta: dict, mark_current: bool = Tru
     line = spark.createDataFrame([(version, json.dumps(record))], "version string, metadata string")
     line.coalesce(1).write.json(f"{folder}/{version}/metadata")
     if mark_current:
-        spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{folder}/CURRENT")
+        mark(folder, version)
     return version
 
 
+def mark(folder: str, version: str) -> None:
+    """Make a stored version the current one; marking an older one rolls back."""
+    spark = SparkSession.active()
+    if version not in versions(folder):
+        raise FileNotFoundError(f"no version {version} in {folder}")
+    line = spark.createDataFrame([(version, datetime.now(timezone.utc).isoformat())], "version string, marked_at string")
+    line.coalesce(1).write.mode("append").json(f"{folder}/CURRENT")
+
+
 def versions(folder: str) -> list[str]:
     """Stored versions, newest last (one short metadata row each)."""
     spark = SparkSession.active()
@@ -246,16 +292,21 @@ def versions(folder: str) -> list[str]:
 
 
 def current_version(folder: str) -> str | None:
-    """The last version marked current, else the newest stored one."""
+    """The version marked last, else the newest stored one."""
     spark = SparkSession.active()
-    try:
-        marked = spark.read.schema("version string").json(f"{folder}/CURRENT").agg(F.max("version")).first()[0]
-    except Exception:  # noqa: BLE001 - no pointer yet
-        marked = None
     stored = versions(folder)
+    marks = spark.createDataFrame([], "version string, marked_at string")
+    if _exists(spark, f"{folder}/CURRENT"):
+        marks = spark.read.schema(marks.schema).json(f"{folder}/CURRENT")
+    marked = marks.agg(F.max_by("version", "marked_at")).first()[0]
     return marked if marked in stored else (stored[-1] if stored else None)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def load(folder: str, version: str | None = None) -> tuple[PipelineModel, dict]:
     """Model and metadata; refused when its inputs are not the ones now supplied."""
     spark = SparkSession.active()

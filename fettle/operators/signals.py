@@ -99,9 +99,14 @@ def behavioral_signals(features: DataFrame, voice: DataFrame | None = None) -> D
     out = features.select(*KEYS, *carried, *[build().alias(name) for name, (build, _) in REGISTRY.items()])
     if voice is None:
         return out.withColumn(P.VOICE_SIGNAL, F.lit(0.0)).withColumn(P.VOICE_FLAG, F.lit(0.0))
+    return with_voice(out, voice)
+
+
+def with_voice(rows: DataFrame, voice: DataFrame) -> DataFrame:
+    """The aligned voice signal beside each row, and whether there was one."""
     incoming = voice.select(ID, SNAP, F.col(P.VOICE_SIGNAL).alias("_voice"))
     return (
-        out.join(incoming, KEYS, "left")
+        rows.join(incoming, KEYS, "left")
         .withColumn(P.VOICE_SIGNAL, F.coalesce("_voice", F.lit(0.0)))
         .withColumn(P.VOICE_FLAG, F.col("_voice").isNotNull().cast("double"))
         .drop("_voice")

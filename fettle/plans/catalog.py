@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fettle.plans.oracle_views import compose
-from fettle.plans.workload import Workload
+from fettle.plans.workload import DEVELOPMENT_KEY, Workload
 
 Plan = Callable[[Workload], DataFrame]
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +20,7 @@ def workload(spark: SparkSession, folder: str) -> Workload:
     """One workload per application and folder: stages that feed many results are written once."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _shared:
-        _shared[key] = Workload(spark, folder, settled=True)
+        _shared[key] = Workload(spark, folder, DEVELOPMENT_KEY, settled=True)
     return _shared[key]
 
 

@@ -292,7 +292,7 @@ VIEWS["v_signals"] = (
     + ", ".join(f"{sql} AS {n}" for n, sql in SIGNAL_SQL.items())
     + ", 0e0 AS voice_stress_signal, 0e0 AS voice_signal_present FROM v_features")
 _present = " + ".join(f"CAST({n} IS NOT NULL AS INT)" for n in SIG)
-VIEWS["v_scored0"] = f"SELECT *, {signal_index({n: n for n in SIG})} AS welfare_risk_score FROM v_signals"
+VIEWS["v_scored0"] = f"SELECT *, {signal_index({n: n for n in SIG})} AS welfare_risk_score FROM v_with_voice"
 VIEWS["v_scored1"] = f"""
 SELECT *, 0.4e0 * (({_present}) / 9e0)
        + 0.35e0 * least(1e0, count(*) OVER (PARTITION BY pseudonym_id) / 6e0) + 0.25e0 * 1e0 AS confidence
@@ -403,7 +403,7 @@ FROM (SELECT *, list_sort(list_filter([{'by': margin_demand, 'at': 0, 'name': 'd
 ORDER BY thresholds_crossed DESC, coalesce(-w.by, 0), unit_id LIMIT 3"""
 VIEWS["v_cases"] = """
 SELECT c.*, t.trend_direction, t.slope_per_30_days, t.points_used, t.persistence_snapshots, t.is_persistent,
-       f.unit_id IS NOT NULL AS unit_near_miss, false AS has_voice_signal,
+       f.unit_id IS NOT NULL AS unit_near_miss, c.voice_signal_present > 0 AS has_voice_signal,
        c.risk_level = 'High' OR (c.risk_level = 'Moderate' AND coalesce(t.is_persistent, false)
                                  AND t.trend_direction = 'Rising') AS is_officer_visible
 FROM (SELECT * FROM v_classified WHERE snapshot_date = (SELECT max(snapshot_date) FROM v_classified)) c
@@ -514,7 +514,7 @@ FROM (SELECT c.pseudonym_id, q.signal_name,
             GROUP BY pseudonym_id) x ON x.pseudonym_id = c.pseudonym_id AND x.m = c.submitted_at) c
       JOIN v_questions q ON q.question_id = c.question_id WHERE q.kind = 'scale' AND q.signal_name <> ''
       GROUP BY c.pseudonym_id, q.signal_name) a
-JOIN (SELECT * FROM v_latest_long UNION ALL SELECT pseudonym_id, 'voice_stress_signal', 0e0 FROM v_latest) l
+JOIN (SELECT * FROM v_latest_long UNION ALL SELECT pseudonym_id, 'voice_stress_signal', voice_stress_signal FROM v_latest) l
   USING (pseudonym_id, signal_name)"""
 VIEWS["v_access"] = f"""
 SELECT event_id AS id, ts AS at, CASE event_type WHEN 'click' THEN 'personnel' WHEN 'error' THEN 'commander'

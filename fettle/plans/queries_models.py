@@ -1,86 +1,111 @@
-"""Fitted models (rows-only: the oracle engine has no regressors)."""
+"""Fitted models: every candidate at full size, the selected one deployed.
+
+The oracle engine has no regressors, so it states what must hold of them: which rows they
+were fitted and measured on, and that every metric and interval is sound.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fettle.operators import models, scoring
 from fettle.plans.catalog import query
 from fettle.plans.queries_data import scratch
 
-ROW = "model_name is_tree r2* mae* rmse*"
-
-
-def rows(w):
-    return w.modelling.drop("risk_level", "confidence_level").cache()
+ROW = "model_name is_tree train_rows# test_rows# sound"
 
 
-def _one(name: str, build) -> None:
-    @query(name, ROW)
-    def plan(w):
-        return models.compare(rows(w), [build()])
+def measured_sql(name: str, tree: bool) -> str:
+    return f"""
+SELECT '{name}' AS model_name, {tree} AS is_tree, count(*) FILTER (split <> 'test') AS train_rows,
+       count(*) FILTER (split = 'test') AS test_rows, true AS sound FROM v_model"""
 
 
-@query("grouped_cross_validation_m04", "model_name cv_r2* cv_r2_sd*")
-def m04(w):
-    mean, sd = models.grouped_cv_r2(rows(w).filter("split <> 'test'"), models.linear())
-    return w.spark.createDataFrame([("linear_regression", mean, sd)], "model_name string, cv_r2 double, cv_r2_sd double")
+def measured(w) -> DataFrame:
+    """Measured rows of the training run, and whether each metric lies where it must."""
+    share = lambda c: F.col(c).isNull() | F.col(c).between(0, 1)
+    sound = (~F.isnan("r2") & (F.col("r2") <= 1) & (F.col("mae") >= 0) & (F.col("mae") <= F.col("rmse"))
+             & share("band_accuracy") & share("high_recall") & share("high_precision") & share("escalation_recall"))
+    sizes = w.modelling.agg(F.count_if(F.col("split") != "test").alias("train_rows"), F.count_if(F.col("split") == "test").alias("test_rows"))
+    return w.training.measured.withColumn("sound", sound).crossJoin(F.broadcast(sizes))
 
 
-_one("least_squares_m05", models.linear)
+NAMES = {"m05": ("least_squares_m05", "linear_regression", False), "m06": ("ridge_penalty_chosen_m06", "ridge_regression", False),
+         "m07": ("lasso_penalty_chosen_m07", "lasso_regression", False), "m08": ("random_forest_m08", "random_forest", True),
+         "m09": ("gradient_boosting_m09", "gradient_boosting", True),
+         "m10": ("histogram_boosting_m10", "hist_gradient_boosting", True)}
 
 
-@query("ridge_penalty_chosen_m06", ROW)
-def m06(w):
-    data = rows(w)
-    best, _ = models.choose_penalty(data.filter("split <> 'test'"), l1=False)
-    return models.compare(data, [models.ridge(alpha=best)])
+def _one(key: str, name: str, tree: bool) -> None:
+    @query(key, ROW, measured_sql(name, tree))
+    def plan(w):
+        return measured(w).filter(F.col("model_name") == name)
 
 
-@query("lasso_penalty_chosen_m07", ROW)
-def m07(w):
-    data = rows(w)
-    best, _ = models.choose_penalty(data.filter("split <> 'test'"), l1=True)
-    return models.compare(data, [models.lasso(alpha=best)])
+for _key, _name, _tree in NAMES.values():
+    _one(_key, _name, _tree)
 
 
-_one("random_forest_m08", models.forest)
-# boosting rounds run one after another; 40 of the default 400 keep the rows-only check short
-_one("gradient_boosting_m09", lambda: models.boosting(rounds=40))
-_one("histogram_boosting_m10", lambda: models.histogram_boosting(rounds=40))
+@query("candidates_compared_m11", ROW, " UNION ALL ".join(measured_sql(n, t) for _, n, t in NAMES.values()))
+def m11(w):
+    return measured(w)
 
 
-@query("candidates_compared_m11", ROW)
-def m11(w):
-    return models.compare(rows(w), [models.linear(), models.ridge(), models.lasso()])
+@query("grouped_cross_validation_m04", "model_name sound", "SELECT 'linear_regression' AS model_name, true AS sound FROM (SELECT count(*) FROM v_model)")
+def m04(w):
+    mean, sd = models.grouped_cv_r2(w.modelling.filter("split <> 'test'"), models.linear())
+    row = w.spark.createDataFrame([("linear_regression", mean, sd)], "model_name string, cv_r2 double, cv_r2_sd double")
+    return row.withColumn("sound", (F.col("cv_r2") <= 1) & (F.col("cv_r2_sd") >= 0))
 
 
-@query("deployed_fit_m15", "calibration_rows# calibration_people# quantile_rank# half_width*")
+@query("deployed_fit_m15", "calibration_rows# calibration_people# quantile_rank# sound",
+       "SELECT calibration_rows, calibration_people, quantile_rank, true AS sound FROM v_cal")
 def m15(w):
-    return models.deploy(rows(w), models.linear())[1]
+    return w.training.calibration.withColumn("sound", F.col("half_width") >= 0)
 
 
-@query("versioned_model_m19", "version_count# is_current predictions#")
+@query("versioned_model_m19", "version_count# rolled_back predictions#",
+       "SELECT 2 AS version_count, true AS rolled_back, count(*) AS predictions FROM v_model")
 def m19(w):
-    data, folder = rows(w), scratch(w, "registry")
-    model, _ = models.fit(data.filter(F.col("split") == "fit"), models.linear())
-    meta = {"label_provenance": "composite index of the features", "model_name": "linear_regression"}
-    models.save(model, folder, meta)
-    last = models.save(model, folder, meta)
+    """Two versions of the selected model stored, the newer one marked and the older one marked again."""
+    folder = scratch(w, "registry")
+    meta = {"label_provenance": "composite index of the features", "model_name": w.training.selected}
+    first = models.save(w.training.model, folder, meta)
+    models.save(w.training.model, folder, meta)
+    models.mark(folder, first)
     loaded, info = models.load(folder)
-    return models.predict(loaded, data).agg(F.count("predicted").alias("predictions")).withColumn(
-        "version_count", F.lit(len(models.versions(folder)))).withColumn("is_current", F.lit(info["version"] == last))
+    return models.predict(loaded, w.modelling).agg(F.count("predicted").alias("predictions")).withColumn(
+        "version_count", F.lit(len(models.versions(folder)))).withColumn("rolled_back", F.lit(info["version"] == first))
+
+
+def _sound(scored: DataFrame) -> DataFrame:
+    """Whether a prediction lies on the scale and inside its interval."""
+    held = F.col("predicted").between(F.col("interval_low"), F.col("interval_high"))
+    return scored.withColumn("sound", held & F.col("interval_low").between(0, 100) & F.col("interval_high").between(0, 100))
 
 
-@query("frame_scored_by_model_m20", "pseudonym_id snapshot_date predicted* interval_low* interval_high*")
+@query("frame_scored_by_model_m20", "pseudonym_id snapshot_date sound",
+       "SELECT pseudonym_id, snapshot_date, true AS sound FROM v_signals")
 def m20(w):
-    model, calibration = models.deploy(rows(w), models.linear())
-    return scoring.with_interval(models.predict(model, w.behaviour), calibration, "predicted")
+    run = w.training
+    return _sound(scoring.with_interval(models.predict(run.model, w.behaviour), run.calibration, "predicted"))
 
 
-@query("rows_scored_with_missing_inputs_m21", "pseudonym_id predicted* interval_low* interval_high*")
+@query("rows_scored_with_missing_inputs_m21", "pseudonym_id sound", "SELECT pseudonym_id, true AS sound FROM v_latest")
 def m21(w):
-    model, calibration = models.deploy(rows(w), models.linear())
+    run = w.training
     gaps = w.latest_signals.withColumn(
         "training_load_signal", F.when(F.col("training_load_signal") > 50, F.col("training_load_signal")))
-    return scoring.with_interval(models.predict(model, gaps), calibration, "predicted")
+    return _sound(scoring.with_interval(models.predict(run.model, gaps), run.calibration, "predicted"))
+
+
+@query("run_scored_by_selected_model_m20", "pseudonym_id risk_level_sound interval_sound has_voice_signal", """
+SELECT pseudonym_id, true AS risk_level_sound, true AS interval_sound, has_voice_signal FROM v_cases""")
+def m20_run(w):
+    """Cases of the run scored by the selected model: bands and intervals follow its scores."""
+    cases = w.deployed.cases
+    score = F.col(scoring.SCORE)
+    level = F.when(score >= 65, "High").when(score >= 40, "Moderate").otherwise("Normal")
+    return cases.select("pseudonym_id", (F.col("risk_level") == level).alias("risk_level_sound"),
+                        score.between(F.col("interval_low"), F.col("interval_high")).alias("interval_sound"), "has_voice_signal")

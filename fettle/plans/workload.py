@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,13 @@ from fettle import policy as P
 from fettle.functions.keyed_hash import pseudonym
 from fettle.functions.scales import code
 from fettle.operators import (
-    acoustic, alerts, analytics, cleaning, explain, features, privacy, recommend, results, scoring, signals, spread,
-    units,
+    acoustic, alerts, analytics, cleaning, explain, features, models, privacy, recommend, results, scoring, signals,
+    spread, units,
 )
-from fettle.sources import adapter, library
+from fettle.sources import adapter, ingest, library
 from fettle.sources.tables import read_table
 
+#: for checks and tests alone; a run names its own key
 DEVELOPMENT_KEY = b"fettle-development-key"
 
 
@@ -26,11 +28,17 @@ class Workload:
     With ``settled`` the stages that feed many results (roster, feature matrix,
     unit statistics, calibration, Shapley values) are written once to the shared
     folder; recomputing them for every result would rescan the events each time.
+
+    ``scorer`` maps the signal rows to rows with a score, such as a fitted model
+    (``models.scorer``); without it the closed-form index scores.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, key: bytes = DEVELOPMENT_KEY, settled: bool = False):
+    def __init__(self, spark: SparkSession, folder: str, key: bytes, settled: bool = False,
+                 scorer: Callable[[DataFrame], DataFrame] | None = None):
+        if not key:
+            raise ValueError("a pseudonym key is required")
         self.spark, self.folder, self.key = spark, folder, key
-        self.settled = settled
+        self.settled, self.scorer = settled, scorer
         self.snapshots = P.snapshots()
 
     def _keep(self, df: DataFrame) -> DataFrame:
@@ -70,19 +78,18 @@ class Workload:
 
     @cached_property
     def samples(self) -> DataFrame:
-        raw = adapter.acoustic_samples(self.spark, self.folder)
-        consented = raw.filter(F.trim("consent_version") != "")
-        return consented.withColumn("pseudonym_id", pseudonym(F.col("personnel_id"), self.key)).drop("personnel_id")
+        """Check-ins with consent and of sufficient length."""
+        usable = ingest.usable_samples(adapter.acoustic_samples(self.spark, self.folder), rate=adapter.WAVEFORM_RATE)
+        return usable.withColumn("pseudonym_id", pseudonym(F.col("personnel_id"), self.key)).drop("personnel_id")
 
     @cached_property
     def voice(self) -> DataFrame:
-        return acoustic.align_to_snapshots(acoustic.stress_signals(self.samples), self.snapshots)
+        return self._keep(acoustic.align_to_snapshots(acoustic.stress_signals(self.samples), self.snapshots))
 
     @cached_property
     def behaviour(self) -> DataFrame:
-        """Signals without check-ins (the common case: nobody has to opt in)."""
-        return self.matrix.select(*features.KEYS, *signals.CARRIED, *P.SIGNALS).withColumn(
-            P.VOICE_SIGNAL, F.lit(0.0)).withColumn(P.VOICE_FLAG, F.lit(0.0))
+        """Nine signals and the voice pair: neutral 0 for those who did not check in."""
+        return signals.with_voice(self.matrix.select(*features.KEYS, *signals.CARRIED, *P.SIGNALS), self.voice)
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -95,8 +102,10 @@ class Workload:
 
     @cached_property
     def scored(self) -> DataFrame:
-        out = self.matrix.select(*features.KEYS, *signals.CARRIED, *P.SIGNALS, scoring.SCORE).withColumn(
-            P.VOICE_SIGNAL, F.lit(0.0)).withColumn(P.VOICE_FLAG, F.lit(0.0))
+        out = signals.with_voice(
+            self.matrix.select(*features.KEYS, *signals.CARRIED, *P.SIGNALS, scoring.SCORE), self.voice)
+        if self.scorer is not None:
+            out = self.scorer(out.drop(scoring.SCORE))
         return analytics.with_level(analytics.with_confidence(out))
 
     @cached_property
@@ -105,6 +114,20 @@ class Workload:
         rows = scoring.modelling_set(self.scored, self.labels)
         return scoring.with_split(rows.join(self.roster_keys, "pseudonym_id"), "personnel_id")
 
+    @cached_property
+    def training(self) -> models.Training:
+        """Every candidate fitted once at full size, the selected one deployed."""
+        return models.train(self.modelling.drop("risk_level", "confidence_level"))
+
+    @cached_property
+    def deployed(self) -> "Workload":
+        """The same run scored, calibrated and explained by the selected model."""
+        run = Workload(self.spark, self.folder, self.key, self.settled, models.scorer(self.training.model))
+        for stage in ("raw", "clean", "private", "matrix", "voice"):
+            run.__dict__[stage] = getattr(self, stage)
+        run.__dict__["calibration"] = self.training.calibration
+        return run
+
     @cached_property
     def calibration(self) -> DataFrame:
         rows = self.modelling.filter(F.col("split") == "calibration")
@@ -148,7 +171,12 @@ class Workload:
 
     @cached_property
     def shapley(self) -> DataFrame:
-        return self._keep(explain.shapley(self.latest_signals, explain.background(self.behaviour)))
+        """Exact values: over the nine signals of the index, or over all eleven inputs of a fitted scorer."""
+        if self.scorer is None:
+            return self._keep(explain.shapley(self.latest_signals, explain.background(self.behaviour)))
+        reference = explain.background(self.behaviour, inputs=P.MODEL_INPUTS)
+        return self._keep(explain.shapley_by_model(
+            self.latest_signals.drop(scoring.SCORE), reference, self.scorer, scoring.SCORE))
 
     @cached_property
     def factors(self) -> DataFrame:

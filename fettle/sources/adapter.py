@@ -186,6 +186,10 @@ def acoustic_samples(spark: SparkSession, folder: str) -> DataFrame:
     return shape_samples(read_table(spark, folder, "embeddings"))
 
 
+#: the 64 elements of a vector stand for 3.2 seconds
+WAVEFORM_RATE = 20
+
+
 def shape_samples(emb: DataFrame) -> DataFrame:
     """One check-in per embedding row: label = person, first seven elements = features."""
     age = ((F.col("vec_id") * 7) % 170).cast("int")

@@ -3,6 +3,7 @@
 import uuid
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,12 +84,6 @@ def test_selection_rule(spark):
 
 
 # --- streams --------------------------------------------------------------------
-def finish(spark, stream, tmp_path, name):
-    out = f"{tmp_path}/{uuid.uuid4().hex}"
-    jobs.run_to_end(jobs.append(stream, out, name))
-    return spark.read.parquet(f"{out}/data")
-
-
 def same(a, b):
     cols = sorted(a.columns)
     key = lambda rows: sorted(repr(tuple(r)) for r in rows)
@@ -97,65 +92,117 @@ def same(a, b):
 
 @pytest.fixture(scope="module")
 def w(spark):
-    return Workload(spark, SMALL)
+    return Workload(spark, SMALL, b"test key")
+
+
+def in_files(df, tmp_path, name, files=5):
+    """The table as a folder of several files, rows shuffled over them."""
+    df.orderBy(F.rand(3)).repartition(files).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def streamed(spark, folder, name, partial, tmp_path, one_by_one=1):
+    """Partial rows of a folder table read in micro-batches of one file."""
+    like = spark.read.parquet(f"{folder}/{name}.parquet")
+    out = f"{tmp_path}/{uuid.uuid4().hex}"
+    jobs.run_to_end(jobs.merging(jobs.stream_of(spark, folder, name, like, one_by_one), partial, out, name))
+    parts = spark.read.option("basePath", f"{out}/data").parquet(f"{out}/data")
+    assert parts.select("batch").distinct().count() > 1
+    return parts
+
+
+@pytest.fixture(scope="module")
+def log(w, tmp_path_factory):
+    return in_files(w.access_log, tmp_path_factory.mktemp("log"), "log")
 
 
-def streamed_log(w):
-    s = Workload(w.spark, w.folder)
-    s.__dict__["events"] = adapter.shape_events(jobs.stream_of(w.spark, w.folder, "events.parquet", w.table("events")))
-    return s.access_log
+def test_daily_access_equals_the_whole_batch(spark, w, log, tmp_path):
+    same(jobs.merged_access(streamed(spark, log, "log", jobs.daily_access, tmp_path)), jobs.daily_access(w.access_log))
 
 
-def test_daily_access_equals_closed_batch_windows(spark, w, tmp_path):
-    got = finish(spark, jobs.daily_access(streamed_log(w)), tmp_path, "t02")
-    want = jobs.closed(jobs.daily_access(w.access_log), w.access_log, "day_end")
-    assert want.count() > 0
-    same(got, want)
+def test_sessions_equal_the_whole_batch(spark, w, log, tmp_path):
+    got = jobs.merged_sessions(streamed(spark, log, "log", jobs.actor_sessions, tmp_path))
+    same(got, jobs.actor_sessions(w.access_log))
 
 
-def test_sessions_equal_closed_batch_sessions(spark, w, tmp_path):
-    got = finish(spark, jobs.actor_sessions(streamed_log(w)), tmp_path, "t06")
-    want = jobs.closed(jobs.actor_sessions(w.access_log), w.access_log, "session_end")
-    assert want.count() > 0
-    same(got, want)
+def test_sessions_that_touch(spark):
+    times = ["2024-01-01 00:00:00", "2024-01-01 06:00:00", "2024-01-01 13:00:00", "2024-01-01 12:00:00"]
+    log = spark.createDataFrame([(t, "a", "granted") for t in times], "at string, actor_subject string, outcome string").withColumn(
+        "at", F.col("at").cast("timestamp"))
+    parts = jobs.actor_sessions(log.filter("hour(at) in (0, 12)")).unionByName(jobs.actor_sessions(log.filter("hour(at) in (6, 13)")))
+    same(jobs.merged_sessions(parts), jobs.actor_sessions(log))
 
 
-def test_sliding_sums_equal_closed_batch_windows(spark, w, tmp_path):
-    def values(ev):
-        return ev.select(F.col("ts").alias("at"), F.floor("value").cast("double").alias("value"),
-                         F.col("user_id").cast("string").alias("pseudonym_id"))
+def test_trailing_sums_equal_brute_force(spark, w, tmp_path):
+    values = w.events.select(F.col("ts").alias("at"), F.floor("value").cast("double").alias("value"), F.col("user_id").cast("string").alias("pseudonym_id"))
+    parts = streamed(spark, in_files(values, tmp_path, "values"), "values", jobs.day_sums, tmp_path)
+    rows = values.toPandas()
+    rows["day"] = rows["at"].dt.date
+    got = {(r.pseudonym_id, r.day): (r.total, r.n) for r in jobs.trailing_sums(parts, 7).collect()}
+    assert len(got) == len(rows.groupby(["pseudonym_id", "day"]))
+    for (person, day), (total, n) in list(got.items())[::17]:
+        back = rows[(rows.pseudonym_id == person) & (rows.day <= day) & (rows.day > day - pd.Timedelta(days=7))]
+        assert (total, n) == (back["value"].sum(), len(back))
 
-    stream = adapter.shape_events(jobs.stream_of(spark, SMALL, "events.parquet", w.table("events")))
-    got = finish(spark, jobs.sliding_sums(values(stream), 7), tmp_path, "t03")
-    twin = jobs.sliding_sums(values(w.events), 7)
-    same(got, jobs.closed(twin, w.events.select(F.col("ts").alias("at")), "window_end"))
+
+def test_first_claims_are_the_earliest_of_all_files(spark, w, tmp_path):
+    requests = w.table("lineitem").select(F.col("l_partkey").cast("string").alias("slot_id"), F.col("l_shipdate").alias("requested_at"),
+                                          F.concat_ws("-", "l_orderkey", "l_linenumber").alias("request_id"))
+    parts = streamed(spark, in_files(requests.unionByName(requests.limit(50)), tmp_path, "requests"), "requests", jobs.first_claims, tmp_path)
+    same(jobs.first_claims(parts), jobs.first_claims(requests))
 
 
 def test_keyed_baselines_equal_batch_fold(spark, w, tmp_path):
-    emb = jobs.stream_of(spark, SMALL, "embeddings.parquet", w.table("embeddings"))
+    emb = jobs.stream_of(spark, SMALL, "embeddings", w.table("embeddings"))
     samples = adapter.shape_samples(emb).filter(F.trim("consent_version") != "").withColumn(
         "pseudonym_id", pseudonym(F.col("personnel_id"), w.key))
-    got = finish(spark, jobs.keyed_baselines(samples), tmp_path, "t05").toPandas().set_index("sample_id").sort_index()
+    jobs.run_to_end(jobs.append(jobs.keyed_baselines(samples), f"{tmp_path}/t05", "t05"))
+    got = spark.read.parquet(f"{tmp_path}/t05/data").toPandas().set_index("sample_id").sort_index()
     want = acoustic.stress_signals(w.samples).toPandas().set_index("sample_id").sort_index()
     assert (got.is_reliable == want.is_reliable).all()
     assert np.allclose(got.voice_stress_signal.astype(float), want.voice_stress_signal.astype(float), equal_nan=True)
 
 
-def test_checkins_split_and_replay_is_idempotent(spark, w, tmp_path):
-    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
-    w.checkins.select("pseudonym_id", F.col("submitted_at").cast("string").alias("submitted_at"), "answers").write.json(src)
-    q = library.questions(spark)
+def test_checkins_judged_once_and_replay_is_idempotent(spark, w, tmp_path):
+    src, out, q = f"{tmp_path}/in", f"{tmp_path}/out", library.questions(spark)
+    sent = w.checkins.select("pseudonym_id", F.col("submitted_at").cast("string").alias("submitted_at"), "answers")
+    doubled = sent.withColumn("answers", F.array_append("answers", F.col("answers")[0])).withColumn("pseudonym_id", F.lit("twice"))
+    for part in (sent, sent.limit(20), doubled):  # delivered again in another file
+        part.write.mode("append").json(src)
+    jobs.run_to_end(jobs.ingest_checkins(jobs.checkin_stream(spark, src), q, out))
+    rows = lambda: jobs.judged(spark.read.option("basePath", f"{out}/data").parquet(f"{out}/data"))
+    once = sent.distinct().count()
+    assert rows().filter("problem is null").count() == once
+    assert rows().filter("problem = 'answered twice'").count() == doubled.distinct().count()
     jobs.run_to_end(jobs.ingest_checkins(jobs.checkin_stream(spark, src), q, out))
-    twin = jobs.judge_checkins(spark.read.schema(jobs.CHECKIN_SCHEMA).json(src), q)
-    accepted = spark.read.parquet(f"{out}/accepted").count()
-    assert accepted == twin.filter("problem is null").count() > 0
-    jobs.checkin_sink(q, out)(spark.read.schema(jobs.CHECKIN_SCHEMA).json(src), 0)
-    assert spark.read.parquet(f"{out}/accepted").count() == accepted
-
-
-def test_first_claim_per_slot(spark, w, tmp_path):
-    lines = jobs.stream_of(spark, SMALL, "lineitem.parquet", w.table("lineitem"))
-    claims = lines.select(F.col("l_partkey").cast("string").alias("slot_id"),
-                          F.col("l_shipdate").cast("timestamp").alias("requested_at"))
-    got = finish(spark, jobs.first_claims(claims), tmp_path, "t04")
-    assert got.count() == w.table("lineitem").select("l_partkey").distinct().count()
+    assert rows().filter("problem is null").count() == once
+
+
+def test_marking_an_older_version_rolls_back(spark, rows, tmp_path):
+    model, _ = models.fit(rows, models.linear())
+    one, two = (models.save(model, str(tmp_path), {"label_provenance": "index"}) for _ in range(2))
+    assert models.current_version(str(tmp_path)) == two
+    models.mark(str(tmp_path), one)
+    assert models.current_version(str(tmp_path)) == one
+    with pytest.raises(FileNotFoundError):
+        models.mark(str(tmp_path), "v0")
+
+
+def test_training_selects_calibrates_and_scores(spark, rows):
+    run = models.train(rows, [models.linear(), models.boosting(rounds=5)])
+    assert run.selected == "linear_regression" and run.measured.count() == 2
+    scored = scoring.with_interval(models.scorer(run.model)(rows), run.calibration, scoring.SCORE)
+    assert scored.filter("welfare_risk_score < interval_low or welfare_risk_score > interval_high").count() == 0
+
+
+def test_wide_service_numbers_are_identities(spark):
+    from fettle.operators.privacy import namespace
+    got = spark.createDataFrame([("P00001",), ("P123456",), ("P12",), ("PSN0123456789abcdef",)], "s string").select(namespace(F.col("s"))).collect()
+    assert [r[0] for r in got] == ["service_identity", "service_identity", "unknown", "pseudonym"]
+
+
+def test_sentences_round_ties_to_even(spark):
+    from fettle.operators.analytics import with_proximity
+    rows = spark.createDataFrame([(65.25,), (37.75,)], "welfare_risk_score double")
+    notes = [r["proximity_note"] for r in with_proximity(rows).collect()]
+    assert "0.2 points above" in notes[0] and "2.2 points below" in notes[1]
