@@ -10,9 +10,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column as Expr
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fettle.operators.spread import settle
 from fettle.sources.ingest import BOOLEAN_WORDS, parse_date, parse_number
 from fettle.sources.schemas import Table
 
@@ -75,13 +76,25 @@ def column_counts(df: DataFrame, table: Table) -> DataFrame:
     return one.select(F.inline(entries))
 
 
-def unexpected_values(df: DataFrame, column: str, allowed: tuple[str, ...], show: int = 5) -> DataFrame:
-    """Distinct values outside the allowed set: how many, and the first few sorted."""
-    odd = df.select(F.col(column).alias("value")).filter(
-        F.col("value").isNotNull() & ~F.col("value").isin(*allowed)).distinct()
-    first = odd.orderBy("value").limit(show).agg(
+def unexpected_by_column(df: DataFrame, allowed: dict[str, tuple[str, ...]], show: int = 5) -> DataFrame:
+    """Per column the distinct values outside its allowed set: how many, and the first few sorted.
+
+    One pass for all columns; a value is shuffled once per task, the examples are a running
+    minimum list of ``show`` entries, never the whole set.
+    """
+    odd = [F.when(~F.col(c).isin(*values), F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"))) for c, values in allowed.items()]
+    distinct = df.select(F.explode(F.array_compact(F.array(*odd))).alias("o")).select("o.*").distinct()
+    rank = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
+    first = distinct.withColumn("_r", rank).filter(F.col("_r") <= show).groupBy("column_name").agg(
         F.concat_ws(",", F.array_sort(F.collect_list("value"))).alias("examples"))
-    return odd.agg(F.count(F.lit(1)).alias("problem_count")).crossJoin(F.broadcast(first))
+    counts = distinct.groupBy("column_name").agg(F.count(F.lit(1)).alias("problem_count"))
+    return counts.join(first, "column_name")
+
+
+def unexpected_values(df: DataFrame, column: str, allowed: tuple[str, ...], show: int = 5) -> DataFrame:
+    """The same for one column; always one row."""
+    found = unexpected_by_column(df, {column: allowed}, show)
+    return found.agg(F.coalesce(F.max("problem_count"), F.lit(0)).alias("problem_count"), F.coalesce(F.max("examples"), F.lit("")).alias("examples"))
 
 
 def duplicate_keys(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -91,10 +104,10 @@ def duplicate_keys(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_key: str, show: int = 3) -> DataFrame:
-    """Distinct child keys with no parent: how many, and the first few."""
+    """Distinct child keys with no parent: how many, and the first few, from one anti join."""
     keys = child.select(F.col(column).cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct()
     known = parent.select(F.col(parent_key).cast("string").alias("value")).distinct()
-    lost = keys.join(known, "value", "left_anti")
+    lost = settle(keys.join(known, "value", "left_anti"))
     first = lost.orderBy("value").limit(show).agg(
         F.concat_ws(",", F.array_sort(F.collect_list("value"))).alias("examples"))
     return lost.agg(F.count(F.lit(1)).alias("problem_count")).crossJoin(F.broadcast(first))
@@ -109,30 +122,27 @@ def column_set_report(df: DataFrame, table: Table) -> DataFrame:
 
 
 def problems(df: DataFrame, table: Table) -> DataFrame:
-    """Every failed check of one table as rows."""
+    """Every failed check of one table as rows, from three passes: cells, distinct values, keys."""
     parts = [column_set_report(df, table)]
+
+    def report(rows: DataFrame, check: Expr, column: Expr, detail: Expr) -> DataFrame:
+        return rows.select(F.lit(table.name).alias("table_name"), F.lit("error").alias("severity"), check.alias("check_name"),
+                           column.alias("column_name"), "problem_count", detail.alias("detail"))
+
     if set(table.names) & set(df.columns):
-        parts.append(column_counts(df, table).select(
-            F.lit(table.name).alias("table_name"), F.lit("error").alias("severity"), "check_name", "column_name",
-            "problem_count", F.lit("").alias("detail")))
-    for c in table.columns:
-        if c.allowed and c.name in df.columns:
-            parts.append(unexpected_values(df, c.name, c.allowed).select(
-                F.lit(table.name).alias("table_name"), F.lit("error").alias("severity"),
-                F.lit("unexpected_value").alias("check_name"), F.lit(c.name).alias("column_name"),
-                "problem_count", F.col("examples").alias("detail")))
+        parts.append(report(column_counts(df, table), F.col("check_name"), F.col("column_name"), F.lit("")))
+    if allowed := {c.name: c.allowed for c in table.columns if c.allowed and c.name in df.columns}:
+        parts.append(report(unexpected_by_column(df, allowed), F.lit("unexpected_value"), F.col("column_name"), F.col("examples")))
     if table.primary_key and set(table.primary_key) <= set(df.columns):
-        parts.append(duplicate_keys(df, table.primary_key).select(
-            F.lit(table.name).alias("table_name"), F.lit("error").alias("severity"),
-            F.lit("duplicate_key").alias("check_name"), F.lit(",".join(table.primary_key)).alias("column_name"),
-            "problem_count", F.lit("").alias("detail")))
+        parts.append(report(duplicate_keys(df, table.primary_key), F.lit("duplicate_key"), F.lit(",".join(table.primary_key)), F.lit("")))
     return reduce(DataFrame.unionByName, parts).filter(F.col("problem_count") > 0)
 
 
 def table_reports(tables: dict[str, DataFrame], specs: dict[str, Table]) -> DataFrame:
-    """One row per table: row count, errors, warnings, verdict."""
+    """One row per table: row count, errors, warnings, verdict. Each table is derived once and written for its passes."""
     out = []
-    for name, df in tables.items():
+    for name, given in tables.items():
+        df = settle(given)
         found = problems(df, specs[name]).agg(
             F.count_if(F.col("severity") == "error").alias("error_count"),
             F.count_if(F.col("severity") == "warning").alias("warning_count"),

@@ -55,6 +55,10 @@ SELECT CASE WHEN l_suppkey % 50 <> 0 THEN l_orderkey END AS order_id, l_linenumb
        CASE WHEN l_partkey % 101 <> 0 THEN CAST(l_shipdate AS DATE) END AS end_date
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
 COUNTS = "column_name check_name problem_count#"
+#: columns of two schema tables that the SQL views derive too
+DERIVED = {"leave_records": ("leave_id", "personnel_id", "start_date", "end_date", "days_availed"),
+           "duty_logs": ("personnel_id", "month_start", "days_on_duty", "mean_daily_duty_hours", "total_duty_hours",
+                         "weekly_offs_entitled", "weekly_offs_availed")}
 
 
 @query("csv_as_text_then_cast_s01", "o_orderkey# o_custkey# o_orderstatus o_totalprice* o_orderdate",
@@ -97,7 +101,9 @@ def s04(w):
     return ingest.load_labels(w.spark, sinks.write_csv(rows, scratch(w, "labels")))
 
 
-@query("uploaded_table_with_report_s05", "table_name row_count# error_count# warning_count# is_valid")
+@query("uploaded_table_with_report_s05", "table_name row_count# error_count# warning_count# is_valid", """
+SELECT 'leave_records' AS table_name, count(*) AS row_count, CAST(e AS INT) AS error_count, 1 AS warning_count, NOT e AS is_valid
+FROM v_leave_raw, (SELECT count(*) FILTER (end_date < start_date) > 0 AS e FROM v_leave_raw) GROUP BY e""")
 def s05(w):
     path = sinks.write_csv(w.raw["leave_records"].withColumn("extra", F.lit("x")), scratch(w, "upload"))
     return ingest.load_uploaded(w.spark, path, schemas.TABLES["leave_records"])[1]
@@ -135,19 +141,30 @@ def s08(w):
     return ingest.samples_of(adapter.acoustic_samples(w.spark, w.folder), "P00003")
 
 
-@query("schema_of_tables_s09", "table_name column_name kind row_count#")
+@query("schema_of_tables_s09", "table_name column_name kind nullable filled#", " UNION ALL ".join(f"""
+SELECT '{t}' AS table_name, '{c.name}' AS column_name, '{c.kind}' AS kind, {c.nullable} AS nullable, count({c.name}) AS filled
+FROM {view}""" for t, view in (("leave_records", "v_leave_raw"), ("duty_logs", "v_duty_raw"))
+    for c in schemas.TABLES[t].columns if c.name in DERIVED[t]))
 def s09(w):
-    out = []
-    for name, frame in w.raw.items():
-        n = frame.agg(F.count(F.lit(1)).alias("row_count"))
-        fields = [(name, c.name, c.kind) for c in schemas.TABLES[name].columns]
-        out.append(w.spark.createDataFrame(fields, "table_name string, column_name string, kind string")
-                   .crossJoin(F.broadcast(n)))
+    """The exported schema document read back, with how many values of each column are filled."""
+    import json
     from functools import reduce
+    document = json.loads(schemas.schema_document())
+    out = []
+    for name in DERIVED:
+        columns = [c for c in document[name]["columns"] if c["name"] in DERIVED[name]]
+        entries = F.array(*[F.struct(F.lit(name).alias("table_name"), F.lit(c["name"]).alias("column_name"), F.lit(c["kind"]).alias("kind"),
+                                     F.lit(c["nullable"]).alias("nullable"), F.col(c["name"]).alias("filled")) for c in columns])
+        counts = w.raw[name].agg(*[F.count(c["name"]).alias(c["name"]) for c in columns])
+        out.append(counts.select(F.inline(entries)))
     return reduce(DataFrame.unionByName, out)
 
 
-@query("seven_result_datasets_s10", "dataset row_count#")
+@query("seven_result_datasets_s10", "dataset row_count#", """
+SELECT 'cases' AS dataset, count(*) AS row_count FROM v_cases UNION ALL
+SELECT 'history', count(DISTINCT pseudonym_id) FROM v_scored UNION ALL SELECT 'units', count(*) FROM v_units UNION ALL
+SELECT 'near_misses', count(*) FROM v_find UNION ALL SELECT 'explanations', count(*) FROM v_latest UNION ALL
+SELECT 'meta', 1 UNION ALL SELECT 'alerts', count(*) FROM v_alerts""")
 def s10(w):
     folder = scratch(w, "results")
     sinks.write_results(w.results(), folder)
@@ -156,17 +173,20 @@ def s10(w):
         F.col("table_name").alias("dataset"), F.col("n").alias("row_count"))
 
 
-@query("results_loaded_by_id_s11", "pseudonym_id points#")
+@query("results_loaded_by_id_s11", "pseudonym_id points#", """
+SELECT pseudonym_id, count(*) AS points FROM v_scored WHERE pseudonym_id = (SELECT min(pseudonym_id) FROM v_roster)
+GROUP BY pseudonym_id""")
 def s11(w):
     from fettle.operators import results
     folder = scratch(w, "history")
     results.history(w.classified).write.parquet(f"{folder}/history")
     loaded = {"history": w.spark.read.parquet(f"{folder}/history")}
-    someone = w.roster_keys.agg(F.min("pseudonym_id")).first()[0]
+    someone = w.roster_keys.agg(F.min("pseudonym_id")).scalar()
     return sinks.by_id(loaded, "history", someone).select("pseudonym_id", F.size("points").alias("points"))
 
 
-@query("checkins_from_json_lines_s12", "pseudonym_id submissions# answers#")
+@query("checkins_from_json_lines_s12", "pseudonym_id submissions# answers#", """
+SELECT pseudonym_id, count(DISTINCT submission_id) AS submissions, count(*) AS answers FROM v_checkins GROUP BY pseudonym_id""")
 def s12(w):
     path = scratch(w, "checkins")
     w.checkins.select("pseudonym_id", F.col("submitted_at").cast("string").alias("submitted_at"), "answers") \
@@ -234,7 +254,9 @@ def s16(w):
 
 
 # --- V ------------------------------------------------------------------------
-@query("missing_and_unexpected_columns_v01", "table_name severity check_name column_name row_count#")
+@query("missing_and_unexpected_columns_v01", "table_name severity check_name column_name row_count#", """
+SELECT 'lines' AS table_name, severity, check_name, column_name, (SELECT count(*) FROM v_lines) AS row_count
+FROM (VALUES ('error', 'missing_column', 'note'), ('warning', 'unexpected_column', 'stray')) t(severity, check_name, column_name)""")
 def v01(w):
     frame = line_texts(w).drop("note").withColumn("stray", F.lit("x"))
     n = frame.agg(F.count(F.lit(1)).alias("row_count"))
@@ -307,8 +329,12 @@ WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)"""
 
 
 @query("one_report_per_table_v09", "table_name row_count# error_count# warning_count# is_valid", """
-SELECT 'lines' AS table_name, count(*) AS row_count, 9 AS error_count, 0 AS warning_count, false AS is_valid
-FROM v_lines""")
+SELECT 'lines' AS table_name, n AS row_count, e AS error_count, 0 AS warning_count, e = 0 AS is_valid
+FROM (SELECT count(*) AS n, CAST(bool_or(l_partkey % 97 = 0) AS INT) + CAST(bool_or(l_suppkey % 33 = 0) AS INT)
+  + CAST(bool_or(l_partkey % 101 = 0) AS INT) + CAST(bool_or(order_id IS NULL) AS INT) + CAST(bool_or(l_tax = 0) AS INT)
+  + CAST(bool_or(l_partkey % 97 <> 0 AND l_partkey % 89 = 0 AND l_quantity > 0) AS INT)
+  + CAST(coalesce(bool_or(end_date < start_date), false) AS INT) + CAST(bool_or(flag NOT IN ('A', 'N')) AS INT)
+  + CAST(count(*) > count(DISTINCT (order_id, line_no)) AS INT) AS e FROM v_lines)""")
 def v09(w):
     return quality.table_reports({"lines": line_texts(w)}, {"lines": LINES})
 
@@ -593,7 +619,8 @@ def p09(w):
     return w.events.select("event_id", privacy.namespace(subject).alias("kind"))
 
 
-@query("unit_level_leak_guard_p10", "unit_id mean_risk* is_near_miss")
+@query("unit_level_leak_guard_p10", "unit_id mean_risk* is_near_miss", """
+SELECT u.unit_id, mean_risk, f.unit_id IS NOT NULL AS is_near_miss FROM v_units u LEFT JOIN v_find f ON f.unit_id = u.unit_id""")
 def p10(w):
     from fettle.operators import results
     from fettle.operators.privacy import IndividualDataLeak
@@ -616,16 +643,19 @@ def p11(w):
     return privacy.suppress_small(stats, "personnel_count", ["mean_balance"])
 
 
-@query("generation_only_columns_absent_p12", "feature_columns# row_count#")
+@query("generation_only_columns_absent_p12", "column_name filled#", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS filled FROM v_with_voice" for c in P.MODEL_INPUTS))
 def p12(w):
-    frame = privacy.assert_absent(w.scored)
-    return frame.agg(F.count(F.lit(1)).alias("row_count")).withColumn("feature_columns", F.lit(len(frame.columns)))
+    """The columns that reach a model, each with its filled values."""
+    frame = privacy.assert_absent(w.behaviour).select(*P.MODEL_INPUTS)
+    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("filled")) for c in frame.columns])
+    return frame.agg(*[F.count(c).alias(c) for c in frame.columns]).select(F.inline(entries))
 
 
 @query("row_scope_p13", "pseudonym_id scope welfare_risk_score*", """
 SELECT pseudonym_id, 'officer' AS scope, welfare_risk_score FROM v_cases WHERE is_officer_visible UNION ALL
 SELECT pseudonym_id, 'own', welfare_risk_score FROM v_cases WHERE pseudonym_id = (SELECT min(pseudonym_id) FROM v_roster)""")
 def p13(w):
-    someone = w.roster_keys.agg(F.min("pseudonym_id")).first()[0]
+    someone = w.roster_keys.agg(F.min("pseudonym_id")).scalar()
     return privacy.officer_rows(w.cases).withColumn("scope", F.lit("officer")).unionByName(
         privacy.own_rows(w.cases, someone).withColumn("scope", F.lit("own")))

@@ -272,7 +272,9 @@ def a08(w):
     return acoustic.stress_signals(w.samples)
 
 
-@query("sequential_processing_a09", "pseudonym_id results# reliable# final_checkin")
+@query("sequential_processing_a09", "pseudonym_id results# reliable# final_checkin", """
+SELECT pseudonym_id, count(*) AS results, count(*) FILTER (is_reliable) AS reliable, max(sample_date) AS final_checkin
+FROM v_stress GROUP BY pseudonym_id""")
 def a09(w):
     return acoustic.stress_signals(w.samples).groupBy("pseudonym_id").agg(
         F.count(F.lit(1)).alias("results"), F.count_if("is_reliable").alias("reliable"),

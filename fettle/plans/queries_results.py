@@ -307,7 +307,7 @@ NOW = datetime(2024, 1, 31)
 LATER = datetime(2025, 1, 21)
 
 
-@query("access_decisions_appended_l01", "day n#")
+@query("access_decisions_appended_l01", "day n#", "SELECT CAST(\"at\" AS DATE) AS day, count(*) AS n FROM v_access GROUP BY 1")
 def l01(w):
     from fettle.plans.queries_data import scratch
     path = scratch(w, "access")
