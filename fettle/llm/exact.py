@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from fettle.llm.rows import named
 from fettle.operators.spread import settle, shared_folder
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "spark.sql.streaming.stateStore."
+#: on disk, and without space set aside ahead: there is one store per shuffle partition
+ON_DISK = {f"{STATE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+           f"{STATE}rocksdb.allowFAllocate": "false"}
 SALTS = 16
 
 
@@ -38,13 +41,14 @@ def sha256(text: Column) -> Column:
 @contextmanager
 def disk_state(spark: SparkSession):
     """State on disk while the stream runs."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, PROVIDER)
+    before = {name: spark.conf.get(name, None) for name in ON_DISK}
+    for name, value in ON_DISK.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _glob(path: str) -> str:
@@ -99,7 +103,8 @@ def deduplicate(spark: SparkSession, path: str, key: str = "doc_id", text: str =
     body = normalised(named(text))
     whole = table.select(digest(body).alias("digest"), body.alias("body"), named(key).alias("key"),
                          F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    hits = whole.withColumn("salt", salt).join(asked, ["digest", "salt"], "left_semi")
+    # by shuffle at every size: the list of hits grows with the table
+    hits = whole.withColumn("salt", salt).join(asked.hint("merge"), ["digest", "salt"], "left_semi")
     rank = F.struct(F.col("key").isNull().alias("none"), "key", "file", "at")
     texts = settle(hits.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("size"), F.min(rank).alias("first")))
     kinds = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("kinds"))
