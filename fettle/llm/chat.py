@@ -74,7 +74,7 @@ def reconstruct(log: DataFrame) -> DataFrame:
     whole = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("all"))
     # a message goes if a message before it was regenerated after this one began
     kept = F.filter("all", lambda m: ~F.exists(
-        "all", lambda r: (r["first"] < m["first"]) & (r["redone"] > m["first"])))
+        "all", lambda r: F.coalesce((r["first"] < m["first"]) & (r["redone"] > m["first"]), F.lit(False))))
     return whole.select("conv_id", F.when(F.exists("all", lambda m: m["redone"].isNotNull()), kept)
                         .otherwise(F.col("all")).alias("messages"))
 
