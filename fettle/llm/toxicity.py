@@ -4,8 +4,8 @@ P(grade <= k) = logistic(threshold_k - w.x): one weight per word shared by all g
 ordered thresholds between them. Output are the probabilities, the expected severity
 (the sum of P(grade >= k)) and the decision P(grade >= 1) >= ``cut``.
 
-Fit. At most ``SAMPLE_ROWS`` labelled texts of each class, the smallest by a hash of text
-and key (repeated texts count once), meet in one task. Words are counted by their
+Fit. At most ``SAMPLE_ROWS`` labelled texts of each class, chosen by a hash of the key
+(repeated texts count once), meet in one task. Words are counted by their
 neighbourhoods: the same word between the same two words counts once, however many copies
 of a passage there are, so copied pages teach nothing about their vocabulary. Words that
 occur in enough neighbourhoods and lean clearly to one class are the features, at most
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fettle.llm.rows import layout, named, packed, unpacked
+from fettle.operators.spread import settle
 
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 3_000
 MAX_WORDS = 1024
 GRADES = (1, 4, 7)  # telling words from which on a toxic text has grade 1, 2, 3
 CUT = 0.5
@@ -50,52 +51,68 @@ class Ordinal:
         """P(grade >= k) for k from 1."""
         weights = self.weights
         counts = Counter(filter(weights.__contains__, words_of(text)))
-        score = sum(weights[w] * math.log1p(n) for w, n in counts.items())
+        score = sum(weights[w] * (1.0 + math.log(n)) for w, n in counts.items())
         return [1.0 / (1.0 + math.exp(min(500.0, max(-500.0, t - score)))) for t in self.thresholds]
 
 
-def telling_words(docs: list[tuple[list[str], int]], least: float = 0.01) -> tuple[dict[str, int], set[str]]:
-    """(feature words, those that tell toxicity), from neighbourhood counts of both classes."""
-    seen: dict[str, tuple[set, set]] = {}
-    for words, toxic in docs:
-        padded = ["", *words, ""]
-        for i, w in enumerate(words):
-            seen.setdefault(w, (set(), set()))[toxic].add(hash((padded[i], padded[i + 2])))
-    toxic_docs = max(1, sum(t for _, t in docs))
-    clean_docs = max(1, len(docs) - sum(t for _, t in docs))
-    total = [sum(len(v[k]) for v in seen.values()) or 1 for k in (0, 1)]
-    scored = []
-    for w, (clean, toxic) in seen.items():
-        a, b = len(toxic), len(clean)
-        if a < max(5, least * toxic_docs) and b < max(5, least * clean_docs):
-            continue
-        odds = math.log((a + 0.5) / (total[1] + 1) / ((b + 0.5) / (total[0] + 1)))
-        error = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if abs(odds) > 4 * error:
-            scored.append((abs(odds) / error, w, odds, a, b))
-    scored.sort(reverse=True)
-    chosen = scored[:MAX_WORDS]
-    telling = {w for _, w, odds, a, b in chosen if odds > 0 and a >= max(5, least * toxic_docs) and b <= 0.1 * a}
-    return {w: i for i, (_, w, *_) in enumerate(sorted(chosen, key=lambda x: x[1]))}, telling
-
-
-def fit(docs: list[tuple[str | None, int]], ridge: float = 1.0, rounds: int = 300) -> Ordinal:
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def neighbourhoods(docs: list, width: int):
+    """How many different neighbourhoods each word number has; ``docs`` are arrays of word numbers."""
+    import numpy as np
+
+    if not docs:
+        return np.zeros(width, np.int64)
+    edge = np.array([-1])
+    word = np.concatenate(docs).astype(np.uint64)
+    before = np.concatenate([np.concatenate((edge, d[:-1])) for d in docs if len(d)] or [edge[:0]]).astype(np.uint64)
+    after = np.concatenate([np.concatenate((d[1:], edge)) for d in docs if len(d)] or [edge[:0]]).astype(np.uint64)
+    mixed = word * np.uint64(0x9E3779B97F4A7C15) + before * np.uint64(0xC2B2AE3D27D4EB4F) + after * np.uint64(0x165667B19E3779F9)
+    _, first = np.unique(mixed ^ (mixed >> np.uint64(29)), return_index=True)
+    return np.bincount(word[first].astype(np.int64), minlength=width)
+
+
+def telling_words(names: list[str], clean, toxic, clean_docs: int, toxic_docs: int, least: float = 0.01) -> tuple[dict[str, int], set[str]]:
+    """(feature words, those that tell toxicity), from the neighbourhood counts of both classes."""
+    import numpy as np
+
+    enough = (toxic >= max(5, least * toxic_docs)) | (clean >= max(5, least * clean_docs))
+    odds = np.log((toxic + 0.5) / (toxic.sum() + 1) / ((clean + 0.5) / (clean.sum() + 1)))
+    error = np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    able = np.flatnonzero(enough & (np.abs(odds) > np.maximum(4 * error, math.log(2)))).tolist()
+    chosen = sorted(able, key=lambda k: (-abs(odds[k]) / error[k], names[k]))[:MAX_WORDS]
+    telling = {names[k] for k in chosen if odds[k] > 0 and toxic[k] >= max(5, least * toxic_docs) and clean[k] <= 0.1 * toxic[k]}
+    return {w: i for i, w in enumerate(sorted(names[k] for k in chosen))}, telling
+
+
+def fit(docs: list[tuple[str | None, int]], ridge: float = 0.3, rounds: int = 300) -> Ordinal:
     """Maximum penalised likelihood by accelerated gradient steps on sparse counts."""
     import numpy as np
 
-    split = [(words_of(t), int(bool(y))) for t, y in docs]
-    index, telling = telling_words(split)
+    numbers, labels = _Numbers(), [int(bool(t)) for _, t in docs]
+    split = [np.array([numbers[w] for w in words_of(t)], np.int64) for t, _ in docs]
+    names, toxic_docs = list(numbers), sum(labels)
+    counted = [neighbourhoods([d for d, y in zip(split, labels) if y == k and len(d)], len(names)) for k in (0, 1)]
+    index, telling = telling_words(names, *counted, max(1, len(labels) - toxic_docs), max(1, toxic_docs))
+    column = np.full(len(names) + 1, -1)
+    told = np.zeros(len(names) + 1, bool)
+    for w, i in index.items():
+        column[numbers[w]] = i
+        told[numbers[w]] = w in telling
     grades, row, col, val = [], [], [], []
-    for i, (words, toxic) in enumerate(split):
-        counts = Counter(filter(index.__contains__, words))
-        told = sum(n for w, n in counts.items() if w in telling)
-        grades.append(0 if not toxic else max(1, sum(told >= g for g in GRADES)))
-        for w, n in counts.items():
-            row.append(i)
-            col.append(index[w])
-            val.append(math.log1p(n))
+    for i, (d, toxic) in enumerate(zip(split, labels)):
+        found, n = np.unique(column[d][column[d] >= 0], return_counts=True)
+        grades.append(0 if not toxic else max(1, sum(int(told[d].sum()) >= g for g in GRADES)))
+        row += [i] * len(found)
+        col += found.tolist()
+        val += (1.0 + np.log(n)).tolist()
+    del split, numbers
     top = len(GRADES)
-    y, n, m = np.array(grades, np.int64), len(split), len(index)
+    y, n, m = np.array(grades, np.int64), len(labels), len(index)
     row, col, val = np.array(row, np.int64), np.array(col, np.int64), np.array(val)
     w, theta = np.zeros(m), np.log(np.array([(np.sum(y < k) + 1.0) / (np.sum(y >= k) + 1.0) for k in range(1, top + 1)]))
     theta = np.maximum.accumulate(theta + np.arange(top) * 1e-3)
@@ -129,12 +146,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
         F.max((F.col(label) > 0).cast("int")).alias("_y"))
-    joined = (docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_text IS NOT NULL")
-              .join(known, "_key"))
-    order = F.xxhash64("_text")
-    sample = None
+    present = known.join(docs.filter(named(text).isNotNull()).select(named(key).alias("_key")).distinct(), "_key", "left_semi")
+    # at most 2 x rows keys by hash, so they may go to every task; the texts need not move
+    keys, sample = None, None
     for y in (0, 1):
-        part = joined.filter(F.col("_y") == y).select("_y", order.alias("_order"), "_key", "_text").orderBy("_order", "_key").limit(rows)
+        part = present.filter(F.col("_y") == y).orderBy(F.xxhash64("_key"), "_key").limit(rows)
+        keys = part if keys is None else keys.unionByName(part)
+    keys = settle(keys)
+    joined = docs.select(named(key).alias("_key"), named(text).alias("_text")).filter("_text IS NOT NULL").join(F.broadcast(keys), "_key")
+    for y in (0, 1):  # a key may have many rows
+        part = joined.filter(F.col("_y") == y).select("_y", F.xxhash64("_text").alias("_order"), "_key", "_text").orderBy("_order", "_key").limit(rows)
         sample = part if sample is None else sample.unionByName(part)
 
     def fitted(frame):
