@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -194,15 +196,19 @@ def predict(model: PipelineModel, rows: DataFrame, inputs: Sequence[str] = P.MOD
 def compare(rows: DataFrame, options: Sequence[Candidate], with_cv: bool = False) -> DataFrame:
     """Fit every candidate on one person-disjoint split; one row of test metrics each."""
     train, test = rows.filter(F.col("split") != "test").persist(), rows.filter(F.col("split") == "test").persist()
-    out = []
-    for option in options:
+
+    def measure(option: Candidate) -> tuple:
         model, seconds = fit(train, option)
         scored = predict(model, test)
         m = scoring.regression_metrics(scored, "label", "predicted").crossJoin(
             scoring.band_metrics(scored, "label", "predicted")).first().asDict()
         cv = grouped_cv_r2(train, option) if with_cv else (None, None)
-        out.append((option.name, option.is_tree, float(m["r2"]), float(m["mae"]), float(m["rmse"]),
-                    m["band_accuracy"], m["high_recall"], m["high_precision"], m["escalation_recall"], seconds, *cv))
+        return (option.name, option.is_tree, float(m["r2"]), float(m["mae"]), float(m["rmse"]),
+                m["band_accuracy"], m["high_recall"], m["high_precision"], m["escalation_recall"], seconds, *cv)
+
+    # boosting is a long chain of small jobs: side by side the candidates fill the cluster
+    with ThreadPoolExecutor(max_workers=len(options)) as pool:
+        out = list(pool.map(inheritable_thread_target(measure), options))
     train.unpersist()
     test.unpersist()
     return rows.sparkSession.createDataFrame(out, (

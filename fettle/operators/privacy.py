@@ -31,7 +31,21 @@ def pseudonymise(df: DataFrame, key: bytes) -> DataFrame:
 
 
 def pseudonymise_all(tables: dict[str, DataFrame], key: bytes) -> dict[str, DataFrame]:
-    out = {name: pseudonymise(df, key) for name, df in tables.items()}
+    """Every table without direct identifiers.
+
+    A pseudonym is two digests, so it is taken once per person of the roster and met by
+    the event rows; only rows of somebody not on it compute their own.
+    """
+    people = identity_map(tables["personnel"], key) if "personnel" in tables else None
+
+    def known(name: str, df: DataFrame) -> DataFrame:
+        if people is None or name == "personnel" or "personnel_id" not in df.columns:
+            return pseudonymise(df, key)
+        met = df.join(people.withColumnRenamed("pseudonym_id", "_known"), "personnel_id", "left")
+        own = F.coalesce("_known", pseudonym(F.col("personnel_id"), key))
+        return strip_identifiers(met.withColumn("pseudonym_id", own).drop("_known"))
+
+    out = {name: known(name, df) for name, df in tables.items()}
     for name, df in out.items():
         left = set(df.columns) & set(P.DIRECT_IDENTIFIERS)
         if left:

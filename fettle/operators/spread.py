@@ -47,6 +47,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove what this session has settled; call it when the results are read or written."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    measure: str | None = None, out: str = "running") -> DataFrame:
     """Inclusive running sum of ``measure`` (or row number) per key, in ``order``.
