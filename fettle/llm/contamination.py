@@ -25,7 +25,7 @@ from fettle.llm.rows import layout, named, packed, unpacked
 
 WINDOW = 10
 SHARD_BYTES = 6 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 SAMPLE = 32
 
 #: bytes of words (digits, a-z after lowering, and all of other scripts) stay, the rest are spaces
