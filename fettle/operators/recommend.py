@@ -33,7 +33,7 @@ def recommend(cases: DataFrame, library: DataFrame, limit: int = P.MAX_RECOMMEND
         cases.select("pseudonym_id", "risk_level", "risk_attribution", "confidence_level", "top_signals")
         .join(F.broadcast(library), fits)
         .withColumn("rank", rank).filter(F.col("rank") <= limit)
-        .select("pseudonym_id", "rank", "id", "title", "action_owner", "recipient", "priority",
+        .select("pseudonym_id", "rank", "id", "title", "description", "action_owner", "recipient", "priority",
                 (F.col("confidence_level") == "Low").alias("low_confidence"))
     )
 

@@ -456,7 +456,7 @@ def _library() -> None:
 
     VIEWS["v_library"] = values(
         [(i, *r) for i, r in enumerate(library.INTERVENTIONS)],
-        "position, id, title, signals, levels, attributions, priority, recipient, action_owner")
+        "position, id, title, signals, levels, attributions, priority, recipient, action_owner, description")
     VIEWS["v_questions"] = values(
         [(i, q[0], q[1], q[2], q[3], "free_text" if q[4] else "scale", q[5])
          for i, q in enumerate(library.QUESTIONS)],
@@ -466,7 +466,7 @@ def _library() -> None:
 _library()
 VIEWS["v_rec"] = """
 SELECT * FROM (
-  SELECT c.pseudonym_id, l.id, l.title, l.action_owner, l.recipient, l.priority,
+  SELECT c.pseudonym_id, l.id, l.title, l.description, l.action_owner, l.recipient, l.priority,
          c.confidence_level = 'Low' AS low_confidence,
          row_number() OVER (PARTITION BY c.pseudonym_id ORDER BY l.priority, l.position) AS rank
   FROM v_cases c JOIN v_library l ON list_contains(l.levels, c.risk_level)

@@ -218,8 +218,8 @@ def s13(w):
         "answers", F.coalesce("n", F.lit(0)))
 
 
-@query("intervention_library_s14", "id title priority# recommended#",
-       """SELECT l.id, l.title, l.priority, count(r.pseudonym_id) AS recommended
+@query("intervention_library_s14", "id title description priority# recommended#",
+       """SELECT l.id, l.title, l.description, l.priority, count(r.pseudonym_id) AS recommended
           FROM v_library l LEFT JOIN v_rec r ON r.id = l.id GROUP BY ALL""")
 def s14(w):
     used = w.recommendations.groupBy("id").agg(F.count(F.lit(1)).alias("n"))

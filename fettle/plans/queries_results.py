@@ -48,7 +48,7 @@ def u05(w):
 
 
 # --- K ------------------------------------------------------------------------
-REC = "pseudonym_id rank# id title action_owner recipient priority# low_confidence"
+REC = "pseudonym_id rank# id title description action_owner recipient priority# low_confidence"
 
 
 @query("recommendations_k01", REC, "SELECT * FROM v_rec")
@@ -58,7 +58,7 @@ def k01(w):
 
 VIEWS["v_rec_all"] = """
 SELECT * FROM (
-  SELECT c.pseudonym_id, l.id, l.title, l.action_owner, l.recipient, l.priority,
+  SELECT c.pseudonym_id, l.id, l.title, l.description, l.action_owner, l.recipient, l.priority,
          c.confidence_level = 'Low' AS low_confidence,
          row_number() OVER (PARTITION BY c.pseudonym_id ORDER BY l.priority, l.position) AS rank
   FROM v_cases c JOIN v_library l ON list_contains(l.levels, c.risk_level)

@@ -1,72 +1,32 @@
 """Built-in intervention library and question bank (small, fixed dimensions).
 
-Fixed values. A deployment may read its own documents with
-``ingest.read_interventions`` / ``ingest.read_questions`` instead.
+The fixed values lie in ``documents/*.json`` beside this module. A deployment may read its
+own documents with ``ingest.read_interventions`` / ``ingest.read_questions`` instead.
 """
 
 from __future__ import annotations
 
+import json
+from importlib.resources import files
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-W, R, D, S = ("workload_deviation_signal", "recovery_pattern_signal", "deployment_stability_signal",
-              "schedule_irregularity_signal")
-P_, T, TR, L, FS, V = ("posting_hardship_signal", "transfer_churn_signal", "training_load_signal",
-                       "leave_deficit_signal", "family_separation_signal", "voice_stress_signal")
-BOTH, HIGH = ("Moderate", "High"), ("High",)
-ALL, OWN, UNIT = ("Individual", "Mixed", "Systemic"), ("Individual", "Mixed"), ("Systemic", "Mixed")
 
-# fixed values: id, title, signals, levels, attribution, priority, recipient, owner (library order)
-INTERVENTIONS = (
-    ("schedule_leave", "Schedule Earned Leave", (L, R), BOTH, ALL, 1, "welfare_officer", "reporting_officer"),
-    ("workload_review", "Duty Roster Review", (W, S), BOTH, ALL, 1, "welfare_officer", "unit_commander"),
-    ("counseling_referral", "Welfare Officer Contact", (W, R, D, L), HIGH, OWN, 2, "welfare_officer",
-     "welfare_officer"),
-    ("posting_rotation_flag", "Flag for Rotation Board", (P_, D), BOTH, OWN, 2, "welfare_officer",
-     "establishment_branch"),
-    ("transfer_frequency_review", "Review Transfer Frequency", (T,), BOTH, OWN, 3, "welfare_officer",
-     "establishment_branch"),
-    ("training_schedule_review", "Review Concurrent Training Load", (TR,), BOTH, OWN, 3, "welfare_officer",
-     "training_officer"),
-    ("peer_support_referral", "Unit Peer Support Group", (W, R, S), BOTH, UNIT, 3, "welfare_officer",
-     "peer_support_coordinator"),
-    ("commander_escalation", "Escalate to Commanding Officer", (W, D, P_), HIGH, ("Systemic",), 1, "commander",
-     "welfare_officer"),
-    ("family_contact_support", "Family Contact and Visit Support", (FS, D), BOTH, ALL, 2, "welfare_officer",
-     "unit_welfare_staff"),
-    ("medical_referral", "Offer a Unit Medical Appointment", (W, R, S, P_), HIGH, OWN, 3, "welfare_officer",
-     "welfare_officer"),
-)
+def _document(name: str) -> dict:
+    return json.loads(files("fettle.sources").joinpath("documents", name).read_text(encoding="utf-8"))
+
+
+#: id, title, signals, levels, attribution, priority, recipient, owner, description, in library order
+INTERVENTIONS = tuple(
+    (e["id"], e["title"], tuple(e["applicable_signals"]), tuple(e["applicable_risk_levels"]),
+     tuple(e["applicable_attribution"]), e["priority"], e["recipient"], e["action_owner"], e["description"])
+    for e in _document("interventions.json")["interventions"])
 
-# fixed values: id, group ("" = general), signal, reverse scored, free text, wording
-QUESTIONS = (
-    ("GEN01", "", W, True, False, "Over the last two weeks, how manageable has your workload felt?"),
-    ("GEN02", "", R, True, False, "Over the last two weeks, how well have you been able to rest when off duty?"),
-    ("GEN03", "", "", False, True,
-     "Is there anything about your current posting you would want a welfare officer to know?"),
-    ("WRK01", W, W, False, False, "How often in the last month have you worked beyond your rostered hours?"),
-    ("WRK02", W, W, False, False,
-     "How often has your duty load left you with too little time to eat or sleep properly?"),
-    ("REC01", R, R, True, False, "When you last had time off, how much did it help you recover?"),
-    ("REC02", R, R, True, False, "Have you been able to apply for leave when you wanted to?"),
-    ("DEP01", D, D, False, False, "How much has the length of your current deployment been weighing on you?"),
-    ("DEP02", D, D, True, False,
-     "How much contact have you been able to keep with family during this deployment?"),
-    ("SCH01", S, S, False, False, "How difficult has it been to plan around your duty roster?"),
-    ("SCH02", S, S, False, False, "How much has changing shift timing affected your sleep?"),
-    ("PST01", P_, P_, True, False,
-     "How well are the living and working conditions at your current posting working for you?"),
-    ("PST02", P_, P_, False, False, "How much are you looking forward to your next rotation?"),
-    ("TRF01", T, T, True, False, "How settled do you feel after your recent move?"),
-    ("TRF02", T, T, False, False, "How much disruption did your last transfer cause for your family?"),
-    ("TRN01", TR, TR, True, False, "How manageable have recent training commitments been alongside your duty?"),
-    ("LVE01", L, L, False, True, "What has made it hardest to take the leave you are entitled to?"),
-    ("LVE02", L, L, False, False, "How much would taking your full leave entitlement help right now?"),
-    ("FAM01", FS, FS, False, False,
-     "How much has being posted away from your family been on your mind recently?"),
-    ("FAM02", FS, FS, True, False, "How well have you been able to stay in touch with people at home?"),
-    ("VOI01", V, V, False, False, "How are you finding things this week compared with a month ago?"),
-)
+#: id, group ("" = general), signal, reverse scored, free text, wording
+QUESTIONS = tuple(
+    (q["id"], q["group"], q["signal"], q["reverse_scored"], q["free_text"], q["text"])
+    for q in _document("questions.json")["questions"])
 
 
 def interventions(spark: SparkSession) -> DataFrame:
@@ -74,7 +34,7 @@ def interventions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, (
         "position int, id string, title string, applicable_signals array<string>, "
         "applicable_risk_levels array<string>, applicable_attribution array<string>, priority int, "
-        "recipient string, action_owner string"))
+        "recipient string, action_owner string, description string"))
 
 
 def questions(spark: SparkSession) -> DataFrame:

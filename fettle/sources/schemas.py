@@ -48,109 +48,94 @@ class Table:
         ])
 
 
-def _cols(text: str) -> tuple[Column, ...]:
-    """``name kind [flags]`` per line: ``?`` nullable, ``+`` non-negative, ``o`` optional."""
-    out = []
-    for line in text.strip().splitlines():
-        name, kind, *flags = line.split()
-        out.append(Column(
-            name, kind, required="o" not in flags, nullable="?" in flags, non_negative="+" in flags,
-            allowed={"rank": P.RANKS, "posting_type": P.POSTING_TYPES, "location_type": P.POSTING_TYPES,
-                     "benign_profile": ("", *P.GRAY_PROFILES)}.get(name),
-        ))
-    return tuple(out)
-
-
-_PERSON = {"personnel_id": ("personnel", "personnel_id")}
-_UNIT = {"unit_id": ("unit_capacity", "unit_id")}
-
+# fixed values: the declared tables
 TABLES: dict[str, Table] = {t.name: t for t in (
-    Table("unit_capacity", _cols("""
-        unit_id string
-        unit_name string
-        region_type string
-        operational_tempo float +
-        sanctioned_strength integer +
-        on_strength integer +
-        staffing_ratio float +
-        """), ("unit_id",), description="Establishment strength and staffing per unit."),
-    Table("personnel", _cols("""
-        personnel_id string
-        service_number string
-        name string
-        rank string
-        is_jawan_rank boolean
-        unit_id string
-        region_type string
-        posting_type string
-        date_of_birth date
-        date_of_joining date
-        years_of_service float +
-        current_posting_start_date date
-        family_separated boolean
-        unit_operational_tempo float +
-        exposure_propensity float +
-        benign_profile string ?
-        """), ("personnel_id",), _UNIT, "The roster, one row per person."),
-    Table("leave_records", _cols("""
-        leave_id string
-        personnel_id string
-        leave_type string
-        start_date date
-        end_date date
-        days_availed float +
-        """), ("leave_id",), _PERSON, "Leave spells."),
-    Table("deployment_history", _cols("""
-        deployment_id string
-        personnel_id string
-        unit_id string
-        location_type string
-        deployment_type string
-        start_date date
-        end_date date ?
-        is_current boolean
-        """), ("deployment_id",), {**_PERSON, **_UNIT}, "Deployment spells."),
-    Table("duty_logs", _cols("""
-        personnel_id string
-        month_start date
-        days_on_duty integer +
-        total_duty_hours float +
-        mean_daily_duty_hours float +
-        daily_duty_hours_sd float +
-        night_shifts integer +
-        weekly_offs_entitled integer +
-        weekly_offs_availed integer +
-        """), ("personnel_id", "month_start"), _PERSON, "Monthly duty summary."),
-    Table("transfer_records", _cols("""
-        transfer_id string
-        personnel_id string
-        from_unit_id string
-        to_unit_id string
-        transfer_date date
-        transfer_type string
-        """), ("transfer_id",), _PERSON, "Transfers between units."),
-    Table("training_records", _cols("""
-        training_id string
-        personnel_id string
-        course_name string
-        start_date date
-        end_date date
-        training_hours float +
-        """), ("training_id",), _PERSON, "Training courses."),
-    Table("voice_samples", _cols("""
-        sample_id string
-        personnel_id string
-        sample_date date
-        consent_version string
-        duration_sec float +
-        audio_path string
-        latent_strain float ? o
-        """), ("sample_id",), _PERSON, "Voluntary check-in recordings."),
-    Table("ground_truth_labels", _cols("""
-        personnel_id string
-        snapshot_date date
-        synthetic_welfare_risk_score float +
-        """), ("personnel_id", "snapshot_date"), _PERSON, "Training labels, never read when scoring."),
+    Table("unit_capacity", (
+        Column("unit_id", "string"),
+        Column("unit_name", "string"),
+        Column("region_type", "string"),
+        Column("operational_tempo", "float", non_negative=True),
+        Column("sanctioned_strength", "integer", non_negative=True),
+        Column("on_strength", "integer", non_negative=True),
+        Column("staffing_ratio", "float", non_negative=True),
+    ), ("unit_id",), {}, "Establishment strength and staffing per unit."),
+    Table("personnel", (
+        Column("personnel_id", "string"),
+        Column("service_number", "string"),
+        Column("name", "string"),
+        Column("rank", "string", allowed=P.RANKS),
+        Column("is_jawan_rank", "boolean"),
+        Column("unit_id", "string"),
+        Column("region_type", "string"),
+        Column("posting_type", "string", allowed=P.POSTING_TYPES),
+        Column("date_of_birth", "date"),
+        Column("date_of_joining", "date"),
+        Column("years_of_service", "float", non_negative=True),
+        Column("current_posting_start_date", "date"),
+        Column("family_separated", "boolean"),
+        Column("unit_operational_tempo", "float", non_negative=True),
+        Column("exposure_propensity", "float", non_negative=True),
+        Column("benign_profile", "string", nullable=True, allowed=("", *P.GRAY_PROFILES)),
+    ), ("personnel_id",), {"unit_id": ("unit_capacity", "unit_id")}, "The roster, one row per person."),
+    Table("leave_records", (
+        Column("leave_id", "string"),
+        Column("personnel_id", "string"),
+        Column("leave_type", "string"),
+        Column("start_date", "date"),
+        Column("end_date", "date"),
+        Column("days_availed", "float", non_negative=True),
+    ), ("leave_id",), {"personnel_id": ("personnel", "personnel_id")}, "Leave spells."),
+    Table("deployment_history", (
+        Column("deployment_id", "string"),
+        Column("personnel_id", "string"),
+        Column("unit_id", "string"),
+        Column("location_type", "string", allowed=P.POSTING_TYPES),
+        Column("deployment_type", "string"),
+        Column("start_date", "date"),
+        Column("end_date", "date", nullable=True),
+        Column("is_current", "boolean"),
+    ), ("deployment_id",), {"personnel_id": ("personnel", "personnel_id"), "unit_id": ("unit_capacity", "unit_id")}, "Deployment spells."),
+    Table("duty_logs", (
+        Column("personnel_id", "string"),
+        Column("month_start", "date"),
+        Column("days_on_duty", "integer", non_negative=True),
+        Column("total_duty_hours", "float", non_negative=True),
+        Column("mean_daily_duty_hours", "float", non_negative=True),
+        Column("daily_duty_hours_sd", "float", non_negative=True),
+        Column("night_shifts", "integer", non_negative=True),
+        Column("weekly_offs_entitled", "integer", non_negative=True),
+        Column("weekly_offs_availed", "integer", non_negative=True),
+    ), ("personnel_id", "month_start"), {"personnel_id": ("personnel", "personnel_id")}, "Monthly duty summary."),
+    Table("transfer_records", (
+        Column("transfer_id", "string"),
+        Column("personnel_id", "string"),
+        Column("from_unit_id", "string"),
+        Column("to_unit_id", "string"),
+        Column("transfer_date", "date"),
+        Column("transfer_type", "string"),
+    ), ("transfer_id",), {"personnel_id": ("personnel", "personnel_id")}, "Transfers between units."),
+    Table("training_records", (
+        Column("training_id", "string"),
+        Column("personnel_id", "string"),
+        Column("course_name", "string"),
+        Column("start_date", "date"),
+        Column("end_date", "date"),
+        Column("training_hours", "float", non_negative=True),
+    ), ("training_id",), {"personnel_id": ("personnel", "personnel_id")}, "Training courses."),
+    Table("voice_samples", (
+        Column("sample_id", "string"),
+        Column("personnel_id", "string"),
+        Column("sample_date", "date"),
+        Column("consent_version", "string"),
+        Column("duration_sec", "float", non_negative=True),
+        Column("audio_path", "string"),
+        Column("latent_strain", "float", required=False, nullable=True),
+    ), ("sample_id",), {"personnel_id": ("personnel", "personnel_id")}, "Voluntary check-in recordings."),
+    Table("ground_truth_labels", (
+        Column("personnel_id", "string"),
+        Column("snapshot_date", "date"),
+        Column("synthetic_welfare_risk_score", "float", non_negative=True),
+    ), ("personnel_id", "snapshot_date"), {"personnel_id": ("personnel", "personnel_id")}, "Training labels, never read when scoring."),
 )}
 
 
