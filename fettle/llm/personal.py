@@ -91,7 +91,8 @@ def candidates(text: Column) -> Column:
 def features(c: Column) -> dict[str, Column]:
     """Small-valued features of a candidate; the product of their sizes is at most CELLS."""
     n = F.length(_digits(c["found"]))
-    parts = F.size(F.split(c["found"], r"[^0-9A-Za-z]+"))
+    bare = F.regexp_replace(c["found"], "^[(+]", "")  # not the very sign that a base pattern demands
+    parts = F.size(F.split(bare, r"[^0-9A-Za-z]+"))
     cue = F.lower(c["before"]).rlike(r"(?:phone|tel|call|mobile|fax|mail|contact|card|visa|ssn|address|host|server)")
     return {
         "form": c["form"].cast("int"),  # 2
