@@ -6,13 +6,13 @@ the hashes. Further lanes of 64 bits come from the same hashes, remixed.
 
 Partition. Equal fingerprints are one node. A vantage-point tree over a bounded sample
 cuts the space of fingerprints: each tree node keeps what lies within the median Hamming
-distance of its vantage point apart from the rest. A node is indexed in one leaf (shard)
-and queried in every leaf that its ball of the radius touches, by the triangle bounds,
-so pairs across shard borders are met. Where sizes bound the similarity (``least_size``),
-rings of size are the first cut: the distance from the empty text.
+distance of its vantage point apart from the rest. A node lives in one leaf (shard) and
+visits the leaves that its ball of the radius touches, by the triangle bounds, so pairs
+across shard borders are met. Where sizes bound the similarity (``least_size``), rings of
+size are the first cut: the distance from the empty text.
 
-Search. A shard is searched in blocks of at most ``BLOCK`` indexed and ``BLOCK`` querying
-nodes; a shard of any size, even one dense group, only has more blocks. Inside a block a
+Search. A shard is cut by a hash into chunks of about ``BLOCK`` nodes and searched by
+pairs of chunks; a shard of any size, even one dense group, only has more blocks. Inside a block a
 vantage-point tree prunes again, leaves are compared in full, and links are folded into a
 spanning forest as they are found, so a block returns fewer edges than it has nodes,
 never all pairs of a group. Components of these edges are the groups.
@@ -35,7 +35,7 @@ from fettle.operators.spread import settle
 SEED = 42
 SAMPLE = 4096
 SHARD = 30_000
-BLOCK = 40_000
+BLOCK = 128_000
 LEAF = 1 << 20  # pairs compared at once
 
 
@@ -154,20 +154,28 @@ def vantage_tree(sample, depth: int):
 
 
 def route(tree, points, radius: int):
-    """(point number, leaf) for every leaf that a ball around a point touches; radius 0 gives the one leaf that holds it."""
+    """(point number, leaf, visiting) for every leaf a point is met in.
+
+    A point lives in one leaf. At each cut those that live outside also visit the inside
+    if it lies within the radius, not the other way round: of a pair across the cut one
+    visit is enough. Visitors go wherever the triangle bounds allow.
+    """
     import numpy as np
 
-    found, stack = [], [(tree, np.arange(len(points)))]
+    found, stack = [], [(tree, np.arange(len(points)), np.arange(0))]
     while stack:
-        node, at = stack.pop()
+        node, lives, visits = stack.pop()
         if not isinstance(node, tuple):
-            found.append((at, np.full(len(at), node, np.int64)))
+            at = np.concatenate((lives, visits))
+            found.append((at, np.full(len(at), node, np.int64), np.arange(len(at)) >= len(lives)))
             continue
         point, middle, inside, outside = node
-        far = np.bitwise_count(points[at] ^ np.uint64(point)).astype(np.int64)
-        stack.append((inside, at[far - radius <= middle]))
-        stack.append((outside, at[far + radius > middle]))
-    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+        far = np.bitwise_count(points[lives] ^ np.uint64(point)).astype(np.int64)
+        far_v = np.bitwise_count(points[visits] ^ np.uint64(point)).astype(np.int64)
+        crossing = lives[(far > middle) & (far - radius <= middle)]
+        stack.append((inside, lives[far <= middle], np.concatenate((visits[far_v - radius <= middle], crossing))))
+        stack.append((outside, lives[far > middle], visits[far_v + radius > middle]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 # -- search of a block -----------------------------------------------------------------
@@ -180,6 +188,11 @@ class Forest:
 
         self.label = np.arange(n)
 
+    def one(self, a, b) -> bool:
+        """True if all of both are one group already."""
+        first, second = self.label[a], self.label[b]
+        return bool(first[0] == second[0] and (first == first[0]).all() and (second == first[0]).all())
+
     def join(self, a, b) -> None:
         import numpy as np
 
@@ -197,38 +210,56 @@ class Forest:
                 self.label = up
 
 
-def search_block(index, queries, index_at, query_at, radius: int, forest: Forest, close) -> None:
-    """Joins every indexed and querying point within ``radius`` for which ``close`` holds."""
+def search_block(points, at, lives, visits, radius: int, forest: Forest, close, own: bool = True) -> None:
+    """Joins what lies within ``radius`` and passes ``close``: pairs of ``lives`` with ``visits`` and, if ``own``, among themselves.
+
+    ``at`` gives the forest's number of each point. The tree is cut at the median distance
+    from a vantage point while that saves comparisons.
+    """
     import numpy as np
 
     def compare(i, q):
-        step = max(1, LEAF // max(1, len(i)))
-        points = index[i][None, :]
+        if not len(i) or not len(q):
+            return
+        step = max(1, LEAF // len(i))
+        inner = points[i][None, :]
         for k in range(0, len(q), step):
             part = q[k:k + step]
-            x, y = np.nonzero(np.bitwise_count(points ^ queries[part][:, None]) <= radius)
+            if forest.one(at[i], at[part]):  # a dense group is soon one
+                continue
+            x, y = np.nonzero(np.bitwise_count(inner ^ points[part][:, None]) <= radius)
             if len(x):
                 a, b = i[y], part[x]
                 held = close(a, b)
-                forest.join(index_at[a[held]], query_at[b[held]])
+                forest.join(at[a[held]], at[b[held]])
 
-    stack = [(np.arange(len(index)), np.arange(len(queries)))]
+    def leaf(r, v):
+        compare(r, v)
+        if own:
+            step = max(1, LEAF // max(1, len(r)))
+            for k in range(0, len(r), step):
+                compare(r[:k + step], r[k:k + step])
+
+    stack = [(lives, visits)]
     while stack:
-        i, q = stack.pop()
-        if not len(i) or not len(q):
+        r, v = stack.pop()
+        if not len(r) or not own and not len(v):
             continue
-        if len(i) * len(q) <= LEAF or len(i) < 64:
-            compare(i, q)
+        if len(r) * (len(r) + len(v)) <= LEAF:
+            leaf(r, v)
             continue
-        point = index[i[len(i) // 2]]
-        far_i, far_q = np.bitwise_count(index[i] ^ point), np.bitwise_count(queries[q] ^ point).astype(np.int64)
-        middle = int(np.median(far_i))
-        inside = far_i <= middle
-        near, away = far_q - radius <= middle, far_q + radius > middle
-        if inside.all() or near.sum() + away.sum() > 1.9 * len(q):  # nothing to prune here
-            compare(i, q)
+        point = points[r[len(r) // 2]]
+        far, far_v = np.bitwise_count(points[r] ^ point).astype(np.int64), np.bitwise_count(points[v] ^ point).astype(np.int64)
+        middle = int(np.median(far))
+        inside = far <= middle
+        crossing = r[~inside & (far - radius <= middle)] if own else r[:0]
+        near, away = np.concatenate((v[far_v - radius <= middle], crossing)), v[far_v + radius > middle]
+        n, m = int(inside.sum()), int((~inside).sum())
+        whole = len(r) * len(v) + own * len(r) ** 2 / 2
+        if not m or n * len(near) + m * len(away) + own * (n * n + m * m) / 2 > 0.95 * whole:  # nothing to prune here
+            leaf(r, v)
             continue
-        stack += [(i[inside], q[near]), (i[~inside], q[away])]
+        stack += [(r[inside], near), (r[~inside], away)]
 
 
 # -- linking ---------------------------------------------------------------------------
@@ -253,56 +284,57 @@ def link(nodes: DataFrame, radius: int, lanes: int = 1, total: int | None = None
 
     def routed(batches):
         for batch in batches:
-            at = np.asarray(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
-            parts = []
-            for query, r in ((False, 0), (True, radius)):
-                who, leaf = route(tree, at, r)
-                part = batch.take(pa.array(who))
-                part = part.append_column("leaf", pa.array(leaf)).append_column("query", pa.array(np.full(len(leaf), query)))
-                parts.append(part)
-            yield from parts
+            who, leaf, visiting = route(tree, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), radius)
+            yield batch.take(pa.array(who)).append_column("leaf", pa.array(leaf)).append_column("visits", pa.array(visiting))
 
     base = nodes.select("node", first.alias("point"), "lanes", "size", ring.cast("long").alias("ring"))
     if depth:
-        spread = base.mapInArrow(routed, layout(base, leaf="bigint", query="boolean"))
+        spread = base.mapInArrow(routed, layout(base, leaf="bigint", visits="boolean"))
     else:
-        spread = base.withColumn("leaf", F.lit(0).cast("long")).withColumn("query", F.explode(F.array(F.lit(False), F.lit(True))))
-    if least_size:  # a pair within the size bound lies in one ring or two neighbouring ones: the lower one asks
-        spread = spread.withColumn("ring", F.explode(F.when(F.col("query"), F.array(F.col("ring"), F.col("ring") + 1)).otherwise(F.array("ring"))))
+        spread = base.withColumn("leaf", F.lit(0).cast("long")).withColumn("visits", F.lit(False))
+    if least_size:  # a pair within the size bound lies in one ring or two neighbouring ones: the lower one visits
+        places = F.array(*[F.struct((F.col("ring") + k).alias("ring"), F.lit(bool(k)).alias("visits")) for k in (0, 1)])
+        spread = spread.drop("visits").withColumn("place", F.explode(places)).withColumns(
+            {"ring": F.col("place.ring"), "visits": F.col("place.visits")}).drop("place")
     spread = settle(spread.drop("point"))
     counts = settle(spread.groupBy("ring", "leaf").agg(
-        F.ceil(F.sum(F.when(F.col("query"), 0).otherwise(1)) / BLOCK).cast("int").alias("stores"),
-        F.ceil(F.sum(F.when(F.col("query"), 1).otherwise(0)) / BLOCK).cast("int").alias("askers")).filter("stores > 0 AND askers > 0"))
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    blocks = (spread.join(counts, ["ring", "leaf"])
-              .withColumn("s", F.explode(F.when(F.col("query"), every("stores")).otherwise(F.array(own("stores")))))
-              .withColumn("k", F.explode(F.when(F.col("query"), F.array(own("askers"))).otherwise(every("askers"))))
-              .select("ring", "leaf", "s", "k", "query", "node", "lanes", "size"))
+        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("chunks"), F.count_if(~F.col("visits")).alias("lives"))
+        .filter("lives > 0").select("ring", "leaf", "chunks"))
+    # a shard in chunks: every pair of chunks is a block
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(
+        F.least(c, F.col("chunk")).alias("i"), F.greatest(c, F.col("chunk")).alias("j")))
+    blocks = (spread.join(counts, ["ring", "leaf"]).withColumn("chunk", own).withColumn("pair", F.explode(pairs))
+              .select("ring", "leaf", "pair.i", "pair.j", "chunk", "visits", "node", "lanes", "size"))
 
     def searched(table):
-        asks = np.asarray(table.column("query").to_numpy(zero_copy_only=False)).astype(bool)
-        node = table.column("node").to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        chunk = table.column("chunk").to_numpy()
+        visits = np.asarray(table.column("visits").to_numpy(zero_copy_only=False)).astype(bool)
+        node, size = table.column("node").to_numpy(), table.column("size").to_numpy()
         prints = pc.list_flatten(table.column("lanes")).to_numpy().reshape(-1, lanes).view(np.uint64)
-        size = table.column("size").to_numpy()
         names, at = np.unique(node, return_inverse=True)
-        i, q = np.flatnonzero(~asks), np.flatnonzero(asks)
         forest = Forest(len(names))
 
         def close(a, b):
             ok = np.ones(len(a), bool)
             if lanes > 1:
-                ok &= np.bitwise_count(prints[i[a]] ^ prints[q[b]]).sum(1, dtype=np.int64) <= total
+                ok &= np.bitwise_count(prints[a] ^ prints[b]).sum(1, dtype=np.int64) <= total
             if least_size:
-                x, y = size[i[a]], size[q[b]]
-                ok &= np.minimum(x, y) >= least_size * np.maximum(x, y)
+                ok &= np.minimum(size[a], size[b]) >= least_size * np.maximum(size[a], size[b])
             return ok
 
-        search_block(prints[i, 0], prints[q, 0], at[i], at[q], radius, forest, close)
+        one, other = chunk == i, chunk == j
+        first_lane = np.ascontiguousarray(prints[:, 0])
+        if i == j:
+            search_block(first_lane, at, np.flatnonzero(~visits), np.flatnonzero(visits), radius, forest, close)
+        else:
+            search_block(first_lane, at, np.flatnonzero(one & ~visits), np.flatnonzero(other), radius, forest, close, own=False)
+            search_block(first_lane, at, np.flatnonzero(other & ~visits), np.flatnonzero(one & visits), radius, forest, close, own=False)
         linked = forest.label != np.arange(len(names))
         return pa.table({"a": names[linked], "b": names[forest.label[linked]]})
 
-    return blocks.groupBy("ring", "leaf", "s", "k").applyInArrow(searched, "a bigint, b bigint")
+    return blocks.groupBy("ring", "leaf", "i", "j").applyInArrow(searched, "a bigint, b bigint")
 
 
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
