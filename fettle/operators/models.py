@@ -208,7 +208,7 @@ def compare(rows: DataFrame, options: Sequence[Candidate], with_cv: bool = False
 
     # boosting is a long chain of small jobs: side by side the candidates fill the cluster
     with ThreadPoolExecutor(max_workers=len(options)) as pool:
-        out = list(pool.map(inheritable_thread_target(measure), options))
+        out = list(pool.map(inheritable_thread_target(rows.sparkSession)(measure), options))
     train.unpersist()
     test.unpersist()
     return rows.sparkSession.createDataFrame(out, (
