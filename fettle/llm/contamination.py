@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from fettle.llm.rows import layout, named, packed, unpacked
 
 WINDOW = 10
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 BLOCK_BYTES = 2 << 20
 SAMPLE = 32
 

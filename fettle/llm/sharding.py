@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from fettle.llm.rows import layout, named, packed, unpacked
 from fettle.operators.spread import settle
 
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 16 << 20
 HOT_ROWS = 10_000
 
 
@@ -32,12 +32,12 @@ def _shuffled(seed: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        ordered = bucket.take(pc.sort_indices(bucket, sort_keys=[("canon", "ascending")]))
-        number = ordered.column("bucket")[0].as_py()
+        order = pc.sort_indices(bucket.select(["canon"]), sort_keys=[("canon", "ascending")]).to_numpy()
+        number = bucket.column("bucket")[0].as_py()
         # numpy's permutation is the Fisher-Yates shuffle
-        order = np.random.Generator(np.random.PCG64([seed, number])).permutation(ordered.num_rows)
-        mixed = ordered.take(pa.array(order)).drop_columns(["canon"])
-        return mixed.append_column("place", pa.array(np.arange(mixed.num_rows, dtype=np.int64)))
+        mixed = np.random.Generator(np.random.PCG64([seed, number])).permutation(order)
+        shuffled = bucket.drop_columns(["canon"]).take(pa.array(mixed))
+        return shuffled.append_column("place", pa.array(np.arange(len(mixed), dtype=np.int64)))
 
     return shuffle
 
