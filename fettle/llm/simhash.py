@@ -376,4 +376,5 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     found = components(settle(link(nodes.select("node", "lanes", "size"), radius, lanes, total, least_size)))
     groups = nodes.select("node", "least").join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     kept = settle(groups.select(F.col("least.id").alias("id")))
-    return unpacked(rows.join(kept, "id", "left_semi"), docs.columns, {text: F.col("body")})
+    # by shuffle at every size: the list of kept rows grows with the table
+    return unpacked(rows.join(kept.hint("merge"), "id", "left_semi"), docs.columns, {text: F.col("body")})
