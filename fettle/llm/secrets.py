@@ -85,13 +85,14 @@ def battery(tokens: DataFrame) -> DataFrame:
     low = n - high
     turns = [(n - F.length(F.replace(F.col("_bits"), F.lit(x), F.lit("")))) / 2.0 for x in ("01", "10")]
     mean = 1.0 + 2.0 * high * low / n
-    spread = F.sqrt((mean - 1.0) * (mean - 2.0) / (n - 1.0))
+    gaps = F.greatest(n - 1.0, F.lit(1.0))  # a lone character beside "=" has none
+    spread = F.sqrt((mean - 1.0) * (mean - 2.0) / gaps)
     z_runs = F.when((high * low > 0) & (spread > 0), (1.0 + turns[0] + turns[1] - mean) / spread).otherwise(6.0)
     variance = (a * a - 1.0) / 12.0
     products = F.expr(
         "aggregate(zip_with(slice(_codes, 1, size(_codes) - 1), slice(_codes, 2, size(_codes) - 1), "
         "(x, y) -> (x - (_a - 1) / 2) * (y - (_a - 1) / 2)), 0D, (acc, v) -> acc + v)")
-    z_serial = products / (variance * F.sqrt(n - 1.0))
+    z_serial = products / (variance * F.sqrt(gaps))
     return (rows.withColumn("p_order", F.exp(-(z_runs * z_runs + z_serial * z_serial) / 2.0))
             .drop("_bare", "_alphabet", "_uneven", "_a", "_codes", "_bits"))
 

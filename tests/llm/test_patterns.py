@@ -55,6 +55,12 @@ def test_battery_tells_random_tokens_from_ordinary_ones(spark):
     assert f"see {random_tokens[caught[0]]} here"[span["start"]:span["end"]] == random_tokens[caught[0]]
 
 
+def test_lone_characters_beside_padding_are_tested(spark):
+    rules = ["1" + "=" * 20, "=" * 10 + "2" + "=" * 10, "x" + "=" * 30 + " a1" + "=" * 25, "7" + "-" * 30]
+    got = {r["doc_id"]: r for r in secrets.report(secrets.find_secrets(_by_text(spark, rules + ["token=abcdef12"]))).collect()}
+    assert [got[i]["n_random"] for i in range(5)] == [0] * 5 and got[4]["n_assign"] == 1
+
+
 def test_added_spans_never_touch_base_spans(spark, hard_docs):
     for found in (secrets.find_secrets(hard_docs), personal.find_personal(hard_docs)):
         clash = found.filter(F.exists("added", lambda a: F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]))))
