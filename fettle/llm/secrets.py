@@ -12,8 +12,9 @@ p-value knows the length. Benjamini-Hochberg over all candidates of the corpus,
 bands of length, holds the share of false discoveries at ``rate``. Tokens whose order is
 not random (runs or serial correlation) are then turned down.
 
-The p-values are counted on a grid of fixed width before they are ranked, rounded up,
-so what the step-up procedure sorts is bounded whatever the corpus holds.
+The p-values are counted on a logarithmic grid before they are ranked, rounded up by at
+most 1.1 %, so what the step-up procedure sorts is bounded whatever the corpus holds,
+and a token that is random beyond doubt is accepted among any number of ordinary ones.
 
 Everything is a Column expression or an aggregate; rows never leave the JVM.
 """
@@ -40,7 +41,8 @@ ALPHABETS = {
     "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.0),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.0),
 }
-GRID = 4096
+GRID = 64  # steps to a halving of the p-value
+LEAST = 1e-300
 BANDS = (20, 32, 64)
 
 
@@ -102,14 +104,19 @@ def band_of(size: Column) -> Column:
     return sum((F.when(size >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(0)).cast("int")
 
 
+def step_of(p: Column) -> Column:
+    """Grid step of a p-value: the larger, the less likely; 2 ** (-step / GRID) is never below the p-value."""
+    return F.floor(-F.log2(F.greatest(F.least(p, F.lit(1.0)), F.lit(LEAST))) * GRID).cast("int")
+
+
 def cutoffs(tested: DataFrame, rate: float) -> DataFrame:
-    """Per band the largest grid step that Benjamini-Hochberg accepts, as a one-row map."""
+    """Per band the least grid step, that is the largest p-value, that Benjamini-Hochberg accepts, as a one-row map."""
     counts = tested.groupBy("band", "step").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("band").orderBy("step")
+    upto = Window.partitionBy("band").orderBy(F.desc("step"))
     whole = Window.partitionBy("band")
     ranked = counts.withColumn("k", F.sum("n").over(upto)).withColumn("m", F.sum("n").over(whole))
-    passed = ranked.filter((F.col("step") + 1) / F.lit(float(GRID)) <= F.lit(rate) * F.col("k") / F.col("m"))
-    best = passed.groupBy("band").agg(F.max("step").alias("step"))
+    passed = ranked.filter(F.pow(F.lit(2.0), -F.col("step") / F.lit(float(GRID))) <= F.lit(rate) * F.col("k") / F.col("m"))
+    best = passed.groupBy("band").agg(F.min("step").alias("step"))
     return best.agg(F.map_from_entries(F.collect_list(F.struct("band", "step"))).alias("_cut"))
 
 
@@ -131,10 +138,10 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rate:
     found = (rows.select(F.explode("tokens").alias("t")).select(F.col("t.found").alias("token"))
              .groupBy("token").agg(F.count(F.lit(1)).alias("copies")))
     tested = (battery(found).withColumn("band", band_of(F.col("size")))
-              .withColumn("step", F.least(F.lit(GRID - 1), F.floor(F.col("p_even") * GRID)).cast("int")))
+              .withColumn("step", step_of(F.col("p_even"))))
     cut = cutoffs(tested, rate)
     secret = (tested.crossJoin(F.broadcast(cut))
-              .filter((F.col("step") <= F.col("_cut")[F.col("band")]) & (F.col("p_order") >= order_level))
+              .filter((F.col("step") >= F.col("_cut")[F.col("band")]) & (F.col("p_order") >= order_level))
               .select("token"))
     # the few candidates outside the base spans meet the accepted tokens
     clear = F.filter("tokens", lambda t: clear_of(t, F.col("base")))

@@ -61,6 +61,25 @@ def test_lone_characters_beside_padding_are_tested(spark):
     assert [got[i]["n_random"] for i in range(5)] == [0] * 5 and got[4]["n_assign"] == 1
 
 
+def test_few_random_tokens_among_many_ordinary_ones(spark):
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choices(letters, k=87)) + "7" for _ in range(8)]
+    ordinary = [f"authentication-handler-configuration-of-the-service-account-manager-number-{i}" for i in range(8000)]
+    texts = [f"see {k} here" for k in keys] + [" ".join(ordinary[i:i + 400]) for i in range(0, 8000, 400)]
+    got = {r["key"]: [(s["start"], s["end"]) for s in r["added"]] for r in secrets.find_secrets(_by_text(spark, texts)).collect()}
+    assert sum(got[i] == [(4, 92)] for i in range(8)) >= 7  # 0.1 % of the candidates of their band
+    assert not any(got[i] for i in range(8, len(texts)))
+
+
+def test_grid_steps_keep_small_p_values_apart(spark):
+    p = [1.0, 0.5, 0.05, 1 / 4096, 1e-6, 1.02e-6, 8e-20, 1e-299, 0.0]
+    step = [r["s"] for r in spark.createDataFrame([(x,) for x in p], "p double").select(secrets.step_of(F.col("p")).alias("s")).collect()]
+    for x, s in zip(p[:-1], step):
+        assert x * (1 - 1e-9) <= 2.0 ** (-s / secrets.GRID) <= 1.011 * x
+    assert len(set(step)) == len(step)
+
+
 def test_added_spans_never_touch_base_spans(spark, hard_docs):
     for found in (secrets.find_secrets(hard_docs), personal.find_personal(hard_docs)):
         clash = found.filter(F.exists("added", lambda a: F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]))))
