@@ -1,16 +1,19 @@
 """Toxicity grades by a cumulative-link (ordinal) regression over sparse word counts.
 
-P(grade <= k) = logistic(threshold_k - w.x): one weight per word shared by all grades,
+P(grade <= k) = logistic(threshold_k - w.x): one weight per feature shared by all grades,
 ordered thresholds between them. Output are the probabilities, the expected severity
 (the sum of P(grade >= k)) and the decision P(grade >= 1) >= ``cut``.
 
-Fit. At most ``SAMPLE_ROWS`` labelled texts of each class, chosen by a hash of the key
-(repeated texts count once), meet in one task. Words are counted by their
-neighbourhoods: the same word between the same two words counts once, however many copies
-of a passage there are, so copied pages teach nothing about their vocabulary. Words that
-occur in enough neighbourhoods and lean clearly to one class are the features, at most
-``MAX_WORDS``. Labels only say toxic or not; the grade of a toxic text is 1, 2 or 3 by how
-many telling words it holds (``GRADES``). The model is a table of words and weights.
+Features. A word counts by itself and by its beginnings of ``STEMS`` letters, so that the
+inflected forms of a stem share their evidence. Beginnings are hashed into ``BUCKETS``
+weights: none is left out, however rare. Words of two or more labelled texts have a weight
+of their own besides. The ridge, not a threshold, keeps rare features small; it is
+lighter for features that lie in many toxic texts and few clean ones.
+
+Fit. At most ``SAMPLE_ROWS`` labelled texts of each class, chosen by a hash of the key,
+meet in one task; repeated texts count once. Labels only say toxic or not; the grade of a
+toxic text is 1, 2 or 3 by how many telling words it holds (``GRADES``): words of which
+the word itself or a beginning lies in many toxic texts and few clean ones.
 
 Scoring reads whole texts, once, where they lie.
 """
@@ -19,8 +22,9 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +33,13 @@ from fettle.llm.rows import layout, named, packed, unpacked
 from fettle.operators.spread import settle
 
 SAMPLE_ROWS = 3_000
-MAX_WORDS = 1024
+STEMS = (4, 5, 6, 7, 8)
+BUCKETS = 1 << 18
 GRADES = (1, 4, 7)  # telling words from which on a toxic text has grade 1, 2, 3
 CUT = 0.5
+RIDGE = 30.0
+SURE_RIDGE = 0.3  # of features that tell toxicity
+RATE = 0.1  # length of a step of the fit
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -40,18 +48,32 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower()) if text else []
 
 
+def stems_of(word: str) -> list[int]:
+    """Buckets of the beginnings of a word."""
+    return [zlib.crc32(f"{k}{word[:k]}".encode()) % BUCKETS for k in STEMS if k <= len(word)]
+
+
 @dataclass(frozen=True)
 class Ordinal:
-    """Weights by word and ordered thresholds."""
+    """Weights by word and by bucket of beginnings, and ordered thresholds."""
 
     weights: dict[str, float]
     thresholds: tuple[float, ...]
+    stems: dict[int, float] = field(default_factory=dict)
+    _known: dict[str, float] = field(default_factory=dict, init=False, repr=False, compare=False)
+
+    def weight(self, word: str) -> float:
+        """What one occurrence of the word adds."""
+        known = self._known.get(word)
+        if known is None:
+            if len(self._known) >= 1 << 18:  # a cache only
+                self._known.clear()
+            known = self._known[word] = self.weights.get(word, 0.0) + sum(self.stems.get(k, 0.0) for k in stems_of(word))
+        return known
 
     def shares(self, text: str | None) -> list[float]:
         """P(grade >= k) for k from 1."""
-        weights = self.weights
-        counts = Counter(filter(weights.__contains__, words_of(text)))
-        score = sum(weights[w] * (1.0 + math.log(n)) for w, n in counts.items())
+        score = sum(self.weight(w) * (1.0 + math.log(n)) for w, n in Counter(words_of(text)).items())
         return [1.0 / (1.0 + math.exp(min(500.0, max(-500.0, t - score)))) for t in self.thresholds]
 
 
@@ -61,81 +83,83 @@ class _Numbers(dict):
         return number
 
 
-def neighbourhoods(docs: list, width: int):
-    """How many different neighbourhoods each word number has; ``docs`` are arrays of word numbers."""
-    import numpy as np
-
-    if not docs:
-        return np.zeros(width, np.int64)
-    edge = np.array([-1])
-    word = np.concatenate(docs).astype(np.uint64)
-    before = np.concatenate([np.concatenate((edge, d[:-1])) for d in docs if len(d)] or [edge[:0]]).astype(np.uint64)
-    after = np.concatenate([np.concatenate((d[1:], edge)) for d in docs if len(d)] or [edge[:0]]).astype(np.uint64)
-    mixed = word * np.uint64(0x9E3779B97F4A7C15) + before * np.uint64(0xC2B2AE3D27D4EB4F) + after * np.uint64(0x165667B19E3779F9)
-    _, first = np.unique(mixed ^ (mixed >> np.uint64(29)), return_index=True)
-    return np.bincount(word[first].astype(np.int64), minlength=width)
-
-
-def telling_words(names: list[str], clean, toxic, clean_docs: int, toxic_docs: int, least: float = 0.01) -> tuple[dict[str, int], set[str]]:
-    """(feature words, those that tell toxicity), from the neighbourhood counts of both classes."""
+def telling(toxic, clean, toxic_docs: int, clean_docs: int):
+    """Which features tell toxicity, from the numbers of texts of both classes that hold them."""
     import numpy as np
 
-    enough = (toxic >= max(5, least * toxic_docs)) | (clean >= max(5, least * clean_docs))
-    odds = np.log((toxic + 0.5) / (toxic.sum() + 1) / ((clean + 0.5) / (clean.sum() + 1)))
+    odds = np.log((toxic + 0.5) / (toxic_docs + 1) / ((clean + 0.5) / (clean_docs + 1)))
     error = np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    able = np.flatnonzero(enough & (np.abs(odds) > np.maximum(4 * error, math.log(2)))).tolist()
-    chosen = sorted(able, key=lambda k: (-abs(odds[k]) / error[k], names[k]))[:MAX_WORDS]
-    telling = {names[k] for k in chosen if odds[k] > 0 and toxic[k] >= max(5, least * toxic_docs) and clean[k] <= 0.1 * toxic[k]}
-    return {w: i for i, w in enumerate(sorted(names[k] for k in chosen))}, telling
+    return (toxic >= 5) & (odds > np.maximum(4 * error, math.log(10)))
+
 
+def fit(docs: list[tuple[str | None, int]], ridge: float = RIDGE, rounds: int = 300,
+        stand_for: tuple[float, float] = (1.0, 1.0)) -> Ordinal:
+    """Maximum penalised likelihood by accelerated gradient steps on sparse counts.
 
-def fit(docs: list[tuple[str | None, int]], ridge: float = 0.3, rounds: int = 300) -> Ordinal:
-    """Maximum penalised likelihood by accelerated gradient steps on sparse counts."""
+    ``stand_for``: how many clean and toxic texts each text of the sample stands for.
+    """
     import numpy as np
 
-    numbers, labels = _Numbers(), [int(bool(t)) for _, t in docs]
-    split = [np.array([numbers[w] for w in words_of(t)], np.int64) for t, _ in docs]
-    names, toxic_docs = list(numbers), sum(labels)
-    counted = [neighbourhoods([d for d, y in zip(split, labels) if y == k and len(d)], len(names)) for k in (0, 1)]
-    index, telling = telling_words(names, *counted, max(1, len(labels) - toxic_docs), max(1, toxic_docs))
-    column = np.full(len(names) + 1, -1)
-    told = np.zeros(len(names) + 1, bool)
-    for w, i in index.items():
-        column[numbers[w]] = i
-        told[numbers[w]] = w in telling
-    grades, row, col, val = [], [], [], []
-    for i, (d, toxic) in enumerate(zip(split, labels)):
-        found, n = np.unique(column[d][column[d] >= 0], return_counts=True)
-        grades.append(0 if not toxic else max(1, sum(int(told[d].sum()) >= g for g in GRADES)))
-        row += [i] * len(found)
-        col += found.tolist()
-        val += (1.0 + np.log(n)).tolist()
-    del split, numbers
-    top = len(GRADES)
-    y, n, m = np.array(grades, np.int64), len(labels), len(index)
-    row, col, val = np.array(row, np.int64), np.array(col, np.int64), np.array(val)
-    w, theta = np.zeros(m), np.log(np.array([(np.sum(y < k) + 1.0) / (np.sum(y >= k) + 1.0) for k in range(1, top + 1)]))
+    numbers, labels = _Numbers(), np.array([int(bool(t)) for _, t in docs], np.int64)
+    rows, cols, reps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, (t, _) in enumerate(docs):
+        found = Counter(words_of(t))
+        rows.append(np.full(len(found), i, np.int64))
+        cols.append(np.array([numbers[w] for w in found], np.int64))
+        reps.append(np.array(list(found.values()), np.int64))
+    row, col, times = np.concatenate(rows), np.concatenate(cols), np.concatenate(reps)
+    names, n, size = list(numbers), len(labels), len(numbers)
+    stems = [stems_of(w) for w in names]
+    owner = np.repeat(np.arange(size), [len(x) for x in stems])  # word number and bucket of each beginning
+    bucket = np.array([k for x in stems for k in x], np.int64)
+    own = (np.bincount(col, minlength=size) >= 2).astype(float)
+    del rows, cols, reps, stems, numbers
+    # grades of the toxic texts
+    texts = [np.bincount(col[labels[row] == k], minlength=size) for k in (0, 1)]
+    docs_of = [max(1, int((labels == k).sum())) for k in (0, 1)]
+    told = telling(texts[1], texts[0], docs_of[1], docs_of[0])
+    sure = np.concatenate((told, np.zeros(BUCKETS, bool)))
+    if len(bucket):
+        in_row = np.repeat(np.arange(len(row)), np.bincount(owner, minlength=size)[col])
+        first = np.cumsum(np.bincount(owner, minlength=size)) - np.bincount(owner, minlength=size)
+        step = np.arange(len(in_row)) - np.repeat(np.cumsum(np.bincount(owner, minlength=size)[col]) - np.bincount(owner, minlength=size)[col],
+                                                  np.bincount(owner, minlength=size)[col])
+        held = np.unique(row[in_row] * BUCKETS + bucket[first[col[in_row]] + step])  # each bucket once a text
+        del in_row, step
+        per = [np.bincount(held[labels[held // BUCKETS] == k] % BUCKETS, minlength=BUCKETS) for k in (0, 1)]
+        del held
+        sure[size:] = telling(per[1], per[0], docs_of[1], docs_of[0])
+        told |= np.bincount(owner, sure[size:][bucket], minlength=size) > 0
+    pull_back = np.where(sure, SURE_RIDGE, ridge)
+    told_words = np.bincount(row, times * told[col], minlength=n)
+    y = np.where(labels > 0, np.maximum(1, sum((told_words >= g).astype(np.int64) for g in GRADES)), 0)
+    val = 1.0 + np.log(times)
+    top, share = len(GRADES), np.where(labels > 0, stand_for[1], stand_for[0])
+    w, theta = np.zeros(size + BUCKETS), np.log(np.array([(np.sum(share[y < k]) + 1.0) / (np.sum(share[y >= k]) + 1.0) for k in range(1, top + 1)]))
     theta = np.maximum.accumulate(theta + np.arange(top) * 1e-3)
     logistic = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
-    step_w, step_t = np.zeros(m), np.zeros(top)
-    grad2_w, grad2_t = np.zeros(m), np.zeros(top)
-    for k in range(1, rounds + 1 if n else 1):
-        score = np.bincount(row, val * w[col], minlength=n) if m else np.zeros(n)
+    step_w, step_t = np.zeros(len(w)), np.zeros(top)
+    grad2_w, grad2_t = np.zeros(len(w)), np.zeros(top)
+    for k in range(1, rounds + 1 if n and size else 1):
+        word = own * w[:size] + np.bincount(owner, w[size:][bucket], minlength=size)
+        score = np.bincount(row, val * word[col], minlength=n)
         edges = np.concatenate([np.full((n, 1), -np.inf), theta[None, :] - score[:, None], np.full((n, 1), np.inf)], 1)
         with np.errstate(over="ignore"):
             cdf = np.where(np.isinf(edges), (edges > 0).astype(float), logistic(np.where(np.isinf(edges), 0.0, edges)))
         up, low = cdf[np.arange(n), y + 1], cdf[np.arange(n), y]
         p = np.maximum(up - low, 1e-12)
-        d_up, d_low = up * (1 - up) / p, low * (1 - low) / p
+        d_up, d_low = share * up * (1 - up) / p, share * low * (1 - low) / p
         pull = -(d_up - d_low)  # derivative of the log likelihood by the score
-        g_w = (np.bincount(col, val * pull[row], minlength=m) if m else np.zeros(0)) - ridge * w
+        by_word = np.bincount(col, val * pull[row], minlength=size)
+        g_w = np.concatenate((own * by_word, np.bincount(bucket, by_word[owner], minlength=BUCKETS))) - pull_back * w
         g_t = np.bincount(y, d_up, minlength=top + 1)[:top] - np.bincount(y, d_low, minlength=top + 1)[1:]
         for x, g, s1, s2 in ((w, g_w, step_w, grad2_w), (theta, g_t, step_t, grad2_t)):
             s1 += 0.1 * (g - s1)
             s2 += 0.01 * (g * g - s2)
-            x += 0.1 * (s1 / (1 - 0.9 ** k)) / (np.sqrt(s2 / (1 - 0.99 ** k)) + 1e-9)
+            x += RATE * (s1 / (1 - 0.9 ** k)) / (np.sqrt(s2 / (1 - 0.99 ** k)) + 1e-9)
         theta = np.maximum.accumulate(theta)
-    return Ordinal({word: float(w[i]) for word, i in index.items()}, tuple(float(t) for t in theta))
+    return Ordinal({names[i]: float(w[i]) for i in np.flatnonzero(own)}, tuple(float(t) for t in theta),
+                   {int(k): float(w[size + k]) for k in np.unique(bucket)})
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -146,7 +170,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
         F.max((F.col(label) > 0).cast("int")).alias("_y"))
-    present = known.join(docs.filter(named(text).isNotNull()).select(named(key).alias("_key")).distinct(), "_key", "left_semi")
+    present = settle(known.join(docs.filter(named(text).isNotNull()).select(named(key).alias("_key")).distinct(), "_key", "left_semi"))
+    seen = {r["_y"]: r["count"] for r in present.groupBy("_y").count().collect()}
+    # a class cut down to ``rows`` looks rarer than it is: its texts stand for more
+    stand_for = tuple(max(1.0, seen.get(y, 0) / max(1, rows)) for y in (0, 1))
     # at most 2 x rows keys by hash, so they may go to every task; the texts need not move
     keys, sample = None, None
     for y in (0, 1):
@@ -162,13 +189,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         import pandas as pd
 
         frame = frame.drop_duplicates("_text").sort_values(["_order", "_key"])
-        model = fit(list(zip(frame["_text"], frame["_y"])))
-        return pd.DataFrame({"word": [*model.weights, *[None] * len(model.thresholds)],
-                             "value": [*model.weights.values(), *model.thresholds]})
-
-    table = sample.groupBy().applyInPandas(fitted, "word string, value double").collect()
-    thresholds = tuple(sorted(r["value"] for r in table if r["word"] is None)) or (math.inf,) * len(GRADES)
-    return Ordinal({r["word"]: r["value"] for r in table if r["word"] is not None}, thresholds)
+        model = fit(list(zip(frame["_text"], frame["_y"])), stand_for=stand_for)
+        none = [None] * len(model.thresholds)
+        return pd.DataFrame({"word": [*model.weights, *[None] * len(model.stems), *none],
+                             "stem": pd.array([*[None] * len(model.weights), *model.stems, *none], dtype="Int64"),
+                             "value": [*model.weights.values(), *model.stems.values(), *model.thresholds]})
+
+    table = sample.groupBy().applyInPandas(fitted, "word string, stem bigint, value double").toArrow().to_pylist()
+    thresholds = tuple(sorted(r["value"] for r in table if r["word"] is None and r["stem"] is None)) or (math.inf,) * len(GRADES)
+    return Ordinal({r["word"]: r["value"] for r in table if r["word"] is not None}, thresholds,
+                   {r["stem"]: r["value"] for r in table if r["stem"] is not None})
 
 
 def score(docs: DataFrame, model: Ordinal, text: str = "text", cut: float = CUT, columns: list[str] | None = None) -> DataFrame:

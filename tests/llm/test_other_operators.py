@@ -201,6 +201,30 @@ def test_ordinal_model_on_held_out_texts(spark):
     assert sum(model.shares(worst)) > sum(model.shares("ba vile")) > sum(model.shares("ba be"))
 
 
+def _inflected(n, rude, seed):
+    """Rude texts hold stems with one of 600 endings each, so hardly a form comes twice."""
+    r = random.Random(seed)
+    words = [f"{a}{b}{c}ol" for a in "bcdfghklm" for b in "aeiou" for c in "lmnrst"]
+    endings = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrstvxyz"]
+    out = []
+    for _ in range(n):
+        w = r.choices(words, k=r.randrange(40, 120))
+        for _ in range(rude and r.randrange(3, 8)):
+            w.insert(r.randrange(len(w)), r.choice(["achlich", "réeux", "bomente"]) + r.choice(endings))
+        out.append(" ".join(w))
+    return out
+
+
+def test_inflected_forms_share_their_evidence(spark):
+    rows = [(t, 1) for t in _inflected(120, 1, 31)] + [(t, 0) for t in _inflected(600, 0, 32)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id bigint, toxic int")
+    for limit in (toxicity.SAMPLE_ROWS, 150):  # fewer clean texts in the fit than there are
+        model = toxicity.train(docs, labels, rows=limit)
+        held = [model.shares(t)[0] >= toxicity.CUT for t in _inflected(100, 1, 33) + _inflected(300, 0, 34)]
+        assert sum(held[:100]) >= (95 if limit > 600 else 70) and not any(held[100:])
+
+
 def test_no_labels_and_no_documents(spark, hard_docs, no_docs):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = toxicity.train(hard_docs, labels)
