@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fettle.llm import (
-    chat, contamination, exact, fixity, mixing, personal, secrets, sharding, simhash, toxicity,
+    balltree, chat, contamination, exact, fixity, idcoder, infill, mixing, personal, secrets, sharding, simhash, toxicity,
 )
+from fettle.operators.spread import shared_folder
+
+#: the tokenizer of the contract, a file on every machine
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,6 +68,22 @@ def op10_poisson_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text")))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.report(infill.transform(table(spark, folder, "documents"), columns=["doc_id"]))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return balltree.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_id_coder(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    idcoder.write(table(spark, folder, "documents"), path, public_tokenizers.path(TOKENIZER))
+    return idcoder.report(idcoder.read(spark, path))
+
+
 OP6_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -84,6 +105,8 @@ FROM p GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_two_pass_sharding, op3_simhash_groups, op4_personal_data, op5_benchmark_passages,
-        op6_exact_dedup, op7_chat_format, op8_merkle_fixity, op9_ordinal_toxicity, op10_poisson_mixing)}
+        op6_exact_dedup, op7_chat_format, op8_merkle_fixity, op9_ordinal_toxicity, op10_poisson_mixing,
+        op11_fill_in_middle, op12_ranked_search, op13_id_coder)}
 ORACLES: dict[str, str] = {
-    "op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_merkle_fixity": fixity.SQL, "op10_poisson_mixing": mixing.SQL}
+    "op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_merkle_fixity": fixity.SQL, "op10_poisson_mixing": mixing.SQL,
+    "op11_fill_in_middle": infill.SQL, "op12_ranked_search": balltree.SQL}
