@@ -225,6 +225,45 @@ def test_inflected_forms_share_their_evidence(spark):
         assert sum(held[:100]) >= (95 if limit > 600 else 70) and not any(held[100:])
 
 
+def test_many_more_labels_than_rows(spark):
+    rows = [(t, 1) for t in _speech(600, 1, 41)] + [(t, 0) for t in _speech(5_400, 0, 42)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels, rows=600)
+    held = [model.shares(t)[0] >= model.cut for t in _speech(100, 1, 43) + _speech(400, 0, 44)]
+    assert sum(held[:100]) >= 90 and sum(held[100:]) < 8
+    assert toxicity.LEAST_CUT <= model.cut <= toxicity.CUT
+
+
+def test_fit_ends_where_the_loss_is_least():
+    """The derivative of the loss, written out over whole texts, vanishes at the fitted weights."""
+    r = random.Random(9)
+    texts = [(" ".join(r.choices("ab cd ef gh ij kl mn".split(), k=r.randrange(1, 9))), int(r.random() < 0.4)) for _ in range(60)]
+    model = toxicity.fit(texts, ridge=2.0, rounds=500, tolerance=1e-7)
+
+    def loss(weights):
+        m = toxicity.Ordinal(weights, model.thresholds, model.stems)
+        total = sum(2.0 * w * w / 2 for w in weights.values())
+        for t, y in texts:
+            p = m.shares(t)
+            total -= math.log(p[0] - p[1] if y else 1 - p[0])
+        return total
+
+    for word in model.weights:
+        up, down = (loss({**model.weights, word: model.weights[word] + d}) for d in (1e-4, -1e-4))
+        assert abs(up - down) / 2e-4 < 1e-3, word
+
+
+def test_least_point_of_a_quadratic():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(30, 20))
+    h, b = a.T @ a + np.eye(20), rng.normal(size=20)
+    x = toxicity.minimum(lambda v: (0.5 * v @ h @ v - b @ v, h @ v - b), np.zeros(20), 300, 1e-9)
+    assert np.allclose(x, np.linalg.solve(h, b), atol=1e-6)
+
+
 def test_no_labels_and_no_documents(spark, hard_docs, no_docs):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = toxicity.train(hard_docs, labels)
