@@ -199,50 +199,97 @@ def ema_step(centre: float, scale: float, value: float) -> tuple[float, float]:
     return moved, max(mad * P.MAD_TO_SD, abs(moved) * floor)
 
 
-CHUNK, WARM_UP = 4096, 256
-FOLD = ("pseudonym_id string, feature string, sample_id string, sample_date date, value double, "
-        "prior_centre double, prior_scale double, centre double, scale double")
-
-
-def _fold_chunk(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("v")
-    start = rows.iloc[0]
-    centre, scale = (start["centre0"], start["scale0"]) if rows["v"].iloc[0] == 1 else (np.nan, np.nan)
-    centre, scale = (np.nan if c is None or pd.isna(c) else float(c) for c in (centre, scale))
-    before, after = [], []
-    for value in rows["value"]:
-        before.append((centre, scale))
-        centre, scale = ema_step(centre, scale, value)
-        after.append((centre, scale))
-    out = rows[["pseudonym_id", "feature", "sample_id", "sample_date", "value"]].copy()
-    out[["prior_centre", "prior_scale"]] = before
-    out[["centre", "scale"]] = after
-    return out[rows["own"].to_numpy()]
+def scan(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Running composition of the maps x -> max(a x + b, c), a >= 0: each with all before it.
+
+    Such maps are closed under composition, so the passes double what is composed.
+    """
+    a, b, c, step = a.copy(), b.copy(), c.copy(), 1
+    while step < len(a):
+        later, before = slice(step, None), slice(None, -step)
+        b_new, c_new = a[later] * b[before] + b[later], np.maximum(a[later] * c[before] + b[later], c[later])
+        a[later] = a[later] * a[before]
+        b[later], c[later] = b_new, c_new
+        step *= 2
+    return a, b, c
+
+
+#: below any value, yet finite, so that 0 times it is 0
+_NONE = -np.finfo(float).max / 4
+_MAPS = "a double, b double, c double"
+
+
+def _carried(slices: DataFrame) -> DataFrame:
+    """Per slice the state that enters it: one row a slice, composed in their order."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("slice")
+        _, b, c = scan(*(rows[k].to_numpy(float) for k in "abc"))
+        out = np.maximum(b, c)  # the first row of all is a constant map
+        return pd.DataFrame({"slice": rows["slice"].to_numpy(), "carry": np.concatenate(([0.0], out[:-1]))})
+
+    return slices.groupBy().applyInPandas(run, "slice int, carry double")
+
+
+def _scanned(rows: DataFrame) -> DataFrame:
+    """Rows of ``slice`` and ``at`` with maps a, b, c: the composed map of each row within its slice and that of the row before.
+
+    A slice is a range partition of bounded size; both composed maps still wait for what enters the slice.
+    """
+    keep = [f for f in rows.schema.fields if f.name not in ("a", "b", "c")]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("at")
+        a, b, c = scan(*(part[k].to_numpy(float) for k in "abc"))
+        last = np.arange(len(part)) == len(part) - 1
+        return part[[f.name for f in keep]].assign(
+            a=a, b=b, c=c, prior_a=np.append(1.0, a[:-1]), prior_b=np.append(0.0, b[:-1]), prior_c=np.append(_NONE, c[:-1]), last=last)
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keep), _MAPS, "prior_a double, prior_b double, prior_c double, last boolean"])
+    done = spread.settle(rows.groupBy("slice").applyInPandas(run, schema))
+    carry = _carried(done.filter("last").select("slice", "a", "b", "c"))
+    out = lambda p: F.greatest(F.col(f"{p}a") * F.col("carry") + F.col(f"{p}b"), F.col(f"{p}c"))
+    return done.join(F.broadcast(carry), "slice").select(  # one row a slice
+        *[f.name for f in keep], out("").alias("now"), out("prior_").alias("prior"))
 
 
 def ema_fold(samples: DataFrame) -> DataFrame:
     """Running baseline per (person, feature) after the first three check-ins.
 
-    The fold is sequential, but its memory fades by 0.7 per step: after 256
-    steps the start weighs 0.7^256, far below double precision. So a long
-    history is cut into chunks that overlap the previous one by 256 values and
-    are folded independently; a person with any number of check-ins never needs
-    more than one chunk in a task.
+    The fold is sequential, but every step is a map x -> max(a x + b, c) of the state: the
+    centre's is affine, the scale's has its floor. Values are range-partitioned on person,
+    feature and date, so one history spans many slices; each slice composes its maps, the
+    composed maps of the slices are composed in turn, and what enters a slice is put into
+    its maps. The first value of a history has a constant map, which cuts off what came
+    before. Centres first; they give the deviations and floors of the scales.
     """
+    key = ["pseudonym_id", "feature"]
     values = long_form(samples)
     early = first_samples(samples).select("sample_id", F.lit(True).alias("_early"))
     later = values.join(early, "sample_id", "left_anti")
-    numbered = spread.numbered(later, ["pseudonym_id", "feature"], ["sample_date", "sample_id"], "v")
-    chunk = F.floor((F.col("v") - 1) / CHUNK)
-    tail = (F.col("v") - 1) % CHUNK >= CHUNK - WARM_UP
-    places = F.when(tail, F.array(
-        F.struct(chunk.alias("chunk"), F.lit(True).alias("own")),
-        F.struct((chunk + 1).alias("chunk"), F.lit(False).alias("own")),
-    )).otherwise(F.array(F.struct(chunk.alias("chunk"), F.lit(True).alias("own"))))
-    base = early_baseline(samples).select(
-        "pseudonym_id", "feature", F.col("centre").alias("centre0"), F.col("scale").alias("scale0"))
-    spreadout = numbered.select("*", F.inline(places)).join(base, ["pseudonym_id", "feature"], "left")
-    return spreadout.groupBy("pseudonym_id", "feature", "chunk").applyInPandas(_fold_chunk, FOLD)
+    begins = later.groupBy(*key).agg(F.min(F.struct("sample_date", "sample_id")).alias("begin"))
+    base = early_baseline(samples).select(*key, F.col("centre").alias("centre0"), F.col("scale").alias("scale0"))
+    order = [*key, "sample_date", "sample_id"]
+    starts = begins.join(base, key, "left")
+    sliced = (later.join(starts, key).withColumn("first", F.struct("sample_date", "sample_id") == F.col("begin")).drop("begin")
+              .repartitionByRange(*order).sortWithinPartitions(*order)
+              .withColumn("slice", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    alpha, keep = F.lit(P.ACOUSTIC_ALPHA), F.lit(1.0 - P.ACOUSTIC_ALPHA)
+    # centre: a known start or the value itself, then keep * x + alpha * value
+    start = F.coalesce(keep * F.col("centre0") + alpha * F.col("value"), F.col("value"))
+    centres = _scanned(sliced.select("*", F.when(F.col("first"), 0.0).otherwise(keep).alias("a"),
+                                     F.when(F.col("first"), start).otherwise(alpha * F.col("value")).alias("b"), F.lit(_NONE).alias("c")))
+    centres = centres.select("*", F.when(F.col("first"), F.col("centre0")).otherwise(F.col("prior")).alias("prior_centre"),
+                             F.col("now").alias("centre")).drop("now", "prior")
+    floor = F.abs("centre") * F.lit(P.SCALE_FLOOR_FRACTION)
+    deviation = F.abs(F.col("value") - F.col("prior_centre")) * F.lit(P.MAD_TO_SD)
+    # scale: the floor if there was no centre, the bare deviation if there was no scale
+    start = F.when(F.col("prior_centre").isNull(), floor).otherwise(
+        F.greatest(F.coalesce(keep * F.col("scale0") + alpha * deviation, deviation), floor))
+    scales = _scanned(centres.select("*", F.when(F.col("first"), 0.0).otherwise(keep).alias("a"),
+                                     F.when(F.col("first"), start).otherwise(alpha * deviation).alias("b"), floor.alias("c")))
+    return scales.select(*key, "sample_id", "sample_date", "value", "prior_centre",
+                         F.when(F.col("first"), F.col("scale0")).otherwise(F.col("prior")).alias("prior_scale"),
+                         "centre", F.col("now").alias("scale"))
 
 
 def stress_signals(samples: DataFrame) -> DataFrame:
@@ -252,10 +299,7 @@ def stress_signals(samples: DataFrame) -> DataFrame:
     z = way * (F.col("value") - F.col("prior_centre")) / F.col("prior_scale")
     usable = F.col("prior_centre").isNotNull() & F.col("prior_scale").isNotNull() & (F.col("prior_scale") > 0)
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), z) / F.lit(P.ACOUSTIC_SATURATION_SD))
-    nan_free = ema_fold(samples).withColumn(
-        "prior_centre", F.nanvl("prior_centre", F.lit(None).cast("double"))).withColumn(
-        "prior_scale", F.nanvl("prior_scale", F.lit(None).cast("double")))
-    scored = nan_free.groupBy("pseudonym_id", "sample_id").agg(
+    scored = ema_fold(samples).groupBy("pseudonym_id", "sample_id").agg(
         F.sum(F.when(usable, weight * share)).alias("weighted"), F.sum(F.when(usable, weight)).alias("available"))
     early = first_samples(samples).select("sample_id", F.lit(True).alias("_early"))
     everyone = samples.select("pseudonym_id", "sample_id", "sample_date").join(early, "sample_id", "left").join(

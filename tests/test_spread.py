@@ -7,6 +7,8 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fettle import policy as P
@@ -119,13 +121,15 @@ def test_shapley_equals_definition(spark):
     assert all(model[c] == pytest.approx(want[c]) for c in names)
 
 
-def test_ema_chunks_equal_one_long_fold(spark, monkeypatch):
-    monkeypatch.setattr(acoustic, "CHUNK", 300)
-    monkeypatch.setattr(acoustic, "WARM_UP", 200)
+@pytest.mark.parametrize("n", [1_200, 100_000])
+def test_scanned_baselines_equal_one_long_fold(spark, n):
     rng = np.random.default_rng(2)
-    n = 1200
     pdf = pd.DataFrame(rng.normal(5, 1, (n, 7)), columns=P.ACOUSTIC_FEATURES)
-    pdf["sample_id"] = [f"s{i:05d}" for i in range(n)]
+    pdf.loc[n // 2:, "pause_ratio"] *= 1e-3  # the floor of the scale takes hold and lets go
+    pdf.loc[::97, "pause_ratio"] = 5.0
+    if n > 5_000:
+        pdf = pdf.assign(**{c: np.nan for c in P.ACOUSTIC_FEATURES if c != "pause_ratio"})
+    pdf["sample_id"] = [f"s{i:06d}" for i in range(n)]
     pdf["sample_date"] = pd.Timestamp("2026-01-01").date()
     pdf["pseudonym_id"] = "a"
     got = acoustic.ema_fold(spark.createDataFrame(pdf)).filter("feature = 'pause_ratio'").toPandas()
@@ -138,7 +142,40 @@ def test_ema_chunks_equal_one_long_fold(spark, monkeypatch):
         centre, scale = acoustic.ema_step(centre, scale, v)
         want.append((centre, scale))
     assert len(got) == n - 3
-    assert np.allclose(got[["centre", "scale"]].to_numpy(), np.array(want), rtol=1e-12)
+    assert np.allclose(got[["centre", "scale"]].to_numpy(), np.array(want), rtol=1e-11)
+    assert np.allclose(got[["prior_centre", "prior_scale"]].to_numpy()[1:], np.array(want)[:-1], rtol=1e-11)
+
+
+def test_histories_that_begin_without_centre_or_scale(spark):
+    values = {"a": [None, None, None, 4.0, 5.0], "b": [2.0, None, None, 3.0, 9.0], "c": [1.0, 2.0, 4.0], "d": [3.0, 3.0, 3.0, 3.0, None, 8.0]}
+    rows = [(who, f"{who}{i}", i, v) for who, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "pseudonym_id string, sample_id string, day int, pause_ratio double").withColumn(
+        "sample_date", F.date_add(F.lit("2026-01-01").cast("date"), F.col("day")))
+    df = df.select("*", *[F.lit(None).cast("double").alias(c) for c in P.ACOUSTIC_FEATURES if c != "pause_ratio"]).repartition(3)
+    got = {r["sample_id"]: (r["prior_centre"], r["prior_scale"], r["centre"], r["scale"]) for r in acoustic.ema_fold(df).collect()}
+    want = {}
+    for who, vs in values.items():
+        early = [v for v in vs[:3] if v is not None]
+        centre = float(np.median(early)) if early else np.nan
+        scale = max((np.percentile(early, 75) - np.percentile(early, 25)) / P.IQR_TO_SD, abs(centre) * 0.02) if len(early) > 1 else np.nan
+        for i, v in enumerate(vs[3:], 3):
+            if v is not None:
+                before = (centre, scale)
+                centre, scale = acoustic.ema_step(centre, scale, v)
+                want[f"{who}{i}"] = (*before, centre, scale)
+    assert got.keys() == want.keys()
+    for k, expected in want.items():
+        assert np.allclose([np.nan if x is None else x for x in got[k]], expected, rtol=1e-12, equal_nan=True), k
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([0.0, 0.3, 0.7, 1.0]), st.floats(-5, 5), st.floats(-5, 5)), min_size=1, max_size=70), st.floats(-9, 9))
+def test_scan_composes_max_affine_maps(maps, x):
+    a, b, c = acoustic.scan(*(np.array(v, float) for v in zip(*maps)))
+    state = x
+    for i, (p, q, r) in enumerate(maps):
+        state = max(p * state + q, r)
+        assert max(a[i] * x + b[i], c[i]) == pytest.approx(state, abs=1e-9)
 
 
 def test_peaks_by_distance_and_prominence():
