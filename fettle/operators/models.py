@@ -195,10 +195,17 @@ def predict(model: PipelineModel, rows: DataFrame, inputs: Sequence[str] = P.MOD
 
 def compare(rows: DataFrame, options: Sequence[Candidate], with_cv: bool = False) -> DataFrame:
     """Fit every candidate on one person-disjoint split; one row of test metrics each."""
+    return fit_all(rows, options, with_cv)[0]
+
+
+def fit_all(rows: DataFrame, options: Sequence[Candidate], with_cv: bool = False) -> tuple[DataFrame, dict[str, PipelineModel]]:
+    """The rows of ``compare`` and the fitted models by name."""
+    fitted: dict[str, PipelineModel] = {}
     train, test = rows.filter(F.col("split") != "test").persist(), rows.filter(F.col("split") == "test").persist()
 
     def measure(option: Candidate) -> tuple:
         model, seconds = fit(train, option)
+        fitted[option.name] = model
         scored = predict(model, test)
         m = scoring.regression_metrics(scored, "label", "predicted").crossJoin(
             scoring.band_metrics(scored, "label", "predicted")).first().asDict()
@@ -214,7 +221,31 @@ def compare(rows: DataFrame, options: Sequence[Candidate], with_cv: bool = False
     return rows.sparkSession.createDataFrame(out, (
         "model_name string, is_tree boolean, r2 double, mae double, rmse double, band_accuracy double, "
         "high_recall double, high_precision double, escalation_recall double, seconds double, cv_r2 double, "
-        "cv_r2_sd double"))
+        "cv_r2_sd double")), fitted
+
+
+def optimality_gap(rows: DataFrame, model: PipelineModel, penalty: float = 0.0, l1: bool = False,
+                   inputs: Sequence[str] = P.MODEL_INPUTS) -> float:
+    """How far a linear fit is from the conditions of its optimum, in standard deviations of the label.
+
+    On scaled inputs the covariance with the residual must be penalty x weight (L2), or
+    penalty x sign of the weight and nowhere above the penalty (L1). One pass over the rows.
+    """
+    line = model.stages[-1]
+    scored = model.transform(rows.fillna(0.0, subset=list(inputs))).withColumn("_r", F.col("label") - F.col(PREDICTION))
+    row = scored.agg(F.stddev_samp("label").alias("sd"), F.avg("_r").alias("bias"),
+                     *[F.covar_samp(F.col(c), F.col("_r")).alias(f"c{i}") for i, c in enumerate(inputs)],
+                     *[F.stddev_samp(F.col(c)).alias(f"s{i}") for i, c in enumerate(inputs)]).first()
+    gaps = [abs(row["bias"])]
+    for i, w in enumerate(line.coefficients.toArray().tolist()):
+        if not row[f"s{i}"]:
+            continue
+        pull = row[f"c{i}"] / row[f"s{i}"]
+        if not l1:
+            gaps.append(abs(pull - penalty * w))
+        else:
+            gaps.append(abs(pull - penalty * np.sign(w)) if abs(w) > 1e-9 else max(0.0, abs(pull) - penalty))
+    return float(max(gaps) / row["sd"])
 
 
 def deploy(rows: DataFrame, candidate: Candidate) -> tuple[PipelineModel, DataFrame]:
@@ -232,12 +263,15 @@ class Training:
     selected: str
     model: PipelineModel
     calibration: DataFrame
+    fitted: dict[str, PipelineModel]
 
 
 def tuned_candidates(rows: DataFrame) -> list[Candidate]:
     """All six at full size, the penalties chosen on the rows outside the test split."""
     train = rows.filter(F.col("split") != "test")
-    chosen = {"ridge_regression": ridge(alpha=choose_penalty(train, l1=False)[0]),
+    # MLlib divides an L2 penalty by the deviation of the label, an L1 penalty it does not
+    spread_ = train.agg(F.stddev_samp("label").alias("sd")).first()["sd"] or 1.0
+    chosen = {"ridge_regression": ridge(alpha=choose_penalty(train, l1=False)[0] * spread_),
               "lasso_regression": lasso(alpha=choose_penalty(train, l1=True)[0])}
     return [chosen.get(c.name, c) for c in candidates()]
 
@@ -246,10 +280,10 @@ def train(rows: DataFrame, options: Sequence[Candidate] | None = None) -> Traini
     """Fit every candidate, select by the measured rows, fit the selected one for deployment and calibrate it."""
     rows = spread.settle(rows)
     options = tuned_candidates(rows) if options is None else options
-    measured = compare(rows, options)
+    measured, fitted = fit_all(rows, options)
     selected = scoring.select_model(measured).first()["selected"]
     model, calibration = deploy(rows, next(c for c in options if c.name == selected))
-    return Training(measured, selected, model, spread.settle(calibration))
+    return Training(measured, selected, model, spread.settle(calibration), fitted)
 
 
 def scorer(model: PipelineModel) -> Callable[[DataFrame], DataFrame]:

@@ -1,7 +1,8 @@
 """Fitted models: every candidate at full size, the selected one deployed.
 
 The oracle engine has no regressors, so it states what must hold of them: which rows they
-were fitted and measured on, and that every metric and interval is sound.
+were fitted and measured on, that linear fits meet the conditions of their optimum, that
+trees predict what their exported leaves add up to, and that each beats the label's mean.
 """
 
 from __future__ import annotations
@@ -9,26 +10,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fettle.operators import models, scoring
+from fettle import policy as P
+from fettle.operators import explain, models, scoring, tree_shapley
 from fettle.plans.catalog import query
 from fettle.plans.queries_data import scratch
 
-ROW = "model_name is_tree train_rows# test_rows# sound"
+ROW = "model_name is_tree train_rows# test_rows# sound exact learned"
 
 
 def measured_sql(name: str, tree: bool) -> str:
     return f"""
 SELECT '{name}' AS model_name, {tree} AS is_tree, count(*) FILTER (split <> 'test') AS train_rows,
-       count(*) FILTER (split = 'test') AS test_rows, true AS sound FROM v_model"""
+       count(*) FILTER (split = 'test') AS test_rows, true AS sound, true AS exact, true AS learned FROM v_model"""
 
 
-def measured(w) -> DataFrame:
-    """Measured rows of the training run, and whether each metric lies where it must."""
+def measured(w, names=None) -> DataFrame:
+    """Measured rows of the training run, and whether each metric and fit is what it must be."""
     share = lambda c: F.col(c).isNull() | F.col(c).between(0, 1)
     sound = (~F.isnan("r2") & (F.col("r2") <= 1) & (F.col("mae") >= 0) & (F.col("mae") <= F.col("rmse"))
              & share("band_accuracy") & share("high_recall") & share("high_precision") & share("escalation_recall"))
     sizes = w.modelling.agg(F.count_if(F.col("split") != "test").alias("train_rows"), F.count_if(F.col("split") == "test").alias("test_rows"))
-    return w.training.measured.withColumn("sound", sound).crossJoin(F.broadcast(sizes))
+    exact = w.spark.createDataFrame([(n, fitted_exactly(w, n)) for n in (names or w.training.fitted)], "model_name string, exact boolean")
+    return (w.training.measured.withColumn("sound", sound).withColumn("learned", F.col("r2") > 0)
+            .join(F.broadcast(exact), "model_name").crossJoin(F.broadcast(sizes)))
+
+
+def fitted_exactly(w, name: str) -> bool:
+    """Linear fits lie at their optimum, tree predictions are the sums of the leaves they fall into."""
+    model, rows = w.training.fitted[name], w.modelling.filter("split <> 'test'")
+    if not hasattr(model.stages[-1], "treeWeights"):
+        l1 = name == "lasso_regression"
+        penalty = 0.0 if name == "linear_regression" else models.choose_penalty(rows, l1)[0]
+        return models.optimality_gap(rows, model, penalty, l1) < 0.01
+    return leaf_gap(model, rows) < 1e-6
+
+
+def leaf_gap(model, rows: DataFrame, inputs=P.MODEL_INPUTS) -> float:
+    """Largest difference between a prediction and the sum of the leaves that a walk through the exported nodes ends in."""
+    told = model.transform(rows.fillna(0.0, subset=list(inputs)))
+    walked = tree_shapley.walked(told, model.stages[-1], inputs, "prediction")
+    return walked.agg(F.max(F.abs(F.col("walked") - F.col("prediction")))).first()[0] or 0.0
 
 
 NAMES = {"m05": ("least_squares_m05", "linear_regression", False), "m06": ("ridge_penalty_chosen_m06", "ridge_regression", False),
@@ -40,7 +61,7 @@ NAMES = {"m05": ("least_squares_m05", "linear_regression", False), "m06": ("ridg
 def _one(key: str, name: str, tree: bool) -> None:
     @query(key, ROW, measured_sql(name, tree))
     def plan(w):
-        return measured(w).filter(F.col("model_name") == name)
+        return measured(w, [name]).filter(F.col("model_name") == name)
 
 
 for _key, _name, _tree in NAMES.values():
@@ -65,6 +86,23 @@ def m15(w):
     return w.training.calibration.withColumn("sound", F.col("half_width") >= 0)
 
 
+@query("fitted_trees_shapley_m24", "pseudonym_id inputs# prediction_met base_met additive", """
+SELECT pseudonym_id, 11 AS inputs, true AS prediction_met, true AS base_met, true AS additive FROM v_latest""")
+def m24_trees(w):
+    """Exact values of all eleven inputs for the best fitted trees, held against the model's own predictions."""
+    best = w.training.measured.filter("is_tree").orderBy(F.desc("r2"), "model_name").first()["model_name"]
+    model, inputs = w.training.fitted[best], list(P.MODEL_INPUTS)
+    cases, reference = w.latest_signals, explain.background(w.behaviour, inputs=P.MODEL_INPUTS)
+    phi = tree_shapley.model_shapley(cases, reference, model)
+    own = model.transform(cases.fillna(0.0, subset=inputs)).select("pseudonym_id", F.col("prediction").alias("told"))
+    mean = model.transform(reference.fillna(0.0, subset=inputs)).agg(F.avg("prediction").alias("mean"))
+    near = lambda a, b: F.abs(a - b) < 1e-6
+    return phi.join(own, "pseudonym_id").crossJoin(F.broadcast(mean)).select(
+        "pseudonym_id", F.lit(len(inputs)).alias("inputs"), near(F.col("prediction"), F.col("told")).alias("prediction_met"),
+        near(F.col("base_value"), F.col("mean")).alias("base_met"),
+        near(sum((F.col(c) for c in inputs), F.lit(0.0)), F.col("prediction") - F.col("base_value")).alias("additive"))
+
+
 @query("versioned_model_m19", "version_count# rolled_back predictions#",
        "SELECT 2 AS version_count, true AS rolled_back, count(*) AS predictions FROM v_model")
 def m19(w):

@@ -13,7 +13,7 @@ from fettle.functions.keyed_hash import pseudonym
 from fettle.functions.scales import code
 from fettle.operators import (
     acoustic, alerts, analytics, cleaning, explain, features, models, privacy, recommend, results, scoring, signals,
-    spread, units,
+    spread, tree_shapley, units,
 )
 from fettle.sources import adapter, ingest, library
 from fettle.sources.tables import read_table
@@ -39,6 +39,7 @@ class Workload:
             raise ValueError("a pseudonym key is required")
         self.spark, self.folder, self.key = spark, folder, key
         self.settled, self.scorer = settled, scorer
+        self.model = None  # the fitted pipeline behind ``scorer``, if it is one
         self.snapshots = P.snapshots()
 
     def _keep(self, df: DataFrame) -> DataFrame:
@@ -126,6 +127,7 @@ class Workload:
         for stage in ("raw", "clean", "private", "matrix", "voice"):
             run.__dict__[stage] = getattr(self, stage)
         run.__dict__["calibration"] = self.training.calibration
+        run.model = self.training.model
         return run
 
     @cached_property
@@ -171,10 +173,15 @@ class Workload:
 
     @cached_property
     def shapley(self) -> DataFrame:
-        """Exact values: over the nine signals of the index, or over all eleven inputs of a fitted scorer."""
+        """Exact values: over the nine signals of the index, or over all eleven inputs of a fitted scorer.
+
+        A fitted pipeline is explained leaf by leaf (before the score is clipped), any other scorer by coalitions.
+        """
         if self.scorer is None:
             return self._keep(explain.shapley(self.latest_signals, explain.background(self.behaviour)))
         reference = explain.background(self.behaviour, inputs=P.MODEL_INPUTS)
+        if self.model is not None:
+            return self._keep(tree_shapley.model_shapley(self.latest_signals, reference, self.model))
         return self._keep(explain.shapley_by_model(
             self.latest_signals.drop(scoring.SCORE), reference, self.scorer, scoring.SCORE))
 
