@@ -139,11 +139,13 @@ def problems(df: DataFrame, table: Table) -> DataFrame:
 
 
 def table_reports(tables: dict[str, DataFrame], specs: dict[str, Table]) -> DataFrame:
-    """One row per table: row count, errors, warnings, verdict. Each table is derived once and written for its passes."""
-    out = []
-    for name, given in tables.items():
-        df = settle(given)
-        found = problems(df, specs[name]).agg(
+    """One row per table: row count, errors, warnings, verdict; foreign keys are checked between the tables given.
+
+    Each table is derived once and written for its passes.
+    """
+    out, tables = [], {name: settle(given) for name, given in tables.items()}
+    for name, df in tables.items():
+        found = problems(df, specs[name]).unionByName(referential_report(tables, specs, [name])).agg(
             F.count_if(F.col("severity") == "error").alias("error_count"),
             F.count_if(F.col("severity") == "warning").alias("warning_count"),
             F.concat_ws("; ", F.array_sort(F.collect_list(
@@ -157,10 +159,11 @@ def table_reports(tables: dict[str, DataFrame], specs: dict[str, Table]) -> Data
     return reduce(DataFrame.unionByName, out)
 
 
-def referential_report(tables: dict[str, DataFrame], specs: dict[str, Table]) -> DataFrame:
-    """Foreign keys that do not resolve; tables not given are skipped."""
+def referential_report(tables: dict[str, DataFrame], specs: dict[str, Table], names: list[str] | None = None) -> DataFrame:
+    """Foreign keys of ``names`` (all by default) that do not resolve; tables not given are skipped."""
     parts = []
-    for name, df in tables.items():
+    for name in names or list(tables):
+        df = tables[name]
         for column, (parent, key) in specs[name].foreign_keys.items():
             if parent in tables and column in df.columns and key in tables[parent].columns:
                 parts.append(orphans(df, column, tables[parent], key).select(

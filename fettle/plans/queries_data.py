@@ -81,15 +81,20 @@ def s02(w):
     return w.table("orders").select("o_orderkey", ingest.parse_date(text).alias("parsed"))
 
 
-@query("load_tables_lenient_s03", "table_name row_count# error_count# is_valid")
+@query("load_tables_lenient_s03", "table_name row_count# error_count# is_valid", """
+SELECT table_name, n AS row_count, e AS error_count, e = 0 AS is_valid FROM (
+  SELECT 'personnel' AS table_name, count(*) AS n, 1 AS e FROM v_roster_raw UNION ALL
+  SELECT 'unit_capacity', count(*), 3 FROM v_capacity UNION ALL SELECT 'duty_logs', count(*), 0 FROM v_duty_raw UNION ALL
+  SELECT 'leave_records', count(*), CAST(count(*) FILTER (end_date < start_date) > 0 AS INT) FROM v_leave_raw UNION ALL
+  SELECT 'training_records', count(*), 0 FROM v_ev WHERE event_type = 'click' UNION ALL
+  SELECT 'transfer_records', count(*), 0 FROM v_ev WHERE event_type = 'signup' AND k % 5 = 0 UNION ALL
+  SELECT 'deployment_history', count(*), CAST(count(*) FILTER (end_date < start_date) > 0 AS INT) FROM v_deploy_raw)""")
 def s03(w):
+    """All seven tables written as text and loaded; columns that a table lacks and keys that do not resolve are errors."""
     folder = scratch(w, "raw")
-    names = ["unit_capacity", "personnel", "leave_records"]
-    for n in names:
-        frame = w.raw[n]
-        missing = [c for c in schemas.TABLES[n].names if c not in frame.columns]
-        sinks.write_csv(frame.select("*", *[F.lit(1).alias(c) for c in missing]), f"{folder}/{n}.csv")
-    return ingest.load_tables(w.spark, folder, names, strict=False)[1]
+    for n, frame in w.raw.items():
+        sinks.write_csv(frame, f"{folder}/{n}.csv")
+    return ingest.load_tables(w.spark, folder, list(w.raw), strict=False)[1]
 
 
 @query("labels_read_apart_s04", "personnel_id snapshot_date synthetic_welfare_risk_score*",
@@ -433,10 +438,18 @@ UNION ALL SELECT 'leave_records', 'recompute', 'days_availed', count(*) FROM v_l
   WHERE end_date >= start_date AND abs(end_date - start_date - days_availed) > 1
 UNION ALL SELECT 'leave_records', 'cap', 'days_availed', 0
 UNION ALL SELECT 'leave_records', 'drop', 'person not on roster', count(*) FROM v_leave_raw
-  WHERE end_date >= start_date AND personnel_id NOT IN (SELECT personnel_id FROM v_roster)""")
+  WHERE end_date >= start_date AND personnel_id NOT IN (SELECT personnel_id FROM v_roster)
+UNION ALL SELECT t, 'drop', d, 0 FROM (VALUES ('unit_capacity', 'unit_id'), ('deployment_history', 'deployment_id'),
+  ('transfer_records', 'transfer_id'), ('training_records', 'training_id')) g(t, k), (VALUES ('null key'), ('duplicate on ')) e(x),
+  LATERAL (SELECT CASE WHEN x = 'null key' THEN x ELSE x || k END AS d)
+UNION ALL SELECT 'deployment_history', 'drop', 'person not on roster', count(*) FROM v_deploy_raw
+  WHERE personnel_id NOT IN (SELECT personnel_id FROM v_roster)
+UNION ALL SELECT 'transfer_records', 'drop', 'person not on roster', count(*) FROM v_ev
+  WHERE event_type = 'signup' AND k % 5 = 0 AND personnel_id NOT IN (SELECT personnel_id FROM v_roster)
+UNION ALL SELECT 'training_records', 'drop', 'person not on roster', count(*) FROM v_ev
+  WHERE event_type = 'click' AND personnel_id NOT IN (SELECT personnel_id FROM v_roster)""")
 def c11(w):
-    names = ("personnel", "duty_logs", "leave_records")
-    return cleaning.cleaning_log({n: w.raw[n] for n in names})
+    return cleaning.cleaning_log(w.raw)
 
 
 # --- N ------------------------------------------------------------------------

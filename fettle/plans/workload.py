@@ -22,6 +22,10 @@ from fettle.sources.tables import read_table
 DEVELOPMENT_KEY = b"fettle-development-key"
 
 
+# fixed values: the tables a run starts from
+RAW_TABLES = ("unit_capacity", "personnel", "leave_records", "deployment_history", "duty_logs", "transfer_records", "training_records")
+
+
 class Workload:
     """Stages are built once per instance and stay lazy until a result is used.
 
@@ -42,6 +46,13 @@ class Workload:
         self.model = None  # the fitted pipeline behind ``scorer``, if it is one
         self.snapshots = P.snapshots()
 
+    @classmethod
+    def loaded(cls, spark: SparkSession, folder: str, key: bytes, settled: bool = True, strict: bool = True) -> "Workload":
+        """A run over the CSV tables of a folder; with ``strict``, tables that fail validation stop it before anything is derived."""
+        run = cls(spark, folder, key, settled)
+        run.__dict__["raw"], run.reports = ingest.load_tables(spark, folder, RAW_TABLES, strict)
+        return run
+
     def _keep(self, df: DataFrame) -> DataFrame:
         return spread.settle(df) if self.settled else df
 

@@ -236,3 +236,36 @@ def test_medians_odd_even_and_missing(spark):
 def test_results_need_all_seven(spark, tmp_path):
     with pytest.raises(KeyError):
         sinks.write_results({"cases": spark.range(1)}, str(tmp_path))
+
+
+def test_a_run_starts_from_valid_tables_only(spark, tmp_path):
+    from fettle.operators import quality
+    from fettle.plans.workload import RAW_TABLES, Workload
+    from fettle.sources import ingest, sinks
+    from fettle.sources.schemas import TABLES
+
+    given = Workload(spark, "/root/testdata/sf0.001", b"k", settled=True)
+    folder = str(tmp_path / "bad")
+    for name, frame in given.raw.items():
+        sinks.write_csv(frame, f"{folder}/{name}.csv")
+    with pytest.raises(ingest.InvalidTables):
+        Workload.loaded(spark, folder, b"k")
+    lenient = Workload.loaded(spark, folder, b"k", strict=False)
+    assert {r["table_name"] for r in lenient.reports.collect()} == set(RAW_TABLES)
+    assert lenient.clean["leave_records"].count() == given.clean["leave_records"].count()
+    # complete and consistent tables pass, and the run derives the same features from them
+    good = str(tmp_path / "good")
+    for name, frame in given.raw.items():
+        for c in TABLES[name].columns:
+            if c.name not in frame.columns:
+                frame = frame.withColumn(c.name, F.lit("hard_area" if c.kind == "string" else 1.0))
+        if name in ("leave_records", "deployment_history"):
+            frame = frame.filter("end_date IS NULL OR end_date >= start_date")
+        sinks.write_csv(frame, f"{good}/{name}.csv")
+    run = Workload.loaded(spark, good, b"k")
+    assert run.features.count() == given.features.count()
+    # a unit nobody knows is an error of the table that names it
+    tables = {n: ingest.read_text_csv(spark, f"{good}/{n}.csv", ingest.header_of(spark, f"{good}/{n}.csv")) for n in ("unit_capacity", "personnel")}
+    tables["personnel"] = tables["personnel"].withColumn("unit_id", F.lit("U999"))
+    found = {r["table_name"]: r for r in quality.table_reports(tables, TABLES).collect()}
+    assert found["unit_capacity"]["is_valid"] and found["personnel"]["error_count"] == 1 and "orphan:unit_id:1" in found["personnel"]["findings"]
