@@ -108,7 +108,7 @@ def t05(w):
         "pseudonym_id", pseudonym(F.col("personnel_id"), w.key))
     out = scratch(w, "baselines")
     jobs.run_to_end(jobs.append(jobs.keyed_baselines(samples), out, "baselines"))
-    return w.spark.read.parquet(f"{out}/data")
+    return jobs.newest_scores(w.spark.read.parquet(f"{out}/data"))
 
 
 @query("actor_sessions_stream_t06", "session_start session_end actor_subject accesses# refused#", """

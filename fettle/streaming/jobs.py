@@ -135,8 +135,9 @@ def first_claims(requests: DataFrame) -> DataFrame:
 # --- T05: acoustic baselines as keyed state -------------------------------------
 
 SIGNAL_DDL = ("pseudonym_id string, sample_id string, sample_date date, voice_stress_signal double, "
-              "is_reliable boolean, available_weight double")
-STATE_DDL = "seen int, first array<double>, centre array<double>, scale array<double>"
+              "is_reliable boolean, available_weight double, revision int, late boolean")
+STATE_DDL = ("seen int, first array<double>, centre array<double>, scale array<double>, upto string, tail array<string>, "
+             "measured array<double>, revision int")
 _WEIGHTS = np.array([P.ACOUSTIC_WEIGHTS[f] for f in FEATURES])
 _WAYS = np.array([P.ACOUSTIC_DIRECTIONS[f] for f in FEATURES], dtype=float)
 
@@ -164,37 +165,79 @@ def score_checkin(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> tuple
     return float(100.0 * (_WEIGHTS[usable] * share).sum() / available), available
 
 
-def _update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Score each check-in before folding it in; the state is a few numbers per feature."""
-    seen, first, centre, scale = state.get if state.exists else (0, [], [np.nan] * 7, [np.nan] * 7)
-    centre, scale = np.array(centre, dtype=float), np.array(scale, dtype=float)
-    first = list(first)
-    rows = pd.concat(list(chunks)).sort_values(["sample_date", "sample_id"])  # one micro-batch of one person
-    out = []
-    for row in rows.itertuples(index=False):
-        x = np.array([getattr(row, f) for f in FEATURES], dtype=float)
-        reliable, signal, available = False, np.nan, 0.0
-        if seen >= P.ACOUSTIC_MIN_SAMPLES:
-            signal, available = score_checkin(x, centre, scale)
-            reliable = not np.isnan(signal)
-        seen += 1
-        if seen <= P.ACOUSTIC_MIN_SAMPLES:
-            first += x.tolist()
-            centre, scale = start_baseline(np.array(first).reshape(-1, len(FEATURES)))
+def fold_checkin(state: tuple, x: np.ndarray) -> tuple[tuple, float, float]:
+    """Score one check-in against (seen, first values, centre, scale), then fold it in: new state, signal (NaN if unreliable), weight."""
+    seen, first, centre, scale = state
+    signal, available = score_checkin(x, centre, scale) if seen >= P.ACOUSTIC_MIN_SAMPLES else (np.nan, 0.0)
+    seen += 1
+    if seen <= P.ACOUSTIC_MIN_SAMPLES:
+        first = np.append(first, x)
+        centre, scale = start_baseline(first.reshape(-1, len(FEATURES)))
+    else:
+        centre, scale = centre.copy(), scale.copy()
+        for i in np.flatnonzero(np.isfinite(x)):
+            centre[i], scale[i] = ema_step(centre[i], scale[i], x[i])
+    return (seen, first, centre, scale), signal, available
+
+
+def _updater(keep_days: int | None):
+    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Put new check-ins into their place by date and fold again from the first one that changed."""
+        if state.exists:
+            seen, first, centre, scale, upto, tail, measured, revision = state.get
         else:
-            for i, value in enumerate(x):
-                if np.isfinite(value):
-                    centre[i], scale[i] = ema_step(centre[i], scale[i], value)
-        out.append((key[0], row.sample_id, row.sample_date, signal if reliable else None, reliable, available))
-    state.update((seen, first, centre.tolist(), scale.tolist()))
-    yield pd.DataFrame(out, columns=["pseudonym_id", "sample_id", "sample_date", "voice_stress_signal", "is_reliable",
-                                     "available_weight"])
+            seen, first, centre, scale, upto, tail, measured, revision = 0, [], [np.nan] * 7, [np.nan] * 7, "", [], [], 0
+        prefix = (seen, np.array(first, float), np.array(centre, float), np.array(scale, float))
+        values = dict(zip(tail, np.array(measured, float).reshape(-1, len(FEATURES))))
+        new, late, revision = [], [], revision + 1
+        for rows in chunks:
+            for row in rows.itertuples(index=False):
+                at = f"{row.sample_date}|{row.sample_id}"
+                if at <= upto:
+                    late.append(at)
+                elif at not in values:
+                    values[at] = np.array([getattr(row, f) for f in FEATURES], dtype=float)
+                    new.append(at)
+        out, order, changed = [], sorted(values), min(new, default=None)
+        newest = order[-1].split("|")[0] if order else ""
+        last = "" if keep_days is None or not order else str((pd.Timestamp(newest) - pd.Timedelta(days=keep_days)).date())
+        folded = prefix
+        for at in order:
+            folded, signal, available = fold_checkin(folded, values[at])
+            day, sample = at.split("|", 1)
+            if changed is not None and at >= changed:
+                reliable = not np.isnan(signal)
+                out.append((key[0], sample, pd.Timestamp(day).date(), signal if reliable else None, reliable, available, revision, False))
+            if day < last:  # old enough to be settled: kept only as folded
+                prefix, upto = folded, at
+                del values[at]
+        out += [(key[0], at.split("|", 1)[1], pd.Timestamp(at.split("|")[0]).date(), None, False, 0.0, revision, True) for at in late]
+        tail = sorted(values)
+        state.update((prefix[0], prefix[1].tolist(), prefix[2].tolist(), prefix[3].tolist(), upto, tail,
+                      np.concatenate([values[at] for at in tail]).tolist() if tail else [], revision))
+        yield pd.DataFrame(out, columns=["pseudonym_id", "sample_id", "sample_date", "voice_stress_signal", "is_reliable",
+                                         "available_weight", "revision", "late"])
+
+    return update
+
+
+def keyed_baselines(samples: DataFrame, keep_days: int | None = None) -> DataFrame:
+    """Scores of a stream of (pseudonym_id, sample_id, sample_date, seven features), in date order whatever the order of arrival.
+
+    The state holds the folded baseline up to a date and the check-ins after it. A check-in that arrives out of order
+    goes to its place and the scores from there on are sent again with a higher ``revision``. Check-ins more than
+    ``keep_days`` before a person's newest one are folded for good (never by default); what arrives for that time is
+    sent on marked ``late``, without a score. A check-in delivered twice counts once.
+    """
+    return samples.select("pseudonym_id", "sample_id", "sample_date", *FEATURES).groupBy("pseudonym_id") \
+        .applyInPandasWithState(_updater(keep_days), SIGNAL_DDL, STATE_DDL, "append", GroupStateTimeout.NoTimeout)
 
 
-def keyed_baselines(samples: DataFrame) -> DataFrame:
-    """``samples`` is a stream of (pseudonym_id, sample_id, sample_date, seven features)."""
-    return samples.select("pseudonym_id", "sample_id", "sample_date", *FEATURES).groupBy("pseudonym_id") \
-        .applyInPandasWithState(_update, SIGNAL_DDL, STATE_DDL, "append", GroupStateTimeout.NoTimeout)
+def newest_scores(parts: DataFrame) -> DataFrame:
+    """The last revision of every check-in; late ones are left out."""
+    value = F.struct("sample_date", "voice_stress_signal", "is_reliable", "available_weight")
+    return parts.filter(~F.col("late")).groupBy("pseudonym_id", "sample_id").agg(F.max_by(value, "revision").alias("v")).select(
+        "pseudonym_id", "sample_id", "v.*")
 
 
 # --- T06: sessions of one actor -------------------------------------------------

@@ -157,12 +157,42 @@ def test_keyed_baselines_equal_batch_fold(spark, w, tmp_path):
     samples = adapter.shape_samples(emb).filter(F.trim("consent_version") != "").withColumn(
         "pseudonym_id", pseudonym(F.col("personnel_id"), w.key))
     jobs.run_to_end(jobs.append(jobs.keyed_baselines(samples), f"{tmp_path}/t05", "t05"))
-    got = spark.read.parquet(f"{tmp_path}/t05/data").toPandas().set_index("sample_id").sort_index()
+    got = jobs.newest_scores(spark.read.parquet(f"{tmp_path}/t05/data")).toPandas().set_index("sample_id").sort_index()
     want = acoustic.stress_signals(w.samples).toPandas().set_index("sample_id").sort_index()
     assert (got.is_reliable == want.is_reliable).all()
     assert np.allclose(got.voice_stress_signal.astype(float), want.voice_stress_signal.astype(float), equal_nan=True)
 
 
+def shuffled_checkins(spark, tmp_path, rows):
+    """Check-ins of two people, one with most of them, dealt over five files without regard to their dates."""
+    rng = np.random.default_rng(11)
+    days = [(("hot" if i % 6 else "b"), f"s{i:04d}", pd.Timestamp("2026-01-01") + pd.Timedelta(days=i // 3)) for i in range(rows)]
+    pdf = pd.DataFrame([(p, s, d.date(), *rng.normal(5, 1, 7)) for p, s, d in days], columns=["pseudonym_id", "sample_id", "sample_date", *acoustic.FEATURES])
+    df = spark.createDataFrame(pdf)
+    return df, in_files(df, tmp_path, "checkins")
+
+
+def test_baselines_follow_dates_across_shuffled_files(spark, tmp_path):
+    df, folder = shuffled_checkins(spark, tmp_path, 240)
+    stream = jobs.stream_of(spark, folder, "checkins", df, 1)
+    jobs.run_to_end(jobs.append(jobs.keyed_baselines(stream), f"{tmp_path}/out", "shuffled"))
+    parts = spark.read.parquet(f"{tmp_path}/out/data")
+    assert parts.agg(F.max("revision")).first()[0] == 5 and parts.filter("late").isEmpty()
+    got = jobs.newest_scores(parts).toPandas().set_index("sample_id").sort_index()
+    want = acoustic.stress_signals(df).toPandas().set_index("sample_id").sort_index()
+    assert len(got) == 240 and (got.is_reliable == want.is_reliable).all()
+    assert np.allclose(got.voice_stress_signal.astype(float), want.voice_stress_signal.astype(float), equal_nan=True)
+
+
+def test_settled_time_keeps_the_state_small_and_late_rows_marked(spark, tmp_path):
+    df, folder = shuffled_checkins(spark, tmp_path, 120)
+    stream = jobs.stream_of(spark, folder, "checkins", df, 1)
+    jobs.run_to_end(jobs.append(jobs.keyed_baselines(stream, keep_days=10), f"{tmp_path}/out", "settled"))
+    parts = spark.read.parquet(f"{tmp_path}/out/data")
+    late, kept = parts.filter("late").count(), jobs.newest_scores(parts).count()
+    assert late > 0 and late + kept == 120  # nothing is lost
+
+
 def test_checkins_judged_once_and_replay_is_idempotent(spark, w, tmp_path):
     src, out, q = f"{tmp_path}/in", f"{tmp_path}/out", library.questions(spark)
     sent = w.checkins.select("pseudonym_id", F.col("submitted_at").cast("string").alias("submitted_at"), "answers")
