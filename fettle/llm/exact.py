@@ -58,8 +58,9 @@ def _glob(path: str) -> str:
 
 
 def _columns(source: DataFrame, key: str, text: str, digest) -> DataFrame:
+    place = source.metadataColumn("_metadata")  # also where the table has a column of that name
     return source.select(digest(normalised(named(text))).alias("digest"), named(key).alias("key"),
-                         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+                         place["file_path"].alias("file"), place["row_index"].alias("at"))
 
 
 def first_seen(spark: SparkSession, path: str, key: str, text: str, folder: str, digest=sha256) -> DataFrame:
@@ -100,9 +101,9 @@ def deduplicate(spark: SparkSession, path: str, key: str = "doc_id", text: str =
     # whole texts of the hits only; salted, as one digest may hold a large share of all rows
     salt = F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int")
     asked = seen.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    body = normalised(named(text))
+    body, place = normalised(named(text)), table.metadataColumn("_metadata")
     whole = table.select(digest(body).alias("digest"), body.alias("body"), named(key).alias("key"),
-                         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+                         place["file_path"].alias("file"), place["row_index"].alias("at"))
     # by shuffle at every size: the list of hits grows with the table
     hits = whole.withColumn("salt", salt).join(asked.hint("merge"), ["digest", "salt"], "left_semi")
     rank = F.struct(F.col("key").isNull().alias("none"), "key", "file", "at")

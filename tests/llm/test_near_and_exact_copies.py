@@ -155,3 +155,11 @@ def test_exact_on_single_file_and_empty_table(spark, no_docs, tmp_path):
     pq.write_table(pa.table({"doc_id": [2, 1], "text": ["x ", "x\n"]}), f"{tmp_path}/one.parquet")
     rows = exact.report(exact.deduplicate(spark, f"{tmp_path}/one.parquet")).collect()
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows) == [(1, 1, 2, True), (2, 1, 2, False)]
+
+
+def test_exact_copies_beside_clashing_columns(spark, tmp_path):
+    rows = [(i, f"text {i % 3}", "x", i, "f") for i in range(9)]
+    path = str(tmp_path / "clash.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string, _metadata string, digest int, `file` string").write.parquet(path)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact.deduplicate(spark, path).collect()}
+    assert got == {i: (i % 3, 3, i < 3) for i in range(9)}
