@@ -122,29 +122,32 @@ def accept_notes(notes: DataFrame, appointments: DataFrame, roster: DataFrame) -
 
 def for_person(appointments: DataFrame, slots: DataFrame, roster: DataFrame, notes: DataFrame,
                personnel_id: str | None = None) -> DataFrame:
+    """Appointments with slot, doctor and note; of one person by time, of all people in no order."""
     rows = appointments if personnel_id is None else appointments.filter(F.col("personnel_id") == personnel_id)
-    return (
+    out = (
         rows.drop("starts_at").join(slots.select("slot_id", "starts_at", "minutes"), "slot_id")
         .join(roster.select("doctor_id", F.col("name").alias("doctor_name"), "specialty"), "doctor_id")
         .join(notes.select("appointment_id", "prescription_id", "note_text", "issued_at"), "appointment_id", "left")
         .select("personnel_id", "appointment_id", "doctor_id", "slot_id", "status", "reason", "shared_context",
                 "context_note", "starts_at", "minutes", "doctor_name", "specialty", "prescription_id", "note_text",
-                "issued_at").orderBy("starts_at", "appointment_id"))
+                "issued_at"))
+    return out if personnel_id is None else out.orderBy("starts_at", "appointment_id")
 
 
 def for_doctor(appointments: DataFrame, slots: DataFrame, roster: DataFrame, notes: DataFrame,
                subject: str | None = None) -> DataFrame:
-    """Schedule without cancelled visits; context only where the person shared it."""
+    """Schedule without cancelled visits, of one doctor by time; context only where the person shared it."""
     doctors = roster if subject is None else roster.filter(F.col("subject") == subject)
     shown = F.col("shared_context") & (F.col("context_note") != "")
-    return (
+    out = (
         appointments.filter(F.col("status") != "cancelled").drop("starts_at")
         .join(slots.select("slot_id", "starts_at", "minutes"), "slot_id")
         .join(doctors.select("doctor_id", "subject"), "doctor_id")
         .join(notes.select("appointment_id", "prescription_id", "issued_at"), "appointment_id", "left")
         .select("subject", "appointment_id", "personnel_id", "status", "reason", "shared_context",
                 F.when(shown, F.col("context_note")).alias("context_note"), "starts_at", "minutes",
-                "prescription_id", "issued_at").orderBy("starts_at", "appointment_id"))
+                "prescription_id", "issued_at"))
+    return out if subject is None else out.orderBy("starts_at", "appointment_id")
 
 
 def note_for_patient(notes: DataFrame, appointments: DataFrame, roster: DataFrame, asks: DataFrame) -> DataFrame:

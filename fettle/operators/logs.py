@@ -78,11 +78,11 @@ def check_actions(actions: DataFrame, library: DataFrame) -> DataFrame:
 
 
 def actions_for(actions: DataFrame, pseudonym_id: str | None = None) -> DataFrame:
-    """Newest first, status meaning resolved."""
+    """Status meaning resolved; of one case newest first, of all cases in no order."""
     rows = actions if pseudonym_id is None else actions.filter(F.col("pseudonym_id") == pseudonym_id)
     meaning = F.coalesce(lookup(F.col("status"), P.STATUS_MEANINGS), F.lit(""))
-    return rows.select("id", "at", "pseudonym_id", "intervention_id", "status", "actor_role", "note",
-                       meaning.alias("status_meaning")).orderBy(F.col("id").desc())
+    out = rows.select("id", "at", "pseudonym_id", "intervention_id", "status", "actor_role", "note", meaning.alias("status_meaning"))
+    return out if pseudonym_id is None else out.orderBy(F.col("id").desc())
 
 
 def action_summary(actions: DataFrame) -> DataFrame:

@@ -194,12 +194,13 @@ def tailored_questions(factors: DataFrame, questions: DataFrame, limit: int = P.
     )
 
 
-def checkin_history(checkins: DataFrame, questions: DataFrame) -> DataFrame:
-    """Answers with the wording asked, newest first."""
-    flat = checkins.select("pseudonym_id", "submission_id", "submitted_at", F.inline("answers"))
+def checkin_history(checkins: DataFrame, questions: DataFrame, pseudonym_id: str | None = None) -> DataFrame:
+    """Answers with the wording asked; of one person newest first, of all people in no order."""
+    rows = checkins if pseudonym_id is None else checkins.filter(F.col("pseudonym_id") == pseudonym_id)
+    flat = rows.select("pseudonym_id", "submission_id", "submitted_at", F.inline("answers"))
     text = F.broadcast(questions.select("question_id", F.col("text").alias("text_asked")))
-    return flat.join(text, "question_id", "left").withColumn(
-        "text_asked", F.coalesce("text_asked", F.lit(""))).orderBy(F.col("submitted_at").desc(), "submission_id")
+    out = flat.join(text, "question_id", "left").withColumn("text_asked", F.coalesce("text_asked", F.lit("")))
+    return out if pseudonym_id is None else out.orderBy(F.col("submitted_at").desc(), "submission_id")
 
 
 def notifications(alerts: DataFrame, pseudonym_id: str | None = None) -> DataFrame:
