@@ -86,6 +86,15 @@ def m15(w):
     return w.training.calibration.withColumn("sound", F.col("half_width") >= 0)
 
 
+@query("refit_on_all_rows_m15", "fitted_rows# exact", "SELECT count(*) AS fitted_rows, true AS exact FROM v_model")
+def m15_all(w):
+    """A refit on every labelled row: the rows that the solver saw, and whether the fit is the optimum of all of them."""
+    rows = w.modelling
+    model = models.refit_on_all(rows, models.linear())
+    seen, exact = int(model.stages[-1].summary.numInstances), models.optimality_gap(rows, model) < 1e-6
+    return w.spark.createDataFrame([(seen, exact)], "fitted_rows bigint, exact boolean")
+
+
 @query("fitted_trees_shapley_m24", "pseudonym_id inputs# prediction_met base_met additive", """
 SELECT pseudonym_id, 11 AS inputs, true AS prediction_met, true AS base_met, true AS additive FROM v_latest""")
 def m24_trees(w):
