@@ -37,6 +37,7 @@ SAMPLE = 4096
 SHARD = 30_000
 BLOCK = 128_000
 LEAF = 1 << 20  # pairs compared at once
+GROUP_BYTES = 16 << 20  # hashes of candidates compared in one task
 
 
 def shingle_hashes(text: str | None, words: int) -> bytes:
@@ -356,25 +357,175 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         F.col("key").alias(key), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# -- near copies with an exact check -----------------------------------------------------
+
+def distinct_hashes(text: str | None, words: int) -> bytes:
+    """The shingle hashes of a text as a set: big-endian, ascending, each once."""
+    digest = shingle_hashes(text, words)
+    return b"".join(sorted({digest[i:i + 8] for i in range(0, len(digest), 8)}))
+
+
+def set_fingerprint(rows: DataFrame, words: int, lanes: int) -> DataFrame:
+    """``rows`` (``row``, ``body``) with ``lanes``, ``size`` and ``node`` (hash) of the set of shingles."""
+    import numpy as np
+    import pyarrow as pa
+    from xxhash import xxh64_intdigest
+
+    def run(batches):
+        for batch in batches:
+            sets = [distinct_hashes(t, words) for t in batch.column(1).to_pylist()]
+            sizes = np.array([len(x) // 8 for x in sets], np.int64)
+            nodes = np.array([xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
+            prints = np.zeros((len(sets), lanes), np.uint64)
+            held = np.flatnonzero(sizes)
+            for part in np.split(held, np.flatnonzero(np.diff(np.cumsum(sizes[held]) // (1 << 17))) + 1) if len(held) else []:
+                hashes = np.frombuffer(b"".join([sets[k] for k in part]), ">u8").astype(np.uint64)
+                for lane in range(lanes):
+                    prints[part, lane] = majority(remixed(hashes, lane), sizes[part])
+            listed = pa.FixedSizeListArray.from_arrays(pa.array(prints.view("int64").reshape(-1)), lanes).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, listed, pa.array(sizes), pa.array(nodes)], ["row", "body", "lanes", "size", "node"])
+
+    return rows.select("row", "body").mapInArrow(
+        run, layout(rows.select("row", "body"), lanes="array<bigint>", size="bigint", node="bigint"))
+
+
+class Sets:
+    """Sets of hashes side by side, renumbered so that one mask over all numbers can be looked up."""
+
+    def __init__(self, blobs):
+        import numpy as np
+
+        self.sizes = np.array([len(x) // 8 for x in blobs], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        names, self.ids = np.unique(np.frombuffer(b"".join(blobs), ">u8").astype(np.uint64), return_inverse=True)
+        self.mask = np.zeros(len(names), bool)
+
+    def shared(self, a, b):
+        """How many hashes each pair of sets has in common; no set is empty."""
+        import numpy as np
+
+        out = np.zeros(len(a), np.int64)
+        if len(np.unique(a)) < len(np.unique(b)):
+            a, b = b, a
+        order = np.argsort(b, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(b[order])) + 1) if len(order) else []:
+            mine = self.ids[self.starts[b[at[0]]]:][:self.sizes[b[at[0]]]]
+            self.mask[mine] = True
+            for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(self.sizes[a[at]]) // LEAF)) + 1):
+                n = self.sizes[a[part]]
+                first = np.cumsum(n) - n
+                where = np.repeat(self.starts[a[part]] - first, n) + np.arange(n.sum())
+                out[part] = np.add.reduceat(self.mask[self.ids[where]].astype(np.int64), first)
+            self.mask[mine] = False
+        return out
+
+    def alike(self, a, b, similarity: float):
+        """Whether the Jaccard similarity of each pair is at least ``similarity``."""
+        both = self.shared(a, b)
+        return both >= similarity * (self.sizes[a] + self.sizes[b] - both) - 1e-9
+
+
+def confirm(members: DataFrame, sets: DataFrame, radius: int, lanes: int, total: int, similarity: float) -> DataFrame:
+    """Edges ``a``, ``b`` that join all nodes of a group which exact similarity links.
+
+    ``members``: ``root`` (group of candidates) and ``size`` of every node; ``sets``:
+    ``node``, ``root``, ``lanes``, ``size``, ``hashes`` (``distinct_hashes``). Groups are packed into buckets of about ``GROUP_BYTES``; a
+    larger group is cut by a hash into chunks of that size and searched by pairs of
+    chunks. Candidates are found as in ``link``; of those in different parts of the forest
+    each is compared as a set before it may join them, so a group of true copies takes
+    about one comparison a node, and one that a refusal splits is searched to the end.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    weight = F.sum(F.col("size") * 8 + 128)
+    whole = members.agg(weight.alias("n")).first()["n"] or 0
+    buckets = max(1, math.ceil(whole / GROUP_BYTES))
+    wide = (members.groupBy("root").agg(F.ceil(weight / GROUP_BYTES).cast("int").alias("chunks"))
+            .filter("chunks > 1"))
+    chunk = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda c: F.struct(
+        F.least(c, F.col("chunk")).alias("i"), F.greatest(c, F.col("chunk")).alias("j")))
+    bucket = F.when(F.col("chunks").isNull(), F.pmod(F.xxhash64("root"), F.lit(buckets)))
+    alone = F.when(F.col("chunks").isNotNull(), F.col("root"))
+    blocks = (sets.join(settle(wide), "root", "left").withColumn("chunk", chunk).withColumn("pair", F.explode(pairs))
+              .select(bucket.alias("bucket"), alone.alias("alone"), "pair.i", "pair.j", "chunk", "root", "node", "lanes", "size", "hashes"))
+
+    def searched(table):
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        table = table.take(pc.sort_indices(table.select(["root", "node"]), sort_keys=[("root", "ascending"), ("node", "ascending")]))
+        root, node = table.column("root").to_numpy(), table.column("node").to_numpy()
+        chunk, size = table.column("chunk").to_numpy(), table.column("size").to_numpy()
+        prints = pc.list_flatten(table.column("lanes")).to_numpy().reshape(-1, lanes).view(np.uint64)
+        sets = Sets(table.column("hashes").to_pylist())
+        forest = Forest(len(node))
+        first_lane = np.ascontiguousarray(prints[:, 0])
+
+        def close(a, b):
+            """Joins what is alike itself, so it need not look at pairs that others have joined."""
+            ok = np.bitwise_count(prints[a] ^ prints[b]).sum(1, dtype=np.int64) <= total
+            ok &= np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+            ok &= (a != b) & (size[a] > 0)
+            order = np.argsort(a[ok], kind="stable")
+            x, y, quota = a[ok][order], b[ok][order], 1
+            while len(x):
+                apart = forest.label[x] != forest.label[y]
+                x, y = x[apart], y[apart]
+                turn = np.arange(len(x)) - np.searchsorted(x, x)  # x is sorted: how many pairs of this set come before
+                now = turn < quota
+                held = sets.alike(x[now], y[now], similarity)
+                forest.join(x[now][held], y[now][held])
+                x, y, quota = x[~now], y[~now], 2 * quota
+            return np.zeros(len(a), bool)
+
+        at, none = np.arange(len(node)), np.arange(0)
+        for part in np.split(at, np.flatnonzero(np.diff(root)) + 1):
+            if i == j:
+                search_block(first_lane, at, part, none, radius, forest, close)
+            else:
+                search_block(first_lane, at, part[chunk[part] == i], part[chunk[part] == j], radius, forest, close, own=False)
+        linked = forest.label != at
+        return pa.table({"a": node[linked], "b": node[forest.label[linked]]})
+
+    return blocks.groupBy("bucket", "alone", "i", "j").applyInArrow(searched, "a bigint, b bigint")
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, lanes: int = 4,
-                radius: int = 15, total: int = 44, least_size: float = 0.8) -> DataFrame:
+                radius: int = 18, total: int = 58, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest key, nulls last.
 
-    Four lanes give 256 bits, of which two texts whose sets of five-word shingles have a
-    Jaccard similarity of 0.8 differ in 39 on average (cosine 2J / (1 + J), angle over pi),
-    with a deviation of six; 44 takes them in, and 15 in the first lane. Texts without
-    words are equal to each other. Rows keep all their columns; names cannot clash, as
-    they travel inside one struct. An empty table gives an empty result.
+    Groups are the components of all pairs whose sets of ``words``-word shingles have a
+    Jaccard similarity of at least ``similarity``, each compared exactly; the fingerprints
+    of the sets (64 bits a lane) only find the candidates. Two sets at 0.8 differ in 39 of
+    256 bits on average (cosine 2J / (1 + J), angle over pi) with a deviation of six, so
+    ``total`` leaves a margin of three deviations, and ``radius`` the same for the first
+    lane; sets of less than ten shingles differ more and keep a smaller one. A pair whose
+    only path leads over a candidate beyond these bounds is not found. Equal sets are one
+    node and known by a 64-bit hash of the set. Null, empty and white texts have the empty
+    set and are equal to each other, very long texts are ordinary, repeated rows leave one
+    row. Rows keep all their columns; names cannot clash, as they travel inside one
+    struct. An empty table gives an empty result.
     """
+    import pyarrow as pa
+
     packing = packed(docs, [c for c in docs.columns if c != text], body=named(text))
-    rows = settle(fingerprint(packing, words, lanes, returned=2)
-                  .withColumn("id", F.monotonically_increasing_id()))
-    print_key = F.xxhash64("lanes", "size")
-    marks = rows.select("id", F.col("row").getField(key).alias("key"), "lanes", "size", print_key.alias("node"))
+    rows = settle(set_fingerprint(packing, words, lanes).withColumn("id", F.monotonically_increasing_id()))
     rank = F.struct(F.col("key").isNull().alias("none"), "key", "id")
-    nodes = settle(marks.groupBy("node").agg(F.first("lanes").alias("lanes"), F.first("size").alias("size"), F.min(rank).alias("least")))
-    found = components(settle(link(nodes.select("node", "lanes", "size"), radius, lanes, total, least_size)))
+    nodes = settle(rows.select("id", F.col("row").getField(key).alias("key"), "lanes", "size", "node").groupBy("node").agg(
+        F.first("lanes").alias("lanes"), F.first("size").alias("size"), F.min(rank).alias("least")))
+    candidates = components(settle(link(nodes.select("node", "lanes", "size"), radius, lanes, total, similarity)))
+    members = settle(nodes.join(candidates, "node").select("node", "root", "lanes", "size", F.col("least.id").alias("id")))
+
+    def hashed(batches):
+        for batch in batches:
+            sets = pa.array([distinct_hashes(t, words) for t in batch.column("body").to_pylist()], pa.binary())
+            yield batch.drop_columns(["body"]).append_column("hashes", sets)
+
+    # by shuffle at every size: the lists of members and of kept rows grow with the table
+    texts = rows.select("id", "body").join(members.hint("merge"), "id").select("node", "root", "lanes", "size", "body")
+    sets = texts.mapInArrow(hashed, layout(texts.drop("body"), hashes="binary"))
+    found = components(settle(confirm(members, sets, radius, lanes, total, similarity)))
     groups = nodes.select("node", "least").join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     kept = settle(groups.select(F.col("least.id").alias("id")))
-    # by shuffle at every size: the list of kept rows grows with the table
     return unpacked(rows.join(kept.hint("merge"), "id", "left_semi"), docs.columns, {text: F.col("body")})

@@ -104,6 +104,66 @@ def test_near_copies_leave_one_document(spark):
     assert kept == [*range(12), *range(300, 312), 400, 402, None]
 
 
+def _graded(seed):
+    """Texts at all similarities from about 0.5 to 1: chains, dense groups, short texts, repeated shingles."""
+    g = random.Random(seed)
+    out = []
+    for size in (6, 9, 14, 30, 80, 200, 400):
+        for _ in range(6):
+            base = g.choices(WORDS, k=size)
+            out.append(" ".join(base))
+            for share in (0.01, 0.02, 0.03, 0.05, 0.08):
+                w = list(base)
+                for _ in range(max(1, round(share * size))):
+                    w[g.randrange(size)] = g.choice(WORDS)
+                out.append(" ".join(w))
+            out.append(" ".join(base[:round(size * 0.85)]))
+            out.append(" ".join(base + base))
+    chain = g.choices(WORDS, k=120)
+    for _ in range(40):  # each near the one before, the ends far apart
+        chain = chain[4:] + g.choices(WORDS, k=4)
+        out.append(" ".join(chain))
+    return out
+
+
+@pytest.mark.parametrize("group_bytes", [16 << 20, 4_000])
+def test_near_copies_equal_exact_jaccard(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(simhash, "GROUP_BYTES", group_bytes)
+    texts = _graded(5)
+    sets = [{tuple(t.lower().split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    label = list(range(len(texts)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    pairs = []
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                pairs.append((j, i))
+                a, b = sorted((top(i), top(j)))
+                label[b] = a
+    want = {top(i) for i in range(len(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"] for r in simhash.deduplicate(docs).collect()}
+    assert want <= got  # nothing below 0.8 is merged
+    merged = len(texts) - len(want)
+    assert len(got - want) <= 0.02 * merged, (len(got - want), merged)
+    assert merged > 60 and len(pairs) > 100
+
+
+def test_sets_share_what_python_says():
+    g = random.Random(3)
+    raw = [{g.randrange(50) for _ in range(g.randrange(1, 40))} for _ in range(30)]
+    sets = simhash.Sets([b"".join(x.to_bytes(8, "big") for x in sorted(s)) for s in raw])
+    a, b = np.array([g.randrange(30) for _ in range(400)]), np.array([g.randrange(30) for _ in range(400)])
+    assert sets.shared(a, b).tolist() == [len(raw[x] & raw[y]) for x, y in zip(a, b)]
+    assert sets.alike(a, b, 0.8).tolist() == [len(raw[x] & raw[y]) >= 0.8 * len(raw[x] | raw[y]) for x, y in zip(a, b)]
+
+
 def test_empty_tables(spark, no_docs):
     assert simhash.cluster(no_docs).count() == 0
     assert simhash.deduplicate(no_docs).count() == 0
