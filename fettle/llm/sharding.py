@@ -7,22 +7,23 @@ the written buckets give each row its place in the whole, and the places are dea
 the shards: shard = place mod shards, slot = place div shards. So the law is ``rows``:
 shard sizes differ by one at most and slots have no gaps.
 
-Keys that more than ``HOT_ROWS`` rows share, and null keys, are scattered by row position
-instead; there are at most rows / HOT_ROWS such keys, so their list is small for sure.
+Keys whose rows take more than a quarter of a bucket together, and null keys, are
+scattered by row position instead, so no bucket grows with the copies of one document.
+There are at most four such keys a bucket; their list is a table, joined as its size allows.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fettle.llm.rows import layout, named, packed, unpacked
 from fettle.operators.spread import settle
 
 BUCKET_BYTES = 16 << 20
-HOT_ROWS = 10_000
+ROW_BYTES = 64  # counted for a row beside its text
 
 
 def _shuffled(seed: int):
@@ -42,15 +43,19 @@ def _shuffled(seed: int):
     return shuffle
 
 
-def scatter(rows: DataFrame, seed: int, buckets: int) -> DataFrame:
+def weight(body: Column) -> Column:
+    return F.coalesce(F.octet_length(body), F.lit(0)) + F.lit(ROW_BYTES)
+
+
+def scatter(rows: DataFrame, seed: int, buckets: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``row`` with ``bucket`` and ``canon``, the order within a bucket before it is shuffled.
 
     ``rows`` has row, key, body. A row's place in its input is fixed while the task that
     reads it may be repeated, so a lost executor changes nothing.
     """
-    hot = (rows.filter(F.col("key").isNotNull()).groupBy(F.col("key").alias("hot")).agg(F.count(F.lit(1)).alias("n"))
-           .filter(F.col("n") > HOT_ROWS).select("hot"))
-    marked = rows.withColumn("at", F.monotonically_increasing_id()).join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")
+    hot = (rows.filter(F.col("key").isNotNull()).groupBy(F.col("key").alias("hot")).agg(F.sum(weight(F.col("body"))).alias("n"))
+           .filter(F.col("n") > bucket_bytes / 4).select("hot"))
+    marked = rows.withColumn("at", F.monotonically_increasing_id()).join(settle(hot), F.col("key") == F.col("hot"), "left")
     lone = F.col("hot").isNull() & F.col("key").isNotNull()
     hashed = F.when(lone, F.xxhash64(F.lit(seed), "key")).otherwise(F.xxhash64(F.lit(seed), "at"))
     canon = F.xxhash64(F.lit(seed + 1), F.col("key"), F.col("body"), F.when(~lone, F.col("at")))
@@ -66,9 +71,9 @@ def two_pass_shuffle(docs: DataFrame, shards: int = 24, key: str = "doc_id", tex
     so a bucket holds its longest text at least); an empty table gives an empty result;
     incoming columns named ``shard`` or ``slot`` are replaced.
     """
-    size = docs.agg(F.sum(F.coalesce(F.octet_length(named(text)), F.lit(0)) + F.lit(64)).alias("n")).first()["n"] or 0
+    size = docs.agg(F.sum(weight(named(text))).alias("n")).first()["n"] or 0
     buckets = max(1, math.ceil(size / bucket_bytes))
-    scattered = scatter(packed(docs, key=named(key), body=named(text)), seed, buckets)
+    scattered = scatter(packed(docs, key=named(key), body=named(text)), seed, buckets, bucket_bytes)
     written = settle(scattered.groupBy("bucket").applyInArrow(
         _shuffled(seed), layout(scattered.select("row", "bucket"), place="bigint")))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

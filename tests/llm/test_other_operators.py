@@ -44,11 +44,20 @@ def test_order_is_shuffled_and_reproducible(spark):
     assert 150 < falls < 250 and order != sorted(order)
 
 
-def test_hot_keys_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "HOT_ROWS", 50)
+def test_few_rows_of_many_bytes_are_spread(spark):
+    rows = spark.createDataFrame([(7, "x" * 50_000)] * 120 + [(i, "y") for i in range(100, 200)], "doc_id bigint, text string")
+    packed = rows.select(F.struct("doc_id", "text").alias("row"), F.col("doc_id").alias("key"), F.col("text").alias("body")).repartition(3)
+    size = 6_000_000 // 20
+    heavy = sharding.scatter(packed, 1, 20, size).groupBy("bucket").agg(F.sum(F.length("row.text")).alias("n")).collect()
+    assert len(heavy) == 20 and max(r["n"] for r in heavy) < 3 * size  # one key holds 99 % of all bytes
+    got = sharding.two_pass_shuffle(rows, shards=4, bucket_bytes=size).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in got) == [55] * 4
+
+
+def test_hot_keys_are_spread(spark):
     docs = spark.range(2000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("doc_id"), F.lit("x" * 50).alias("text"))
     rows = docs.select(F.struct("doc_id").alias("row"), F.col("doc_id").alias("key"), F.col("text").alias("body"))
-    counts = [r["count"] for r in sharding.scatter(rows, 1, 20).groupBy("bucket").count().collect()]
+    counts = [r["count"] for r in sharding.scatter(rows, 1, 20, 4_000).groupBy("bucket").count().collect()]
     assert len(counts) == 20 and max(counts) < 200
     report = sharding.report(sharding.two_pass_shuffle(docs, shards=24)).collect()
     assert len(report) == 2000 and {r["text_crc32"] for r in report} == {brute.crc("x" * 50)} and {r["size"] for r in report} == {58}
