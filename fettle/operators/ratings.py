@@ -83,18 +83,21 @@ def one_rating(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("rater_id", "profile_id").agg(F.max_by("rating", "given_at").alias("rating"))
 
 
-def inter_rater(ratings: DataFrame, least: int = 3) -> DataFrame:
+def inter_rater(ratings: DataFrame, least: int = 3, cell: int = 512) -> DataFrame:
     """Pairwise agreement on shared profiles.
 
-    A profile's ratings are one short array (a panel member rates it once), and
-    what leaves the task is a count per (rater pair, rating pair); ranks are
-    then taken inside those counts.
+    The ratings of a profile are dealt into parts of about ``cell`` by the rater's hash;
+    every pair of parts is a join key of its own, so a profile with a third of all ratings
+    spreads over many tasks and no task holds its panel. A rating is copied once per part.
+    What leaves a task is a count per (rater pair, rating pair); ranks are then taken
+    inside those counts.
     """
-    panel = ratings.groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("rater_id", "rating"))).alias("r"))
-    pairs = panel.select(F.explode(F.flatten(F.transform("r", lambda a: F.transform(
-        F.filter("r", lambda b: b["rater_id"] > a["rater_id"]),
-        lambda b: F.struct(a["rater_id"].alias("rater_a"), b["rater_id"].alias("rater_b"),
-                           a["rating"].alias("x"), b["rating"].alias("y")))))).alias("p")).select("p.*")
+    sizes = ratings.groupBy("profile_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).cast("int").alias("parts"))
+    dealt = ratings.join(sizes, "profile_id").withColumn("part", F.pmod(F.xxhash64("rater_id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one = dealt.select("profile_id", F.col("part").alias("i"), every.alias("j"), F.col("rater_id").alias("rater_a"), F.col("rating").alias("x"))
+    other = dealt.select("profile_id", every.alias("i"), F.col("part").alias("j"), F.col("rater_id").alias("rater_b"), F.col("rating").alias("y"))
+    pairs = one.join(other, ["profile_id", "i", "j"]).filter("rater_a < rater_b")
     counts = pairs.groupBy("rater_a", "rater_b", "x", "y").agg(F.count(F.lit(1)).alias("w"))
     key = ["rater_a", "rater_b"]
     rx = spread.running_totals(counts.groupBy(*key, "x").agg(F.sum("w").alias("t")), key, ["x"], "t", "u")

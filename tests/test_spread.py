@@ -56,6 +56,25 @@ def test_tied_ranks(skewed):
     assert np.allclose(got.sort_index(), want.sort_index())
 
 
+def test_agreement_of_a_large_panel_in_parts(spark):
+    """A profile that everyone rates is cut into parts; the agreement is that of all its pairs."""
+    rng = random.Random(8)
+    rows = [(f"r{i:02d}", "everyone", rng.randint(1, 4)) for i in range(40)]
+    rows += [(f"r{i:02d}", f"p{k}", rng.randint(1, 4)) for i in range(40) for k in range(6) if rng.random() < 0.5]
+    df = spark.createDataFrame(rows, "rater_id string, profile_id string, rating int")
+    want = {}
+    by_rater = {r: {p: x for who, p, x in rows if who == r} for r, _, _ in rows}
+    for a, b in itertools.combinations(sorted(by_rater), 2):
+        both = sorted(set(by_rater[a]) & set(by_rater[b]))
+        x, y = (pd.Series([by_rater[r][p] for p in both], dtype=float) for r in (a, b))
+        if len(both) >= 3 and x.nunique() > 1 and y.nunique() > 1:
+            want[a, b] = (len(both), x.rank().corr(y.rank()))
+    for cell in (5, 512):
+        got = {(r.rater_a, r.rater_b): (r.n, r.rho) for r in ratings.inter_rater(df, cell=cell).collect()}
+        assert got.keys() == want.keys() and len(want) > 100
+        assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
 def test_spearman_and_degenerate(spark, skewed):
     _, pdf = skewed
     y = (pdf.v + pdf.i % 5).round(0)
