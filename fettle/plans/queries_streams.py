@@ -97,7 +97,9 @@ SELECT slot_id, min(requested_at) AS requested_at, arg_min(request_id, (requeste
 FROM v_breq GROUP BY slot_id""")
 def t04(w):
     claims = b_requests(Streamed(w, "lineitem")).select("slot_id", "requested_at", "request_id")
-    return jobs.first_claims(_merged(w, claims, jobs.first_claims, "claims"))
+    out = scratch(w, "claims")
+    jobs.run_to_end(jobs.updating(jobs.first_claims(claims), out, "claims"))
+    return jobs.newest_claims(w.spark.read.option("basePath", f"{out}/data").parquet(f"{out}/data"))
 
 
 @query("keyed_baselines_stream_t05", "pseudonym_id sample_id is_reliable voice_stress_signal*", "SELECT * FROM v_stress")

@@ -3,7 +3,8 @@
 Counts, sums, minima and sessions can be merged, so a micro-batch is reduced to partial
 rows and written under its batch number (``merging``); reading merges them. Late and
 repeated batches cost nothing, no row is ever dropped as too late, no state grows, and the
-result is that of the whole log at any time. What depends on order (T05) keeps keyed state.
+result is that of the whole log at any time. First claims (T04) and what depends on order
+(T05) keep keyed state and send corrections.
 
 Sinks are parquet folders with a checkpoint beside them in a shared place, so a
 restarted job continues where it stopped.
@@ -23,8 +24,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from fettle import policy as P
 from fettle.operators.acoustic import FEATURES, ema_step
 from fettle.operators.analytics import answer_problem
+from fettle.operators.spread import running_totals
 from fettle.sources.ingest import CHECKIN_SCHEMA
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_of(spark: SparkSession, folder: str, name: str, like: DataFrame, batch_bytes: int = 256 << 20) -> DataFrame:
     """A parquet table, one file or a folder of files, as a stream with a known schema.
@@ -53,6 +58,24 @@ def merging(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], out: s
             .trigger(availableNow=True).start())
 
 
+def updating(totals: DataFrame, out: str, name: str) -> StreamingQuery:
+    """Rows of a stateful aggregate that a micro-batch changed, under its number; the newest row of a key holds.
+
+    The state is one row per key, on disk (RocksDB), and rows are aggregated before they
+    reach it, so a hot key costs each task one row.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data/batch={number}")
+
+    conf, before = totals.sparkSession.conf, totals.sparkSession.conf.get(STATE_STORE)
+    conf.set(STATE_STORE, ROCKSDB)
+    try:  # a query keeps the settings it was started with
+        return (totals.writeStream.queryName(name).outputMode("update").foreachBatch(write)
+                .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    finally:
+        conf.set(STATE_STORE, before)
+
+
 def run_to_end(query: StreamingQuery) -> None:
     """Wait until the input is used up, however long that takes."""
     query.awaitTermination()
@@ -127,11 +150,17 @@ def trailing_sums(parts: DataFrame, days: int) -> DataFrame:
 # --- T04: first claim per slot --------------------------------------------------
 
 def first_claims(requests: DataFrame) -> DataFrame:
-    """Earliest request per slot, ties to the smallest id: batch form, partial rows and merge alike."""
+    """Earliest request per slot, ties to the smallest id: the batch form, and as a stream the state per slot."""
     first = F.min(F.struct("requested_at", "request_id")).alias("first")
     return requests.groupBy("slot_id").agg(first).select("slot_id", "first.requested_at", "first.request_id")
 
 
+def newest_claims(parts: DataFrame) -> DataFrame:
+    """The winner as the last micro-batch that touched a slot knew it: an earlier request that came late corrects it."""
+    value = F.struct("requested_at", "request_id")
+    return parts.groupBy("slot_id").agg(F.max_by(value, "batch").alias("v")).select("slot_id", "v.*")
+
+
 # --- T05: acoustic baselines as keyed state -------------------------------------
 
 SIGNAL_DDL = ("pseudonym_id string, sample_id string, sample_date date, voice_stress_signal double, "
@@ -252,11 +281,21 @@ def actor_sessions(log: DataFrame, gap: str = "6 hours") -> DataFrame:
 
 
 def merged_sessions(parts: DataFrame) -> DataFrame:
-    """Partial sessions that overlap or touch are one (their ends already hold the gap)."""
-    order = Window.partitionBy("actor_subject").orderBy("session_start", "session_end")
-    before = F.max("session_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = parts.withColumn("_new", F.coalesce((F.col("session_start") > before).cast("int"), F.lit(1)))
-    number = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return opened.withColumn("_s", number).groupBy("actor_subject", "_s").agg(
-        F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"),
-        F.sum("accesses").alias("accesses"), F.sum("refused").alias("refused")).drop("_s")
+    """Partial sessions that overlap or touch are one (their ends already hold the gap).
+
+    A sweep over opening and ending marks: where as many have ended as have opened, a
+    session is over. Both sums run over slices, so the history of one actor spans many tasks.
+    """
+    who = F.struct("actor_subject").alias("who")  # a missing actor is an actor, too
+    opened = parts.select(who, F.col("session_start").alias("at"), F.lit(0).alias("ends"), F.lit(1).alias("open"), "accesses", "refused")
+    ended = parts.select(who, F.col("session_end").alias("at"), F.lit(1).alias("ends"), F.lit(-1).alias("open"),
+                         F.lit(0).alias("accesses"), F.lit(0).alias("refused"))
+    order = ["at", "ends"]
+    marks = opened.unionByName(ended).groupBy("who", *order).agg(
+        F.sum("open").alias("open"), F.sum("accesses").alias("accesses"), F.sum("refused").alias("refused"))
+    depth = running_totals(marks, ["who"], order, "open", "depth").withColumn("over", (F.col("depth") == 0).cast("long"))
+    numbered = running_totals(depth, ["who"], order, "over", "upto")
+    return numbered.groupBy("who", (F.col("upto") - F.col("over")).alias("number")).agg(
+        F.min("at").alias("session_start"), F.max("at").alias("session_end"),
+        F.sum("accesses").alias("accesses"), F.sum("refused").alias("refused")).select(
+        "who.actor_subject", "session_start", "session_end", "accesses", "refused")

@@ -133,6 +133,19 @@ def test_sessions_that_touch(spark):
     same(jobs.merged_sessions(parts), jobs.actor_sessions(log))
 
 
+def test_sessions_of_a_hot_actor_span_slices(spark):
+    """One actor with a third of the rows, one without a name, partial sessions in nine random batches."""
+    at = F.timestamp_seconds(F.lit(1700000000) + F.floor(F.rand(5) * 3000) * 7200)
+    who = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("a"), F.col("id") % 50))
+    rows = spark.range(4000).select("id", at.alias("at"), who.alias("actor_subject"), F.when(F.col("id") % 4 == 0, "refused").otherwise("granted").alias("outcome"))
+    log = spark.createDataFrame(rows.drop("id").collect(), "at timestamp, actor_subject string, outcome string")
+    parts = [jobs.actor_sessions(log.filter(F.pmod(F.xxhash64("at", "actor_subject", "outcome"), F.lit(9)) == k)) for k in range(9)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    same(jobs.merged_sessions(whole), jobs.actor_sessions(log))
+
+
 def test_trailing_sums_equal_brute_force(spark, w, tmp_path):
     values = w.events.select(F.col("ts").alias("at"), F.floor("value").cast("double").alias("value"), F.col("user_id").cast("string").alias("pseudonym_id"))
     parts = streamed(spark, in_files(values, tmp_path, "values"), "values", jobs.day_sums, tmp_path)
@@ -148,8 +161,17 @@ def test_trailing_sums_equal_brute_force(spark, w, tmp_path):
 def test_first_claims_are_the_earliest_of_all_files(spark, w, tmp_path):
     requests = w.table("lineitem").select(F.col("l_partkey").cast("string").alias("slot_id"), F.col("l_shipdate").alias("requested_at"),
                                           F.concat_ws("-", "l_orderkey", "l_linenumber").alias("request_id"))
-    parts = streamed(spark, in_files(requests.unionByName(requests.limit(50)), tmp_path, "requests"), "requests", jobs.first_claims, tmp_path)
-    same(jobs.first_claims(parts), jobs.first_claims(requests))
+    folder, out = in_files(requests.unionByName(requests.limit(50)), tmp_path, "requests"), f"{tmp_path}/claims"
+    before = spark.conf.get(jobs.STATE_STORE)
+    query = jobs.updating(jobs.first_claims(jobs.stream_of(spark, folder, "requests", requests, 1)), out, "claims")
+    jobs.run_to_end(query)
+    assert spark.conf.get(jobs.STATE_STORE) == before
+    parts = spark.read.option("basePath", f"{out}/data").parquet(f"{out}/data")
+    same(jobs.newest_claims(parts), jobs.first_claims(requests))
+    slots = requests.select("slot_id").distinct().count()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == slots  # one row a slot, however many requests
+    corrected = parts.groupBy("slot_id").agg(F.count_distinct("requested_at", "request_id").alias("n")).filter("n > 1")
+    assert corrected.count() > 0  # earlier requests did arrive late
 
 
 def test_keyed_baselines_equal_batch_fold(spark, w, tmp_path):
