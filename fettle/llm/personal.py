@@ -3,15 +3,19 @@
 Generators of high recall propose overlapping spans (spelt-out mail addresses, number
 groups with or without a country code, dotted numbers). Each candidate becomes a handful
 of small-valued features of its format and of the 24 characters on either side. Boosted
-trees of depth two are trained here, on all candidates of the corpus: those that a base
-pattern confirms are the positives. What the trees see never includes the very sign the
-base pattern demands, so they learn the company such data keeps.
+trees of depth two are trained here, on all candidates of the corpus. A positive is what a
+base pattern confirms, or what carries evidence that the open forms have, too: a word that
+announces a number or address right before it, or a bracketed "(at)". So forms that no
+base pattern can confirm (national numbers, spelt-out addresses) have positives of their
+own, and a form that is mostly announced is recognised where it is not. What the trees see
+never includes the very sign the base pattern demands.
 
 Training is exact and bounded: features take so few values that the corpus is one table
 of counts per feature vector (at most ``CELLS`` rows), which one aggregate gives. Half of
 the rows (by a hash of the key) fit the trees, the other half calibrates: a candidate is
-redacted from the lowest score at which the confirmed share of all held-out candidates
-with that score or more reaches ``precision``. The trees are then one CASE expression.
+redacted from the lowest score at which the positive share of all held-out candidates of
+its form with that score or more reaches ``precision``. Real data without evidence counts
+against that share, so it is a lower bound. The trees are then one CASE expression.
 
 Rows never leave the JVM: patterns, features, trees and thresholds are Columns.
 """
@@ -37,6 +41,12 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 SPELT = r"[A-Za-z0-9._%+-]{2,64}\x20?(?:@|\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{2,63}\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,12}"
 GROUPS = r"[(+]?[0-9][0-9().\x20-]{6,24}[0-9]"
+# Words that announce a number or an address, right before it.
+NUMBER_CUE = (r"(?<!\p{L})(?:tele?phone|phone|tel[eé]fono|t[eé]l[eé]phone|telefon|tel|t[eé]l|mobile?|m[oó]vil|handy|fax|cell|call|whatsapp)"
+              r"(?:\x20(?:me|us|no|nr|number|nummer|num[eé]ro|n[uú]mero))?[.:#=\x20-]{1,4}$")
+MAIL_CUE = r"(?<!\p{L})(?:e-?mail|mail|courriel|correo|contact|write\x20to|reach\x20me\x20at)[.:=\x20-]{1,4}$"
+BRACKETED = r"[(\[{]at[)\]}]"
+PLAIN, NUMBER, MARKED = 0, 1, 2  # forms: address, number group, address with a bracketed sign
 CONTEXT = 24
 CELLS = 4096
 TREES = 20
@@ -85,7 +95,18 @@ def candidates(text: Column) -> Column:
                         F.least(s["start"], F.lit(CONTEXT)).cast("int")).alias("before"),
             F.substring(text, s["end"].cast("int") + 1, F.lit(CONTEXT)).alias("after")))
 
-    return F.concat(around(located(text, SPELT), 0), around(located(text, GROUPS), 1))
+    return F.concat(around(located(text, SPELT), PLAIN), around(located(text, GROUPS), NUMBER))
+
+
+def form_of(c: Column) -> Column:
+    return F.when(c["found"].rlike(BRACKETED), MARKED).otherwise(c["form"])
+
+
+def announced(c: Column) -> Column:
+    """Evidence that needs no base pattern."""
+    before = F.lower(c["before"])
+    number = before.rlike(NUMBER_CUE) & F.length(_digits(c["found"])).between(7, 15)
+    return F.coalesce(F.when(c["form"] == NUMBER, number).otherwise(c["found"].rlike(BRACKETED) | before.rlike(MAIL_CUE)), F.lit(False))
 
 
 def features(c: Column) -> dict[str, Column]:
@@ -95,7 +116,7 @@ def features(c: Column) -> dict[str, Column]:
     parts = F.size(F.split(bare, r"[^0-9A-Za-z]+"))
     cue = F.lower(c["before"]).rlike(r"(?:phone|tel|call|mobile|fax|mail|contact|card|visa|ssn|address|host|server)")
     return {
-        "form": c["form"].cast("int"),  # 2
+        "form": form_of(c).cast("int"),  # 3
         "digits": F.when(n < 7, 0).when(n < 9, 1).when(n < 11, 2).when(n == 11, 3).when(n < 16, 4).when(n < 20, 5).otherwise(6),  # 7
         "parts": F.least(parts, F.lit(6)).cast("int"),  # 7
         "parens": c["found"].contains("(").cast("int"),  # 2
@@ -158,14 +179,17 @@ def score_of(model: tuple[float, list], row: dict) -> float:
 
 
 def cut_for(model: tuple[float, list], held: list[tuple[dict, int, int]], precision: float) -> float:
-    """Lowest score from which on the confirmed share of held-out candidates reaches ``precision``; infinite if none does."""
+    """Lowest score from which on the positive share of held-out candidates reaches ``precision``; infinite if none does.
+
+    One more negative than was seen is reckoned with, so a handful of positives proves nothing.
+    """
     pos = neg = 0
     cut = math.inf
     ranked = sorted(((score_of(model, f), p, n) for f, p, n in held), reverse=True, key=lambda x: x[0])
     for k, (score, p, n) in enumerate(ranked):
         pos, neg = pos + p, neg + n
         last = k + 1 == len(ranked) or ranked[k + 1][0] < score
-        if last and pos >= precision * (pos + neg):
+        if last and pos >= precision * (pos + neg + 1):
             cut = score
     return cut
 
@@ -177,14 +201,15 @@ def tree_column(tree, row: Column) -> Column:
     return F.when(row[tree[0]] <= tree[1], tree_column(tree[2], row)).otherwise(tree_column(tree[3], row))
 
 
-def train(rows: DataFrame, precision: float) -> tuple[tuple[float, list], float]:
-    """Model and cut from rows with ``half``, ``confirmed`` and ``f``: one aggregate of at most 2 x CELLS rows."""
-    counts = (rows.groupBy("half", "f").agg(F.sum(F.col("confirmed").cast("long")).alias("p"),
+def train(rows: DataFrame, precision: float) -> tuple[tuple[float, list], dict[int, float]]:
+    """Model and cut per form from rows with ``half``, ``evident`` and ``f``: one aggregate of at most 2 x CELLS rows."""
+    counts = (rows.groupBy("half", "f").agg(F.sum(F.col("evident").cast("long")).alias("p"),
                                            F.count(F.lit(1)).alias("n")).collect())
     cells = {half: sorted(((r["f"].asDict(), r["p"], r["n"] - r["p"]) for r in counts if r["half"] == half),
                           key=lambda c: sorted(c[0].items())) for half in (0, 1)}
     model = boost(cells[0])
-    return model, cut_for(model, cells[1], precision)
+    held = {form: [c for c in cells[1] if c[0]["form"] == form] for form in (PLAIN, NUMBER, MARKED)}
+    return model, {form: cut_for(model, part, precision) for form, part in held.items()}
 
 
 def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", precision: float = 0.95) -> DataFrame:
@@ -202,14 +227,17 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", prec
                               F.pmod(F.xxhash64(F.col(key), F.length(body)), F.lit(2)).cast("int").alias("half")))
     described = F.transform("found", lambda c: F.struct(
         c["start"].alias("start"), c["end"].alias("end"), (~clear_of(c, F.col("base"))).alias("confirmed"),
+        (~clear_of(c, F.col("base")) | announced(c)).alias("evident"),
         F.struct(*[v.alias(k) for k, v in features(c).items()]).alias("f")))
     rows = rows.select("key", "base", "half", described.alias("found"))
-    model, cut = train(rows.select("half", F.explode("found").alias("c")).select("half", "c.confirmed", "c.f"), precision)
+    model, cuts = train(rows.select("half", F.explode("found").alias("c")).select("half", "c.evident", "c.f"), precision)
+    cuts = {form: cut for form, cut in cuts.items() if not math.isinf(cut)}
     none = F.array().cast(Span)
-    if math.isinf(cut):
+    if not cuts:
         return rows.select("key", "base", none.alias("added"))
     score = lambda f: reduce(lambda a, t: a + tree_column(t, f), model[1], F.lit(model[0]))
-    taken = F.filter("found", lambda c: ~c["confirmed"] & (score(c["f"]) >= F.lit(cut - 1e-9)))
+    sure = lambda f: reduce(lambda a, b: a | b, [(f["form"] == form) & (score(f) >= cut - 1e-9) for form, cut in cuts.items()])
+    taken = F.filter("found", lambda c: ~c["confirmed"] & sure(c["f"]))
     added = F.array_sort(F.transform(taken, lambda c: F.struct(
         c["start"].alias("start"), F.lit(4).alias("rank"), c["end"].alias("end"), F.lit("likely").alias("kind"))))
     return rows.select("key", "base", F.coalesce(added, none).alias("added"))

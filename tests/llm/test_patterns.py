@@ -113,6 +113,33 @@ def test_candidates_are_redacted_in_the_company_of_confirmed_ones(spark):
     assert all(got[i]["added"] for i in range(120, 123))
 
 
+def test_open_forms_are_redacted_by_announced_evidence(spark):
+    """No base pattern confirms these; announced ones teach the form, plain numbers and phrases stay."""
+    national = [f"please call (0{i % 7 + 20}) 555-{i:04d} today" for i in range(150)]
+    spelt = [f"write to jo{i}.smith (at) mail{i % 9} (dot) org for it" for i in range(150)]
+    silent = [f"ask for it (0{i % 7 + 20}) 555-{i:04d}" for i in range(3)] + [f"from ann{i} [at] mail [dot] net" for i in range(3)]
+    plain = [f"order {i:04d}{7919 * i % 10000:04d} of the hotel {i:03d} 44 1{i:03d} was at the. Of" for i in range(200)]
+    texts = national + spelt + silent + plain
+    got = {r["key"]: r for r in personal.find_personal(_by_text(spark, texts)).collect()}
+    first, last = len(national) + len(spelt), len(national) + len(spelt) + len(silent)
+    assert sum(bool(got[i]["added"]) for i in range(first)) >= 0.99 * first
+    assert all(got[i]["added"] for i in range(first, last))
+    assert not any(got[i]["added"] for i in range(last, len(texts)))
+    spans = {texts[i][s["start"]:s["end"]] for i in range(first, last) for s in got[i]["added"]}
+    assert {"(020) 555-0000", "ann0 [at] mail [dot] net"} <= spans
+    for i, t in enumerate(texts):
+        assert not got[i]["base"] and brute.personal_spans(t)[:4] == (0, 0, 0, 0)
+
+
+def test_cues_are_words(spark):
+    rows = [("tel: ", "030 1234567", 1, True), ("hotel ", "030 1234567", 1, False), ("fax no. ", "030 1234567", 1, True),
+            ("call ", "12 34 5", 1, False), ("", "030 1234567", 1, False), ("", "a (at) b.de", 0, True), ("at ", "from at and. Of", 0, False),
+            ("e-mail ", "a at b.de", 0, True)]
+    df = spark.createDataFrame(rows, "before string, found string, form int, want boolean")
+    c = F.struct("before", "found", "form")
+    assert df.filter(personal.announced(c) != F.col("want")).count() == 0
+
+
 def test_empty_tables(spark, no_docs):
     assert secrets.report(secrets.find_secrets(no_docs)).count() == 0
     assert personal.report(personal.find_personal(no_docs)).count() == 0
