@@ -7,14 +7,19 @@ to a score Column, or (``*_by_model``) any DataFrame -> DataFrame transform.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from math import ceil, factorial
+from operator import or_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fettle import policy as P
 from fettle import texts
-from fettle.operators.scoring import SCORE, band, signal_index
+from fettle.operators.scoring import SCORE, band, signal_index, signal_index_arrays
+from fettle.operators.spread import settle
 
 ColumnScorer = Callable[[Mapping[str, Column]], Column]
 
@@ -61,18 +66,86 @@ def _by_work(cases: DataFrame, key: str) -> DataFrame:
     return cases.repartition(max(1, ceil(cases.count() / CASES_PER_TASK)), key)
 
 
+def _per_case(scored: DataFrame, score: str, n: int, key: str) -> DataFrame:
+    """Weighted sums over coalitions, each first summed over the reference rows.
+
+    The n weights are looked up once per coalition, not once per reference row. Cases are
+    partitioned by their key, which serves both groupings: neither shuffles.
+    """
+    full = (1 << n) - 1
+    coalitions = scored.groupBy(key, "_mask").agg(F.sum(score).alias("_sum"), F.max("_rows").alias("_n"))
+    sums = [F.sum(_share(F.col("_mask"), i, n) * F.col("_sum")).alias(f"_phi{i}") for i in range(n)]
+    return coalitions.groupBy(key).agg(
+        *sums, F.sum(F.when(F.col("_mask") == 0, F.col("_sum"))).alias("_base"),
+        F.sum(F.when(F.col("_mask") == full, F.col("_sum"))).alias("_pred"), F.max("_n").alias("_n"))
+
+
 def shapley(cases: DataFrame, reference: DataFrame, inputs: Sequence[str] = P.SIGNALS,
             scorer: ColumnScorer = signal_index, key: str = "pseudonym_id") -> DataFrame:
     """Exact Shapley values of every case against the reference rows.
 
     ``reference`` is at most a few hundred rows and is broadcast. Each case row
     expands to coalitions x reference rows inside its own task and is summed
-    back to one row per case by the partial aggregate, so only one row per case
-    is shuffled.
+    back to one row per case, so only one row per case is shuffled. A scorer with
+    an array form scores all of a case's combinations as arrays; a case with a
+    null or NaN input, and any other scorer, expands to rows.
     """
     n = len(inputs)
     if n > P.MAX_EXACT_INPUTS:
         raise ValueError(f"{n} inputs: exact enumeration stops at {P.MAX_EXACT_INPUTS}")
+    arrays = ARRAY_FORMS.get(scorer)
+    if arrays is None:
+        return _by_rows(cases, reference, inputs, scorer, key)
+    reference = settle(reference.select(*inputs))
+    odd = reduce(or_, [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in inputs])
+    if not reference.filter(odd).isEmpty():
+        return _by_rows(cases, reference, inputs, scorer, key)
+    per_row = _by_arrays(cases.filter(~odd), reference, inputs, arrays, key).unionByName(
+        _by_rows(cases.filter(odd), reference, inputs, scorer, key))
+    # keys may repeat: their rows add up
+    return per_row.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("base_value", "prediction", *inputs)])
+
+
+#: scorers of Columns and the same of arrays
+ARRAY_FORMS = {signal_index: signal_index_arrays}
+
+CASES_PER_ARRAY_TASK = 256
+
+
+def _by_arrays(cases: DataFrame, reference: DataFrame, inputs: Sequence[str],
+               scorer: Callable[[dict[str, np.ndarray]], np.ndarray], key: str) -> DataFrame:
+    names, n = list(inputs), len(inputs)
+    masks = np.arange(1 << n)
+    holds = ((masks[:, None] >> np.arange(n)) & 1).astype(bool)  # coalition x input
+    weights, sizes = np.array(_marginal_weights(n)), holds.sum(1)
+    share = np.where(holds, weights[sizes - 1][:, None], -weights[np.minimum(sizes, n - 1)][:, None])
+    refs = np.array([list(r) for r in reference.select(*[F.col(c).cast("double") for c in names]).collect()], float)  # bounded sample
+    shared = cases.sparkSession.sparkContext.broadcast((refs.reshape(-1, n), share))
+
+    def run(batches):
+        refs, share = shared.value
+        full = (2,) * n + (len(refs),)
+
+        def mixed(row):
+            # an axis per input, 0 from the reference and 1 from the case: terms of few inputs stay small
+            spots = [(1,) * (n - 1 - i) + (2,) + (1,) * i + (len(refs),) for i in range(n)]
+            return {c: np.stack([refs[:, i], np.full(len(refs), row[i])]).reshape(spots[i]) for i, c in enumerate(names)}
+
+        for batch in batches:
+            x = batch[names].to_numpy(float)
+            value = np.array([np.broadcast_to(scorer(mixed(row)), full).mean(-1).ravel() for row in x]).reshape(-1, 1 << n)
+            phi = value @ share
+            yield pd.DataFrame({key: batch[key], "base_value": value[:, 0], "prediction": value[:, -1],
+                                **{c: phi[:, i] for i, c in enumerate(names)}})
+
+    rows = cases.select(key, *[F.col(c).cast("double").alias(c) for c in names])
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, base_value double, prediction double, " + ", ".join(f"`{c}` double" for c in names)
+    return rows.repartition(max(1, ceil(rows.count() / CASES_PER_ARRAY_TASK))).mapInPandas(run, schema)
+
+
+def _by_rows(cases: DataFrame, reference: DataFrame, inputs: Sequence[str], scorer: ColumnScorer, key: str) -> DataFrame:
+    n = len(inputs)
     ref = reference.agg(F.collect_list(_as_array(reference, inputs)).alias("_refs"))  # bounded sample
     expanded = (
         _by_work(cases.select(key, _as_array(cases, inputs).alias("_x")), key)
@@ -85,14 +158,7 @@ def shapley(cases: DataFrame, reference: DataFrame, inputs: Sequence[str] = P.SI
         ])
         .select(key, "_mask", "_rows", scorer({c: F.col(c) for c in inputs}).alias("_v"))
     )
-    full = (1 << n) - 1
-    sums = [F.sum(_share(F.col("_mask"), i, n) * F.col("_v")).alias(f"_phi{i}") for i in range(n)]
-    ends = [
-        F.sum(F.when(F.col("_mask") == 0, F.col("_v"))).alias("_base"),
-        F.sum(F.when(F.col("_mask") == full, F.col("_v"))).alias("_pred"),
-        F.max("_rows").alias("_n"),
-    ]
-    per_case = expanded.groupBy(key).agg(*sums, *ends)
+    per_case = _per_case(expanded, "_v", n, key)
     return per_case.select(
         key, (F.col("_base") / F.col("_n")).alias("base_value"), (F.col("_pred") / F.col("_n")).alias("prediction"),
         *[(F.col(f"_phi{i}") / F.col("_n")).alias(c) for i, c in enumerate(inputs)],
@@ -123,11 +189,7 @@ def shapley_by_model(cases: DataFrame, reference: DataFrame, transform: Callable
         ])
     )
     scored = transform(expanded)
-    sums = [F.sum(_share(F.col("_mask"), i, n) * F.col(score)).alias(f"_phi{i}") for i in range(n)]
-    full = (1 << n) - 1
-    per_case = scored.groupBy(key).agg(
-        *sums, F.sum(F.when(F.col("_mask") == 0, F.col(score))).alias("_base"),
-        F.sum(F.when(F.col("_mask") == full, F.col(score))).alias("_pred"), F.max("_rows").alias("_n"))
+    per_case = _per_case(scored, score, n, key)
     values = {c: (F.col(f"_phi{i}") / F.col("_n")) for i, c in enumerate(varying)}
     return per_case.select(
         key, (F.col("_base") / F.col("_n")).alias("base_value"), (F.col("_pred") / F.col("_n")).alias("prediction"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +14,13 @@ SCORE = "welfare_risk_score"
 W = P.INDEX_WEIGHTS
 
 
-def _combine(terms: dict[str, Column]) -> Column:
-    """Weighted sum + overwork-without-recovery term + saturating deployment term, on 0-100."""
-    linear = F.lit(0.0)
+def _combine(terms: dict, sqrt=F.sqrt):
+    """Weighted sum + overwork-without-recovery term + saturating deployment term; terms are Columns, or arrays with ``sqrt`` of arrays."""
+    linear = 0.0
     for name, weight in W.items():
-        linear = linear + F.lit(weight) * terms[name]
-    interaction = F.lit(P.INDEX_INTERACTION) * terms["overwork"] * terms["recovery_deficit"]
-    saturating = F.lit(P.INDEX_SATURATING) * F.sqrt(terms["deployment"] * (F.lit(1.0) + terms["irregularity"]))
+        linear = linear + terms[name] * weight
+    interaction = terms["overwork"] * P.INDEX_INTERACTION * terms["recovery_deficit"]
+    saturating = sqrt(terms["deployment"] * (terms["irregularity"] + 1.0)) * P.INDEX_SATURATING
     return linear + interaction + saturating
 
 
@@ -51,7 +52,17 @@ def signal_index(columns: dict[str, Column] | None = None) -> Column:
     and counterfactual operators take the scorer as an argument.
     """
     s = {name: (columns or {}).get(name, F.col(name)) / F.lit(100.0) for name in P.SIGNALS}
-    terms = {
+    return clip(_combine({**_signal_terms(s), "exposure": F.lit(0.5)}) * F.lit(100.0), 0.0, 100.0)
+
+
+def signal_index_arrays(columns: dict[str, np.ndarray]) -> np.ndarray:
+    """``signal_index`` of arrays without nulls or NaN, for work inside a task."""
+    s = {name: columns[name] / 100.0 for name in P.SIGNALS}
+    return np.clip(_combine({**_signal_terms(s), "exposure": 0.5}, np.sqrt) * 100.0, 0.0, 100.0)
+
+
+def _signal_terms(s: dict) -> dict:
+    return {
         "overwork": s["workload_deviation_signal"],
         "recovery_deficit": s["recovery_pattern_signal"],
         "leave_deficit": s["leave_deficit_signal"],
@@ -62,9 +73,7 @@ def signal_index(columns: dict[str, Column] | None = None) -> Column:
         "no_offs": s["recovery_pattern_signal"],
         "hard_area": s["posting_hardship_signal"],
         "family_separated": s["family_separation_signal"],
-        "exposure": F.lit(0.5),
     }
-    return clip(_combine(terms) * F.lit(100.0), 0.0, 100.0)
 
 
 def labels(features: DataFrame, profiles: DataFrame | None = None) -> DataFrame:

@@ -140,6 +140,27 @@ def test_shapley_equals_definition(spark):
     assert all(model[c] == pytest.approx(want[c]) for c in names)
 
 
+def test_scores_as_arrays_equal_scores_as_rows(spark):
+    rng = random.Random(8)
+    cols = ", ".join(f"{c} double" for c in P.SIGNALS)
+    draw = lambda: [rng.uniform(0, 100) for _ in P.SIGNALS]
+    cases = [("a", *draw()), ("b", *draw()), ("b", *draw()), (None, *draw()), ("full", *[100.0] * 9),
+             ("gap", None, *draw()[1:]), ("nan", float("nan"), *draw()[1:]), ("both", *draw()), ("both", None, *draw()[1:])]
+    cases = spark.createDataFrame(cases, f"pseudonym_id string, {cols}")
+    plain = [draw() for _ in range(4)] + [[100.0] * 9]
+    for refs in (plain, [*plain, [None, *draw()[1:]]]):
+        ref = spark.createDataFrame(refs, cols)
+        read = lambda df: {r[0]: r[1:] for r in df.collect()}
+        want = read(explain._by_rows(cases, ref, P.SIGNALS, explain.signal_index, "pseudonym_id"))
+        found = explain.shapley(cases, ref)
+        got = read(found)
+        assert got.keys() == want.keys() and len(got) == 7
+        for key, row in want.items():
+            assert got[key] == pytest.approx(row, abs=1e-9, nan_ok=True)
+        if refs is plain:  # whole cases do not expand to a row per coalition and reference row
+            assert "MapInPandas" in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("n", [1_200, 100_000])
 def test_scanned_baselines_equal_one_long_fold(spark, n):
     rng = np.random.default_rng(2)
