@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from math import ceil
 
 import numpy as np
 from pyspark import inheritable_thread_target
@@ -200,28 +201,48 @@ def compare(rows: DataFrame, options: Sequence[Candidate], with_cv: bool = False
 
 def fit_all(rows: DataFrame, options: Sequence[Candidate], with_cv: bool = False) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """The rows of ``compare`` and the fitted models by name."""
-    fitted: dict[str, PipelineModel] = {}
-    train, test = rows.filter(F.col("split") != "test").persist(), rows.filter(F.col("split") == "test").persist()
+    made = measure_all(rows, options, with_cv)
+    return measured_rows(rows.sparkSession, [row for row, _ in made]), {row[0]: model for row, model in made}
 
-    def measure(option: Candidate) -> tuple:
-        model, seconds = fit(train, option)
-        fitted[option.name] = model
+
+ROWS_PER_TASK = 2_000
+ROWS_PER_BOOSTING_TASK = 20_000
+
+
+def measure_all(rows: DataFrame, options: Sequence[Candidate], with_cv: bool = False) -> list[tuple[tuple, PipelineModel]]:
+    """Per candidate its measured row and its model."""
+    train, test = rows.filter(F.col("split") != "test"), rows.filter(F.col("split") == "test").persist()
+    size = train.count()
+    train = train.repartition(_tasks(rows, size, ROWS_PER_TASK)).persist()
+    # a round of boosting is a chain of jobs of a few milliseconds: a task for few rows costs more than it saves
+    chained = train.coalesce(_tasks(rows, size, ROWS_PER_BOOSTING_TASK))
+
+    def measure(option: Candidate) -> tuple[tuple, PipelineModel]:
+        model, seconds = fit(chained if isinstance(option.stages[-1], GBTRegressor) else train, option)
         scored = predict(model, test)
         m = scoring.regression_metrics(scored, "label", "predicted").crossJoin(
             scoring.band_metrics(scored, "label", "predicted")).first().asDict()
         cv = grouped_cv_r2(train, option) if with_cv else (None, None)
         return (option.name, option.is_tree, float(m["r2"]), float(m["mae"]), float(m["rmse"]),
-                m["band_accuracy"], m["high_recall"], m["high_precision"], m["escalation_recall"], seconds, *cv)
+                m["band_accuracy"], m["high_recall"], m["high_precision"], m["escalation_recall"], seconds, *cv), model
 
     # boosting is a long chain of small jobs: side by side the candidates fill the cluster
-    with ThreadPoolExecutor(max_workers=len(options)) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, len(options))) as pool:
         out = list(pool.map(inheritable_thread_target(rows.sparkSession)(measure), options))
     train.unpersist()
     test.unpersist()
-    return rows.sparkSession.createDataFrame(out, (
+    return out
+
+
+def _tasks(rows: DataFrame, size: int, per_task: int) -> int:
+    return max(1, min(rows.sparkSession.sparkContext.defaultParallelism, ceil(size / per_task)))
+
+
+def measured_rows(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
+    return spark.createDataFrame(list(rows), (
         "model_name string, is_tree boolean, r2 double, mae double, rmse double, band_accuracy double, "
         "high_recall double, high_precision double, escalation_recall double, seconds double, cv_r2 double, "
-        "cv_r2_sd double")), fitted
+        "cv_r2_sd double"))
 
 
 def optimality_gap(rows: DataFrame, model: PipelineModel, penalty: float = 0.0, l1: bool = False,
@@ -266,24 +287,63 @@ class Training:
     fitted: dict[str, PipelineModel]
 
 
+def tuned(rows: DataFrame, candidate: Candidate) -> Candidate:
+    """A candidate at full size, its penalty chosen on the rows outside the test split."""
+    train = rows.filter(F.col("split") != "test")
+    if candidate.name == "ridge_regression":
+        # MLlib divides an L2 penalty by the deviation of the label, an L1 penalty it does not
+        spread_ = train.agg(F.stddev_samp("label").alias("sd")).first()["sd"] or 1.0
+        return ridge(alpha=choose_penalty(train, l1=False)[0] * spread_)
+    if candidate.name == "lasso_regression":
+        return lasso(alpha=choose_penalty(train, l1=True)[0])
+    return candidate
+
+
 def tuned_candidates(rows: DataFrame) -> list[Candidate]:
     """All six at full size, the penalties chosen on the rows outside the test split."""
-    train = rows.filter(F.col("split") != "test")
-    # MLlib divides an L2 penalty by the deviation of the label, an L1 penalty it does not
-    spread_ = train.agg(F.stddev_samp("label").alias("sd")).first()["sd"] or 1.0
-    chosen = {"ridge_regression": ridge(alpha=choose_penalty(train, l1=False)[0] * spread_),
-              "lasso_regression": lasso(alpha=choose_penalty(train, l1=True)[0])}
-    return [chosen.get(c.name, c) for c in candidates()]
+    return [tuned(rows, c) for c in candidates()]
+
+
+class Comparison:
+    """Candidates of one training run over settled rows; each is fitted once, when its row is first asked for.
+
+    Without ``options`` they are the six at full size, each tuned before its fit.
+    """
+
+    def __init__(self, rows: DataFrame, options: Sequence[Candidate] | None = None):
+        self.rows, self.tune = rows, options is None
+        self.options = {c.name: c for c in (candidates() if options is None else options)}
+        self.made: dict[str, tuple[tuple, PipelineModel]] = {}
+
+    def _fit(self, names: Sequence[str]) -> None:
+        missing = [n for n in names if n not in self.made]
+        if not missing:
+            return
+        if self.tune:
+            self.options.update({n: tuned(self.rows, self.options[n]) for n in missing})
+        self.made.update(zip(missing, measure_all(self.rows, [self.options[n] for n in missing])))
+
+    def measured(self, names: Sequence[str] | None = None) -> DataFrame:
+        names = list(names or self.options)
+        self._fit(names)
+        return measured_rows(self.rows.sparkSession, [self.made[n][0] for n in names])
+
+    def fitted(self, name: str) -> PipelineModel:
+        self._fit([name])
+        return self.made[name][1]
 
 
 def train(rows: DataFrame, options: Sequence[Candidate] | None = None) -> Training:
     """Fit every candidate, select by the measured rows, fit the selected one for deployment and calibrate it."""
-    rows = spread.settle(rows)
-    options = tuned_candidates(rows) if options is None else options
-    measured, fitted = fit_all(rows, options)
+    return train_compared(Comparison(spread.settle(rows), options))
+
+
+def train_compared(run: Comparison) -> Training:
+    """The same over candidates of which some may be fitted already."""
+    measured = run.measured()
     selected = scoring.select_model(measured).first()["selected"]
-    model, calibration = deploy(rows, next(c for c in options if c.name == selected))
-    return Training(measured, selected, model, spread.settle(calibration), fitted)
+    model, calibration = deploy(run.rows, run.options[selected])
+    return Training(measured, selected, model, spread.settle(calibration), {n: run.fitted(n) for n in run.options})
 
 
 def scorer(model: PipelineModel) -> Callable[[DataFrame], DataFrame]:

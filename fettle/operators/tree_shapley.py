@@ -18,7 +18,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import factorial
+from math import ceil, factorial
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from fettle import policy as P
 from fettle.operators.spread import settle, shared_folder
 
+CASES_PER_TASK = 256  # small rows, much work each
 PAIRS = 1 << 20  # (case, leaf, mask) triples worked on at a time
 
 
@@ -53,12 +54,14 @@ def node_table(model) -> DataFrame:
 def walked(rows: DataFrame, model, inputs: Sequence[str], keep: str) -> DataFrame:
     """``keep`` of every row and ``walked``, the weighted sum of the leaves it reaches in the exported node table."""
     table = node_table(model).toPandas().sort_values(["tree", "node"])  # grows with the model alone
-    place = {k: i for i, k in enumerate(zip(table["tree"], table["node"]))}
+    span = np.int64(table["node"].max() + 1)
+    place = table["tree"].to_numpy(np.int64) * span + table["node"].to_numpy(np.int64)  # ascending
     feature, threshold = table["feature"].to_numpy(np.int64), table["threshold"].fillna(0.0).to_numpy(float)
     amount = (table["weight"] * table["prediction"]).to_numpy(float)
     inner = table["left"].to_numpy() >= 0
-    left, right = (np.array([place[t, n] if n >= 0 else i for i, (t, n) in enumerate(zip(table["tree"], table[side]))]) for side in ("left", "right"))
-    roots = np.array([place[t, 0] for t in sorted(set(table["tree"]))])
+    left, right = (np.where(inner, np.searchsorted(place, place // span * span + table[side].to_numpy(np.int64)), np.arange(len(place)))
+                   for side in ("left", "right"))
+    roots = np.flatnonzero(place % span == 0)
     shared = rows.sparkSession.sparkContext.broadcast((feature, threshold, amount, inner, left, right, roots))
     names = list(inputs)
 
@@ -178,7 +181,8 @@ def tree_shapley(cases: DataFrame, reference: DataFrame, model, inputs: Sequence
 
     kind = cases.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, base_value double, prediction double, " + ", ".join(f"`{c}` double" for c in names)
-    return cases.select(key, *[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(run, schema)
+    rows = cases.select(key, *[F.col(c).cast("double").alias(c) for c in names])
+    return rows.repartition(max(1, ceil(rows.count() / CASES_PER_TASK))).mapInPandas(run, schema)
 
 
 def linear_shapley(cases: DataFrame, reference: DataFrame, model: PipelineModel, inputs: Sequence[str] = P.MODEL_INPUTS,

@@ -29,15 +29,18 @@ def measured(w, names=None) -> DataFrame:
     share = lambda c: F.col(c).isNull() | F.col(c).between(0, 1)
     sound = (~F.isnan("r2") & (F.col("r2") <= 1) & (F.col("mae") >= 0) & (F.col("mae") <= F.col("rmse"))
              & share("band_accuracy") & share("high_recall") & share("high_precision") & share("escalation_recall"))
-    sizes = w.modelling.agg(F.count_if(F.col("split") != "test").alias("train_rows"), F.count_if(F.col("split") == "test").alias("test_rows"))
-    exact = w.spark.createDataFrame([(n, fitted_exactly(w, n)) for n in (names or w.training.fitted)], "model_name string, exact boolean")
-    return (w.training.measured.withColumn("sound", sound).withColumn("learned", F.col("r2") > 0)
+    run = w.comparison
+    names = list(names or run.options)
+    rows = run.measured(names)
+    sizes = run.rows.agg(F.count_if(F.col("split") != "test").alias("train_rows"), F.count_if(F.col("split") == "test").alias("test_rows"))
+    exact = w.spark.createDataFrame([(n, fitted_exactly(w, n)) for n in names], "model_name string, exact boolean")
+    return (rows.withColumn("sound", sound).withColumn("learned", F.col("r2") > 0)
             .join(F.broadcast(exact), "model_name").crossJoin(F.broadcast(sizes)))
 
 
 def fitted_exactly(w, name: str) -> bool:
     """Linear fits lie at their optimum, tree predictions are the sums of the leaves they fall into."""
-    model, rows = w.training.fitted[name], w.modelling.filter("split <> 'test'")
+    model, rows = w.comparison.fitted(name), w.comparison.rows.filter("split <> 'test'")
     if not hasattr(model.stages[-1], "treeWeights"):
         l1 = name == "lasso_regression"
         penalty = 0.0 if name == "linear_regression" else models.choose_penalty(rows, l1)[0]
@@ -99,8 +102,9 @@ def m15_all(w):
 SELECT pseudonym_id, 11 AS inputs, true AS prediction_met, true AS base_met, true AS additive FROM v_latest""")
 def m24_trees(w):
     """Exact values of all eleven inputs for the best fitted trees, held against the model's own predictions."""
-    best = w.training.measured.filter("is_tree").orderBy(F.desc("r2"), "model_name").first()["model_name"]
-    model, inputs = w.training.fitted[best], list(P.MODEL_INPUTS)
+    trees = [c.name for c in w.comparison.options.values() if c.is_tree]
+    best = w.comparison.measured(trees).orderBy(F.desc("r2"), "model_name").first()["model_name"]
+    model, inputs = w.comparison.fitted(best), list(P.MODEL_INPUTS)
     cases, reference = w.latest_signals, explain.background(w.behaviour, inputs=P.MODEL_INPUTS)
     phi = tree_shapley.model_shapley(cases, reference, model)
     own = model.transform(cases.fillna(0.0, subset=inputs)).select("pseudonym_id", F.col("prediction").alias("told"))

@@ -129,7 +129,12 @@ class Workload:
     @cached_property
     def training(self) -> models.Training:
         """Every candidate fitted once at full size, the selected one deployed."""
-        return models.train(self.modelling.drop("risk_level", "confidence_level"))
+        return models.train_compared(self.comparison)
+
+    @cached_property
+    def comparison(self) -> models.Comparison:
+        """The candidates of the training run, each fitted when first asked for."""
+        return models.Comparison(spread.settle(self.modelling.drop("risk_level", "confidence_level")))
 
     @cached_property
     def deployed(self) -> "Workload":

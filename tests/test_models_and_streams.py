@@ -247,6 +247,20 @@ def test_training_selects_calibrates_and_scores(spark, rows):
     assert scored.filter("welfare_risk_score < interval_low or welfare_risk_score > interval_high").count() == 0
 
 
+def test_candidates_are_fitted_when_asked_for_and_once(spark, rows):
+    run = models.Comparison(rows, [models.linear(), models.boosting(rounds=2)])
+    assert run.measured(["linear_regression"]).count() == 1 and set(run.made) == {"linear_regression"}
+    line = run.fitted("linear_regression")
+    whole = models.train_compared(run)
+    assert whole.measured.count() == 2 and whole.fitted["linear_regression"] is line
+
+
+def test_walk_through_exported_nodes_meets_the_forest(spark, rows):
+    from fettle.plans.queries_models import leaf_gap
+
+    assert leaf_gap(models.fit(rows, models.forest(trees=7))[0], rows) < 1e-9
+
+
 def test_wide_service_numbers_are_identities(spark):
     from fettle.operators.privacy import namespace
     got = spark.createDataFrame([("P00001",), ("P123456",), ("P12",), ("PSN0123456789abcdef",)], "s string").select(namespace(F.col("s"))).collect()
