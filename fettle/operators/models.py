@@ -15,14 +15,14 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fettle import policy as P
 from fettle.functions.scales import clip, hash_bucket
-from fettle.operators import scoring, spread
+from fettle.operators import scoring, spread, trees as grown
 
 FEATURES, SCALED, PREDICTION = "_features", "_scaled", "prediction"
 
@@ -61,21 +61,21 @@ def lasso(inputs: Sequence[str] = P.MODEL_INPUTS, alpha: float = 0.1) -> Candida
 
 
 def forest(inputs: Sequence[str] = P.MODEL_INPUTS, trees: int = 300) -> Candidate:
-    fit = RandomForestRegressor(featuresCol=FEATURES, labelCol="label", numTrees=trees, maxDepth=14,
-                                minInstancesPerNode=5, seed=P.SEED)
+    fit = grown.SubtreeForest(featuresCol=FEATURES, labelCol="label", numTrees=trees, maxDepth=14,
+                              minInstancesPerNode=5, seed=P.SEED)
     return Candidate("random_forest", "Random forest", True, (_assembler(inputs), fit))
 
 
 def boosting(inputs: Sequence[str] = P.MODEL_INPUTS, rounds: int = 400) -> Candidate:
-    fit = GBTRegressor(featuresCol=FEATURES, labelCol="label", maxIter=rounds, maxDepth=3, stepSize=0.05,
-                       subsamplingRate=0.8, seed=P.SEED)
+    fit = grown.BarrierBoosting(featuresCol=FEATURES, labelCol="label", maxIter=rounds, maxDepth=3, stepSize=0.05,
+                                subsamplingRate=0.8, seed=P.SEED)
     return Candidate("gradient_boosting", "Gradient boosting", True, (_assembler(inputs), fit))
 
 
 def histogram_boosting(inputs: Sequence[str] = P.MODEL_INPUTS, rounds: int = 400) -> Candidate:
-    """MLlib trees bin every input already; fifteen leaves fit in depth four."""
-    fit = GBTRegressor(featuresCol=FEATURES, labelCol="label", maxIter=rounds, maxDepth=4, maxBins=256, stepSize=0.05,
-                       seed=P.SEED)
+    """The trees bin every input already; fifteen leaves fit in depth four."""
+    fit = grown.BarrierBoosting(featuresCol=FEATURES, labelCol="label", maxIter=rounds, maxDepth=4, maxBins=256,
+                                stepSize=0.05, seed=P.SEED)
     return Candidate("hist_gradient_boosting", "Histogram gradient boosting", True, (_assembler(inputs), fit))
 
 
@@ -206,7 +206,6 @@ def fit_all(rows: DataFrame, options: Sequence[Candidate], with_cv: bool = False
 
 
 ROWS_PER_TASK = 2_000
-ROWS_PER_BOOSTING_TASK = 20_000
 
 
 def measure_all(rows: DataFrame, options: Sequence[Candidate], with_cv: bool = False) -> list[tuple[tuple, PipelineModel]]:
@@ -214,11 +213,9 @@ def measure_all(rows: DataFrame, options: Sequence[Candidate], with_cv: bool = F
     train, test = rows.filter(F.col("split") != "test"), rows.filter(F.col("split") == "test").persist()
     size = train.count()
     train = train.repartition(_tasks(rows, size, ROWS_PER_TASK)).persist()
-    # a round of boosting is a chain of jobs of a few milliseconds: a task for few rows costs more than it saves
-    chained = train.coalesce(_tasks(rows, size, ROWS_PER_BOOSTING_TASK))
 
     def measure(option: Candidate) -> tuple[tuple, PipelineModel]:
-        model, seconds = fit(chained if isinstance(option.stages[-1], GBTRegressor) else train, option)
+        model, seconds = fit(train, option)
         scored = predict(model, test)
         m = scoring.regression_metrics(scored, "label", "predicted").crossJoin(
             scoring.band_metrics(scored, "label", "predicted")).first().asDict()
@@ -226,7 +223,7 @@ def measure_all(rows: DataFrame, options: Sequence[Candidate], with_cv: bool = F
         return (option.name, option.is_tree, float(m["r2"]), float(m["mae"]), float(m["rmse"]),
                 m["band_accuracy"], m["high_recall"], m["high_precision"], m["escalation_recall"], seconds, *cv), model
 
-    # boosting is a long chain of small jobs: side by side the candidates fill the cluster
+    # boosting keeps few tasks busy: side by side the candidates fill the cluster
     with ThreadPoolExecutor(max_workers=max(1, len(options))) as pool:
         out = list(pool.map(inheritable_thread_target(rows.sparkSession)(measure), options))
     train.unpersist()
