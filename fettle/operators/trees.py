@@ -57,10 +57,15 @@ class Binned:
 
     def __init__(self, rows: DataFrame, features: str, label: str, bins: int, seed: int):
         flat = rows.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"))
-        size = flat.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y").isNull() | F.isnan("y")).alias("odd")).first()
+        y, odd = F.col("y"), F.exists("x", lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
+        size = flat.agg(F.count(F.lit(1)).alias("n"), F.count_if(y.isNull() | F.isnan(y)).alias("labels"),
+                        F.count_if(F.col("x").isNull() | odd).alias("inputs")).first()
         self.rows = size["n"]
-        if not self.rows or size["odd"]:
+        # as MLlib refuses them
+        if not self.rows or size["labels"]:
             raise ValueError("labels are needed, and none may be null or NaN")
+        if size["inputs"]:
+            raise ValueError("inputs must not be null, NaN or infinite")
         # as in MLlib, cut points come from a sample of this size; every row is binned and fitted
         needed = max(bins * bins, 10_000)
         part = flat if self.rows <= needed else flat.sample(False, needed / self.rows, seed)

@@ -76,3 +76,10 @@ def test_a_subtree_holds_enough_rows_per_leaf_and_splits_best():
 def test_null_labels_are_refused(rows):
     with pytest.raises(ValueError):
         models.fit(rows.withColumn("label", F.when(F.col("i") > 3, F.col("label"))), models.forest(trees=2))
+
+
+@pytest.mark.parametrize("value", [float("nan"), float("inf"), None])
+def test_inputs_without_a_number_are_refused(rows, value):
+    gap = rows.withColumn(P.SIGNALS[0], F.when(F.col("i") > 3, F.col(P.SIGNALS[0])).otherwise(F.lit(value)))
+    with pytest.raises(ValueError, match="inputs"):
+        models.fit(gap, models.boosting(rounds=2))
