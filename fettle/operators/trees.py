@@ -93,7 +93,7 @@ class Binned:
 
     @property
     def bins(self) -> int:
-        return max(len(c) for c in self.cuts) + 1
+        return max(1, *(len(c) for c in self.cuts)) + 1
 
 
 def _best(h0: np.ndarray, h1: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -83,3 +83,10 @@ def test_inputs_without_a_number_are_refused(rows, value):
     gap = rows.withColumn(P.SIGNALS[0], F.when(F.col("i") > 3, F.col(P.SIGNALS[0])).otherwise(F.lit(value)))
     with pytest.raises(ValueError, match="inputs"):
         models.fit(gap, models.boosting(rounds=2))
+
+
+def test_constant_inputs_leave_the_mean(rows):
+    flat = rows.select("i", "label", *[F.lit(1.0).alias(c) for c in P.MODEL_INPUTS])
+    mean = rows.agg(F.avg("label")).first()[0]
+    assert np.allclose(told(models.fit(flat, models.boosting(rounds=1))[0], flat), mean, atol=1.5)
+    assert len(set(told(models.fit(flat, models.forest(trees=2))[0], flat))) == 1
