@@ -3,8 +3,10 @@
 Each event table is read once: a row is offered to every snapshot (six
 literals, ``explode``, no join) and folded straight into a (person, snapshot)
 aggregate, so partial aggregation shrinks a busy person before the shuffle.
-All aggregates share the key (pseudonym_id, snapshot_date) and so one
-partitioning.
+Training rows are offered only where a window holds them. Duty months, of which
+a person has one a month, meet by person before they are offered: the many
+columns of their aggregate are not shuffled half done.
+All aggregates share the key (pseudonym_id, snapshot_date).
 """
 
 from __future__ import annotations
@@ -101,9 +103,11 @@ def transfer_aggregates(transfers: DataFrame, snapshots: Sequence[date]) -> Data
 
 
 def training_aggregates(training: DataFrame, snapshots: Sequence[date]) -> DataFrame:
+    """Hours per window; no row where the widest one holds no training (the features read that as 0)."""
     end, hours = F.col("end_date"), F.col("training_hours")
     spans = sorted({*P.WINDOW_DAYS, P.TRAINING_DAYS})
-    return with_snapshots(training.select(ID, "end_date", "training_hours"), snapshots).groupBy(*KEYS).agg(*[
+    offered = with_snapshots(training.select(ID, "end_date", "training_hours"), snapshots).filter(_since(end, spans[-1]))
+    return offered.groupBy(*KEYS).agg(*[
         F.sum(F.when(_since(end, n), hours).otherwise(F.lit(0.0))).alias(f"training_hours_{n}d")
         for n in spans
     ])
@@ -151,7 +155,9 @@ def duty_aggregates(duty: DataFrame, snapshots: Sequence[date], strict: bool = F
         for n in P.WINDOW_DAYS
     ]
     cols = [ID, "month_start", *newest]
-    return with_snapshots(duty.select(*cols), snapshots).groupBy(*KEYS).agg(
+    # a few narrow rows a person: cheaper to move than six partial aggregates of each
+    met = duty.select(*cols).repartition(ID)
+    return with_snapshots(met, snapshots).groupBy(*KEYS).agg(
         F.max(F.when(past, month)).alias("now_month"), *picks, *base, *prorated
     )
 
