@@ -109,7 +109,7 @@ def shapley(cases: DataFrame, reference: DataFrame, inputs: Sequence[str] = P.SI
 #: scorers of Columns and the same of arrays
 ARRAY_FORMS = {signal_index: signal_index_arrays}
 
-CASES_PER_ARRAY_TASK = 256
+CASES_PER_ARRAY_TASK = 1024
 
 
 def _by_arrays(cases: DataFrame, reference: DataFrame, inputs: Sequence[str],

@@ -30,7 +30,7 @@ class Workload:
     """Stages are built once per instance and stay lazy until a result is used.
 
     With ``settled`` the stages that feed many results (roster, feature matrix,
-    unit statistics, calibration, Shapley values) are written once to the shared
+    scored rows, unit statistics, calibration, Shapley values) are written once to the shared
     folder; recomputing them for every result would rescan the events each time.
 
     ``scorer`` maps the signal rows to rows with a score, such as a fitted model
@@ -118,7 +118,7 @@ class Workload:
             self.matrix.select(*features.KEYS, *signals.CARRIED, *P.SIGNALS, scoring.SCORE), self.voice)
         if self.scorer is not None:
             out = self.scorer(out.drop(scoring.SCORE))
-        return analytics.with_level(analytics.with_confidence(out))
+        return self._keep(analytics.with_level(analytics.with_confidence(out)))
 
     @cached_property
     def modelling(self) -> DataFrame:
