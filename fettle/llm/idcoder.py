@@ -7,21 +7,23 @@ with a checksum (CRC-32 of its ids), so every block can be read alone and damage
 where it is.
 
 Model of a block. Orders 2 and 1 each predict an id: the one that last followed the same
-two ids, or one id, with a confidence. Order 0 counts the ids of the block so far. Whether
-the predicted id comes is coded by a probability mixed in the logistic domain from the
-adaptive probabilities of all three orders (how often confidences like these were right,
-how often this id was right when predicted); the weights are learned as coding goes on.
-The candidate is that of order 2, or of order 1 where order 2 has none; an id that was
-not predicted is coded by the order-0 counts of such ids, none of which has probability 0.
+two ids, or one id, with a confidence. Whether the predicted id comes is coded by a
+probability mixed in the logistic domain from the adaptive probabilities of all three
+orders (how often confidences like these were right, how often this id was right when
+predicted); the weights are learned as coding goes on. The candidate is that of order 2, or
+of order 1 where order 2 has none. Order 0 counts the ids of the block that were not
+predicted; the block ends with those counts, and such an id is coded by them, in one step.
+A block is the words of the range coder, the counts and how many bytes they take.
 All arithmetic is in whole numbers, so any machine decodes what another one wrote.
 
 The blocks of a task are coded side by side, one id of every block at a time: a step is
-a handful of array operations over all blocks, for coding and decoding alike.
+some 70 array operations over all blocks and no loop, for coding and decoding alike.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,8 +37,7 @@ END = 2
 BATCH_BYTES = 1 << 20  # text handed to the tokenizer at a time
 KNOWN_WORDS = 1 << 19  # words whose ids a worker keeps at hand
 _SLOTS = 11  # bits of the tables of predicted ids
-_COUNT = 48  # weight of a counted id beside one that was not seen yet
-_TREE = 257 * 256  # counts of a block
+_MOST = 1 << 17  # counts of a block together, so that no id's part of a range is empty
 _FULL, _LEAST = (1 << 62) - 1, 1 << 30
 
 
@@ -60,24 +61,94 @@ class Mix:
         self.base = offset + np.arange(lanes) * sum(sizes)
         self.p = np.full(lanes * sum(sizes), 1 << 15, np.int32)
         self.w = np.full((len(sizes), lanes), (1 << 16) * 2 // (len(sizes) + 1), np.int32)
+        self.steps = 0
 
     def predict(self, contexts):
         """Probability of yes (16 bits) for the first lanes; ``contexts`` by input and lane."""
         a = contexts.shape[1]
-        self.at = contexts + self.base[:, :a]
-        self.held = self.p[self.at]
-        self.st = self.stretch[self.held >> 4]
-        dot = ((self.w[:, :a] * self.st) >> 8).sum(0) >> 8
-        self.mixed = self.squash[dot.clip(-2047, 2047) + 2048]
+        self.at = contexts
+        self.at += self.base[:, :a]
+        self.held = self.p.take(self.at)
+        self.st = self.stretch.take(self.held >> 4)
+        part = self.w[:, :a] * self.st
+        part >>= 8
+        dot = part[0]
+        for more in part[1:]:
+            dot += more
+        dot >>= 8
+        dot += 2048
+        self.mixed = self.squash.take(dot, mode="clip")
         return self.mixed << 4
 
-    def update(self, yes, asked) -> None:
-        """Learn from the answers of the lanes that were asked."""
-        wrong = ((yes << 12) - self.mixed) * (asked * 6)
+    def update(self, yes) -> None:
+        """Learn from the answers."""
+        wrong = yes << 12
+        wrong -= self.mixed
+        wrong *= 6
         w = self.w[:, :len(yes)]
-        w += (self.st * wrong + (1 << 9)) >> 10
-        w.clip(-(1 << 19), 1 << 19, out=w)  # so that no product leaves 32 bits
-        self.p[self.at] = self.held + ((((yes << 16) - yes - self.held) >> 4) * asked)
+        learned = self.st * wrong
+        learned += 1 << 9
+        learned >>= 10
+        w += learned
+        self.steps += 1
+        if self.steps % 4 == 0:  # a step moves a weight by less than 50,000, so that no product leaves 32 bits
+            w.clip(-(1 << 19), 1 << 19, out=w)
+        away = yes * 65_535 - self.held
+        away >>= 4
+        away += self.held
+        self.p[self.at] = away
+
+
+class Heads:
+    """Order 0 of several blocks: how often each block holds an id that was not predicted, and where it lies among them."""
+
+    def __init__(self, heads: list[tuple]):
+        import numpy as np
+
+        sizes = [len(ids) for ids, _ in heads]
+        self.ids = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in heads)]).astype(np.int32)
+        self.own = np.concatenate([np.zeros(0, np.int64), *(own for _, own in heads)])
+        totals = np.array([int(own.sum()) for _, own in heads], np.int64)
+        self.base, self.total = np.cumsum(totals) - totals, totals
+        self.before = np.cumsum(self.own) - self.own - np.repeat(self.base, sizes)
+        self.at = np.cumsum(sizes, dtype=np.int64) - sizes
+
+    @staticmethod
+    def counted(ids) -> tuple:
+        """The distinct ids in order, their counts, and the number of each id among them; of no ids, id 0 once."""
+        import numpy as np
+
+        if not len(ids):
+            return np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(0, np.int64)
+        found, number, own = np.unique(ids, return_inverse=True, return_counts=True)
+        while own.sum() > _MOST:
+            own = (own + 1) >> 1
+        return found, own, number
+
+    @staticmethod
+    def packed(ids, own) -> bytes:
+        """Gaps between the ids and counts, byte by byte, deflated."""
+        import numpy as np
+
+        gaps = np.diff(ids, prepend=0)
+        planes = np.stack([gaps & 255, gaps >> 8, own & 255, own >> 8 & 255, own >> 16]).astype(np.uint8)
+        return zlib.compress(planes.tobytes(), 6, -15)
+
+    @staticmethod
+    def opened(head: bytes) -> tuple:
+        """The counterpart of ``packed``; what is no head (the block's checksum will not hold) counts nothing but id 0."""
+        import numpy as np
+
+        try:
+            planes = zlib.decompressobj(-15).decompress(head, 5 * 65_536)
+        except zlib.error:
+            planes = b""
+        n = len(planes) // 5
+        rows = np.frombuffer(planes, np.uint8, 5 * n).reshape(5, n).astype(np.int64)
+        ids, own = np.cumsum(rows[0] + (rows[1] << 8)), rows[2] + (rows[3] << 8) + (rows[4] << 16)
+        if not n or ids[-1] > 65_535 or own.min() < 1 or own.sum() > _MOST:
+            return np.zeros(1, np.int64), np.ones(1, np.int64)
+        return ids, own
 
 
 class Encoder:
@@ -87,242 +158,214 @@ class Encoder:
         import numpy as np
 
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _FULL, np.int64)
-        self.words, self.used = np.zeros((64, lanes), np.int64), np.zeros(lanes, np.int64)
+        self.words, self.at = np.zeros(64 * lanes, np.int64), np.arange(lanes)  # each lane's next word
 
     def room(self, words: int) -> None:
         """Make sure that each lane can take so many more words."""
         import numpy as np
 
-        more = int(self.used.max(initial=0)) + words - len(self.words)
+        more = int(self.at.max(initial=0)) + words * len(self.low) - len(self.words)
         if more > 0:
-            self.words = np.concatenate((self.words, np.zeros((more + len(self.words) // 2, self.words.shape[1]), np.int64)))
-
-    def _settle(self, lanes) -> None:
-        """Pass carries on and put out the words of the ranges that have become short."""
-        hit = lanes[(self.low[lanes] > _FULL).nonzero()[0]]
-        if hit.size:
-            self.words[self.used[hit] - 1, hit] += 1
-            self.low[hit] &= _FULL
-        hit = lanes[(self.range[lanes] < _LEAST).nonzero()[0]]
-        if hit.size:
-            low = self.low[hit]
-            self.words[self.used[hit], hit] = low >> 30
-            self.used[hit] += 1
-            self.low[hit] = (low << 32) & _FULL
-            self.range[hit] <<= 32
-
-    def bit(self, lanes, p, yes):
-        """Code yes or no by the probability of yes; with a probability of 0 a no costs nothing."""
-        import numpy as np
+            rows = more // len(self.low) + 1 + len(self.words) // len(self.low) // 2
+            self.words = np.concatenate((self.words, np.zeros(rows * len(self.low), np.int64)))
 
-        low, whole = self.low[:len(p)], self.range[:len(p)]
-        cut = (whole >> 16) * p
-        low += cut * (1 - yes)
-        whole[:] = np.where(yes > 0, cut, whole - cut)
-        self._settle(lanes)
-        return yes
+    def code(self, p, yes, before, own, total) -> None:
+        """Code yes by its probability, or no and a symbol."""
+        import numpy as np
 
-    def symbol(self, lane, before, own, total) -> None:
-        step = self.range[lane] // total
-        self.low[lane] += step * before
-        self.range[lane] = step * own
-        self._settle(lane)
+        low, whole, at = self.low[:len(p)], self.range[:len(p)], self.at[:len(p)]
+        cut = whole >> 16
+        cut *= p
+        step = whole - cut
+        step //= total
+        low += np.where(yes, 0, step * before + cut)
+        now = np.where(yes, cut, step * own)
+        # every lane writes its next word; it stays where the range has become short. Carries are its 33rd bit
+        self.words[at] = low >> 30
+        short = now < _LEAST
+        at += short * len(self.low)
+        shift = short * 32
+        low -= (low >> 30 << 30) * short
+        low <<= shift
+        np.left_shift(now, shift, out=whole)
 
     def done(self) -> list[bytes]:
         """The bytes of each lane: one more word settles the value, zeros may follow."""
         self.room(1)
-        low = self.low + ((1 << 30) - 1)
-        for i in (low > _FULL).nonzero()[0].tolist():
-            self.words[self.used[i] - 1, i] += 1
-        lanes = range(len(low))
-        self.words[self.used, lanes] = (low & _FULL) >> 30
-        for k in range(len(self.words) - 1, 0, -1):
-            self.words[k - 1] += self.words[k] >> 32
-        return [(self.words[:self.used[i] + 1, i] & 0xFFFFFFFF).astype(">u4").tobytes() for i in lanes]
+        lanes = len(self.low)
+        self.words[self.at] = (self.low + ((1 << 30) - 1)) >> 30
+        words, used = self.words.reshape(-1, lanes), self.at // lanes
+        for k in range(len(words) - 1, 0, -1):
+            words[k - 1] += words[k] >> 32
+        return [(words[:used[i] + 1, i] & 0xFFFFFFFF).astype(">u4").tobytes() for i in range(lanes)]
 
 
 class Decoder:
     """The counterpart of ``Encoder``."""
 
-    def __init__(self, blocks: list[bytes]):
+    def __init__(self, blocks: list[bytes], heads: Heads):
         import numpy as np
 
-        self.words = np.zeros((max((len(b) for b in blocks), default=0) // 4 + 3, len(blocks)), np.int64)
+        words = np.zeros((max((len(b) for b in blocks), default=0) // 4 + 3, len(blocks)), np.int64)
         for i, b in enumerate(blocks):
-            self.words[:len(b) // 4, i] = np.frombuffer(b, ">u4", len(b) // 4)
-        self.code = (self.words[0] << 30) | (self.words[1] >> 2)
-        self.range, self.used = np.full(len(blocks), _FULL, np.int64), np.ones(len(blocks), np.int64)
-
-    def room(self, words: int) -> None:
-        """Nothing to do: the words are all there."""
-
-    def _settle(self, lanes) -> None:
+            words[:len(b) // 4, i] = np.frombuffer(b, ">u4", len(b) // 4)
+        self.left = (words[0] << 30) | (words[1] >> 2)
+        # the next 32 bits of a lane begin with the last two of the word begun
+        self.more = ((words[1:-1] & 3) << 30 | words[2:] >> 2).ravel()
+        self.range, self.at = np.full(len(blocks), _FULL, np.int64), np.arange(len(blocks))
+        self.heads, self.most = heads, heads.total - 1
+        self.slots = np.repeat(np.arange(len(heads.own), dtype=np.int32), heads.own)
+
+    def code(self, p, who):
+        """Whether yes comes in each lane, and the id: that of ``who`` with yes, else that of the symbol."""
         import numpy as np
 
-        hit = lanes[(self.range[lanes] < _LEAST).nonzero()[0]]
-        if hit.size:
-            # the next 32 bits begin with the last two of the word begun
-            at, last = self.used[hit], len(self.words) - 1
-            more = (self.words[np.minimum(at, last), hit] & 3) << 30 | self.words[np.minimum(at + 1, last), hit] >> 2
-            self.code[hit] = (self.code[hit] << 32) | more
-            self.used[hit] += 1
-            self.range[hit] <<= 32
-
-    def bit(self, lanes, p, yes=None):
-        import numpy as np
-
-        code, whole = self.code[:len(p)], self.range[:len(p)]
-        cut = (whole >> 16) * p
-        found = code < cut
-        code -= np.where(found, 0, cut)
-        whole[:] = np.where(found, cut, whole - cut)
-        self._settle(lanes)
-        return found.astype(np.int32)
-
-    def target(self, lane, total):
-        """Where in 0 to total each lane's symbol lies."""
-        import numpy as np
-
-        self.step = np.maximum(self.range[lane] // total, 1)
-        return np.minimum(self.code[lane] // self.step, total - 1)
-
-    def symbol(self, lane, before, own) -> None:
-        self.code[lane] -= self.step * before
-        self.range[lane] = self.step * own
-        self._settle(lane)
+        a, heads = len(p), self.heads
+        left, whole, next_ = self.left[:a], self.range[:a], self.at[:a]
+        cut = whole >> 16
+        cut *= p
+        rest = left - cut
+        yes = rest < 0
+        step = whole - cut
+        step //= heads.total[:a]
+        slot = rest // step  # of no use with yes
+        np.minimum(slot, self.most[:a], out=slot)
+        slot += heads.base[:a]
+        at = self.slots.take(slot, mode="clip")
+        ids = np.where(yes, who, heads.ids.take(at))
+        rest -= step * heads.before.take(at)
+        now = np.where(yes, cut, step * heads.own.take(at))
+        short = now < _LEAST
+        shift = short * 32
+        np.left_shift(np.where(yes, left, rest), shift, out=left)
+        left |= self.more.take(next_, mode="clip") * short
+        next_ += short * len(self.left)
+        np.left_shift(now, shift, out=whole)
+        return yes, ids
 
 
 class Model:
-    """The models of several blocks and one step of all of them."""
+    """The models of several blocks: the candidate for each next id and the probability that it comes."""
 
     def __init__(self, lanes: int):
         import numpy as np
 
-        # order 0: counts of the left halves in a binary tree over ids, the upper 8 levels apart from the 256 lower parts
-        self.left, self.coded = np.zeros(lanes * _TREE, np.uint16), np.zeros(lanes, np.int64)
         # orders 1 and 2: predicted id and confidence, 0 for none
         self.table = np.zeros(lanes << (_SLOTS + 1), np.int32)
         self.base = (np.arange(lanes) << (_SLOTS + 1)) + np.array([[0], [1 << _SLOTS]])
-        self.lanes = np.arange(lanes)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.factors = np.array([[0x9E3779B1], [0x85EBCA6B]])
         self.right = Mix(lanes, [128, 16, 512])
-        self.shift = np.arange(15, -1, -1)[:, None]
-        self.half = 1 << self.shift
+        # what a confidence becomes when its id does not come (a new id takes the place of 0 and 1), and when it does
+        self.change = np.array([0, 0, -1, -2, -2, -3, -3, -4, 1, 1, 1, 1, 1, 1, 1, 0], np.int32)
 
-    def step(self, coder, active: int, ids=None):
-        """Code (or, without ``ids``, decode) the next id of the first ``active`` lanes."""
+    def ask(self, active: int):
+        """The candidates of the first ``active`` lanes and their probabilities; id 0 where nothing is predicted."""
         import numpy as np
 
-        lanes, last = self.lanes[:active], self.last[:active]
-        at = self.base[:, :active].copy()
-        at[0] += (last * 0x9E3779B1 >> 13) & ((1 << _SLOTS) - 1)
-        at[1] += ((last * 0x85EBCA6B + self.before[:active] * 0xC2B2AE35) >> 15) & ((1 << _SLOTS) - 1)
-        held = self.table[at]
+        at = self.last[:active] * self.factors
+        at[1] += self.before[:active]
+        at >>= 15
+        at &= (1 << _SLOTS) - 1
+        at += self.base[:, :active]
+        held = self.table.take(at)
         told, sure = held >> 3, held & 7
         # the candidate: of order 2 if it has one, else of order 1
-        who = np.where(sure[1] > 0, told[1], told[0])
-        asked = ((sure[0] | sure[1]) > 0).astype(np.int32)
-        one = sure[0] * 2 + (told[0] == told[1])
-        p = self.right.predict(np.stack((sure[1] * 16 + one, one, who & 511)))
-        yes = coder.bit(lanes, p * asked, None if ids is None else (ids == who) * asked)
-        self.right.update(yes, asked)
-        rest = np.flatnonzero(yes == 0)
-        if ids is None:
-            out = who.astype(np.int64)
-            if rest.size:
-                out[rest] = self._found(coder, rest)
-        else:
-            out = ids
-            if rest.size:
-                self._coded(coder, rest, ids[rest])
-        # orders 1 and 2 learn the id
-        fit = (told == out) & (sure > 0)
-        self.table[at] = np.where(fit, held + (sure < 7), np.where(sure > 1, held - sure + (sure >> 1), (out << 3) | 1))
-        self.before[:active] = last
-        last[:] = out
-        return out
-
-    def _coded(self, coder, lane, ids) -> None:
-        """Code ids that the candidate missed by the order-0 counts, and count them."""
+        who = np.where(sure[1], told[1], told[0])
+        contexts = np.empty((3, active), np.int64)
+        one = sure[0] * 2
+        one += told[0] == told[1]
+        contexts[1] = one
+        one += sure[1] * 16
+        contexts[0] = one
+        contexts[2] = who & 511
+        self.at, self.held, self.told, self.sure = at, held, told, sure
+        return who, self.right.predict(contexts)
+
+    def learn(self, ids, yes) -> None:
+        """Learn the ids that came and whether they were the candidates."""
         import numpy as np
 
-        right = (ids >> self.shift) & 1
-        at = (ids | 65_536) >> (self.shift + 1)  # nodes from the root, number 1, on
-        at[8:] = ((1 + (ids >> 8)) << 8) + ((256 | (ids & 255)) >> (self.shift[8:] + 1))
-        at += lane * _TREE
-        count = self.left[at]
-        self.left[at] = count + (1 - right).astype(np.uint16)
-        left = count * np.int64(_COUNT) + self.half
-        total = self.coded[lane] * _COUNT + 65_536
-        before, own = (left * right).sum(0), total
-        for k in range(16):
-            own = np.where(right[k], own - left[k], left[k])
-        coder.symbol(lane, before, own, total)
-        self.coded[lane] += 1
-
-    def _found(self, coder, lane):
-        """Decode ids by the order-0 counts, and count them."""
-        import numpy as np
+        self.right.update(yes.astype(np.int32))
+        kind = (self.told == ids) * np.int32(8)
+        kind += self.sure
+        new = ids << 3
+        new |= 1
+        held = self.held + self.change.take(kind)
+        self.table[self.at] = np.where(kind < 2, new, held)
+        last = self.last[:len(ids)]
+        np.multiply(last, 0xC2B2AE35, out=self.before[:len(ids)])
+        last[:] = ids
 
-        own = self.coded[lane] * _COUNT + 65_536
-        v = coder.target(lane, own)
-        whole, before, ids = lane * _TREE, np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
-        base, node = whole, np.ones(len(lane), np.int64)
-        for k in range(16):
-            if k == 8:
-                base, node = whole + ((1 + ids) << 8), np.ones(len(lane), np.int64)
-            at = base + node
-            count = self.left[at]
-            left = count * np.int64(_COUNT) + (32_768 >> k)
-            right = v >= left
-            taken = left * right
-            v -= taken
-            before += taken
-            own = np.where(right, own - left, left)
-            self.left[at] = count + ~right
-            node = 2 * node + right
-            ids = 2 * ids + right
-        coder.symbol(lane, before, own)
-        self.coded[lane] += 1
-        return ids
-
-
-def _side_by_side(coder, lengths: list[int], ids=None):
-    """Run the models of blocks, longest first; ids by step and block."""
+
+def _active(lengths: list[int]) -> list[int]:
+    """How many blocks, longest first, have an id at each step."""
     import numpy as np
 
-    lengths = np.array(lengths, np.int64)
-    steps = int(lengths.max(initial=0))
-    model = Model(len(lengths))
-    out = np.zeros((steps, len(lengths)), np.int32) if ids is None else None
-    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(steps), side="right")
-    for t in range(steps):
+    sizes = np.array(lengths, np.int64)
+    return (len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes.max(initial=0)), side="right")).tolist()
+
+
+def _encode(blocks: list) -> list[bytes]:
+    """Code blocks, longest first, side by side: the models run first, then the counts are known, then words are put out."""
+    import numpy as np
+
+    lengths = [len(b) for b in blocks]
+    active, lanes = _active(lengths), len(blocks)
+    ids = np.zeros((len(active), lanes), np.int32)
+    for k, b in enumerate(blocks):
+        ids[:lengths[k], k] = b
+    p, yes = np.zeros(ids.shape, np.int32), np.zeros(ids.shape, bool)
+    model = Model(lanes)
+    for t, a in enumerate(active):
+        who, p[t, :a] = model.ask(a)
+        np.equal(ids[t, :a], who, out=yes[t, :a])
+        model.learn(ids[t, :a], yes[t, :a])
+    # order 0: the symbol of an id that did not come as predicted is its number among those of the block
+    heads, number = [], np.zeros(ids.shape, np.int32)
+    for k, n in enumerate(lengths):
+        missed = np.flatnonzero(~yes[:n, k])
+        *head, number[missed, k] = Heads.counted(ids[missed, k])
+        heads.append(tuple(head))
+    known, coder = Heads(heads), Encoder(lanes)
+    for t, a in enumerate(active):
         if t % 64 == 0:
-            coder.room(64 * 4 + 4)
-        a = int(active[t])
-        got = model.step(coder, a, None if ids is None else ids[t, :a])
-        if ids is None:
-            out[t, :a] = got
+            coder.room(64 + 4)
+            at = number[t:t + 64] + known.at
+            before, own = known.before.take(at, mode="clip"), known.own.take(at, mode="clip")
+        coder.code(p[t, :a], yes[t, :a], before[t % 64, :a], own[t % 64, :a], known.total[:a])
+    out = []
+    for n, head, words in zip(lengths, heads, coder.done()):
+        packed = Heads.packed(*head) if n else b""
+        out.append(words + packed + len(packed).to_bytes(4, "big") if n else b"")
     return out
 
 
-def encode(blocks: list) -> list[bytes]:
-    """Code arrays of ids, each by itself; an empty one gives no bytes."""
+def _decode(blocks: list[bytes], lengths: list[int]):
+    """The ids of blocks, longest first, by step and block."""
     import numpy as np
 
+    active, lanes = _active(lengths), len(blocks)
+    cut = [max(len(b) - 4 - int.from_bytes(b[-4:], "big"), 0) for b in blocks]
+    coder = Decoder([b[:c] for b, c in zip(blocks, cut)], Heads([Heads.opened(b[c:-4]) for b, c in zip(blocks, cut)]))
+    model, out = Model(lanes), np.zeros((len(active), lanes), np.int32)
+    for t, a in enumerate(active):
+        who, p = model.ask(a)
+        yes, out[t, :a] = coder.code(p, who)
+        model.learn(out[t, :a], yes)
+    return out
+
+
+def encode(blocks: list) -> list[bytes]:
+    """Code arrays of ids, each by itself; an empty one gives no bytes."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     done: dict[int, bytes] = {}
+    for i in order:
+        if len(blocks[i]) and (blocks[i].max() > 65_535 or blocks[i].min() < 0):
+            raise ValueError("ids are numbers of 16 bits")
     for low in range(0, len(order), LANES):
         part = order[low:low + LANES]
-        lengths = [len(blocks[i]) for i in part]
-        table = np.zeros((lengths[0], len(part)), np.int64)
-        for k, i in enumerate(part):
-            table[:lengths[k], k] = blocks[i]
-        if table.size and (table.max() > 65_535 or table.min() < 0):
-            raise ValueError("ids are numbers of 16 bits")
-        coder = Encoder(len(part))
-        _side_by_side(coder, lengths, table)
-        done.update((i, w if n else b"") for i, n, w in zip(part, lengths, coder.done()))
+        done.update(zip(part, _encode([blocks[i] for i in part])))
     return [done[i] for i in range(len(blocks))]
 
 
@@ -332,7 +375,7 @@ def decode(blocks: list[bytes], lengths: list[int]) -> list:
     done: dict = {}
     for low in range(0, len(order), LANES):
         part = order[low:low + LANES]
-        table = _side_by_side(Decoder([blocks[i] for i in part]), [lengths[i] for i in part])
+        table = _decode([blocks[i] for i in part], [lengths[i] for i in part])
         done.update((i, table[:lengths[i], k].astype("<u4")) for k, i in enumerate(part))
     return [done[i] for i in range(len(blocks))]
 
@@ -340,8 +383,8 @@ def decode(blocks: list[bytes], lengths: list[int]) -> list:
 class Words:
     """A tokenizer that keeps the ids of the words it has met.
 
-    A tokenizer of byte pairs never joins across a space that follows a letter, a digit or an ASCII sign, so a text may
-    be cut before such spaces and each piece be encoded by itself. Where the tokenizer is of another kind, or a text
+    A tokenizer of byte pairs never joins across a space that follows another sign than white space, so a text may be
+    cut before such spaces and each piece be encoded by itself, each distinct piece of a batch once. Where the tokenizer is of another kind, or a text
     holds one of its added tokens, the text goes to it whole.
     """
 
@@ -350,6 +393,7 @@ class Words:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -360,33 +404,84 @@ class Words:
                         and not before.get("add_prefix_space") and kind.get("truncation") is None and kind.get("padding") is None)
         self.added = [t["content"] for t in kind.get("added_tokens") or []]
         self.known: dict[str, bytes] = {}
+        vocabulary = self.whole.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # a space in an alphabet of bytes
+
+    def pieces(self, texts: list[str]) -> tuple:
+        """The texts in pieces that are tokenised independently of each other, and how many pieces each text has."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = pa.array(texts, pa.large_string())
+        _, offsets, data = column.buffers()
+        starts = np.frombuffer(offsets, np.int64, len(texts) + 1)
+        if not self.divides or starts[-1] == 0:
+            return column, np.ones(len(texts), np.int64)
+        body = np.frombuffer(data, np.uint8, starts[-1])
+        at = np.flatnonzero(body[4:] == 32) + 4  # what lies before the fifth byte stays with its text
+        # a character that is certainly no white space comes before: an ASCII sign, or by its first byte
+        one, two, three, four = (body[at - k] for k in (1, 2, 3, 4))
+        cut = (one > 32) & (one < 127)
+        cut |= (two >= 0xC3) & (two <= 0xDF) | (three == 0xE0) | (three >= 0xE4) & (three <= 0xEF) | (four >= 0xF0)
+        at = at[cut]
+        owner = np.searchsorted(starts, at, side="right") - 1
+        keep = starts[owner] < at
+        for token in self.added:
+            keep &= ~pc.match_substring(column, token).to_numpy(zero_copy_only=False)[owner]
+        at, owner = at[keep], owner[keep]
+        count = np.bincount(owner, minlength=len(texts)) + 1
+        bounds = np.append(np.insert(at, np.searchsorted(at, starts[:-1]), starts[:-1]), starts[-1])
+        return pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds), data]), count
+
+    def new(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of pieces not met before. Those with one space, at their begin, are handed over in rows of many: there
+        each id that begins with a space begins a piece."""
+        import numpy as np
 
-    def pieces(self, text: str) -> list[str]:
-        """The text in pieces that are tokenised independently of each other."""
-        parts = text.split(" ")
-        out, open_ = [parts[0]], not parts[0] or not _closes(parts[0])
-        for part in parts[1:]:
-            if open_:
-                out[-1] += " " + part
-            else:
-                out.append(" " + part)
-            open_ = not part or not _closes(part)
+        alone, rows, out = words, [], {}
+        if self.divides:
+            plain = [w.rfind(" ") == 0 and _closes(w) for w in words]
+            alone, many = ([w for w, p in zip(words, plain) if p == kind] for kind in (False, True))
+            rows = [many[k:k + 1_000] for k in range(0, len(many), 1_000)]
+        for row in rows:
+            text = "".join(row)
+            ids = np.array(self.run([text], add_special_tokens=False)[0].ids, np.uint32)
+            begins = np.flatnonzero(self.spaced[ids])
+            if len(begins) != len(row) or begins[0] or any(a in text for a in self.added):
+                alone += row
+                continue
+            raw, at = ids.tobytes(), (4 * begins).tolist()
+            out.update(zip(row, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
+        out.update((w, array("I", e.ids).tobytes()) for w, e in zip(alone, self.run(alone, add_special_tokens=False)))
         return out
 
     def encode(self, texts: list[str], end: int) -> list:
         """Arrays of the ids of each text and the end id."""
         import numpy as np
 
-        cut = [self.pieces(t) if self.divides and not any(a in t for a in self.added) else [t] for t in texts]
+        pieces, count = self.pieces(texts)
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        new = list({p for c in cut for p in c if p not in self.known})
-        ids = self.run(new, add_special_tokens=False)
-        here = {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(new, ids)}
-        self.known.update((p, i) for p, i in here.items() if len(p) <= 64)
-        get, last = here.get, np.array([end], np.uint32).tobytes()
         known = self.known
-        return [np.frombuffer(b"".join([known[p] if p in known else get(p) for p in c]) + last, np.uint32) for c in cut]
+        here = self.new([w for w in words if w not in known])
+        known.update(here)
+        found = [known[w] for w in words]
+        for w in here:
+            if len(w) > 64:
+                del known[w]
+        # the ids of all pieces in a row
+        flat, number = np.frombuffer(b"".join(found), np.uint32), coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        size = sizes[number]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[number] - ends + size, size) + np.arange(size.sum())]
+        last = np.array([end], np.uint32)
+        bounds = [0, *ends[np.cumsum(count) - 1].tolist()]
+        return [np.concatenate((ids[a:b], last)) for a, b in zip(bounds, bounds[1:])]
 
 
 def _closes(part: str) -> bool:

@@ -171,6 +171,35 @@ def test_carries_and_long_runs_come_back(monkeypatch):
         idcoder.encode([np.array([1 << 16])])
 
 
+def test_blocks_are_coded_in_little_memory_and_no_symbol_is_searched_level_by_level(monkeypatch):
+    """A tree of counts for each block took 131 KB, and 16 levels of it for each id that was not predicted."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    blocks = [rng.integers(0, 65_536, 40).astype(np.uint32) for _ in range(400)]
+    tracemalloc.start()
+    coded = idcoder.encode(blocks)
+    back = idcoder.decode(coded, [40] * 400)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(back, blocks)) and most < 20_000_000
+    # counts that are too large together are halved, and the ids come back
+    monkeypatch.setattr(idcoder, "_MOST", 100)
+    few = [(rng.zipf(1.5, 3_000) % 60).astype(np.uint32), np.zeros(50, np.uint32)]
+    assert [d.tolist() for d in idcoder.decode(idcoder.encode(few), [3_000, 50])] == [b.tolist() for b in few]
+
+
+def test_damaged_blocks_end_with_other_ids():
+    block = (np.arange(3_000) * 7_919 % 5_000).astype(np.uint32)
+    whole = idcoder.encode([block])[0]
+    rng = np.random.default_rng(9)
+    for at in [*rng.integers(0, len(whole), 20).tolist(), len(whole) - 1, len(whole) - 4]:
+        spoilt = bytearray(whole)
+        spoilt[at] ^= 0x5A
+        got = idcoder.decode([bytes(spoilt)], [len(block)])[0]
+        assert len(got) == len(block) and (at < len(whole) - 4 or not (got == block).all())
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     public = pytest.importorskip("public_tokenizers")
@@ -190,6 +219,19 @@ def test_words_are_tokenised_as_in_whole_texts(tokenizer):
     assert [i.tolist() for i in words.encode(texts, 2)] == [i.tolist() for i in got]
 
 
+def test_new_words_are_handed_over_in_rows(tokenizer):
+    """The tokenizer was called with every new word by itself."""
+    from tokenizers import Tokenizer
+
+    whole, words = Tokenizer.from_file(tokenizer), idcoder.Words(tokenizer)
+    rng, seen, run = random.Random(6), [], words.run
+    words.run = lambda texts, **kind: (seen.append(len(texts)), run(texts, **kind))[1]
+    texts = [" ".join("".join(rng.choice("abcé中d.\n") for _ in range(rng.randint(1, 9))) for _ in range(400)) + end for end in ("", "\n", " ", "é")]
+    got = words.encode([*texts, "", "<|endoftext|> a b"], 2)
+    assert [g.tolist() for g in got] == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in [*texts, "", "<|endoftext|> a b"]]
+    assert sum(seen) < 600
+
+
 def test_ids_are_written_in_order_and_read_back(spark, tokenizer, tmp_path):
     from tokenizers import Tokenizer
 
