@@ -9,22 +9,31 @@ MLlib's rule) and kept as blocks.
 * Boosting: one barrier stage. A task holds its share of the blocks through all rounds; the
   tasks exchange histograms level by level and so take the same splits.
 
-Bootstrap, subsets of the inputs, losses, step and limits are those of the MLlib estimators,
-and so is the fitted model: predictions, storage and export of the nodes stay MLlib's.
+Bootstrap, subsets of the inputs, losses, step and limits are those of the MLlib estimators.
+Fitted boosting is MLlib's model. A forest has up to trees x 2^(depth + 1) nodes, which MLlib's
+model would hold on the driver as objects: ``ForestModel`` leaves them in MLlib's storage
+format in the shared folder, and scores with two bytes a node and a double a leaf.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import pickle
 import time
 import uuid
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Model
+from pyspark.ml.base import _PredictorParams
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import (
+    GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor, _RandomForestRegressorParams,
+)
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +42,7 @@ from fettle.operators.spread import settle, shared_folder
 BLOCK_ROWS = 1 << 14
 SUBTREE_ROWS = 1 << 17  # rows of a subtree grown in one task
 BOOSTING_ROWS = 1 << 19  # rows a boosting task holds
+SENT_NODES = 1 << 18  # nodes of a forest that the driver holds at a time
 NODE = "tree int, heap bigint, n double, total double, squares double, gain double, feature int, bin int"
 _NODE = ("tree", "heap", "n", "total", "squares", "gain", "feature", "bin")
 
@@ -145,11 +155,150 @@ def _frame(tree, columns) -> pd.DataFrame:
 class SubtreeForest(RandomForestRegressor):
     """MLlib's random forest for variance, small subtrees grown whole in a task."""
 
-    def _fit(self, rows: DataFrame) -> RandomForestRegressionModel:
+    def _fit(self, rows: DataFrame) -> "ForestModel":
         data = Binned(rows, self.getFeaturesCol(), self.getLabelCol(), self.getMaxBins(), self.getSeed())
         nodes = forest_nodes(data, self.getNumTrees(), self.getMaxDepth(), self.getMinInstancesPerNode(),
                              self.getSubsamplingRate(), self.getSeed())
-        return fitted(self, RandomForestRegressionModel, nodes, data, [1.0] * self.getNumTrees())
+        folder = stored(self, RandomForestRegressionModel, nodes, data, [1.0] * self.getNumTrees())
+        return self._copyValues(ForestModel(folder, data.inputs)._resetUid(self.uid))
+
+
+LEAF = 255  # in place of an input
+
+
+@dataclass(frozen=True)
+class GrownTree:
+    """What the driver keeps of a tree."""
+
+    depth: int
+    numNodes: int
+
+
+class ForestModel(Model, _PredictorParams, _RandomForestRegressorParams, MLReadable, MLWritable):
+    """A fitted random forest whose nodes stay in a folder, in the storage format of MLlib's model.
+
+    To score, the trees go to the tasks packed, breadth first: per node the input and the number
+    of the threshold among those of that input, per leaf its value. The nodes of a forest just
+    fitted lie in the shared folder of the session until it is cleared; ``save`` copies them.
+    """
+
+    def __init__(self, folder: str = "", inputs: int = 0):
+        super().__init__()
+        self.folder, self.numFeatures, self._sent = folder, inputs, None
+
+    @property
+    def treeWeights(self) -> list[float]:
+        return [1.0] * self.getNumTrees()
+
+    @property
+    def trees(self) -> list[GrownTree]:
+        return self._packed()[2]
+
+    @property
+    def totalNumNodes(self) -> int:
+        return sum(t.numNodes for t in self.trees)
+
+    def mllib(self) -> RandomForestRegressionModel:
+        """MLlib's own model of the same nodes, all of them objects on the driver."""
+        return RandomForestRegressionModel.load(self.folder)
+
+    def _packed(self):
+        """Packed trees as broadcasts of at most ``SENT_NODES`` nodes, and the size of each tree; made when first asked for."""
+        if self._sent is None:
+            from pyspark.sql import SparkSession
+
+            spark, n = SparkSession.active(), F.col("nodeData")
+            nodes = spark.read.parquet(f"{self.folder}/data").select(
+                F.col("treeID").alias("tree"), n["id"].alias("id"), n["prediction"].alias("value"), n["leftChild"].alias("left"),
+                n["split"]["featureIndex"].alias("feature"), F.get(n["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"))
+            trees = max(1, SENT_NODES // nodes.groupBy("tree").count().agg(F.max("count")).first()[0])
+            # at most a threshold per bin and input
+            points = nodes.filter("left >= 0").select("feature", "threshold").distinct().collect()
+            cuts = [np.sort([p.threshold for p in points if p.feature == i]) for i in range(self.numFeatures)]
+
+            def pack(parts):
+                out = []
+                for _, part in parts.sort_values("id").groupby("tree"):
+                    inner, feature = part["left"].to_numpy() >= 0, part["feature"].to_numpy()
+                    spot = np.zeros(len(part), np.uint8)
+                    for i, c in enumerate(cuts):
+                        mine = inner & (feature == i)
+                        spot[mine] = np.searchsorted(c, part["threshold"].to_numpy(float)[mine])
+                    left = 2 * np.cumsum(inner) - 1
+                    if not np.array_equal(left[inner], part["left"].to_numpy()[inner]):
+                        raise ValueError("nodes are not stored breadth first")
+                    at, depth = np.flatnonzero(inner[:1]), 0
+                    while len(at):
+                        depth, at = depth + 1, np.concatenate([left[at], left[at] + 1])
+                        at = at[inner[at]]
+                    out.append((depth, np.where(inner, feature, LEAF).astype(np.uint8), spot, part["value"].to_numpy(float)[~inner]))
+                return pd.DataFrame({"part": [int(parts["tree"].iloc[0]) // trees], "data": [pickle.dumps(out)]})
+
+            part = (F.col("tree") / trees).cast("long")
+            packed = nodes.repartition(ceil(self.getNumTrees() / trees), part).groupBy(part.alias("part")).applyInPandas(pack, "part bigint, data binary")
+            sent = {}
+            for row in packed.toLocalIterator():  # a partition at a time, and none is kept here
+                some = pickle.loads(row["data"])
+                sent[row["part"]] = spark.sparkContext.broadcast(some), [GrownTree(t[0], len(t[1])) for t in some]
+            parts = [sent[k] for k in sorted(sent)]
+            self._sent = cuts, [shared for shared, _ in parts], [t for _, sizes in parts for t in sizes]
+        return self._sent
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        (cuts, sent, sizes), inputs = self._packed(), self.numFeatures
+        count = len(sizes)
+
+        def told(x: pd.Series) -> pd.Series:
+            x = np.array(x.tolist(), float).reshape(-1, inputs)
+            binned = np.stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(cuts)], 1).astype(np.uint8)
+            return pd.Series(votes(binned, (tree for shared in sent for tree in shared.value)) / count)
+
+        score = F.pandas_udf(told, "double")
+        return rows.withColumn(self.getPredictionCol(), score(vector_to_array(self.getFeaturesCol())))
+
+    def write(self) -> MLWriter:
+        return _ForestWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ForestReader()
+
+
+def votes(x: np.ndarray, packed) -> np.ndarray:
+    """Sum of the trees for rows of bin numbers; a row on a leaf stays there."""
+    start, flat, total = np.arange(len(x)) * x.shape[1], x.ravel(), np.zeros(len(x))
+    for depth, feature, spot, value in packed:
+        inner = feature != LEAF
+        left = np.where(inner, 2 * np.cumsum(inner) - 1, np.arange(len(inner)))
+        feature, spot = np.where(inner, feature, 0).astype(np.int64), np.where(inner, spot, 255).astype(np.uint8)
+        amount = np.zeros(len(inner))
+        amount[~inner] = value
+        at = np.zeros(len(x), np.int64)
+        for _ in range(depth):
+            at = left[at] + (flat[start + feature[at]] > spot[at])
+        total += amount[at]
+    return total
+
+
+class _ForestWriter(MLWriter):
+    def __init__(self, model: ForestModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, extraMetadata={"numFeatures": self.model.numFeatures})
+        read, to = self.sparkSession.read, f"{path}/nodes"
+        for part in ("data", "treesMetadata"):
+            read.parquet(f"{self.model.folder}/{part}").write.parquet(f"{to}/{part}")
+        read.text(f"{self.model.folder}/metadata").coalesce(1).write.text(f"{to}/metadata")
+
+
+class _ForestReader(MLReader):
+    def load(self, path: str) -> ForestModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = ForestModel(f"{path}/nodes", metadata["numFeatures"])._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
 
 
 def forest_nodes(data: Binned, trees: int, depth: int, least: int, rate: float, seed: int) -> DataFrame:
@@ -252,7 +401,8 @@ class BarrierBoosting(GBTRegressor):
         data = Binned(rows, self.getFeaturesCol(), self.getLabelCol(), self.getMaxBins(), self.getSeed())
         weights = [1.0] + [self.getStepSize()] * (self.getMaxIter() - 1)
         nodes = boosted_nodes(data, weights, self.getMaxDepth(), self.getMinInstancesPerNode(), self.getSubsamplingRate(), self.getSeed())
-        return fitted(self, GBTRegressionModel, nodes, data, weights)
+        # its nodes are few: rounds x 2^(depth + 1) at most
+        return GBTRegressionModel.load(stored(self, GBTRegressionModel, nodes, data, weights))
 
 
 def boosted_nodes(data: Binned, weights: list[float], depth: int, least: int, rate: float, seed: int) -> DataFrame:
@@ -333,8 +483,8 @@ def boosted_nodes(data: Binned, weights: list[float], depth: int, least: int, ra
     return settle(data.blocks.repartition(tasks).mapInPandas(run, NODE, barrier=tasks > 1))
 
 
-def fitted(stage, kind, nodes: DataFrame, data: Binned, weights: list[float]):
-    """The MLlib model of the nodes, read from MLlib's storage format."""
+def stored(stage, kind, nodes: DataFrame, data: Binned, weights: list[float]) -> str:
+    """The folder that holds the nodes in the storage format of MLlib's model."""
     spark, path = nodes.sparkSession, f"{shared_folder(nodes.sparkSession)}/grown-{uuid.uuid4().hex}"
     cuts = data.cuts
 
@@ -369,4 +519,4 @@ def fitted(stage, kind, nodes: DataFrame, data: Binned, weights: list[float]):
     spark.createDataFrame(trees, "_1 int, _2 string, _3 double").write.parquet(f"{path}/treesMetadata")
     line = about(kind.__name__, stage.uid, own, numFeatures=data.inputs, numTrees=len(weights))
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{path}/metadata")
-    return kind.load(path)
+    return path

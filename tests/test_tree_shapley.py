@@ -76,3 +76,21 @@ def test_missing_inputs_count_as_zero(spark, rows):
     zero = gap.withColumn("a", F.lit(0.0))
     one, two = (tree_shapley.model_shapley(x, rows.limit(5), model, INPUTS).drop("pseudonym_id").first() for x in (gap, zero))
     assert one == two
+
+
+@pytest.mark.parametrize("kind", ["boosting", "forest"])
+def test_nodes_leaves_and_cases_in_many_pieces_stay_off_the_driver(spark, rows, monkeypatch, kind):
+    model, _ = models.fit(rows, getattr(models, kind)(INPUTS, **({"rounds": 4} if kind == "boosting" else {"trees": 3})))
+    cases, reference = rows.orderBy("pseudonym_id").limit(9), rows.orderBy(F.desc("pseudonym_id")).limit(7)
+    cases = cases.unionByName(cases.limit(2)).withColumn("pseudonym_id", F.when(F.col("pseudonym_id") != "p1", F.col("pseudonym_id")))
+    for name, size in (("CASES_PER_TASK", 2), ("CHUNK_LEAVES", 5), ("CHUNK_NODES", 20), ("WALKED_ROWS", 40), ("REFERENCE_ROWS", 3)):
+        monkeypatch.setattr(tree_shapley, name, size)
+    plain = type(rows).toPandas
+    monkeypatch.setattr(type(rows), "toPandas", lambda self: plain(self) if self.count() <= 7 else pytest.fail("more than the reference rows on the driver"))
+    got = tree_shapley.model_shapley(cases, reference, model, INPUTS).collect()
+    assert len(got) == 11 and sum(r["pseudonym_id"] is None for r in got) == cases.filter("pseudonym_id is null").count() > 0
+    own = sorted(r["prediction"] for r in model.transform(cases).collect())
+    assert sorted(r["prediction"] for r in got) == pytest.approx(own)
+    assert all(sum(r[c] for c in INPUTS) == pytest.approx(r["prediction"] - r["base_value"]) for r in got)
+    walks = tree_shapley.walked(model.transform(rows), model.stages[-1], INPUTS, "prediction").collect()
+    assert len(walks) == 300 and all(r["walked"] == pytest.approx(r["prediction"]) for r in walks)

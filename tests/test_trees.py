@@ -90,3 +90,19 @@ def test_constant_inputs_leave_the_mean(rows):
     mean = rows.agg(F.avg("label")).first()[0]
     assert np.allclose(told(models.fit(flat, models.boosting(rounds=1))[0], flat), mean, atol=1.5)
     assert len(set(told(models.fit(flat, models.forest(trees=2))[0], flat))) == 1
+
+
+def test_a_forest_is_never_loaded_on_the_driver(spark, rows, monkeypatch, tmp_path):
+    plain = trees.RandomForestRegressionModel.load
+    monkeypatch.setattr(trees.RandomForestRegressionModel, "load", lambda path: pytest.fail("all nodes on the driver"))
+    monkeypatch.setattr(trees, "SENT_NODES", 100)  # many parts
+    model = models.fit(rows, models.forest(trees=5))[0]
+    got = told(model, rows)
+    model.write().save(f"{tmp_path}/kept")
+    again = models.PipelineModel.load(f"{tmp_path}/kept")
+    assert np.array_equal(told(again, rows), got) and again.stages[-1].trees == model.stages[-1].trees
+    assert leaf_gap(again, rows) < 1e-9
+    monkeypatch.setattr(trees.RandomForestRegressionModel, "load", plain)
+    assert np.allclose(told(models.PipelineModel([again.stages[0], again.stages[-1].mllib()]), rows), got, atol=1e-12)
+    odd = rows.limit(30).withColumn(P.SIGNALS[0], F.when(F.col("i") % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf"))))
+    assert np.allclose(told(models.PipelineModel([again.stages[0], again.stages[-1].mllib()]), odd), told(again, odd), atol=1e-12)
