@@ -6,8 +6,10 @@ MLlib's rule) and kept as blocks.
 
 * Forest: a node with more than ``SUBTREE_ROWS`` rows is split by histograms that the blocks
   add up; the rows of any smaller node meet in one task, which grows the whole subtree.
-* Boosting: one barrier stage. A task holds its share of the blocks through all rounds; the
-  tasks exchange histograms level by level and so take the same splits.
+* Boosting: one stage. A task holds its share of the blocks through all rounds; where there are
+  several (a barrier stage) they exchange histograms level by level and so take the same splits.
+  Such an exchange takes Spark most of a second whatever its size, so a task holds as many rows
+  as its memory allows, some 130 bytes each, and counts several inputs in one pass.
 
 Bootstrap, subsets of the inputs, losses, step and limits are those of the MLlib estimators.
 Fitted boosting is MLlib's model. A forest has up to trees x 2^(depth + 1) nodes, which MLlib's
@@ -41,7 +43,8 @@ from fettle.operators.spread import settle, shared_folder
 
 BLOCK_ROWS = 1 << 14
 SUBTREE_ROWS = 1 << 17  # rows of a subtree grown in one task
-BOOSTING_ROWS = 1 << 19  # rows a boosting task holds
+BOOSTING_ROWS = 1 << 22  # rows a boosting task holds
+CELLS = 1 << 16  # joint bins counted in one pass
 SENT_NODES = 1 << 18  # nodes of a forest that the driver holds at a time
 NODE = "tree int, heap bigint, n double, total double, squares double, gain double, feature int, bin int"
 _NODE = ("tree", "heap", "n", "total", "squares", "gain", "feature", "bin")
@@ -406,7 +409,7 @@ class BarrierBoosting(GBTRegressor):
 
 
 def boosted_nodes(data: Binned, weights: list[float], depth: int, least: int, rate: float, seed: int) -> DataFrame:
-    inputs, bins = data.inputs, data.bins
+    inputs, widths = data.inputs, [len(c) + 1 for c in data.cuts]
     slots = data.blocks.sparkSession.sparkContext.defaultParallelism
     tasks = max(1, min(slots, ceil(data.rows / BOOSTING_ROWS)))
     seed = seed & 0x7FFFFFFF
@@ -417,7 +420,7 @@ def boosted_nodes(data: Binned, weights: list[float], depth: int, least: int, ra
         part = TaskContext.get().partitionId()
 
         def everywhere(mine: np.ndarray) -> np.ndarray:
-            """The sum over all tasks, added in the same order by each."""
+            """The sum over all tasks, added in the same order by each; Spark takes most of a second for it."""
             if tasks == 1:
                 return mine
             told = BarrierTaskContext.get().allGather(base64.b64encode(mine.tobytes()).decode())
@@ -427,62 +430,140 @@ def boosted_nodes(data: Binned, weights: list[float], depth: int, least: int, ra
         blocks = sorted((b for batch in batches for b in batch.itertuples()), key=lambda b: b.block)
         x = np.concatenate([np.frombuffer(b.x, np.uint8).reshape(-1, inputs) for b in blocks] or [np.zeros((0, inputs), np.uint8)])
         y = np.concatenate([np.frombuffer(b.y) for b in blocks] or [np.zeros(0)])
-        columns, score, rng = x.T.astype(np.int64), np.zeros(len(y)), np.random.default_rng([seed, part])
-        every = np.arange(len(y))
-        for tree, weight in enumerate(weights):
-            target = 2 * (y - score) if tree else y
-            used = np.flatnonzero(rng.random(len(y)) < rate) if rate < 1 else every
-            t = target[used]
-            at, value = np.zeros(len(y), np.int64), np.zeros(2 << depth)  # place in the level; prediction by heap number
-            heap_of = np.ones(len(y), np.int64)
-            heaps, n, total, nodes = np.ones(1, np.int64), None, None, []
-            for level in range(depth):
-                k = len(heaps)
-                if not k:
-                    break
-                live = at[used] >= 0
-                where, amount, rows = at[used][live], t[live], used[live]
-                h = np.empty((2, k, inputs, bins))
-                for i in range(inputs):
-                    cell = where * bins + columns[i, rows]
-                    h[0, :, i] = np.bincount(cell, minlength=k * bins).reshape(k, bins)
-                    h[1, :, i] = np.bincount(cell, amount, k * bins).reshape(k, bins)
-                squares = np.bincount(where, amount * amount, k)
-                got = everywhere(np.concatenate([h.ravel(), squares]))
-                h, squares = got[:-k].reshape(h.shape), got[-k:]
-                n, total = h[0, :, 0].sum(1), h[1, :, 0].sum(1)
-                gains, cuts, left0, left1 = _best(h[0], h[1], least)
-                feature = gains.argmax(1)
-                pick = np.arange(k), feature
-                gain, cut, left0, left1 = gains[pick], cuts[pick], left0[pick], left1[pick]
-                inner = gain > np.where(n > 0, squares / np.maximum(n, 1), 0) * 1e-12
-                feature = np.where(inner, feature, -1)
-                value[heaps] = total / np.maximum(n, 1)
-                nodes.append(np.stack([heaps, n, total, squares, np.where(inner, gain, -1.0), feature, cut]))
-                # rows of leaves stay where they are
-                go = np.flatnonzero(at >= 0)
-                f = feature[at[go]]
-                down = go[f >= 0]
-                at[go[f < 0]] = -1
-                f, place = feature[at[down]], np.cumsum(inner) - 1
-                right = columns[f, down] > cut[at[down]]
-                at[down] = 2 * place[at[down]] + right
-                heap_of[down] = 2 * heap_of[down] + right
-                heaps = np.stack([2 * heaps[inner], 2 * heaps[inner] + 1], 1).ravel()
-                n = np.stack([left0[inner], n[inner] - left0[inner]], 1).ravel()
-                total = np.stack([left1[inner], total[inner] - left1[inner]], 1).ravel()
-            if len(heaps):
-                live = at[used] >= 0
-                squares = everywhere(np.bincount(at[used][live], t[live] ** 2, len(heaps)))
-                value[heaps] = total / np.maximum(n, 1) if n is not None else 0.0
-                nodes.append(np.stack([heaps, n, total, squares, np.full(len(heaps), -1.0), np.full(len(heaps), -1), np.zeros(len(heaps))]))
-            score += weight * value[heap_of]
+        del blocks
+        for tree, columns in boost(x, y, widths, weights, depth, least, rate, [seed, part], everywhere):
             if part == 0:
-                yield _frame(tree, list(np.concatenate(nodes, 1)))
+                yield _frame(tree, columns)
 
     return settle(data.blocks.repartition(tasks).mapInPandas(run, NODE, barrier=tasks > 1))
 
 
+def joined_inputs(x: np.ndarray, widths: list[int]) -> list[tuple[list[int], np.ndarray]]:
+    """Inputs whose bins are counted together, and the joint bin number of each row: one pass serves them all."""
+    room, out = min(CELLS, len(x) // 8), []
+    for i, width in enumerate(widths):
+        if out and np.prod([widths[j] for j in out[-1]]) * width <= room:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    kind = np.uint16 if max(CELLS, *widths) <= 1 << 16 else np.int64
+    return [(some, np.ravel_multi_index([x[:, i] for i in some], [widths[i] for i in some]).astype(kind)) for some in out]
+
+
+def boost(x: np.ndarray, y: np.ndarray, widths: list[int], weights: list[float], depth: int, least: int, rate: float, seed: list[int], everywhere):
+    """Each tree and its nodes (columns from ``heap`` on), from the share of the rows at hand.
+
+    ``everywhere`` adds an array up over all shares: once a level, in all shares alike. Of two
+    children only the one with fewer rows is counted, the other is what is left of the parent.
+    """
+    inputs, bins = len(widths), max(2, *widths)
+    groups, columns, score, rng = joined_inputs(x, widths), np.ascontiguousarray(x.T), np.zeros(len(y)), np.random.default_rng(seed)
+    flat, whole = x.ravel(), None
+
+    def counted(rows, t, counts=None):
+        h = np.zeros((2, inputs, bins))
+        for some, code in groups:
+            cell, shape = code if rows is None else code[rows], [widths[i] for i in some]
+            cell = cell.astype(np.int64)
+            for k, v in ((0, None), (1, t)):
+                if k == 0 and counts is not None:
+                    continue
+                sums = np.bincount(cell, v, int(np.prod(shape))).reshape(shape)
+                for j, i in enumerate(some):
+                    h[k, i, :widths[i]] = sums.sum(tuple(a for a in range(len(some)) if a != j))
+        if counts is not None:
+            h[0] = counts
+        return h
+
+    waiting, leaves = None, np.zeros(0)  # of the tree before: its nodes, and the sums of squares of its last leaves
+    for tree, weight in enumerate(weights):
+        target = 2 * (y - score) if tree else y
+        drawn = rng.random(len(y)) < rate if rate < 1 else None
+        rows = None if drawn is None else np.flatnonzero(drawn)
+        t = target if rows is None else target[rows]
+        h = counted(rows, t, whole)
+        if rows is None:
+            whole = h[0]
+        got = everywhere(np.concatenate([h.ravel(), [t @ t], leaves]))
+        if waiting is not None:
+            yield tree - 1, _with_squares(*waiting, got[h.size + 1:])
+        h, squares = got[:h.size].reshape(1, 2, inputs, bins), got[h.size:h.size + 1]
+        heaps, held, nodes = np.ones(1, np.int64), [(rows, t)], []  # of a level: heap numbers, rows and targets
+        feature_of, cut_of, value_of = np.full(2 << depth, -1), np.zeros(2 << depth, np.int64), np.zeros(2 << depth)
+        last, leaves = np.zeros(0, np.int64), np.zeros(0)
+        for level in range(depth):
+            k = len(heaps)
+            n, total = h[:, 0, 0].sum(1), h[:, 1, 0].sum(1)
+            gains, cuts, left0, left1 = _best(h[:, 0], h[:, 1], least)
+            feature = gains.argmax(1)
+            pick = np.arange(k), feature
+            gain, cut, left0, left1 = gains[pick], cuts[pick], left0[pick], left1[pick]
+            inner = gain > np.where(n > 0, squares / np.maximum(n, 1), 0) * 1e-12
+            feature = np.where(inner, feature, -1)
+            feature_of[heaps], cut_of[heaps], value_of[heaps] = feature, cut, total / np.maximum(n, 1)
+            nodes.append(np.stack([heaps, n, total, squares, np.where(inner, gain, -1.0), feature, cut]))
+            below = []
+            for place, (rows, t) in enumerate(held):
+                if not inner[place]:
+                    _add(score, rows, weight * value_of[heaps[place]])
+                    continue
+                column = columns[feature[place]]
+                right = (column if rows is None else column[rows]) > cut[place]
+                for side in (~right, right):
+                    below.append((np.flatnonzero(side) if rows is None else rows[side], t[side]))
+            held = below
+            up = np.flatnonzero(inner)
+            heaps = np.stack([2 * heaps[up], 2 * heaps[up] + 1], 1).ravel()
+            child_n = np.stack([left0[up], n[up] - left0[up]], 1)
+            child_total = np.stack([left1[up], total[up] - left1[up]], 1)
+            if not len(heaps):
+                break
+            if level + 1 < depth:
+                small = (child_n[:, 1] < child_n[:, 0]).astype(int)
+                mine = [held[2 * i + s] for i, s in enumerate(small)]
+                part = np.stack([counted(*m) for m in mine])
+                got = everywhere(np.concatenate([part.ravel(), [t @ t for _, t in mine]]))
+                part, some = got[:part.size].reshape(part.shape), got[part.size:]
+                at = np.arange(len(up))
+                h, squares = (_beside(small, at, a, b[up] - a) for a, b in ((part, h), (some, squares)))
+            else:
+                last, leaves = heaps, np.array([t @ t for _, t in held])
+                value_of[heaps] = child_total.ravel() / np.maximum(child_n.ravel(), 1)
+                for heap, (rows, _) in zip(heaps, held):
+                    _add(score, rows, weight * value_of[heap])
+                nodes.append(np.stack([heaps, child_n.ravel(), child_total.ravel(), np.zeros(len(heaps)), np.full(len(heaps), -1.0),
+                                       np.full(len(heaps), -1), np.zeros(len(heaps))]))
+        if drawn is not None:
+            rows = np.flatnonzero(~drawn)
+            at, start = np.ones(len(rows), np.int64), rows * inputs
+            for _ in range(depth):
+                f = feature_of[at]
+                at = np.where(f >= 0, 2 * at + (flat[start + f] > cut_of[at]), at) if len(at) else at
+            score[rows] += weight * value_of[at]
+        waiting = nodes, len(last)
+    yield len(weights) - 1, _with_squares(*waiting, everywhere(leaves) if len(leaves) else leaves)
+
+
+def _add(score: np.ndarray, rows: np.ndarray | None, amount: float) -> None:
+    if rows is None:
+        score += amount
+    else:
+        score[rows] += amount
+
+
+def _beside(small: np.ndarray, at: np.ndarray, counted: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Children in their order, from the counted one of each pair and the other."""
+    out = np.empty((len(at), 2, *counted.shape[1:]))
+    out[at, small], out[at, 1 - small] = counted, rest
+    return out.reshape(2 * len(at), *counted.shape[1:])
+
+
+def _with_squares(nodes: list[np.ndarray], leaves: int, squares: np.ndarray) -> list[np.ndarray]:
+    if leaves:
+        nodes[-1][3] = squares
+    return list(np.concatenate(nodes, 1))
+
+
 def stored(stage, kind, nodes: DataFrame, data: Binned, weights: list[float]) -> str:
     """The folder that holds the nodes in the storage format of MLlib's model."""
     spark, path = nodes.sparkSession, f"{shared_folder(nodes.sparkSession)}/grown-{uuid.uuid4().hex}"

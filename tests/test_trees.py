@@ -106,3 +106,41 @@ def test_a_forest_is_never_loaded_on_the_driver(spark, rows, monkeypatch, tmp_pa
     assert np.allclose(told(models.PipelineModel([again.stages[0], again.stages[-1].mllib()]), rows), got, atol=1e-12)
     odd = rows.limit(30).withColumn(P.SIGNALS[0], F.when(F.col("i") % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf"))))
     assert np.allclose(told(models.PipelineModel([again.stages[0], again.stages[-1].mllib()]), odd), told(again, odd), atol=1e-12)
+
+
+@pytest.mark.parametrize("rate", [1.0, 0.7])
+def test_boosting_exchanges_once_a_level_and_counts_inputs_together(monkeypatch, rate):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (9_000, 5)).astype(np.uint8)
+    x[:, 4] = 0  # constant
+    y = x[:, 0] * 1.5 + 7.0 * (x[:, 1] > 4) * (x[:, 2] > 2) + rng.normal(size=9_000)
+    calls = []
+
+    def grown(cells):
+        monkeypatch.setattr(trees, "CELLS", cells)
+        calls.clear()
+        return [c for _, c in trees.boost(x, y, [9, 9, 9, 9, 1], [1.0, *[0.3] * 5], 3, 20, rate, [7, 0], lambda a: calls.append(1) or a)]
+
+    assert len(trees.joined_inputs(x, [9, 9, 9, 9, 1])) < 5
+    together = grown(1 << 16)
+    assert len(calls) <= 6 * 3 + 1
+    score = np.zeros(len(y))
+    drawn = np.random.default_rng([7, 0])
+    for tree, (a, b) in enumerate(zip(together, grown(1))):
+        for one, other in zip(a, b):
+            assert np.allclose(one, other, atol=1e-8)
+        # nodes against the rows that fall into them
+        heap, n, total, squares, _, feature, cut = a
+        used = drawn.random(len(y)) < rate if rate < 1 else np.ones(len(y), bool)
+        target, at, value = 2 * (y - score) if tree else y, np.ones(len(y), np.int64), np.zeros(16)
+        for h, count, amount, square, f, c in zip(heap.astype(int), n, total, squares, feature.astype(int), cut):
+            mine = at == h
+            assert (mine & used).sum() == count and np.isclose(target[mine & used].sum(), amount) and np.isclose((target[mine & used] ** 2).sum(), square)
+            value[h] = amount / count
+            if f >= 0:
+                at[mine] = 2 * h + (x[mine, f] > c)
+        score += (0.3 if tree else 1.0) * value[at]
+
+
+def test_a_boosting_task_holds_what_six_times_the_driver_table_needs():
+    assert trees.BOOSTING_ROWS >= 2_600_000  # 2,000 exchanges of most of a second each otherwise
