@@ -48,7 +48,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def clear(spark: SparkSession) -> None:
-    """Remove what this session has settled; call it when the results are read or written."""
+    """Remove what this session has settled, fitted forests that were not saved too; call it when the results are read or written."""
     sc = spark.sparkContext
     where = sc._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
